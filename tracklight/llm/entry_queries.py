@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, neardup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op6_near_duplicates": neardup.op6_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {}
