@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup
+from . import chat, decontaminate, linedup, mixing, neardup, sharding
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_line_dedup": linedup.op3_line_dedup,
     "op6_near_duplicates": neardup.op6_near_duplicates,
+    "op8_sharding": sharding.op8_sharding,
+    "op9_chat": chat.op9_chat,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": linedup.OP3_SQL,
+    "op9_chat": chat.OP9_SQL,
+}
