@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, linedup, mixing, neardup, quality, sharding
+from . import chat, decontaminate, fingerprint, htmltext, language, linedup, mixing, neardup, quality, sharding
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_mixing": mixing.op2_mixing,
     "op3_line_dedup": linedup.op3_line_dedup,
     "op4_quality": quality.op4_quality,
+    "op5_html_text": htmltext.op5_html_text,
     "op6_near_duplicates": neardup.op6_near_duplicates,
+    "op7_fingerprint": fingerprint.op7_fingerprint,
     "op8_sharding": sharding.op8_sharding,
     "op9_chat": chat.op9_chat,
     "op10_language": language.op10_language,
