@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 #: Largest Arrow batch sent to a Python worker, and the text bytes that one numpy step looks at.
 BATCH_BYTES = 16 << 20
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,10 +64,13 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of a string column that hold about ``limit`` bytes each, one row at least."""
+    """Row ranges of a string column that hold about ``limit`` bytes each, one row at least (of lists: one row)."""
     n = len(column)
     if not n:
         return
+    if pa.types.is_nested(column.type):
+        yield from ((i, i + 1) for i in range(n))
+        return
     sizes = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(float))
     ends = np.cumsum(sizes + 1)
     lo = 0
@@ -86,6 +89,7 @@ def annotate(
     name: str,
     keep: Sequence[str] | None = None,
     start: Callable[[], object] | None = None,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Each row's ``keep`` columns (all by default) and a struct ``name`` that ``make`` computes from ``inputs``.
 
@@ -108,7 +112,7 @@ def annotate(
         state = start() if start else None
         for batch in batches:
             kept, read_ = batch.columns[:n_keep], batch.columns[n_keep:]
-            for lo, hi in slices(read_[0]):
+            for lo, hi in slices(read_[0], slice_bytes):
                 got = make(state, *[c.slice(lo, hi - lo) for c in read_])
                 made = pa.StructArray.from_arrays([pa.array(got[f.name], type=f.type, from_pandas=True) for f in fields], fields=fields)
                 cols = [c.slice(lo, hi - lo).cast(arrow.field(i).type) for i, c in enumerate(kept)]

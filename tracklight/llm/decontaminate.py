@@ -27,6 +27,8 @@ from .common import ASCII_LOWER, WORD_BYTES, annotate, fresh, span_hashes, utf8,
 WINDOW = 13
 #: Benchmark text that one pass over the documents searches for; larger benchmarks take one pass for each such block.
 BLOCK_BYTES = 16 << 20
+#: Text in a shard (the rows that one index covers).
+SHARD_BYTES = 6 << 20
 #: Every so many positions the index stores where a suffix lies.
 SAMPLE_EVERY = 16
 
@@ -261,7 +263,7 @@ def decontaminate(
         phrases = Phrases([("null" if r.i is None else r.i, r.t) for r in part.sort("i", "t").collect()], window)  # bounded by block_bytes
         shared = docs.sparkSession.sparkContext.broadcast(phrases)
         last = b == blocks - 1
-        out = annotate(out, [text], RESULT, lambda _, texts, s=shared: search_shard(s.value, texts), fresh(out, f"{spans}_{b}" if blocks > 1 else spans), keep if last and blocks == 1 else None)
+        out = annotate(out, [text], RESULT, lambda _, texts, s=shared: search_shard(s.value, texts), fresh(out, f"{spans}_{b}" if blocks > 1 else spans), keep if last and blocks == 1 else None, slice_bytes=SHARD_BYTES)
     if blocks > 1:
         parts = [out.columns[-blocks + b] for b in range(blocks)]
         words = lambda s: F.sequence(s["first"], s["last"])

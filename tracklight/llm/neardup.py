@@ -7,13 +7,16 @@ random registers; generation stops where no register of the set can change any m
 
 1. Documents with equal sets (two 64-bit sums over the members) form a class; its smallest ``doc_id`` stands for it.
 2. Classes that share a band of registers meet in a bucket.  A bucket never emits all its pairs: its members are first
-   compared with one hub.  Buckets whose members are then in one component are done; the others get new hubs, and at
-   last all pairs of members that are still in different components and have not been compared.  No link is lost to
-   a cap: 26 bands of 5 registers miss a pair at the threshold about once in four million.
+   compared with its smallest member, the hub.  26 bands of 5 registers miss a pair at the threshold about once in four
+   million.
 3. A pair's similarity is estimated by maximum likelihood from how many registers are smaller, equal and larger, given
    both set sizes; only pairs for which the threshold is all but impossible are dropped.
 4. What remains is confirmed on the full sets, computed from the whole texts of both sides.
 5. Components by minimum-label propagation with pointer jumping; every step is a table in the shared folder.
+6. Buckets of one hub form a group.  Groups whose members are then in one component are done.  In the others every
+   member outside the hub's component is compared with all members, exactly and without a cap: the group is cut into
+   blocks of bounded size, and a task gets two blocks, counts all common shingles by one product of two incidence
+   matrices, and returns no more links than connect them.
 
 Defined results: null, empty and wordless texts have an empty set, linked with nothing; texts of fewer than five
 words are one shingle; a null ``doc_id`` is linked with nothing and has a null component; repeated rows get the same
@@ -40,10 +43,12 @@ THRESHOLD = 85
 SURE = 18.0
 #: Tables of at most so many ids may be broadcast; beyond it the same join shuffles.
 BROADCAST_IDS = 1_000_000
-#: Hub rounds before the remaining pairs of a bucket are compared outright.
-HUB_ROUNDS = 4
+#: Members and text bytes of a block of a group.
+BLOCK_ROWS, BLOCK_BYTES = 256, 1 << 20
+#: Shared shingles that one step of the incidence product covers.
+BLOCK_COLUMNS = 16_384
 
-SET = "n bigint, f1 bigint, f2 bigint, regs binary, bands array<bigint>"
+SET = "n bigint, bytes bigint, f1 bigint, f2 bigint, regs binary, bands array<bigint>"
 
 
 # ---------------------------------------------------------------------------------------------------- sets
@@ -107,7 +112,7 @@ def describe(_, texts: pa.Array) -> dict[str, list]:
     for k in range(ROWS):
         h = mix64(h * np.uint64(0x100000001B3) + regs[:, k::ROWS].astype(np.uint64))
     bands = h.view(np.int64)
-    return {"n": counts, "f1": total[0], "f2": total[1], "regs": [r.tobytes() for r in regs], "bands": list(bands)}
+    return {"n": counts, "bytes": np.diff(utf8(texts)[1]), "f1": total[0], "f2": total[1], "regs": [r.tobytes() for r in regs], "bands": list(bands)}
 
 
 # ---------------------------------------------------------------------------------------------------- pairs
@@ -189,39 +194,79 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def block_links(_, ids_a: pa.Array, ids_b: pa.Array, labels_a: pa.Array, labels_b: pa.Array, texts_a: pa.Array, texts_b: pa.Array) -> dict[str, list]:
+    """Links between members of two blocks that are in different components: a spanning forest of them."""
+    out = []
+    for row in range(len(ids_a)):
+        ids = np.array(ids_a[row].as_py() + ids_b[row].as_py())
+        labels = np.array(labels_a[row].as_py() + labels_b[row].as_py())
+        texts = pa.concat_arrays([texts_a[row].values, texts_b[row].values])
+        members, counts = shingle_sets(texts)
+        p, owner = len(ids_a[row]), np.repeat(np.arange(len(ids)), counts)
+        values, where, often = np.unique(members, return_inverse=True, return_counts=True)
+        column = np.cumsum(often > 1) - 1  # only shared shingles matter
+        shared = often[where] > 1
+        owner, where = owner[shared], column[where[shared]]
+        common = np.zeros((p, len(ids) - p), np.float32)
+        for lo in range(0, int((often > 1).sum()), BLOCK_COLUMNS):
+            now = (where >= lo) & (where < lo + BLOCK_COLUMNS)
+            has = np.zeros((len(ids), BLOCK_COLUMNS), np.float32)
+            has[owner[now], where[now] - lo] = 1
+            common += has[:p] @ has[p:].T
+        union = counts[:p, None] + counts[None, p:] - common
+        linked = (100 * common >= THRESHOLD * union) & (labels[:p, None] != labels[None, p:])
+        root = {x: x for x in labels.tolist()}
+
+        def find(x: int, root: dict = root) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        found = []
+        for i, j in np.argwhere(linked).tolist():
+            a, b = find(int(labels[i])), find(int(labels[p + j]))
+            if a != b:
+                root[a] = b
+                found.append({"a": int(ids[i]), "b": int(ids[p + j])})
+        out.append(found)
+    return {"links": out}
+
+
+def group_links(groups: DataFrame, labels: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) across components within each group (hub, rep), all pairs compared, block by block."""
+    named = groups.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("hub", "rep", F.coalesce("label", "rep").alias("label"))
+    named = spool(named.join(sets.select(F.col("doc_id").alias("rep"), "bytes").hint("merge"), "rep"), "named")
+    part = lambda main, what: F.sum(F.when(F.col("main") == main, what).otherwise(0))
+    own = named.where("hub = rep").select("hub", F.col("label").alias("hub_label"))
+    marked = named.join(own.hint("merge"), "hub").withColumn("main", F.col("label") == F.col("hub_label"))
+    blocks = lambda main: F.ceil(F.greatest(part(main, F.lit(1)) / BLOCK_ROWS, part(main, F.col("bytes")) / BLOCK_BYTES)).cast("int")
+    open_ = marked.groupBy("hub").agg(blocks(True).alias("n_main"), blocks(False).alias("n_out"), F.count("*").alias("many")).where("n_out > 0 and many > 2")
+    at = marked.select("hub", "rep", "label", "main").join(open_.drop("many").hint("merge"), "hub")
+    at = spool(at.withColumn("block", F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.when(F.col("main"), F.col("n_main")).otherwise(F.col("n_out"))))), "open")
+    texts = semi(docs.select("doc_id", "text"), at.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").withColumnRenamed("doc_id", "rep")
+    full = at.join(texts.hint("merge"), "rep").groupBy("hub", "main", "block").agg(F.first("n_main").alias("n_main"), F.first("n_out").alias("n_out"), F.collect_list(F.struct("rep", "label", "text")).alias("m"))
+    full = spool(full, "blocks")
+    targets = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("n_main") - 1), lambda j: F.struct(F.lit(True).alias("main"), j.cast("bigint").alias("block"))),
+        F.transform(F.sequence(F.col("block").cast("int"), F.col("n_out") - 1), lambda j: F.struct(F.lit(False).alias("main"), j.cast("bigint").alias("block"))),
+    )
+    left = full.where("not main").select("hub", F.explode(targets).alias("t"), F.col("m").alias("ma")).select("hub", "t.*", "ma")
+    met = left.join(full.select("hub", "main", "block", F.col("m").alias("mb")).hint("merge"), ["hub", "main", "block"])
+    sides = met.select("ma.rep", "mb.rep", "ma.label", "mb.label", "ma.text", "mb.text").toDF("ia", "ib", "la", "lb", "ta", "tb")
+    found = annotate(sides, ["ia", "ib", "la", "lb", "ta", "tb"], "links array<struct<a:bigint,b:bigint>>", block_links, "f", keep=[])
+    return found.select(F.explode("f.links").alias("l")).select("l.*").distinct()
+
+
 def link(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """(id, label) of all linked class representatives.  ``sets``: a row for each class, with registers and bands."""
     rows = sets.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("hub")).where("many > 1 and hub is not null").select("key", "hub")
-    members = spool(rows.join(shared.hint("merge"), "key"), "buckets")
-    seen = spool(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = spool(verify(seen, docs, sets), "links")
+    shared = rows.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("hub")).where("many > 1").select("key", "hub")
+    groups = spool(rows.join(shared.hint("merge"), "key").select("hub", "rep").distinct(), "groups")
+    links = spool(verify(groups.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")), docs, sets), "links")
     labels = components(links)
-    for turn in range(1, HUB_ROUNDS + 2):
-        named = members.select("key", "rep").join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-        open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "label")).alias("hub")).where("lo <> hi and many > 2")
-        at = spool(named.join(open_.select("key", "many", F.col("hub.rep").alias("hub"), F.col("hub.label").alias("hub_label")).hint("merge"), "key"), "open")
-        if at.isEmpty():
-            return labels
-        # pairs across components, were they all compared; a bucket of g members counts g for each member outside its hub's component
-        across = at.where("label <> hub_label").agg(F.sum("many")).first()[0] or 0
-        last = turn > HUB_ROUNDS or across <= 50 * at.count()
-        if last:
-            outside = at.where("label <> hub_label").select("key", F.col("rep").alias("x"), F.col("label").alias("lx"))
-            inside = at.select("key", F.col("rep").alias("y"), F.col("label").alias("ly"))
-            pairs = outside.join(inside.hint("merge"), "key").where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        else:
-            pairs = at.where("label <> hub_label").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-        new = spool(pairs.distinct().join(seen.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            found = spool(verify(new, docs, sets), "links")
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                labels = components(links)
-            seen = seen.unionByName(new)
-        if last:
-            return labels
-    return labels
+    more = spool(group_links(groups, labels, docs, sets), "links")
+    return labels if more.isEmpty() else components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,7 +276,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     table = spool(sketched.select("doc_id", "s.*"), "sketches")
     classes = spool(table.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     first = table.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), F.col("f1").alias("c1"), F.col("f2").alias("c2")).hint("merge"), "doc_id").where("f1 = c1 and f2 = c2")
-    sets = first.select("doc_id", "n", "regs", "bands")
+    sets = first.select("doc_id", "n", "bytes", "regs", "bands")
     labels = link(plain, sets)
     named = classes.join(labels.hint("merge"), classes["rep"] == labels["id"], "left").select("f1", "f2", "n", F.coalesce("label", "rep").alias("label"))
     joined = table.select("doc_id", "n", "f1", "f2").join(named.hint("merge"), ["f1", "f2", "n"], "left")
