@@ -1 +1,348 @@
-"""Placeholder."""
+"""Queries that list, filter, page and join operational tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import expressions as X
+from ..operators import listing as L
+from ..operators import windows as W
+from .registry import query
+
+TAGGED = lambda df: df.withColumn("tags", F.array_compact(F.array("domain_type", "task_category", "complexity_level")))
+
+
+@query("f1_scope", "select run_id, status from v_runs where organization_id='org-1'")
+def f1(t):
+    return L.scoped(t.v_runs, "org-1").select("run_id", "status")
+
+
+@query("f2_generic", "select event_id, action from v_tool_events where action in ('click', 'view') and json_extract_string(arguments, '$.k')='7' and lower(trajectory_id) like '%2024-01-1%' and event_id > 100 and event_id < 9000 and response_text is not null")
+def f2(t):
+    return L.matching(t.v_tool_events, {"action": ["click", "view"]}, {"arguments.k": "7"}, {"trajectory_id": "2024-01-1"}, ("event_id", 100), ("event_id", 9000), ["response_text"]).select("event_id", "action")
+
+
+@query("f3_cursor_page", "with c as (select created_at, run_id from v_runs where run_id='run-500') select r.run_id, r.created_at from v_runs r, c where (r.created_at < c.created_at) or (r.created_at = c.created_at and r.run_id < c.run_id) order by r.created_at desc, r.run_id desc limit 25")
+def f3(t):
+    return L.page(t.v_runs, "run_id", 25, after="run-500").select("run_id", "created_at")
+
+
+@query("f3_before_page", "with c as (select created_at, run_id from v_runs where run_id='run-500') select r.run_id, r.created_at from v_runs r, c where (r.created_at > c.created_at) or (r.created_at = c.created_at and r.run_id > c.run_id) order by r.created_at asc, r.run_id asc limit 25")
+def f3b(t):
+    return L.page(t.v_runs, "run_id", 25, before="run-500").select("run_id", "created_at")
+
+
+@query("f4_middle", "select event_id from v_tool_events where event_id > 100 and event_id < 140 order by event_id limit 20 offset 5")
+def f4(t):
+    return L.middle(t.v_tool_events.where("event_id > 100 and event_id < 131").select("event_id"), [F.col("event_id")], 20)
+
+
+@query("f5_null_cursor", "select trajectory_id, outcome_score from v_trajectories where outcome_score is null and trajectory_id < 'doc-500' order by trajectory_id desc limit 20")
+def f5(t):
+    """After a cursor whose own value is null, only nulls follow."""
+    rows = t.v_trajectories.where("outcome_score is null or trajectory_id <= 'doc-900'")
+    first = rows.withColumn("outcome_score", F.when(F.col("trajectory_id") != "doc-500", F.col("outcome_score")))
+    return L.page(first, "trajectory_id", 20, order="outcome_score", after="doc-500").select("trajectory_id", "outcome_score")
+
+
+@query("f6_list", "select trajectory_id, outcome_score from v_trajectories where agent_id='agent-src3' and outcome_score>=0.3 and outcome_score<=0.9 order by created_seq desc limit 10 offset 2")
+def f6(t):
+    rows = t.v_trajectories.where((F.col("agent_id") == "agent-src3") & (F.col("outcome_score") >= 0.3) & (F.col("outcome_score") <= 0.9))
+    return rows.orderBy(F.desc("created_seq")).offset(2).limit(10).select("trajectory_id", "outcome_score")
+
+
+@query("f7_store_list", "select trajectory_id from v_trajectories where domain_type='en' and (task_category='debugging' or complexity_level='expert' or domain_type='xx') order by created_seq desc limit 50")
+def f7(t):
+    rows = TAGGED(t.v_trajectories).where((F.col("domain_type") == "en") & L.any_tag(F.col("tags"), ["debugging", "expert", "xx"]))
+    return rows.orderBy(F.desc("created_seq")).limit(50).select("trajectory_id")
+
+
+@query("f7_substring_mode", "select trajectory_id from v_trajectories where coalesce(task_category,'') like '%gen%' or complexity_level like '%gen%' or domain_type like '%gen%' or coalesce(task_category,'') like '%triv%' or complexity_level like '%triv%' or domain_type like '%triv%'")
+def f7b(t):
+    return TAGGED(t.v_trajectories).where(L.any_tag(F.col("tags"), ["gen", "triv"], substring=True)).select("trajectory_id")
+
+
+@query("f8_tags_all", "select trajectory_id from v_trajectories where task_category='design' and complexity_level='simple'")
+def f8(t):
+    return TAGGED(t.v_trajectories).where(L.all_tags(F.col("tags"), ["design", "simple"])).select("trajectory_id")
+
+
+@query("f9_tags_any", "select passage_id, tag_lang='fr' or tag_size='long' as any_, tag_lang='fr' and tag_size='long' as all_ from v_passages")
+def f9(t):
+    tags = F.array("tag_lang", "tag_size")
+    return t.v_passages.select("passage_id", L.any_tag(tags, ["fr", "long"]).alias("any_"), L.all_tags(tags, ["fr", "long"]).alias("all_"))
+
+
+@query("f10_agents", "select c_custkey, c_name from customer c where lower(c_name) like '%1%' and c_nationkey in (1,2,3) and exists (select 1 from v_agent_tags a where a.agent_id='agent-'||cast(c_custkey as varchar) and a.tag='t2')")
+def f10(t):
+    agents = t.customer.withColumn("agent_id", F.concat(F.lit("agent-"), F.col("c_custkey").cast("string")))
+    rows = L.matching(agents, {"c_nationkey": [1, 2, 3]}, contains={"c_name": "1"})
+    return L.with_tags(rows, t.v_agent_tags, "agent_id", some=["t2"]).select("c_custkey", "c_name")
+
+
+@query("f11_decisions", "select call_id from v_tool_events where action='click' and decision_type='tool_selection' and confidence>=0.1 and pivotal")
+def f11(t):
+    return L.matching(t.v_tool_events, {"action": "click", "decision_type": "tool_selection", "pivotal": True}).where(F.col("confidence") >= 0.1).select("call_id")
+
+
+@query("f12_annotations", "select trajectory_id, evaluator_id, score from v_annotations where evaluator_type='model' and score>=0.5 and label='good' order by trajectory_id desc limit 40")
+def f12(t):
+    rows = L.matching(t.v_annotations, {"evaluator_type": "model", "label": "good"}).where("score >= 0.5")
+    return rows.orderBy(F.desc("trajectory_id"), "evaluator_id").limit(40).select("trajectory_id", "evaluator_id", "score")
+
+
+@query("f13_grain", "select trajectory_id, turn_id, score from v_annotations where turn_id is null or turn_id=2")
+def f13(t):
+    return t.v_annotations.where("turn_id is null or turn_id = 2").orderBy(F.asc_nulls_first("turn_id"), "trajectory_id").select("trajectory_id", "turn_id", "score")
+
+
+@query("f14_runs", "select r.run_id, m.num_steps, m.run_ns from v_runs r left join v_run_metrics m on r.run_id=m.run_id where status in ('completed','failed') and background and num_steps>=3 and run_ns<150000000 order by run_ns desc nulls last, r.run_id desc limit 200")
+def f14(t):
+    return L.list_runs(t.v_runs, t.v_run_metrics, ["completed", "failed"], background=True, steps=("gte", 3), duration=("lt", 150_000_000), order="run_ns", limit=200).select("run_id", "num_steps", "run_ns")
+
+
+@query("f15_percentile", "with j as (select r.run_id, run_ns from v_runs r left join v_run_metrics m on r.run_id=m.run_id where organization_id='org-1') select run_id, run_ns from j where run_ns >= (select percentile_cont(0.9) within group (order by run_ns) from j)")
+def f15(t):
+    return L.above_percentile(L.with_metrics(L.scoped(t.v_runs, "org-1"), t.v_run_metrics), "run_ns", 0.9).select("run_id", "run_ns")
+
+
+@query("f16_steps", "select run_id, step_no, model from v_steps where model='model-a' and feedback is null and created_at >= timestamp '1994-01-01' and created_at < timestamp '1995-01-01'")
+def f16(t):
+    return t.v_steps.where((F.col("model") == "model-a") & F.col("feedback").isNull() & (F.col("created_at") >= F.lit("1994-01-01").cast("date")) & (F.col("created_at") < F.lit("1995-01-01").cast("date"))).select("run_id", "step_no", "model")
+
+
+@query("f17_messages", "select message_id from v_messages where role in ('user','assistant') and lower(text) like '%tion%' and sequence_id > 20000 order by sequence_id limit 60")
+def f17(t):
+    content = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.struct(F.lit("image").alias("type"), F.lit("tion").alias("text")))
+    rows = t.v_messages.where(F.col("role").isin("user", "assistant") & L.text_in_content(content, "tion") & (F.col("sequence_id") > 20000))
+    return rows.orderBy("sequence_id").limit(60).select("message_id")
+
+
+@query("f18_jobs", "select run_id from v_runs where status='failed' and stop_reason='error' and created_at > timestamp '1996-01-01' order by created_at desc, run_id desc limit 50")
+def f18(t):
+    rows = L.matching(t.v_runs, {"status": "failed", "stop_reason": "error"}).where(F.col("created_at") > F.lit("1996-01-01").cast("date"))
+    return rows.orderBy(F.desc("created_at"), F.desc("run_id")).limit(50).select("run_id")
+
+
+@query("f19_blocks", "select doc_id from documents where lower(substring(text,1,400)) like '%license%' and lang='en'")
+def f19(t):
+    return L.matching(t.documents.withColumn("value", F.substring("text", 1, 400)), {"lang": "en"}, contains={"value": "License"}).select("doc_id")
+
+
+@query("f20_batch_messages", "select s.run_id, s.step_no, r.status, m.num_steps from v_steps s join v_runs r on s.run_id=r.run_id join v_run_metrics m on m.run_id=r.run_id where r.status='running' and r.created_at >= timestamp '1998-01-01'")
+def f20(t):
+    running = t.v_runs.where((F.col("status") == "running") & (F.col("created_at") >= F.lit("1998-01-01").cast("date")))
+    return t.v_steps.select("run_id", "step_no").join(running.select("run_id", "status"), "run_id").join(t.v_run_metrics.select("run_id", "num_steps"), "run_id")
+
+
+@query("f21_date_range", "select event_id from v_tool_events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-08'")
+def f21(t):
+    low, high = L.date_bounds("2024-01-05", "2024-01-07")
+    ts = F.col("ts").cast("timestamp")
+    return t.v_tool_events.where((ts >= low) & (ts <= high)).select("event_id")
+
+
+@query("f22_glob", "select file_id from v_files where regexp_matches(file_name, '(?i)^page.7\\.html$')")
+def f22(t):
+    return t.v_files.where(F.col("file_name").rlike(L.glob_to_regex("page?7.html"))).select("file_id")
+
+
+@query("f23_tools", "select distinct action from v_tool_events where action not in ('click') and lower(action) like '%e%'")
+def f23(t):
+    return L.matching(t.v_tool_events.select("action").distinct(), contains={"action": "E"}, excluded={"action": ["click"]})
+
+
+@query("f24_by_domain", "select trajectory_id, searchable_summary as summary, 'own' as visibility from v_trajectories where domain_type='de' and organization_id='org-1' union all select '[REDACTED:'||substring(sha256('s'||trajectory_id),1,8)||']', '[REDACTED]', 'shared' from v_trajectories where domain_type='de' and organization_id<>'org-1' and share_cross_org")
+def f24(t):
+    rows = t.v_trajectories.select("trajectory_id", F.col("searchable_summary").alias("summary"), "organization_id", "domain_type", "share_cross_org")
+    hide = lambda d: d.withColumns({"trajectory_id": X.redacted("trajectory_id", "s"), "summary": F.lit("[REDACTED]")})
+    return L.visible_across(rows, "org-1", "de", hide).select("trajectory_id", "summary", "visibility")
+
+
+@query("f25_pages", "select source_id, file_id, cast((rn-1)//5 as bigint) as page, ((rn-1)//5+1)*5 < c as has_more from (select *, row_number() over (partition by source_id order by file_id) as rn, count(*) over (partition by source_id) as c from v_files)")
+def f25(t):
+    return L.pages_of(t.v_files, "source_id", [F.col("file_id")], 5).select("source_id", "file_id", F.col("page").cast("bigint").alias("page"), "has_more")
+
+
+# ------------------------------------------------------------------------------------------------ joins
+@query("j1_run_metrics", "select r.run_id, r.status, m.num_steps, m.run_ns from v_runs r left join v_run_metrics m on r.run_id=m.run_id")
+def j1(t):
+    return L.with_metrics(t.v_runs, t.v_run_metrics).select("run_id", "status", "num_steps", "run_ns")
+
+
+@query("j2_agent_passages", "select a.agent_id, p.passage_id from (select distinct agent_id, 'archive-src'||cast(cast(substring(agent_id, 7) as bigint)%20 as varchar) as archive_id from v_agent_tags where cast(substring(agent_id, 7) as bigint) < 200) a join v_passages p on a.archive_id=p.archive_id")
+def j2(t):
+    n = F.substring("agent_id", F.lit(7), F.length("agent_id")).cast("bigint")
+    agents = t.v_agent_tags.where(n < 200).select("agent_id").distinct()
+    junction = agents.withColumn("archive_id", F.concat(F.lit("archive-src"), (n % 20).cast("string")))
+    return L.linked(agents, junction, t.v_passages, "agent_id", "archive_id").select("agent_id", "passage_id")
+
+
+@query("j3_union_passages", "select passage_id as id, archive_id, cast(null as varchar) as source_id, 'archival' as kind from v_passages union all select file_id, null, source_id, 'source' from v_files")
+def j3(t):
+    return L.union_passages(t.v_passages.select(F.col("passage_id").alias("id"), "archive_id"), t.v_files.select(F.col("file_id").alias("id"), "source_id"))
+
+
+@query("j4_exists_tags", "select distinct agent_id from v_agent_tags a where tag in ('t2','t4')")
+def j4(t):
+    return L.with_tags(t.v_agent_tags.select("agent_id").distinct(), t.v_agent_tags, "agent_id", some=["t2", "t4"])
+
+
+@query("j5_match_tags", "select agent_id from v_agent_tags group by 1 having count(distinct case when tag in ('t0','t1') then tag end)=2 and count(case when tag in ('t3','t4') then 1 end)>0")
+def j5(t):
+    return L.with_tags(t.v_agent_tags.select("agent_id").distinct(), t.v_agent_tags, "agent_id", every=["t0", "t1"], some=["t3", "t4"]).orderBy("agent_id")
+
+
+@query("j6_split", "select d.doc_id, case when l.doc_id is null then 'new' else 'known' end as side from documents d left join (select distinct doc_id from labels) l on d.doc_id=l.doc_id")
+def j6(t):
+    new, known = L.split_known(t.documents.select("doc_id"), t.labels, "doc_id")
+    return new.withColumn("side", F.lit("new")).unionByName(known.withColumn("side", F.lit("known")))
+
+
+@query("j7_counts_or_zero", "select c_custkey, count(o_orderkey) as n from customer left join orders on c_custkey=o_custkey group by 1 having count(o_orderkey) < 12")
+def j7(t):
+    counts = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return L.counted(t.customer.select("c_custkey"), counts, "c_custkey", "n").where("n < 12")
+
+
+@query("j8_source_files", "select s.source_id, f.file_id from (select distinct source_id from v_files) s left join (select * from v_files where not is_deleted and size > 3000) f on s.source_id=f.source_id")
+def j8(t):
+    live = t.v_files.where("not is_deleted and size > 3000").select("source_id", "file_id")
+    return t.v_files.select("source_id").distinct().join(live, "source_id", "left")
+
+
+@query("j10_bulk_update", "select run_id, agent_id, case when cast(substring(run_id, 5) as bigint)%5=0 then 'updated' else status end as status from v_runs")
+def j10(t):
+    updates = t.v_runs.where(F.substring("run_id", F.lit(5), F.length("run_id")).cast("bigint") % 5 == 0).select("run_id", "agent_id", F.lit("updated").alias("status"))
+    return L.bulk_update(t.v_runs.select("run_id", "agent_id", "status"), updates, ["run_id", "agent_id"], ["status"])
+
+
+@query("j11_ordered", "select trajectory_id, turn_index, event_id from v_tool_events where trajectory_id like 'traj-1-%'")
+def j11(t):
+    return t.v_tool_events.where(F.col("trajectory_id").startswith("traj-1-")).orderBy("trajectory_id", "turn_index", "event_id").select("trajectory_id", "turn_index", "event_id")
+
+
+@query("j12_upsert", "select doc_id, 'new' as origin from documents where doc_id%3=0 union all select doc_id, 'old' from documents where doc_id%3<>0 and doc_id%2=0")
+def j12(t):
+    old = t.documents.where("doc_id % 2 = 0").select("doc_id", F.lit("old").alias("origin"))
+    return L.upsert(old, t.documents.where("doc_id % 3 = 0").select("doc_id", F.lit("new").alias("origin")), "doc_id")
+
+
+@query("j13_hydrate", "select m.message_id, m.role from v_messages m where lower(text) like '%erin%'")
+def j13(t):
+    hits = t.v_messages.where(F.lower("text").contains("erin")).select("message_id")
+    return hits.join(t.v_messages.select("message_id", "role"), "message_id")
+
+
+@query("j15_tool_ids", "select trajectory_id, string_agg(distinct cast(length(action) as varchar)||':'||action, ',' order by cast(length(action) as varchar)||':'||action) as tools from v_tool_events group by 1")
+def j15(t):
+    e = t.v_tool_events
+    tools = e.select("action").distinct().withColumn("tool_id", F.concat(F.length("action").cast("string"), F.lit(":"), "action"))
+    return e.select("trajectory_id", "action").join(tools, "action").groupBy("trajectory_id").agg(F.array_join(F.array_sort(F.collect_set("tool_id")), ",").alias("tools"))
+
+
+@query("j16_step_trace", "select s.run_id, s.step_no, part from v_steps s join (select 'run-'||cast(l_orderkey as varchar) as run_id, l_linenumber as step_no, cast(l_partkey as bigint) as part from lineitem where l_linenumber=1) p on s.run_id=p.run_id and s.step_no=p.step_no")
+def j16(t):
+    traces = t.lineitem.where("l_linenumber = 1").select(F.concat(F.lit("run-"), F.col("l_orderkey").cast("string")).alias("run_id"), F.col("l_linenumber").alias("step_no"), F.col("l_partkey").cast("bigint").alias("part"))
+    return t.v_steps.select("run_id", "step_no").join(traces, ["run_id", "step_no"])
+
+
+@query("j17_delete", "select message_id from v_messages m where not (trajectory_id in (select trajectory_id from v_messages where role='system') and role<>'system')")
+def j17(t):
+    m = t.v_messages
+    doomed = m.join(m.where("role = 'system'").select("trajectory_id"), "trajectory_id", "left_semi").select("message_id")
+    return L.delete_set(m.select("message_id"), doomed, "message_id", spare=m.where("role = 'system'"))
+
+
+# ------------------------------------------------------------------------------------------------ windows
+@query("w1_ordinals", "select event_id, row_number() over (partition by trajectory_id, turn_index order by ts, event_id)-1 as n from v_tool_events")
+def w1(t):
+    return W.ordinal(t.v_tool_events, ["trajectory_id", "turn_index"], ["ts", "event_id"], "n").select("event_id", "n")
+
+
+@query("w2_first_seen", "select agent_id, action, min(event_id) as event_id from v_tool_events group by 1, 2")
+def w2(t):
+    return W.top_per(t.v_tool_events.select("agent_id", "action", "event_id"), ["agent_id", "action"], [F.col("event_id")], 1).drop("rank")
+
+
+W_MESSAGES = """with m as (select user_id as conversation, event_id as seq, case when event_id%3=0 then 'assistant' when event_id%3=1 then 'tool' else 'user' end as role, 'c'||cast(event_id//3 as varchar) as cid from events) """
+
+
+def _dialogue(t):
+    e = t.events
+    role = F.when(e.event_id % 3 == 0, "assistant").when(e.event_id % 3 == 1, "tool").otherwise("user")
+    return e.select(F.col("user_id").alias("conversation"), F.col("event_id").alias("seq"), role.alias("role"), F.concat(F.lit("c"), F.floor(F.col("event_id") / 3).cast("string")).alias("cid"), "event_type")
+
+
+@query("w3_backfill_ids", W_MESSAGES + """, g as (select *, (select count(*) from (select 1)) as one, last_value(case when role='assistant' then seq when role='tool' then -seq end ignore nulls) over (partition by conversation order by seq rows between unbounded preceding and 1 preceding) as mark from m)
+select g.seq, a.cid as tool_call_id from g left join m a on g.mark=a.seq where g.role='tool'""")
+def w3(t):
+    m = _dialogue(t).select("conversation", "seq", "role", F.when(F.col("role") == "assistant", F.array("cid")).otherwise(F.array().cast("array<string>")).alias("calls"), F.lit(None).cast("string").alias("tool_call_id"))
+    return W.backfill_call_ids(m).where("role = 'tool'").select("seq", "tool_call_id")
+
+
+@query("w4_combine", W_MESSAGES.replace("from events)", "from events where event_id%7<>0)") + """, n as (select *, lead(role) over w as nr, lead(cid) over w as nc, lag(role) over w as pr, lag(cid) over w as pc from m window w as (partition by conversation order by seq))
+select seq, role, case when role='assistant' and nr='tool' and nc=cid then 'r'||cid end as response from n where not (role='tool' and coalesce(pr,'')='assistant' and pc=cid)""")
+def w4(t):
+    call = F.when(F.col("role") == "assistant", F.col("cid"))
+    ret = F.when(F.col("role") == "tool", F.col("cid"))
+    m = _dialogue(t).select("conversation", "seq", "role", call.alias("call_id"), ret.alias("tool_call_id"), F.concat(F.lit("r"), "cid").alias("text"), (F.col("seq") % 7 == 0).alias("is_heartbeat"))
+    return W.combine_with_response(m).select("seq", "role", "response")
+
+
+@query("w5_lru", "select agent_id, file_id, is_open and row_number() over (partition by agent_id, is_open order by last_accessed_at desc, file_id) <= 5 as stays from v_open_files")
+def w5(t):
+    return W.evict_open_files(t.v_open_files, 5).select("agent_id", "file_id", "stays")
+
+
+@query("w6_block_history", "select user_id as block_id, event_id as at, row_number() over w as sequence, lag(event_type) over w as undo, lead(event_type) over w as redo from events window w as (partition by user_id order by event_id)")
+def w6(t):
+    return W.block_versions(t.events.select(F.col("user_id").alias("block_id"), F.col("event_id").alias("at"), F.col("event_type").alias("value"))).drop("value")
+
+
+@query("w7_unique_names", "select file_id, case when k=0 then file_name else replace(file_name, '.html', '')||'_('||cast(k as varchar)||').html' end as unique_name from (select *, row_number() over (partition by source_id, file_name order by file_id)-1 as k from v_files)")
+def w7(t):
+    return W.unique_names(t.v_files).select("file_id", "unique_name")
+
+
+@query("w8_top_k", "select event_id from v_tool_events where confidence is not null order by confidence desc, ts desc, event_id limit 20")
+def w8(t):
+    return t.v_tool_events.where("confidence is not null").orderBy(F.desc("confidence"), F.desc("ts"), "event_id").limit(20).select("event_id")
+
+
+@query("w9_tiers", "select tier, trajectory_id, rank from (select *, row_number() over (partition by tier order by outcome_score desc, trajectory_id) as rank from (select *, case when outcome_score>=0.7 then 'success' when outcome_score<=0.3 then 'failure' else 'moderate' end as tier from v_trajectories where outcome_score is not null)) where rank<=5")
+def w9(t):
+    return W.tiers(t.v_trajectories, "outcome_score", [F.desc("outcome_score"), F.col("trajectory_id")], 5).select("tier", "trajectory_id", "rank")
+
+
+@query("w10_time_ago", "select event_id, case when s<60 then cast(s as varchar)||'s ago' when s<3600 then cast(s//60 as varchar)||'m ago' when s<86400 then cast(s//3600 as varchar)||'h ago' else cast(s//86400 as varchar)||'d ago' end as ago from (select event_id, cast(epoch(timestamp '2024-02-01') - floor(epoch(ts)) as bigint) as s from events)")
+def w10(t):
+    return t.events.select("event_id", X.time_ago("ts", F.lit("2024-02-01").cast("timestamp_ntz")).alias("ago"))
+
+
+@query("w11_concurrency", "with s as (select user_id, event_id as instant, 1 as d from events union all select user_id, event_id+cast(floor(value) as bigint)*20+1, -1 from events) select user_id, instant, d, sum(d) over (partition by user_id order by instant, d) as running from s")
+def w11(t):
+    calls = t.events.select("user_id", F.col("event_id").alias("begin"), (F.col("event_id") + F.floor("value").cast("bigint") * 20 + 1).alias("end"))
+    return W.concurrency(calls, "begin", "end", "user_id").withColumnRenamed("at", "instant")
+
+
+@query("w11_latency_cdf", "select event_id, cume_dist() over (partition by action order by duration_ms) as share from v_tool_events")
+def w11b(t):
+    from pyspark.sql.window import Window
+
+    return t.v_tool_events.select("event_id", F.cume_dist().over(Window.partitionBy("action").orderBy("duration_ms")).alias("share"))
+
+
+@query("w12_view", "select doc_id, case when length(text)>100 then substring(text,1,100)||'...' else text end as shown from documents")
+def w12(t):
+    return t.documents.select("doc_id", X.summarise_result("text", 100).alias("shown"))
+
+
+@query("w13_clean", """with m as (select user_id as conversation, event_id as seq, case cast(event_id%4 as int) when 0 then 'assistant' when 1 then 'tool' when 2 then 'approval' else 'user' end as role, case when event_id%4<2 then event_type end as call_id from events),
+o as (select *, row_number() over (partition by conversation, role, call_id order by seq) as nth from m), k as (select * from o where call_id is null or nth=1), l as (select *, max(seq) over (partition by conversation) as last from k)
+select conversation, seq, role from l where not (seq=last and role in ('approval','reasoning'))""")
+def w13(t):
+    e = t.events
+    role = F.when(e.event_id % 4 == 0, "assistant").when(e.event_id % 4 == 1, "tool").when(e.event_id % 4 == 2, "approval").otherwise("user")
+    m = e.select(F.col("user_id").alias("conversation"), F.col("event_id").alias("seq"), role.alias("role"), F.when(e.event_id % 4 < 2, F.col("event_type")).alias("call_id"))
+    return W.clean_conversation(m).select("conversation", "seq", "role")
