@@ -1 +1,237 @@
-"""Placeholder."""
+"""Search queries (with the SQL that checks them)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import expressions as X
+from ..operators import listing as L
+from ..operators import search as S
+from .decision_queries import decisions
+from .registry import query
+
+COS = "round(list_cosine_similarity(cast(q.query_embedding as double[]), cast(v.embedding as double[])), 6)"
+#: Similarities are rounded before they are ranked, so that both engines break ties alike.
+TOP = "select query_id, trajectory_id, similarity, row_number() over (partition by query_id order by similarity desc, trajectory_id) as rank from (select q.query_id, v.trajectory_id, " + COS + " as similarity, {more} from v_queries q, v_trajectories v where v.embedding is not null and {where})"
+
+
+def _rounded(df):
+    return df.withColumn("similarity", F.round("similarity", 6))
+
+
+def _top(t, k=10, **filters):
+    rows = t.v_trajectories
+    for c, v in filters.items():
+        rows = rows.where(F.col(c) == v)
+    return S.best(_rounded(S.scored(t.v_queries, rows)), k)
+
+
+@query("v1_cosine", "select q.query_id, v.trajectory_id, " + COS + " as similarity from v_queries q, v_trajectories v where v.embedding is not null")
+def v1(t):
+    return _rounded(S.scored(t.v_queries, t.v_trajectories)).select("query_id", "trajectory_id", "similarity")
+
+
+@query("v2_topk", "select * from (" + TOP.format(more="1 as m", where="outcome_score>=0.4 and domain_type='en'") + ") where rank<=10")
+def v2(t):
+    rows = t.v_trajectories.where((F.col("outcome_score") >= 0.4) & (F.col("domain_type") == "en"))
+    return S.best(_rounded(S.scored(t.v_queries, rows)), 10).select("query_id", "trajectory_id", "similarity", "rank")
+
+
+@query("v3_cross_org", "select query_id, case when organization_id='org-1' then trajectory_id else '[REDACTED:'||substring(sha256('s'||trajectory_id),1,8)||']' end as trajectory_id, similarity, case when organization_id='org-1' then 'own' else 'shared' end as visibility from (select *, row_number() over (partition by query_id order by similarity desc, trajectory_id) as rank from (select q.query_id, v.trajectory_id, v.organization_id, " + COS + " as similarity from v_queries q, v_trajectories v where v.embedding is not null and domain_type='en' and (organization_id='org-1' or share_cross_org))) where rank<=10")
+def v3(t):
+    return _rounded(S.search_across(t.v_queries, t.v_trajectories, "org-1", "en", 10, "s")).select("query_id", "trajectory_id", "similarity", "visibility")
+
+
+@query("v4_fallback", "select trajectory_id, cast(0 as double) as similarity from v_trajectories where agent_id='agent-src2' order by created_seq desc limit 10")
+def v4(t):
+    return S.newest_fallback(t.v_trajectories.where("agent_id = 'agent-src2'"), "created_seq", 10).select("trajectory_id", "similarity")
+
+
+@query("v5_text", "select * from (select trajectory_id, greatest(case when lower(searchable_summary) like '%license%' then 0.8 else 0 end, case when lower(coalesce(task_category,'')) like '%license%' or lower(complexity_level) like '%exp%' then 0.7 else 0 end) as score from v_trajectories) where score>=0.1".replace("like '%exp%'", "like '%license%'"))
+def v5(t):
+    tags = F.array_compact(F.array("task_category", "complexity_level"))
+    s = S.text_score(F.col("searchable_summary"), tags, "License")
+    return t.v_trajectories.select("trajectory_id", s.alias("score")).where("score >= 0.1").orderBy(F.desc("score"), "trajectory_id")
+
+
+@query("v5_tags", "select trajectory_id, cast(case when lower(searchable_summary) like '%sign%' then 0.8 else 0.7 end as double) as score from v_trajectories where lower(searchable_summary) like '%sign%' or lower(coalesce(task_category,'')) like '%sign%'")
+def v5tags(t):
+    s = S.text_score(F.col("searchable_summary"), F.array_compact(F.array("task_category", "complexity_level")), "sign")
+    return t.v_trajectories.select("trajectory_id", s.alias("score")).where("score > 0")
+
+
+@query("v5b_flat", "select trajectory_id from v_trajectories where lower(searchable_summary) like '%design%' or task_category='design'")
+def v5b(t):
+    s = S.text_score(F.col("searchable_summary"), F.array_compact(F.array("task_category", "complexity_level")), "design", flat=True)
+    return t.v_trajectories.where(s > 0).select("trajectory_id")
+
+
+@query("v6_distance", "select * from (select query_id, trajectory_id, round(1/(1+list_distance(cast(q.query_embedding as double[]), cast(v.embedding as double[]))), 6) as similarity from v_queries q, v_trajectories v where v.embedding is not null) where similarity>=0.4")
+def v6(t):
+    d = S.euclidean(F.col("query_embedding"), F.col("embedding"))
+    rows = t.v_trajectories.where("embedding is not null").join(F.broadcast(t.v_queries), F.lit(True))
+    return rows.select("query_id", "trajectory_id", F.round(S.from_distance(d), 6).alias("similarity")).where("similarity >= 0.4")
+
+
+@query("v7_decision_search", "select * from (select query_id, trajectory_id, similarity from (" + TOP.format(more="1 as m", where="organization_id='org-2'") + ") where rank<=20) where similarity>=0.2")
+def v7(t):
+    """Top k first, then the similarity floor."""
+    return _top(t, 20, organization_id="org-2").where("similarity >= 0.2").select("query_id", "trajectory_id", "similarity")
+
+
+@query("v8_similar", "select query_id, trajectory_id, rank from (select query_id, trajectory_id, row_number() over (partition by query_id order by similarity desc, trajectory_id) as rank from (select q.query_id, v.trajectory_id, " + COS + " as similarity from v_queries q, v_trajectories v where v.embedding is not null) where similarity>=0.1) where rank<=5")
+def v8(t):
+    """The floor first, then top k."""
+    return S.best(_rounded(S.scored(t.v_queries, t.v_trajectories)).where("similarity >= 0.1"), 5).select("query_id", "trajectory_id", "rank")
+
+
+#: Trajectories found by vector stand for those of the tool calls by position in their order of names.
+LINK = "(select trajectory_id as tool_trajectory, 'doc-'||cast(row_number() over (order by trajectory_id) - 1 as varchar) as trajectory_id from (select distinct trajectory_id from v_tool_events))"
+
+
+def _linked_decisions(t):
+    d = decisions(t)
+    ids = d.select("trajectory_id").distinct().withColumn("doc", F.concat(F.lit("doc-"), (F.row_number().over(Window.orderBy("trajectory_id")) - 1).cast("string")))
+    return d.join(ids, "trajectory_id").drop("trajectory_id").withColumnRenamed("doc", "trajectory_id").withColumnRenamed("call_id", "decision_call")
+
+
+@query("v9_decisions_of_found", "with f as (select * from (" + TOP.format(more="1 as m", where="true") + ") where rank<=10), l as (select e.*, k.trajectory_id as doc from v_tool_events e join " + LINK + " k on e.trajectory_id=k.tool_trajectory) select query_id, doc as trajectory_id, call_id as decision_call, rn as rank from (select f.query_id, l.doc, l.call_id, row_number() over (partition by f.query_id order by f.similarity desc, l.doc, l.call_id) as rn from f join l on f.trajectory_id=l.doc) where rn<=15")
+def v9(t):
+    return S.decisions_of(_top(t, 10), _linked_decisions(t), 15, tie="decision_call").select("query_id", "trajectory_id", "decision_call", "rank")
+
+
+CONTEXT = "with f as (select r.*, v.outcome_score from (" + TOP.format(more="1 as m", where="true") + ") r join v_trajectories v on r.trajectory_id=v.trajectory_id where rank<=30), l as (select e.*, k.trajectory_id as doc, not coalesce(regexp_matches(lower(response_text), 'error|exception|failed|failure|invalid'), false) as success from v_tool_events e join " + LINK + " k on e.trajectory_id=k.tool_trajectory), m as (select f.query_id, f.similarity, l.*, case when success and outcome_score>=0.7 then 'success' when not success or outcome_score<0.5 then 'failure' end as kind from f join l on f.trajectory_id=l.doc), e as (select *, row_number() over (partition by query_id, kind order by similarity desc, doc, call_id) as rank from m where kind is not null) "
+
+
+def _examples(t):
+    found = _top(t, 30).join(t.v_trajectories.select("trajectory_id", F.col("outcome_score").alias("o")), "trajectory_id").drop("outcome_score").withColumnRenamed("o", "outcome_score")
+    d = _linked_decisions(t).drop("decision_id").withColumnRenamed("decision_call", "decision_id")
+    return S.context_examples(found, d, 5)
+
+
+@query("v10_context", CONTEXT + "select query_id, kind, rank, call_id as decision_id, action from e where rank<=5")
+def v10(t):
+    """Successful and failed examples from over-fetched similar trajectories."""
+    return _examples(t).select("query_id", "kind", "rank", "decision_id", "action")
+
+
+@query("v11_entity_match", "select call_id from v_tool_events where json_extract_string(arguments, '$.k')='42'")
+def v11(t):
+    return t.v_tool_events.where(S.entity_match(F.col("arguments"), "42")).select("call_id")
+
+
+@query("v12_context_block", CONTEXT + """select query_id, '## What worked'||chr(10)||coalesce(string_agg('- '||action||' ('||call_id||'): '||coalesce(response_text,''), chr(10) order by rank) filter (where kind='success'), '')||chr(10)||chr(10)||'## What failed'||chr(10)||coalesce(string_agg('- '||action||' ('||call_id||'): '||coalesce(response_text,''), chr(10) order by rank) filter (where kind='failure'), '') as block from e where rank<=5 group by 1""")
+def v12(t):
+    return S.context_block(_examples(t))
+
+
+@query("v13_rules", "select call_id from v_tool_events where event_id%2=0 and action='click'")
+def v13(t):
+    record = F.to_json(F.struct(F.struct(F.struct(F.when(F.col("event_id") % 2 == 0, F.array("action", F.lit("x"))).alias("rules_applied")).alias("world_evolution")).alias("segment")))
+    return t.v_tool_events.where(S.rule_applied(record, "click")).select("call_id")
+
+
+@query("v14_bm25", """with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda w: w <> '') as w from documents), q as (select item_id as query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda w: w <> ''))) as term from benchmark where item_id < 3),
+s as (select count(*) as n, avg(len(w)) as a from d), x as (select doc_id, len(w) as l, unnest(w) as term from d), f as (select doc_id, l, term, count(*) as tf from x where term in (select term from q) group by all), g as (select term, count(*) as df from f group by 1)
+select query_id, doc_id, round(sum(ln(1+(n-df+0.5)/(df+0.5))*tf*2.2/(tf+1.2*(0.25+0.75*l/a))), 6) as score from f join g using (term) join q using (term), s group by 1, 2""")
+def v14(t):
+    """Three benchmark texts as queries over all documents."""
+    queries = t.benchmark.where("item_id < 3").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return S.bm25(t.documents, queries).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query("v15_vector_mode", "select trajectory_id, similarity from (" + TOP.format(more="1 as m", where="query_id=3") + ") where rank<=25")
+def v15(t):
+    return S.best(_rounded(S.scored(t.v_queries.where("query_id = 3"), t.v_trajectories)), 25).select("trajectory_id", "similarity")
+
+
+RRF = "with a as (select * from (" + TOP.format(more="1 as m", where="true") + ") where rank<=20), b as (select query_id, trajectory_id, row_number() over (partition by query_id order by outcome_score desc, trajectory_id) as rank from (select query_id, trajectory_id, outcome_score from v_queries, v_trajectories where outcome_score is not null and embedding is not null)), c as (select * from b where rank<=20) "
+
+
+@query("v16_rrf", RRF + "select * from (select coalesce(a.query_id, c.query_id) as query_id, coalesce(a.trajectory_id, c.trajectory_id) as trajectory_id, round(coalesce(0.6/(60+a.rank),0)+coalesce(0.4/(60+c.rank),0), 6) as score from a full join c on a.query_id=c.query_id and a.trajectory_id=c.trajectory_id)")
+def v16(t):
+    """Vector rank and outcome rank of each query's trajectories, fused."""
+    rows = t.v_trajectories.where("outcome_score is not null and embedding is not null").select("trajectory_id", "outcome_score")
+    second = S.best(rows.join(F.broadcast(t.v_queries.select("query_id")), F.lit(True)), 20, score="outcome_score")
+    fused = S.reciprocal_rank_fusion(_top(t, 20), second, 40, key="trajectory_id", weights=(0.6, 0.4), by=["query_id"])
+    return fused.select("query_id", "trajectory_id", F.round("score", 6).alias("score"))
+
+
+@query("v17_timestamp_mode", "select event_id from v_tool_events where action='view' order by ts desc, event_id limit 30")
+def v17(t):
+    return t.v_tool_events.where("action = 'view'").orderBy(F.desc("ts"), "event_id").limit(30).select("event_id")
+
+
+@query("v18_passages", "select passage_id from v_passages where (tag_lang='fr' or tag_size='long') and not (tag_lang='en')")
+def v18(t):
+    tags = F.array("tag_lang", "tag_size")
+    return t.v_passages.where(L.any_tag(tags, ["fr", "long"]) & ~L.all_tags(tags, ["en"])).select("passage_id")
+
+
+@query("v19_messages", "select message_id, rank, cast(1 as double)/rank as score from (select *, row_number() over (partition by role order by sequence_id desc) as rank from v_messages where lower(text) like '%tion%') where rank<=10")
+def v19(t):
+    """Newest matching messages of each role, scored by rank."""
+    rows = t.v_messages.where(F.lower("text").contains("tion"))
+    ranked = S.best(rows, 10, ["role"], "sequence_id", "message_id")
+    return ranked.select("message_id", "rank", (F.lit(1.0) / F.col("rank")).alias("score"))
+
+
+@query("v20_files", "select file_id from v_files where source_id='source-3' and lower(html) like '%article%' and not is_deleted")
+def v20(t):
+    return L.matching(t.v_files, {"source_id": "source-3", "is_deleted": False}, contains={"html": "Article"}).select("file_id")
+
+
+@query("v21_sql_fallback", "select passage_id from v_passages where lower(text) like '%license%' and tag_size='long' order by passage_id limit 40")
+def v21(t):
+    return L.matching(t.v_passages, {"tag_size": "long"}, contains={"text": "License"}).orderBy("passage_id").limit(40).select("passage_id")
+
+
+@query("v22_response_rows", "select event_id, strftime(ts - interval 5 hour, '%Y-%m-%d %H:%M') as local_time, action as content from v_tool_events where confidence > 0.4")
+def v22(t):
+    local = F.date_format(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "-05:00"), "yyyy-MM-dd HH:mm")
+    return t.v_tool_events.where("confidence > 0.4").select("event_id", local.alias("local_time"), F.col("action").alias("content"))
+
+
+@query("v23_conversation", "select message_id, row_number() over (partition by trajectory_id order by sequence_id desc) as rank from v_messages where role not in ('tool','system') and lower(text) not like '%conversation_search%'")
+def v23(t):
+    rows = t.v_messages.where(~F.col("role").isin("tool", "system") & ~F.lower("text").contains("conversation_search"))
+    return rows.select("message_id", F.row_number().over(Window.partitionBy("trajectory_id").orderBy(F.desc("sequence_id"))).alias("rank"))
+
+
+@query("v24_tiered", "select query_id, tier, trajectory_id from (select *, row_number() over (partition by query_id, tier order by similarity desc, trajectory_id) as r from (select q.query_id, v.trajectory_id, " + COS + " as similarity, case when outcome_score>=0.7 then 'success' when outcome_score<=0.3 then 'failure' else 'moderate' end as tier from v_queries q, v_trajectories v where v.embedding is not null and outcome_score is not null)) where r<=3")
+def v24(t):
+    s = F.col("outcome_score")
+    tier = F.when(s >= 0.7, "success").when(s <= 0.3, "failure").otherwise("moderate")
+    rows = _rounded(S.scored(t.v_queries, t.v_trajectories.where(s.isNotNull()))).withColumn("tier", tier)
+    return S.best(rows, 3, ["query_id", "tier"]).select("query_id", "tier", "trajectory_id")
+
+
+@query("v25_export", "select trajectory_id, outcome_score, round(list_dot_product(cast(embedding as double[]), cast(embedding as double[])), 4) as sq from v_trajectories where processing_status='completed' and embedding is not null and outcome_score>=0.5")
+def v25(t):
+    rows = t.v_trajectories.where("processing_status = 'completed' and embedding is not null and outcome_score >= 0.5")
+    return rows.select("trajectory_id", "outcome_score", F.round(X.dot("embedding", "embedding"), 4).alias("sq"))
+
+
+@query("v26_ivf")
+def v26(t):
+    """Inverted lists: found neighbours, with the exact similarity."""
+    rows = t.v_trajectories.select("trajectory_id", "embedding")
+    model, indexed = S.inverted_lists(rows, 16)
+    return S.probe(t.v_queries, indexed, model, 8, 10).select("query_id", "trajectory_id", "similarity", "rank")
+
+
+@query("v27_embed", "select doc_id, 64 as dimension, true as unit from documents")
+def v27(t):
+    """The default provider's vectors have length one."""
+    e = S.embed(t.documents.select("doc_id", "text"), "text")
+    return e.select("doc_id", F.size("embedding").alias("dimension"), (F.abs(X.norm("embedding") - 1) < 1e-9).alias("unit"))
+
+
+@query("e6_sql_function", "select v.trajectory_id, round(1 - list_cosine_similarity(cast(v.embedding as double[]), cast(q.query_embedding as double[])), 6) as distance from v_queries q, v_trajectories v where q.query_id=0 and v.embedding is not null")
+def e6(t):
+    """The cosine distance as a SQL function."""
+    t.spark.sql("""create or replace temporary function tracklight_cosine_distance(a array<float>, b array<float>) returns double return
+        1 - aggregate(zip_with(a, b, (x, y) -> cast(x as double) * y), cast(0 as double), (s, x) -> s + x) / (sqrt(aggregate(a, cast(0 as double), (s, x) -> s + cast(x as double) * x)) * sqrt(aggregate(b, cast(0 as double), (s, x) -> s + cast(x as double) * x)))""")
+    rows = t.v_trajectories.where("embedding is not null").join(F.broadcast(t.v_queries.where("query_id = 0")), F.lit(True))
+    return rows.select("trajectory_id", F.expr("round(tracklight_cosine_distance(embedding, query_embedding), 6)").alias("distance"))
