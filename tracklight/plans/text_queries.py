@@ -1 +1,230 @@
-"""Placeholder."""
+"""Queries on texts, conversations, token budgets and privacy (with the SQL that checks them)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import expressions as X
+from ..operators import privacy as P
+from ..operators import search as S
+from ..operators import text as C
+from .decision_queries import decisions
+from .registry import query
+
+
+@query("c1_lines", "select doc_id, line_no, trim(raw) as line from (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents) where trim(raw) <> ''")
+def c1(t):
+    return C.line_chunks(t.documents)
+
+
+@query("c2_sentences", r"select doc_id, len(s) as n, array_to_string(list_slice(s, 1, 2), '#') as head from (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as s from documents)")
+def c2(t):
+    s = C.sentence_chunks(F.col("text"))
+    return t.documents.select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("bigint").alias("n"), F.array_join(F.slice("s", 1, 2), "#").alias("head"))
+
+
+@query("c3_wrap", "select doc_id, len(string_split(text, ' ')) > 0 as some, true as within, true as whole from documents")
+def c3(t):
+    """Word wrap keeps all words in order, and no line of several words is too long."""
+    made = t.documents.select("doc_id", F.col("text"), C.wrap_chunks(F.col("text")).alias("lines"))
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    return made.select("doc_id", (F.size("lines") > 0).alias("some"), F.forall("lines", lambda x: (F.length(x) <= 100) | ~x.contains(" ")).alias("within"), (F.array_join("lines", " ") == flat).alias("whole"))
+
+
+@query("c4_strategy", "select file_id, case when cast(substring(file_id, 6) as bigint)%4=0 then 'structured_data' when cast(substring(file_id, 6) as bigint)%4=1 then 'documentation' else 'line_based' end as strategy from v_files")
+def c4(t):
+    n = F.substring("file_id", F.lit(6), F.length("file_id")).cast("bigint") % 4
+    files = t.v_files.select("file_id", F.when(n == 0, "application/json").alias("mime"), F.when(n == 1, "a.md").otherwise("a.bin").alias("file_name"))
+    types = t.spark.sql("select 'application/json' as mime, 'json' as ext, 'structured_data' as strategy union all select 'text/markdown', 'md', 'documentation' union all select 'text/x-python', 'py', 'code'")
+    return C.chunk_strategy(files, types).select("file_id", "strategy")
+
+
+@query("c5_fixed_chunks", r"""with w as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents), s as (select doc_id, w, unnest(range(0, greatest(0, len(w)-11)+1, 40)) as i from w where len(w) > 0) select doc_id, i, array_to_string(list_slice(w, i+1, i+50), ' ') as chunk from s""")
+def c5(t):
+    made = t.documents.select("doc_id", F.posexplode(C.fixed_chunks(F.col("text"), 50, 10)).alias("pos", "chunk"))
+    return made.select("doc_id", (F.col("pos") * 40).cast("bigint").alias("i"), "chunk")
+
+
+GREP = "with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents), c as (select *, lag(line) over w as before, lead(line) over w as after from l window w as (partition by doc_id order by line_no)), h as (select * from c where regexp_matches(line, '(?i)licen[sc]e')) "
+
+
+@query("c6_grep", GREP + "select doc_id, line_no, line, coalesce(before, '') as before, coalesce(after, '') as after, cast((row_number() over (partition by doc_id order by line_no)-1)//20 as int) as page from h")
+def c6(t):
+    return C.grep(t.documents, "licen[sc]e", "doc_id", "text")
+
+
+@query("a29_file_matches", GREP + "select doc_id, count(*) as n from h group by 1")
+def a29(t):
+    return C.grep(t.documents, "licen[sc]e", "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_id")
+
+
+@query("c7_search_text", "select message_id, case when role='system' or trim(text)='' then null else role end as role, case when role='system' or trim(text)='' then null else text end as content from v_messages")
+def c7(t):
+    j = C.searchable_message(F.col("role"), F.col("text"))
+    return t.v_messages.select("message_id", F.get_json_object(j, "$.role").alias("role"), F.get_json_object(j, "$.content").alias("content"))
+
+
+@query("c8_transcript", "select trajectory_id, string_agg(role||': '||coalesce(text, '[image]'), chr(10) order by sequence_id) as transcript from v_messages group by 1")
+def c8(t):
+    return C.transcript(t.v_messages)
+
+
+@query("c9_middle_cut", "select doc_id, case when length(text)>200 then substring(text,1,91)||chr(10)||'...[truncated]...'||chr(10)||right(text,90) else text end as cut from documents")
+def c9(t):
+    return t.documents.select("doc_id", C.middle_cut(F.col("text"), 200).alias("cut"))
+
+
+@query("c10_tokens", "select doc_id, cast((strlen(text)+3)//4 as bigint) as tokens, cast(floor(cast((strlen(text)+3)//4 as bigint)*cast(1.3 as double)) as bigint) as with_margin from documents")
+def c10(t):
+    return t.documents.select("doc_id", X.token_estimate("text").alias("tokens"), X.token_estimate("text", 1.3).alias("with_margin"))
+
+
+@query("c11_breakdown", "select trajectory_id, sum(case when role='system' then (strlen(text)+3)//4 else 0 end) as system, sum(case when role='user' then (strlen(text)+3)//4 else 0 end) as \"user\", sum(case when role='assistant' then (strlen(text)+3)//4 else 0 end) as assistant, sum((strlen(text)+3)//4) as total from v_messages group by 1")
+def c11(t):
+    return C.context_breakdown(t.v_messages)
+
+
+NUMBERED = "with m as (select *, row_number() over (partition by trajectory_id order by sequence_id)-1 as idx, count(*) over (partition by trajectory_id) as n, (strlen(text)+3)//4 as tokens from v_messages) "
+
+
+@query("c12_static_evict", NUMBERED + ", s as (select *, min(case when role='user' and idx>=n-3 then idx end) over (partition by trajectory_id) as start from m) select message_id, n<=4 or idx=0 or idx>=coalesce(start, n-3) as kept from s")
+def c12(t):
+    return C.static_evict(t.v_messages, 4, 3).select("message_id", "kept")
+
+
+@query("c13_partial_evict", NUMBERED + ", s as (select *, min(case when role='assistant' and idx>=round_even((1-cast(0.3 as double))*n, 0) then idx end) over (partition by trajectory_id) as start from m) select message_id, idx=0 or idx>=coalesce(start, n) as kept from s")
+def c13(t):
+    return C.partial_evict(t.v_messages, 0.3).select("message_id", "kept")
+
+
+@query("c14_window_evict", NUMBERED + """, x as (select *, sum(tokens) over (partition by trajectory_id order by idx desc) as suffix from m), k as (select trajectory_id, idx, suffix, cast(floor(n*i*cast(0.1 as double)+1e-9) as int) as cut from x, range(1, 10) r(i) where role='assistant' and idx>0 and idx<=cast(floor(n*i*cast(0.1 as double)+1e-9) as int)),
+e as (select trajectory_id, cut, max(idx) as idx, arg_max(suffix, idx) as suffix from k group by 1, 2), g as (select trajectory_id, arg_min(idx, cut) as idx, arg_min(suffix, cut) as suffix from e where suffix < 300 group by 1), t as (select trajectory_id, sum(tokens) as total from m group by 1)
+select t.trajectory_id, case when total<300 then 0 else idx end as cutoff, case when total<300 then total else suffix end as kept_tokens, case when total<300 then 'fits' when idx is not null then 'ok' else 'stuck' end as status from t left join g on t.trajectory_id=g.trajectory_id""")
+def c14(t):
+    return C.window_evict(t.v_messages, 300)
+
+
+@query("c15_clip", "select doc_id, case when length(text)>80 then substring(text,1,80)||'... [summary cut]' else text end as clipped from documents")
+def c15(t):
+    return t.documents.select("doc_id", C.clip(F.col("text"), 80).alias("clipped"))
+
+
+@query("c16_blocks", "select doc_id as block_id, case when doc_id%3=0 then substring(upper(lang)||text, 1, 50) else lang end as value from documents")
+def c16(t):
+    blocks = t.documents.select(F.col("doc_id").alias("block_id"), F.col("lang").alias("value"))
+    updates = t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("block_id"), F.concat(F.upper("lang"), "text").alias("value"))
+    return C.update_blocks(blocks, updates, 50)
+
+
+@query("c17_tool_text", "select event_id, event_type||' does '||event_type||' k:'||json_extract_string(props, '$.k')||' z:int' as tool_text from events")
+def c17(t):
+    schema = F.to_json(F.struct(F.concat(F.lit("does "), "event_type").alias("description"), F.create_map(F.lit("z"), F.lit("int"), F.lit("k"), F.get_json_object("props", "$.k")).alias("parameters")))
+    return t.events.select("event_id", C.tool_text(schema, F.col("event_type")).alias("tool_text"))
+
+
+@query("c18_html_text")
+def c18(t):
+    """Pages as plain text (a regular-expression job; tests hold it against a small parser)."""
+    return t.pages.select("page_id", C.strip_html(F.col("html")).alias("text"))
+
+
+@query("s5_load_passages", r"""with w as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents), s as (select doc_id, unnest(list_transform(range(0, greatest(0, len(w)-11)+1, 40), lambda i: array_to_string(list_slice(w, i+1, i+50), ' '))) as chunk from w where len(w) > 0) select count(distinct chunk) > 0 as some, (select count(*) from documents) >= count(distinct doc_id) as bounded from s""")
+def s5(t):
+    """Documents into passages with embeddings, repeated embeddings dropped."""
+    files = t.documents.select(F.col("doc_id").cast("string").alias("file_id"), "text")
+    counts = C.ingest(files, lambda c: S.embed(c, "text"), 50, 10)[1]
+    return counts.select((F.col("passages") > 0).alias("some"), (F.col("files") <= t.documents.count()).alias("bounded"))
+
+
+# ------------------------------------------------------------------------------------------------ privacy
+@query("p1_hash", "select trajectory_id, substring(sha256('salt'||trajectory_id), 1, 16) as hashed from v_trajectories")
+def p1(t):
+    return t.v_trajectories.select("trajectory_id", X.hash_identifier("trajectory_id", "salt").alias("hashed"))
+
+
+@query("p2_redacted", "select trajectory_id, '[REDACTED:'||substring(sha256(trajectory_id), 1, 8)||']' as hidden from v_trajectories")
+def p2(t):
+    return t.v_trajectories.select("trajectory_id", X.redacted("trajectory_id").alias("hidden"))
+
+
+@query("p3_full", "select substring(sha256('s'||trajectory_id), 1, 16) as trajectory_id, count(*) as n, min('[REDACTED]') as text from v_messages group by 1")
+def p3(t):
+    """Nested conversations anonymised: ids hashed, texts redacted, structure kept."""
+    m = F.array_sort(F.collect_list(F.struct("sequence_id", "role", "text", "message_id")))
+    nested = t.v_messages.groupBy("trajectory_id").agg(m.alias("messages"))
+    hidden = P.anonymise(nested, P.Policy(salt="s"))
+    return hidden.select("trajectory_id", F.size("messages").cast("bigint").alias("n"), F.array_min(F.transform("messages", lambda x: x["text"])).alias("text"))
+
+
+FIRST = "case when strpos(substring({c},1,{n}), '.')>0 then string_split({c}, '.')[1]||'.' when length({c})<={n} then {c} else substring({c},1,{n})||'...' end"
+
+
+@query("p4_learning_policy", "select substring(sha256(message_id), 1, 16) as message_id, role, " + FIRST.format(c="text", n=100) + " as text from v_messages")
+def p4(t):
+    return P.anonymise(t.v_messages.select("message_id", "role", "text"), P.LEARNING)
+
+
+@query("p5_summarise", "select doc_id, " + FIRST.format(c="text", n=100) + " as summary from documents")
+def p5(t):
+    return t.documents.select("doc_id", X.first_sentence("text").alias("summary"))
+
+
+@query("p6_messages", "select message_id, case when role='system' then '[IMAGE]' when role='assistant' then '[TOOL CALL by assistant]' else '[REDACTED]' end as content from v_messages")
+def p6(t):
+    kind = F.when(F.col("role") == "system", "image").when(F.col("role") == "assistant", "tool_call").otherwise("text")
+    return t.v_messages.select("message_id", P.redact_message(F.col("role"), kind, F.col("text")).alias("content"))
+
+
+@query("p7_decisions", "select substring(sha256(call_id), 1, 16) as call_id, action, not coalesce(regexp_matches(lower(response_text), 'error|exception|failed|failure|invalid'), false) as success, '[REDACTED]' as arguments, case when response_text is not null then '[REDACTED]' end as response_text, confidence from v_tool_events")
+def p7(t):
+    return P.redact_decisions(decisions(t).select("call_id", "action", "success", "arguments", "response_text", "confidence"))
+
+
+@query("p8_cross_org", "select case when organization_id='org-1' then trajectory_id else '[REDACTED:'||substring(sha256('x'||trajectory_id),1,8)||']' end as trajectory_id, domain_type, outcome_score, complexity_level, case when organization_id='org-1' then searchable_summary else '[REDACTED]' end as searchable_summary from v_trajectories where share_cross_org or organization_id='org-1'")
+def p8(t):
+    return P.structural_view(t.v_trajectories.where("share_cross_org or organization_id = 'org-1'"), "org-1", "x")
+
+
+@query("p9_sharing", "select trajectory_id, case when agent_id='agent-src5' then true else share_cross_org end as share_cross_org from v_trajectories")
+def p9(t):
+    rows = t.v_trajectories.select("trajectory_id", "share_cross_org")
+    return P.set_sharing(rows, t.v_trajectories.where("agent_id = 'agent-src5'"), True)
+
+
+# ------------------------------------------------------------------------------------------------ scalar functions
+@query("u1_times", "select event_id, cast(epoch_ms(ts)//1000 as bigint) as seconds, strftime(ts, '%Y-%m-%d') as day, cast(floor(duration_ms) as bigint) as ms from v_tool_events where duration_ms is not null")
+def u1(t):
+    ns = (F.floor("duration_ms") * 1_000_000).cast("bigint")
+    return t.v_tool_events.where("duration_ms is not null").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("seconds"), F.date_format("ts", "yyyy-MM-dd").alias("day"), (ns / 1_000_000).cast("bigint").alias("ms"))
+
+
+@query("u2_clamp", "select event_id, greatest(0, least(1, value/100)) as clamped from events")
+def u2(t):
+    return t.events.select("event_id", X.clamp(F.col("value") / 100).alias("clamped"))
+
+
+@query("u6_file_names", r"select page_id, regexp_replace(substring(regexp_replace(regexp_replace(url, '^.*[/\\]', ''), '[<>:" + '"' + r"|?*\x00-\x1f]', '_', 'g'), 1, 255), '^$', 'file') as name from pages")
+def u6(t):
+    return t.pages.select("page_id", X.sanitise_file_name("url").alias("name"))
+
+
+@query("u7_formats", "select action, printf('%.2f', sum(confidence)/count(*)) as two, printf('%.1f%%', 100.0*sum(cast(pivotal as int))/count(*)) as share from v_tool_events group by 1")
+def u7(t):
+    g = t.v_tool_events.groupBy("action").agg(F.sum("confidence").alias("c"), F.count("*").alias("n"), F.count_if("pivotal").alias("p"))
+    return g.select("action", F.format_string("%.2f", F.col("c") / F.col("n")).alias("two"), F.format_string("%.1f%%", 100.0 * F.col("p") / F.col("n")).alias("share"))
+
+
+@query("u8_arrays", "select trajectory_id, array_to_string(list_sort(list_distinct(list(action))), ',') as actions from v_tool_events group by 1")
+def u8(t):
+    return t.v_tool_events.groupBy("trajectory_id").agg(F.array_join(F.array_sort(F.array_distinct(F.collect_list("action"))), ",").alias("actions"))
+
+
+@query("u9_expectations", "select sum(cast(confidence is null or confidence<0 or confidence>1 as int)) as bad_confidence, sum(cast(duration_ms<0 as int)) as bad_duration, count(*) as n from v_tool_events")
+def u9(t):
+    c = F.col("confidence")
+    return t.v_tool_events.agg(F.count_if(c.isNull() | ~c.between(0, 1)).alias("bad_confidence"), F.count_if(F.col("duration_ms") < 0).alias("bad_duration"), F.count("*").alias("n"))
+
+
+@query("u10_indexed_id", "select event_id, substring(h, 1, 30)||lower(printf('%02x', (cast('0x'||substring(h, 31, 2) as int) & 128) | cast(event_id%128 as int))) as derived from (select event_id, md5(cast(event_id as varchar)) as h from events)")
+def u10(t):
+    return t.events.select("event_id", X.indexed_id(F.md5(F.col("event_id").cast("string")), F.col("event_id") % 128).alias("derived"))
