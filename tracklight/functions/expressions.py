@@ -61,7 +61,9 @@ def outcome_map(kind: Column | str) -> Column:
 
 
 def clamp(x: Column | str, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), _col(x)))
+    """``x`` held between two bounds; null stays null (``least`` alone would skip it)."""
+    c = _col(x)
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def labelled(parts: Sequence[tuple[str, Column]], separator: str = SEPARATOR) -> Column:

@@ -1 +1,218 @@
-"""Placeholder."""
+"""Queries on captured runs, exports and streams (with the SQL that checks them)."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..functions import expressions as X
+from ..operators import capture as C
+from ..sources import io
+from ..streaming import jobs
+from .decision_queries import decisions
+from .registry import query
+
+
+def _captured(t):
+    """Runs of orders, steps of line items, and a message for every second step, with its model as the tool."""
+    runs = t.v_runs.withColumn("completed_at", F.when(F.col("background"), F.col("created_at").cast("timestamp") + F.expr("interval 90 seconds")))
+    m = t.v_steps.where("step_no % 2 = 1 or step_no = 4").select("run_id", F.when(F.col("step_no") != 4, F.col("step_no")).alias("step_no"), F.col("step_no").cast("bigint").alias("seq"), F.concat("run_id", F.lit("/"), F.col("step_no").cast("string")).alias("message_id"), F.when(F.col("step_no") == 1, "user").when(F.col("step_no") == 5, "robot").otherwise("assistant").alias("role"), F.concat(F.lit("text "), F.col("step_no").cast("string")).alias("text"), F.when(F.col("step_no") == 3, F.array("model")).alias("tools"))
+    return C.build_trajectories(runs, t.v_steps, m)
+
+
+@query("t1_capture", """with s as (select run_id, count(*) as step_count, sum(prompt_tokens) as i, sum(completion_tokens) as o, string_agg(distinct model, ',' order by model) as models, count(case when step_no%2=1 or step_no=4 then 1 end) as message_count, string_agg(distinct case when step_no=3 then model end, ',' order by case when step_no=3 then model end) as tools from v_steps group by 1)
+select r.run_id, case when background then cast(90000000000 as bigint) end as duration_ns, coalesce(step_count,0) as step_count, coalesce(message_count,0) as message_count, coalesce(tools,'') as tools, coalesce(i,0)+coalesce(o,0) as total_tokens, coalesce(models,'') as models from v_runs r left join s on r.run_id=s.run_id""")
+def t1(t):
+    m = F.col("metadata")
+    return _captured(t).select("run_id", m["duration_ns"].alias("duration_ns"), m["step_count"].alias("step_count"), m["message_count"].alias("message_count"), F.array_join(m["tools_used"], ",").alias("tools"), m["total_tokens"].alias("total_tokens"), F.array_join(m["models"], ",").alias("models"))
+
+
+@query("t1b_turns", "select run_id, step_no, case when step_no%2=1 then count(*) over (partition by run_id, step_no) else 0 end as n_messages from v_steps where exists (select 1 from v_runs r where r.run_id=v_steps.run_id)")
+def t1b(t):
+    """Steps without messages stay as empty turns; messages without a step are left out."""
+    turns = _captured(t).select("run_id", F.explode("turns").alias("x"))
+    return turns.select("run_id", "x.step_no", F.size("x.messages").alias("n_messages"))
+
+
+OUTCOME = """with u as (select run_id, count(case when step_no=1 then 1 end) as users, max(case when step_no=3 then 1 else 0 end) as tools from v_steps group by 1), o as (select r.run_id, status, stop_reason, coalesce(tools,0) as tools,
+case when status='completed' and coalesce(stop_reason,'')='max_tokens' then 'incomplete' when status='completed' then 'completed' when status in ('failed','cancelled') then 'failed' else 'unknown' end as name,
+case when status='completed' and stop_reason='end_turn' then 0.8 when status='completed' and stop_reason='max_tokens' then 0.5 when status='completed' then 0.6 when status='failed' then 0.9 else 0.3 end + case when status='completed' and coalesce(users,0)>3 then 0.1 else 0 end as confidence from v_runs r left join u on r.run_id=u.run_id) """
+
+
+@query("t1c_outcome", OUTCOME + "select name, cast(confidence as double) as confidence, case name when 'completed' then 'success' when 'incomplete' then 'partial_success' when 'failed' then 'failure' else 'unknown' end as kind, tools=1 as tools, count(*) as n from o group by all")
+def t1c(t):
+    o = F.col("outcome")
+    rows = _captured(t).select(o["status"].alias("name"), o["confidence"].alias("confidence"), o["type"].alias("kind"), F.array_contains(o["reasoning"], "tools were used").alias("tools"))
+    return rows.groupBy("name", "confidence", "kind", "tools").agg(F.count("*").alias("n"))
+
+
+@query("t2_content", "select message_id, text as first_text, text||chr(10)||role as joined from v_messages")
+def t2(t):
+    blocks = lambda *xs: F.to_json(F.array(*[F.struct(F.lit(k).alias("type"), x.alias("text")) for k, x in xs]))
+    as_list = C.content_blocks(blocks(("image", F.lit("no")), ("text", F.col("text")), ("text", F.col("role"))))
+    return t.v_messages.select("message_id", C.first_text(as_list).alias("first_text"), C.joined_text(as_list).alias("joined"))
+
+
+@query("t2_plain_text", "select message_id, text as joined from v_messages")
+def t2b(t):
+    return t.v_messages.select("message_id", C.joined_text(C.content_blocks(F.col("text"))).alias("joined"))
+
+
+@query("t3_analytic", OUTCOME + ", w as (select run_id, max(case when step_no=1 then 1 else 0 end) as has_user, count(case when step_no=5 then 1 end) as robots, count(*) as n from v_steps group by 1) select o.run_id, case when has_user=1 then 'text 1' else 'Unknown task' end as task, case name when 'completed' then 'success' when 'incomplete' then 'partial' else 'failure' end as result, n as n_turns from o join w on o.run_id=w.run_id")
+def t3(t):
+    a = C.to_analytic(_captured(t)).where("turns is not null")
+    return a.select("run_id", "task", "result", F.size("turns").cast("bigint").alias("n_turns"))
+
+
+@query("t4_outcome_map", "select status, case when status in ('completed','success') then 'success' when status in ('incomplete','partial_success') then 'partial' else 'failure' end as outcome from v_runs")
+def t4(t):
+    return t.v_runs.select("status", X.outcome_map("status").alias("outcome"))
+
+
+@query("t5_outcome_of_score", "select trajectory_id, case when outcome_score is null or outcome_score>=cast(0.7 as double) then 'success' when outcome_score>=cast(0.4 as double) then 'partial' else 'failure' end as outcome from v_trajectories")
+def t5(t):
+    return t.v_trajectories.select("trajectory_id", X.outcome_of_score("outcome_score").alias("outcome"))
+
+
+@query("t6_task", "select trajectory_id, coalesce(substring(min_by(text, sequence_id) filter (where role='user' and trim(text)<>''), 1, 500), 'Unknown task') as task, min_by(text, sequence_id) filter (where role='system') as system_text from v_messages group by 1")
+def t6(t):
+    """Task and system text of each conversation, taken as one turn (also T7)."""
+    m = F.array_sort(F.collect_list(F.struct("sequence_id", "role", "text", "message_id")))
+    turns = F.array(F.struct(F.col("messages")))
+    rows = t.v_messages.groupBy("trajectory_id").agg(m.alias("messages"))
+    return rows.select("trajectory_id", C.task_description(F.lit(None).cast("string"), turns).alias("task"), C.system_message(turns).alias("system_text"))
+
+
+@query("t8_resources", "select trajectory_id, string_agg(uri, ',' order by ts, event_id) as resources from (select *, row_number() over (partition by trajectory_id, uri order by ts, event_id) as n from (select trajectory_id, ts, event_id, '/'||action as uri from v_tool_events)) where n=1 group by 1")
+def t8(t):
+    r = C.context_resources(t.v_tool_events, F.concat(F.lit("/"), "action"))
+    return r.select("trajectory_id", F.array_join("resources", ",").alias("resources"))
+
+
+@query("t10_summary", "select run_id, concat_ws(' | ', 'Status: '||status, 'Stop: '||stop_reason) as summary from v_runs")
+def t10(t):
+    return t.v_runs.select("run_id", C.fallback_summary([("Status", F.col("status")), ("Stop", F.col("stop_reason"))]).alias("summary"))
+
+
+@query("t11_score", "select run_id, round(greatest(0, least(1, cast(0.5 as double)+case status when 'completed' then 0.2 when 'failed' then -0.2 else 0 end - case when stop_reason='error' then 0.2 else 0 end)), 6) as score from v_runs")
+def t11(t):
+    return t.v_runs.select("run_id", C.fallback_score(F.col("status"), F.col("stop_reason")).alias("score"))
+
+
+@query("t12_labels", "select trajectory_id, case when max(turn_index)+1<=2 then 'simple' when max(turn_index)+1>=10 then 'complex' else 'moderate' end as complexity, case when count(*)>3 then 'tool_usage' else 'general' end as tags from v_messages group by 1")
+def t12(t):
+    g = t.v_messages.groupBy("trajectory_id").agg((F.max("turn_index") + 1).alias("turns"), F.count("*").alias("n"))
+    x = C.fallback_labels(F.col("turns"), F.when(F.col("n") > 3, 1).otherwise(0), F.col("n"))
+    return g.select("trajectory_id", x["complexity"].alias("complexity"), F.array_join(x["tags"], ",").alias("tags"))
+
+
+@query("t13_enrich", "select trajectory_id, case when created_seq%3=0 then 'fallback' else upper(complexity_level) end as summary, case when created_seq%3=0 then 0.5 when created_seq%3=1 then 1.0 else 0.25 end as score, case when created_seq%3=2 then 'simple' else complexity_level end as level from v_trajectories")
+def t13(t):
+    """A provider that fails on every third row, oversteps the score on another third and invents levels on the rest."""
+
+    def provider(b: pd.DataFrame) -> pd.DataFrame:
+        third = b["created_seq"] % 3
+        return pd.DataFrame({"summary": b["complexity_level"].str.upper().where(third != 0, None), "score": third.map({0: float("nan"), 1: 7.0, 2: 0.25}), "level": b["complexity_level"].where(third != 2, "odd")})
+
+    rows = t.v_trajectories.select("trajectory_id", "created_seq", "complexity_level")
+    made = C.enrich(rows, provider, {"summary": F.lit("fallback"), "score": F.lit(0.5), "level": F.lit("simple")})
+    return made.select("trajectory_id", "summary", "score", "level")
+
+
+@query("t14_judge", "select event_id, case when event_id%3=0 then cast(-1 as double) else cast(event_id%10 as double)/10 end as score from events")
+def t14(t):
+    n = (F.col("event_id") % 10 / 10).cast("string")
+    answer = F.when(F.col("event_id") % 3 == 0, "no json").otherwise(F.concat(F.lit('Sure:\n```json\n{"score": '), n, F.lit(', "reason": "r"}\n```')))
+    fallback = F.struct(F.lit(-1.0).alias("score"), F.lit("unparsed").alias("reason"))
+    return t.events.select("event_id", C.judged(answer, "score double, reason string", ["score", "reason"], fallback)["score"].alias("score"))
+
+
+@query("t15_typed_events", "with m as (select *, case cast(sequence_id%4 as int) when 0 then 'send_message' when 1 then 'search' end as tool from v_messages) select message_id, 'reasoning' as event from m where sequence_id%5=0 union all select message_id, case when role='assistant' and tool='search' then 'tool_call' else role end from m")
+def t15(t):
+    tool = F.when(F.col("sequence_id") % 4 == 0, "send_message").when(F.col("sequence_id") % 4 == 1, "search")
+    rows = t.v_messages.select("trajectory_id", "sequence_id", "role", F.col("message_id").alias("text"), F.when(F.col("sequence_id") % 5 == 0, F.col("message_id")).alias("reasoning"), F.lit(None).cast("string").alias("call_id"), tool.alias("tool"))
+    return C.typed_events(rows).select(F.col("body").alias("message_id"), "event")
+
+
+# ------------------------------------------------------------------------------------------------ stores and exports
+@query("s2_upsert", "select doc_id, 3 as version, 'new' as origin from documents where doc_id%3=0 union all select doc_id, 2, 'old' from documents where doc_id%3<>0")
+def s2(t):
+    old = t.documents.select("doc_id", F.lit(2).alias("version"), F.lit("old").alias("origin"))
+    new = t.documents.where("doc_id % 3 < 2").select("doc_id", F.when(F.col("doc_id") % 3 == 0, 3).otherwise(1).alias("version"), F.lit("new").alias("origin"))
+    return io.upsert_versions(old, new, "doc_id")
+
+
+@query("s3_promoted", "select run_id, agent_id as domain_type from v_runs")
+def s3(t):
+    return io.promoted(_captured(t)).select("run_id", "domain_type")
+
+
+@query("s4_list_files", "select 'documents.parquet' as name, 'parquet' as ext")
+def s4(t):
+    """Files of the folder by pattern: names and types only."""
+    return io.list_files(t.spark, t.sf_dir, "doc*.parquet").where("name = 'documents.parquet' or path like '%documents.parquet/%'").select(F.lit("documents.parquet").alias("name"), "ext").distinct()
+
+
+@query("s8_spans", "with d as (select trajectory_id, turn_index, count(*) as n from v_tool_events group by 1, 2) select trajectory_id as trace_id, 'trajectory' as name, count(*) as n from (select distinct trajectory_id from d) group by 1 union all select trajectory_id, 'turn', count(*) from d group by 1 union all select trajectory_id, 'decision', sum(n) from d group by 1")
+def s8(t):
+    return io.spans(decisions(t)).groupBy("trace_id", "name").agg(F.count("*").alias("n"))
+
+
+@query("s9_traces", "select trajectory_id, count(distinct turn_index) as n_generations, true as parsed from v_tool_events group by 1")
+def s9(t):
+    trace, _ = io.traces(decisions(t))
+    return trace.select("trajectory_id", F.col("n_generations").cast("bigint").alias("n_generations"), (F.get_json_object("trace", "$.trajectory_id") == F.col("trajectory_id")).alias("parsed"))
+
+
+@query("s9_scores", "select trajectory_id as trace_id, confidence as value from v_tool_events where confidence is not null")
+def s9b(t):
+    return io.traces(decisions(t))[1].select("trace_id", "value")
+
+
+@query("s10_last_turns", "with u as (select *, row_number() over (partition by trajectory_id order by sequence_id desc) as r from v_messages where role='user'), c as (select trajectory_id, min(sequence_id) as cut from u where r<=2 group by 1), y as (select trajectory_id, min(sequence_id) as sys from v_messages where role='system' group by 1) select m.message_id from v_messages m left join c on m.trajectory_id=c.trajectory_id left join y on m.trajectory_id=y.trajectory_id where (role<>'system' and sequence_id>=coalesce(cut,0)) or sequence_id=sys")
+def s10(t):
+    return io.last_user_turns(t.v_messages, 2).select("message_id")
+
+
+@query("s12_passage_rule", "select doc_id, (doc_id%2=0) <> (doc_id%3=0) as accepted from documents")
+def s12(t):
+    rule = io.passage_rule(F.when(F.col("doc_id") % 2 == 0, "a"), F.when(F.col("doc_id") % 3 == 0, "s"))
+    return t.documents.select("doc_id", rule.alias("accepted"))
+
+
+# ------------------------------------------------------------------------------------------------ streams
+@query("r1_continuous_capture", "select run_id, status from v_runs where status in ('completed', 'failed')")
+def r1(t):
+    """Terminal run updates, captured as they arrive, upserted by run."""
+    return jobs.capture_stream(t.spark, f"{t.sf_dir}/orders.parquet").select("run_id", "status")
+
+
+@query("r2_exactly_once", "select event_id, event_type from events")
+def r2(t):
+    """Every event arrives twice and is kept once."""
+    return jobs.ingest_once(t.spark, f"{t.sf_dir}/events.parquet").select("event_id", "event_type")
+
+
+@query("r3_status_machine", "select user_id, case when sum(case when event_type='error' then 1 else 0 end) > 3 then 'failed' else 'completed' end as status from (select user_id, case when value >= 80 then 'error' else 'ok' end as event_type from events) group by 1")
+def r3(t):
+    return jobs.status_stream(t.spark, f"{t.sf_dir}/events.parquet")
+
+
+@query("r5_daily", "select cast(ts as date) as day, count(*) as n, avg(value) as avg_score from events group by 1")
+def r5(t):
+    return jobs.daily_stream(t.spark, f"{t.sf_dir}/events.parquet")
+
+
+@query("r6_latency", "select event_type, time_bucket(interval 6 hour, ts) as start, count(*) as n from events group by 1, 2")
+def r6(t):
+    return jobs.latency_stream(t.spark, f"{t.sf_dir}/events.parquet")
+
+
+@query("r7_chunks", "select user_id, count(*) as chunks, max(event_id) as last_seq from events group by 1")
+def r7(t):
+    return jobs.chunk_stream(t.spark, f"{t.sf_dir}/events.parquet")
+
+
+@query("r8_latest_status", "select user_id, max_by(event_type, event_id) as status from events group by 1")
+def r8(t):
+    return jobs.latest_status(t.spark, f"{t.sf_dir}/events.parquet")
