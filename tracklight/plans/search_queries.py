@@ -218,7 +218,7 @@ def v26(t):
     """Inverted lists: found neighbours, with the exact similarity."""
     rows = t.v_trajectories.select("trajectory_id", "embedding")
     model, indexed = S.inverted_lists(rows, 16)
-    return S.probe(t.v_queries, indexed, model, 8, 10).select("query_id", "trajectory_id", "similarity", "rank")
+    return S.probe(t.v_queries, indexed, model, 13, 10).select("query_id", "trajectory_id", "similarity", "rank")
 
 
 @query("v27_embed", "select doc_id, 64 as dimension, true as unit from documents")
