@@ -41,7 +41,7 @@ def levels(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     h = np.zeros(n, np.uint32)
     since = np.minimum(np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets)), WINDOW).astype(np.uint8)
     low, shifts = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-    for j in range(WINDOW):
+    for j in range(min(WINDOW, n)):
         c = np.zeros(n, np.uint32)
         c[j:] = raw[: n - j] if j else raw
         c[since < j] = 0  # before the row's first byte

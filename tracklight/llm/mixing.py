@@ -7,7 +7,8 @@ kept inside a bracket.  The dual needs only how many documents of a source have
 join and sum over that table, for all sources at once.
 
 Rates become copies by systematic rounding down the sizes (largest first), then by a few rounds that give or take
-copies of ever smaller documents until a source's sum meets its target.  Which documents of one source and size get
+copies of ever smaller documents until a source's sum meets its target, and by exchanges of one copy for another whose
+sizes differ by what is still missing.  Which documents of one source and size get
 the odd copy is decided by a hash of their id, found with a salted rank, so no source or size is ever in one task.
 
 Defined results: null texts have size 0 and one copy of nothing; a null source is a source of its own, the last;
@@ -26,8 +27,8 @@ from .common import fresh, read, spool
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-#: Newton steps at most, and rounds of corrections to the rounding.
-STEPS, CORRECTIONS = 40, 6
+#: Newton steps at most, rounds of corrections to the rounding, and of exchanges of two documents' copies.
+STEPS, CORRECTIONS, EXCHANGES = 40, 6, 3
 #: Salts that spread the documents of one source and size; rows for each salt beyond which there are more.
 SALTS, SALT_ROWS = 64, 1_000_000
 #: Tables of source and size with at most so many rows are broadcast; larger ones are joined by a shuffle.
@@ -114,7 +115,35 @@ def class_copies(classes: DataFrame, duals: DataFrame, most: int = MOST) -> Data
         before = F.coalesce(F.sum(F.col("room") * F.col("size")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         fit = F.least(F.col("room"), F.greatest(F.lit(0), F.floor((F.abs("off") - before) / F.greatest(F.col("size"), F.lit(1)))))
         out = out.withColumn("copies", F.col("copies") + F.signum("off").cast("bigint") * fit)
-    return out.select("src", "size", "c", "source_size", "target", "copies")
+    out = out.select("src", "size", "c", "source_size", "target", "copies")
+    for _ in range(EXCHANGES):
+        out = exchange(spool(out, "copies"), most)
+    return out
+
+
+def exchange(out: DataFrame, most: int) -> DataFrame:
+    """One copy more of one size for one less of another (either may be none), where that brings a source's sum nearest
+    to its target.
+
+    Adding size a and taking size b leaves the gap ``off - a + b``: for each a the best b is the neighbour of
+    ``a - off`` in order of size, found by one sorted run over both.
+    """
+    base = out.withColumn("off", F.col("target") - F.sum(F.col("copies") * F.col("size")).over(Window.partitionBy("src")))
+    some, none = F.col("size") > 0, F.lit(None).cast("bigint")
+    idle = base.groupBy("src").agg(F.first("off").alias("off"))
+    adds = base.where(some & (F.col("copies") < most * F.col("c"))).select("src", "off", (F.col("size") - F.col("off")).alias("v"), F.col("size").alias("plus"), none.alias("minus"))
+    adds = adds.unionByName(idle.select("src", "off", (-F.col("off")).alias("v"), F.lit(0).cast("bigint").alias("plus"), none.alias("minus")))
+    takes = base.where(some & (F.col("copies") > 0)).select("src", "off", F.col("size").cast("double").alias("v"), none.alias("plus"), F.col("size").alias("minus"))
+    takes = takes.unionByName(idle.select("src", "off", F.lit(0.0).alias("v"), none.alias("plus"), F.lit(0).cast("bigint").alias("minus")))
+    run = Window.partitionBy("src").orderBy("v", "plus", "minus")
+    below = F.last("minus", ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first("minus", ignorenulls=True).over(run.rowsBetween(0, Window.unboundedFollowing))
+    met = adds.unionByName(takes).withColumns({"below": below, "above": above}).where("plus is not null")
+    options = met.select("src", "off", "v", "plus", F.explode(F.array("below", "above")).alias("minus")).where("minus is not null")
+    best = options.groupBy("src").agg(F.min(F.struct(F.abs(F.col("minus") - F.col("v")).alias("gap"), "plus", "minus", "off")).alias("b")).where("b.gap < abs(b.off)")
+    moved = out.join(best.hint("merge"), "src", "left")
+    plus, minus = ((some & F.coalesce(F.col("size") == F.col(f"b.{x}"), F.lit(False))).cast("bigint") for x in ("plus", "minus"))
+    return moved.select("src", "size", "c", "source_size", "target", (F.col("copies") + plus - minus).alias("copies"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
