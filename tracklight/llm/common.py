@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Largest Arrow batch sent to a Python worker, and the text bytes that one numpy step looks at.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 SLICE_BYTES = 2 << 20
 
 
@@ -178,7 +178,9 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     power = powers(base, n)
     back = powers(inverse, n)
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[raw] * power[:n], out=prefix[1:])
+    np.take(_BYTE_VALUES, raw, out=prefix[1:])
+    prefix[1:] *= power[:n]
+    np.cumsum(prefix, out=prefix)
     h = (prefix[ends] - prefix[starts]) * back[starts]
     return mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 

@@ -28,7 +28,7 @@ WINDOW = 13
 #: Benchmark text that one pass over the documents searches for; larger benchmarks take one pass for each such block.
 BLOCK_BYTES = 16 << 20
 #: Text in a shard (the rows that one index covers).
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 20
 #: Every so many positions the index stores where a suffix lies.
 SAMPLE_EVERY = 16
 

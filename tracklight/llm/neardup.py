@@ -239,7 +239,7 @@ def group_links(groups: DataFrame, labels: DataFrame, docs: DataFrame, sets: Dat
     named = spool(named.join(sets.select(F.col("doc_id").alias("rep"), "bytes").hint("merge"), "rep"), "named")
     part = lambda main, what: F.sum(F.when(F.col("main") == main, what).otherwise(0))
     own = named.where("hub = rep").select("hub", F.col("label").alias("hub_label"))
-    marked = named.join(own.hint("merge"), "hub").withColumn("main", F.col("label") == F.col("hub_label"))
+    marked = spool(named.join(own.hint("merge"), "hub").withColumn("main", F.col("label") == F.col("hub_label")), "marked")
     blocks = lambda main: F.ceil(F.greatest(part(main, F.lit(1)) / BLOCK_ROWS, part(main, F.col("bytes")) / BLOCK_BYTES)).cast("int")
     open_ = marked.groupBy("hub").agg(blocks(True).alias("n_main"), blocks(False).alias("n_out"), F.count("*").alias("many")).where("n_out > 0 and many > 2")
     at = marked.select("hub", "rep", "label", "main").join(open_.drop("many").hint("merge"), "hub")

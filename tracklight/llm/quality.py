@@ -26,7 +26,7 @@ THRESHOLD = 0.7
 
 #: Exclusive byte classes.
 CLASSES = ("lower", "upper", "digit", "blank", "newline", "stop", "comma", "bang", "bar", "symbol", "quote", "lead", "tail", "other")
-_CLASS = np.full(256, CLASSES.index("other"), np.int64)
+_CLASS = np.full(256, CLASSES.index("other"), np.int32)
 for _name, _bytes in (
     ("lower", range(97, 123)), ("upper", range(65, 91)), ("digit", range(48, 58)), ("blank", b" \t"), ("newline", b"\n\r"), ("stop", b"."), ("comma", b",;:"),
     ("bang", b"!?"), ("bar", b"|"), ("symbol", b"#$%&*+/<=>@\\^_`{}~[]"), ("quote", b"\"'()-"), ("lead", range(192, 256)), ("tail", range(128, 192)),
@@ -56,9 +56,9 @@ def statistics(texts: pa.Array) -> np.ndarray:
     n = len(texts)
     raw, offsets = utf8(texts)
     size = np.diff(offsets).astype(float)
-    row = np.repeat(np.arange(n), np.diff(offsets))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     k = len(CLASSES)
-    counts = np.bincount(row * k + _CLASS[raw], minlength=n * k).reshape(n, k).astype(float)
+    counts = np.bincount(row * np.int32(k) + _CLASS[raw], minlength=n * k).reshape(n, k).astype(float)
     chars = size - counts[:, CLASSES.index("tail")]
     shares = counts / np.maximum(chars, 1)[:, None]
     starts, ends, words = word_spans(raw, offsets, NONSPACE_BYTES)

@@ -19,10 +19,11 @@ from pyspark.sql.window import Window
 from .common import fresh, read, spool
 
 SHARDS = 8
-#: Ranges for each shard at least, and records in a range at most on average.
-RANGES_PER_SHARD, RANGE_ROWS = 8, 500_000
+#: Ranges for each shard at least; records, and bytes where whole records move, in a range on average; ranges at most
+#: (their splitters and totals are what reaches the driver; beyond it ranges grow and their sorts spill).
+RANGES_PER_SHARD, RANGE_ROWS, RANGE_BYTES, RANGES = 8, 500_000, 64 << 20, 40_000
 #: Sampled keys for each range.
-SAMPLES = 32
+SAMPLES = 16
 #: A range is overfull beyond so many times the mean; rounds of subdividing.
 OVERFULL, ROUNDS = 2.0, 3
 
@@ -73,10 +74,10 @@ def sample_splitters(keys: DataFrame, total: int, ranges: int, samples: int) ->
     return cuts
 
 
-def splitters_for(keys: DataFrame, shards: int) -> list[tuple[int, int]]:
+def splitters_for(keys: DataFrame, shards: int, whole_rows: bool) -> list[tuple[int, int]]:
     """Boundaries between which records lie evenly; overfull ranges get boundaries from samples of their own."""
     rows, total = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranges = max(RANGES_PER_SHARD * shards, rows // RANGE_ROWS + 1)
+    ranges = min(RANGES, max(RANGES_PER_SHARD * shards, rows // RANGE_ROWS + 1, total // RANGE_BYTES + 1 if whole_rows else 0))
     cuts = sorted(set(sample_splitters(keys, total, ranges, ranges * SAMPLES)))
     for _ in range(ROUNDS):
         ranged = keys.withColumn("range", range_of(cuts))
@@ -102,7 +103,7 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
     tie = F.xxhash64(doc_id).bitwiseAND(F.lit(-65536)).bitwiseOR(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(65536)))
     key = F.struct(F.xxhash64(content).alias("h"), tie.alias("tie"), size_of(text).alias("size"))
     keyed = docs.select(F.struct(*(keep if keep is not None else docs.columns)).alias("row"), key.alias("key")).select("row", "key.*")
-    cuts = splitters_for(spool(keyed.select("h", "tie", "size"), "keys"), shards)
+    cuts = splitters_for(spool(keyed.select("h", "tie", "size"), "keys"), shards, whole_rows=keep is None)
     line = Window.partitionBy("range").orderBy("h", "tie")
     laid = keyed.withColumn("range", range_of(cuts)).select(
         "row", "size", "range",
