@@ -198,6 +198,12 @@ def r3(t):
     return jobs.status_stream(t.spark, f"{t.sf_dir}/events.parquet")
 
 
+@query("r4_file_timer", "with e as (select * from events where user_id%3=0 or event_type<>'purchase') select user_id, case when count(case when event_type='purchase' then 1 end)>0 then 'completed' when max(ts)+interval 30 minute < (select max(ts) from e) then 'error' else 'processing' end as status from e group by 1")
+def r4(t):
+    """Files without an update for half an hour of event time end in error."""
+    return jobs.file_stream(t.spark, f"{t.sf_dir}/events.parquet")
+
+
 @query("r5_daily", "select cast(ts as date) as day, count(*) as n, avg(value) as avg_score from events group by 1")
 def r5(t):
     return jobs.daily_stream(t.spark, f"{t.sf_dir}/events.parquet")

@@ -113,3 +113,30 @@ def latest_status(spark: SparkSession, path: str) -> DataFrame:
     """The latest polled status of each batch."""
     polls = source(spark, path).groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"))
     return drain(polls, "complete")
+
+
+def file_stream(spark: SparkSession, path: str, minutes: int = 30) -> DataFrame:
+    """File status with a timer: each file (here a user) is processing until its last legal step completes it; one that
+    hears nothing for ``minutes`` of event time ends in error."""
+    wait = minutes * 60_000
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        status, last = state.get if state.exists else ("processing", 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"user_id": [key[0]], "status": ["error"], "step": [1]})
+            return
+        for b in batches:
+            last = max(last, int(b["ms"].max()))
+            if (b["event_type"] == "purchase").any():
+                status = "completed"
+        state.update((status, last))
+        if status == "processing":
+            state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]], "status": [status], "step": [0 if status == "processing" else 2]})
+
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    events = source(spark, path).where("user_id % 3 = 0 or event_type <> 'purchase'").withWatermark("ts", "0 seconds").select("user_id", "event_type", "ts", F.unix_millis("ts").alias("ms"))
+    rows = events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, status string, step int", "status string, last bigint", "update", GroupStateTimeout.EventTimeTimeout)
+    return drain(rows, "update").groupBy("user_id").agg(F.max_by("status", "step").alias("status"))
