@@ -5,8 +5,6 @@ Everything is column functions and windows partitioned by the document or conver
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -176,7 +174,3 @@ def ingest(files: DataFrame, embed, size: int = 512, overlap: int = 50) -> tuple
     chunks = files.select("file_id", F.posexplode(fixed_chunks(F.col("text"), size, overlap)).alias("position", "text")).where(F.length("text") > 0)
     passages = embed(chunks).dropDuplicates(["embedding"])
     return passages, passages.agg(F.count("*").alias("passages"), F.count_distinct("file_id").alias("files"))
-
-
-def roles_only(messages: DataFrame, roles: Sequence[str]) -> DataFrame:
-    return messages.where(F.col("role").isin(*roles))

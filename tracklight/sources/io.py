@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import expressions as X
-
 
 def read_trajectories(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON document for each trajectory, with a given schema (no inference pass)."""
@@ -88,8 +86,3 @@ def last_user_turns(messages: DataFrame, n: int, key: str = "trajectory_id") ->
 def passage_rule(archive: Column, source: Column) -> Column:
     """A passage belongs to an archive or a source, to exactly one of them."""
     return archive.isNotNull() != source.isNotNull()
-
-
-def described(rows: DataFrame) -> DataFrame:
-    """Rows with the text that listings show."""
-    return rows.withColumn("shown", X.summarise_result("text", 80))
