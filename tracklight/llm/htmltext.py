@@ -48,35 +48,50 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "never", "hinted", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.items, self.drop = tag, parent, [], drop
+    def __init__(self, tag: str, parent: Node | None, never: bool = False, hinted: bool = False):
+        self.tag, self.parent, self.items, self.never, self.hinted, self.drop = tag, parent, [], never, hinted, False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    """Is an element with these attributes no part of an article?"""
+def unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Is the element never a part of an article (by element or role); do words of its class or id say so?"""
     if tag in DROP_TAGS or (tag in PAGE_HEADERS and not in_article):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for m in _ATTR.finditer(attributes):
+        return True, False
+    hinted = False
+    for m in _ATTR.finditer(attributes) if attributes and tag not in ("html", "body") else ():
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
             if value.strip().lower() in DROP_ROLES:
-                return True
+                return True, False
         else:
             words = {w.lower() for w in _WORD.findall(value)}
-            if words & DROP_WORDS or (not in_article and "header" in words):
-                return True
-    return False
+            hinted |= bool(words & DROP_WORDS) or (not in_article and "header" in words)
+    return False, hinted
+
+
+def settle(root: Node, hints: bool) -> None:
+    """Sets ``drop``: what never belongs, and what is hinted at unless an article (itself not hinted at) lies in it."""
+    order, todo, core = [], [root], set()
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(x for x in node.items if isinstance(x, Node))
+    for node in reversed(order):
+        if id(node) in core or (node.tag in ("article", "main") and not node.hinted and not node.never):
+            core.add(id(node))
+            if node.parent is not None:
+                core.add(id(node.parent))
+    for node in order:
+        by_hint = hints and node.hinted and id(node) not in core and node.tag not in ("article", "main")
+        node.drop = node.never or by_hint or (node.parent is not None and node.parent.drop)
 
 
 def parse(page: str) -> Node:
     """The page's tree; texts are strings in ``items``, with character references decoded."""
-    root = Node("html", None, False)
+    root = Node("html", None)
     stack, at, n, articles = [root], 0, len(page), 0
 
     def pop() -> None:
@@ -134,7 +149,7 @@ def parse(page: str) -> Node:
                     break
         if stack[-1].tag == "head" and tag not in ("meta", "link", "base", "title", "style", "script", "noscript", "template"):
             pop()  # the body begins
-        node = Node(tag, stack[-1], stack[-1].drop or unwanted(tag, m[3], articles > 0))
+        node = Node(tag, stack[-1], *unwanted(tag, m[3], articles > 0))
         stack[-1].items.append(node)
         if tag in VOID:
             continue
@@ -154,6 +169,8 @@ def measure(root: Node) -> list[Node]:
     order, todo = [], [root]
     while todo:
         node = todo.pop()
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = 0.0
         order.append(node)
         todo.extend(x for x in node.items if isinstance(x, Node) and not x.drop)
     for node in reversed(order):
@@ -243,8 +260,12 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    order = measure(root)
-    return "\n".join(blocks(root, select(root, order))) if root.chars else ""
+    for hints in (True, False):  # a page whose hints cover everything is read without them
+        settle(root, hints)
+        order = measure(root)
+        if root.chars:
+            return "\n".join(blocks(root, select(root, order)))
+    return ""
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> tuple[DataFrame, str]:
