@@ -37,12 +37,12 @@ def f4(t):
     return L.middle(t.v_tool_events.where("event_id > 100 and event_id < 131").select("event_id"), [F.col("event_id")], 20)
 
 
-@query("f5_null_cursor", "select trajectory_id, outcome_score from v_trajectories where outcome_score is null and trajectory_id < 'doc-500' order by trajectory_id desc limit 20")
+@query("f5_null_cursor", "select trajectory_id, outcome_score from v_trajectories where outcome_score is null and trajectory_id < 'doc-50' order by trajectory_id desc limit 20")
 def f5(t):
     """After a cursor whose own value is null, only nulls follow."""
     rows = t.v_trajectories.where("outcome_score is null or trajectory_id <= 'doc-900'")
-    first = rows.withColumn("outcome_score", F.when(F.col("trajectory_id") != "doc-500", F.col("outcome_score")))
-    return L.page(first, "trajectory_id", 20, order="outcome_score", after="doc-500").select("trajectory_id", "outcome_score")
+    first = rows.withColumn("outcome_score", F.when(F.col("trajectory_id") != "doc-50", F.col("outcome_score")))
+    return L.page(first, "trajectory_id", 20, order="outcome_score", after="doc-50").select("trajectory_id", "outcome_score")
 
 
 @query("f6_list", "select trajectory_id, outcome_score from v_trajectories where agent_id='agent-src3' and outcome_score>=0.3 and outcome_score<=0.9 order by created_seq desc limit 10 offset 2")
