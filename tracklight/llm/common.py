@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 #: Largest Arrow batch sent to a Python worker, and the text bytes that one numpy step looks at.
 BATCH_BYTES = 8 << 20
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -99,7 +99,7 @@ def annotate(
     spark = docs.sparkSession
     bounded_batches(spark)
     keep = list(docs.columns if keep is None else keep)
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T._parse_datatype_string(ddl))])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.StructType.fromDDL(ddl))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)

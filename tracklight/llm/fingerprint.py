@@ -160,7 +160,7 @@ RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint strin
 def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of ``RESULT`` for every row of ``docs``."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.types import StructType
 
     from .sharding import literal
 
@@ -184,7 +184,7 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     visit = F.struct(F.get(literal(before), F.col("range")).cast("int").alias("to"), F.lit(True).alias("guest"))
     dealt = ranged.select("id", "body", F.explode(F.when(is_first, F.array(home, visit)).otherwise(F.array(home))).alias("d")).select("id", "body", "d.*")
     run = dealt.repartitionById(nulls + 1, "to").sortWithinPartitions("to", "guest", F.desc_nulls_last("id"), F.xxhash64("body"), "body").select("id", "body", "to", "guest")
-    schema = _parse_datatype_string(RESULT)
+    schema = StructType.fromDDL(RESULT)
     arrow = to_arrow_schema(schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

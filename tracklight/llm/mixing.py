@@ -28,7 +28,7 @@ from .common import fresh, read, spool
 WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Newton steps at most, rounds of corrections to the rounding, and of exchanges of two documents' copies.
-STEPS, CORRECTIONS, EXCHANGES = 40, 6, 3
+STEPS, CORRECTIONS, EXCHANGES = 40, 2, 3
 #: Salts that spread the documents of one source and size; rows for each salt beyond which there are more.
 SALTS, SALT_ROWS = 64, 1_000_000
 #: Tables of source and size with at most so many rows are broadcast; larger ones are joined by a shuffle.

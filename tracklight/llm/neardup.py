@@ -242,6 +242,7 @@ def group_links(groups: DataFrame, labels: DataFrame, docs: DataFrame, sets: Dat
     marked = spool(named.join(own.hint("merge"), "hub").withColumn("main", F.col("label") == F.col("hub_label")), "marked")
     blocks = lambda main: F.ceil(F.greatest(part(main, F.lit(1)) / BLOCK_ROWS, part(main, F.col("bytes")) / BLOCK_BYTES)).cast("int")
     open_ = marked.groupBy("hub").agg(blocks(True).alias("n_main"), blocks(False).alias("n_out"), F.count("*").alias("many")).where("n_out > 0 and many > 2")
+    open_ = spool(open_, "groups")  # a table, so that the join below has no aggregate in its stage and a hot group can be split
     at = marked.select("hub", "rep", "label", "main").join(open_.drop("many").hint("merge"), "hub")
     at = spool(at.withColumn("block", F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.when(F.col("main"), F.col("n_main")).otherwise(F.col("n_out"))))), "open")
     texts = semi(docs.select("doc_id", "text"), at.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").withColumnRenamed("doc_id", "rep")
