@@ -196,6 +196,15 @@ def test_html_text(spark):
     assert htmltext.extract(pages.where("false"))[0].count() == 0
 
 
+def test_html_text_goes_on_after_a_stray_angle_bracket():
+    for stray, kept in (("<жук", "<жук"), ("<中文", "<中文"), ("<é", "<é"), ("</>", ""), ("</3>", ""), ("</ p>", ""), ("<3", "<3"), ("</ж>", "")):
+        assert htmltext.main_text(f"<p>one {stray} two</p><p>three</p>") == " ".join(f"one {kept} two".split()) + "\nthree"
+    assert htmltext.main_text("<p>one </3 two</p><p>three</p>") == "one\nthree"  # a comment up to the next ">"
+    assert htmltext.main_text("<p>one</p>two </3 three <4") == "one\ntwo </3 three <4"
+    assert [htmltext.main_text(f"<p>one</p>two {cut}") for cut in ("<div class", "</div")] == ["one\ntwo"] * 2
+    assert htmltext.main_text("</" * 200_000) == "</" * 200_000
+
+
 def test_html_text_of_given_pages(spark):
     import re
 

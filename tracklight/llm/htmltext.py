@@ -8,7 +8,7 @@ body to the core is the threshold: every other part of the page that reaches it
 A core inside an ``article`` or ``main`` element grows to that element.
 
 Defined results: a null or empty page gives an empty text; pages cut off in the middle, stray end tags, unclosed
-elements and quotes are read to their end; repeated pages give equal texts; an empty table gives no rows.
+elements and quotes are read to their end; a "<" that begins no tag is text, or a comment if it is "</"; repeated pages give equal texts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +43,7 @@ PAGE_HEADERS = frozenset(["header"])
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_NAME = re.compile(r"</?[a-zA-Z]")
 _ATTR = re.compile(r"""(?i)(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -92,7 +93,7 @@ def settle(root: Node, hints: bool) -> None:
 def parse(page: str) -> Node:
     """The page's tree; texts are strings in ``items``, with character references decoded."""
     root = Node("html", None)
-    stack, at, n, articles = [root], 0, len(page), 0
+    stack, at, n, articles, last = [root], 0, len(page), 0, page.rfind(">")
 
     def pop() -> None:
         nonlocal articles
@@ -116,8 +117,11 @@ def parse(page: str) -> Node:
             continue
         m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
         if not m:
-            if lt + 1 < n and (page[lt + 1].isalpha() or page[lt + 1] == "/"):
+            if _NAME.match(page, lt):
                 break  # a tag that the page's end cuts off
+            if page.startswith("</", lt) and last > lt:
+                at = page.find(">", lt) + 1  # no tag's name: a comment
+                continue
             stack[-1].items.append("<")
             at = lt + 1
             continue
