@@ -205,6 +205,18 @@ def test_html_text_goes_on_after_a_stray_angle_bracket():
     assert htmltext.main_text("</" * 200_000) == "</" * 200_000
 
 
+def test_html_text_of_pages_wrapped_in_a_form():
+    prose, field = "<p>First para of text, long enough.</p><p>Second one, as long as that.</p>", "<label>Your name</label><input name=n><button>Go</button><select><option>a</select>"
+    want = "First para of text, long enough.\nSecond one, as long as that."
+    for wrap in ("form", "div role=form", "div role=dialog", "div role=search"):
+        end = f"</{wrap.split()[0]}>"
+        assert htmltext.main_text(f"<body><{wrap}><nav>menu</nav>{field}<div>{prose}</div>{end}</body>") == want  # most of the text
+        assert htmltext.main_text(f"<body><{wrap}>{field}<article>{prose}</article>{end}<ul>{'<li><a href=x>other</a>' * 40}</ul></body>") == want  # an article
+        assert htmltext.main_text(f"<body><div>{prose}</div><{wrap}>{field}<p>Write to us</p>{end}</body>") == want  # a form of the page
+        assert htmltext.main_text(f"<body><article>{prose}<{wrap}>{field}<p>Write to us</p>{end}</article></body>") == want
+        assert htmltext.main_text(f"<body><div>{prose}</div><{wrap}><aside><article>teaser</article></aside><p>Write to us</p>{end}</body>") == want
+
+
 def test_html_text_of_given_pages(spark):
     import re
 

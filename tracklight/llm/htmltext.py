@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree with the few implied end tags that real pages rely on.  Menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts and styles are taken out by tag, role, or a word of their class or id.  For
+notices, adverts, forms, comments, scripts and styles are taken out by tag, role, or a word of their class or id; a form
+that wraps the page's article or most of its text stays without its controls.  For
 every remaining node the link-adjusted characters per tag are computed (Sun, Song, Liao 2011), each node sums its
 children's densities, and the subtree with the largest sum is the core.  The smallest density on the path from the
 body to the core is the threshold: every other part of the page that reaches it gives its own largest-sum subtree.
@@ -31,8 +32,11 @@ BLOCK = frozenset(
 #: Elements that an opening tag closes, looked for up to a boundary.
 CLOSES = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 #: Never part of an article.
-DROP_TAGS = frozenset("aside audio button canvas dialog footer form head iframe math menu nav noscript object script select style svg template textarea title video".split())
-DROP_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+DROP_TAGS = frozenset("aside audio button canvas dialog footer head iframe math menu nav noscript object script select style svg template textarea title video".split())
+DROP_ROLES = frozenset("alert alertdialog banner complementary contentinfo menu menubar navigation".split())
+#: Dropped as well, unless they wrap the page's article or most of its text; then only their labels (and controls) are.
+WRAP_TAGS = frozenset(["form"])
+WRAP_ROLES = frozenset("dialog form search".split())
 DROP_WORDS = frozenset(
     "ad ads adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus foot footer gdpr legal login "
     "masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion related replies reply respond share sharing sidebar signup social sponsor sponsored "
@@ -49,45 +53,64 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "never", "hinted", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "never", "hinted", "wraps", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, never: bool = False, hinted: bool = False):
-        self.tag, self.parent, self.items, self.never, self.hinted, self.drop = tag, parent, [], never, hinted, False
+    def __init__(self, tag: str, parent: Node | None, never: bool = False, hinted: bool = False, wraps: bool = False):
+        self.tag, self.parent, self.items, self.never, self.hinted, self.wraps, self.drop = tag, parent, [], never, hinted, wraps, False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Is the element never a part of an article (by element or role); do words of its class or id say so?"""
+def unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Is the element never a part of an article (by element or role); do words of its class or id say so; is it a form or the like?"""
     if tag in DROP_TAGS or (tag in PAGE_HEADERS and not in_article):
-        return True, False
-    hinted = False
+        return True, False, False
+    hinted, wraps = False, tag in WRAP_TAGS
     for m in _ATTR.finditer(attributes) if attributes and tag not in ("html", "body") else ():
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
-            if value.strip().lower() in DROP_ROLES:
-                return True, False
+            role = value.strip().lower()
+            if role in DROP_ROLES:
+                return True, False, False
+            wraps |= role in WRAP_ROLES
         else:
             words = {w.lower() for w in _WORD.findall(value)}
             hinted |= bool(words & DROP_WORDS) or (not in_article and "header" in words)
-    return False, hinted
+    return False, hinted, wraps
 
 
 def settle(root: Node, hints: bool) -> None:
-    """Sets ``drop``: what never belongs, and what is hinted at unless an article (itself not hinted at) lies in it."""
-    order, todo, core = [], [root], set()
+    """Sets ``drop``: what never belongs, and what is hinted at unless an article (itself not hinted at) lies in it.
+
+    A form (or a role like it) goes too, unless such an article or most of the page's text lies in it; then its labels go.
+    """
+    order, todo, core, held, inside, text = [], [root], set(), set(), set(), {}
     while todo:
         node = todo.pop()
         order.append(node)
+        if node.wraps or (node.parent is not None and id(node.parent) in inside):
+            inside.add(id(node))
         todo.extend(x for x in node.items if isinstance(x, Node))
+
+    def by_itself(node: Node) -> bool:
+        by_hint = hints and node.hinted and id(node) not in core and node.tag not in ("article", "main")
+        return node.never or by_hint or (node.tag == "label" and id(node) in inside and id(node) not in core)
+
     for node in reversed(order):
-        if id(node) in core or (node.tag in ("article", "main") and not node.hinted and not node.never):
+        article = node.tag in ("article", "main") and not node.hinted and not node.never
+        if id(node) in core or article:
             core.add(id(node))
             if node.parent is not None:
                 core.add(id(node.parent))
+        if inside and not node.never and (id(node) in held or article):  # what never belongs holds no article of the page
+            held.add(id(node))
+            if node.parent is not None:
+                held.add(id(node.parent))
+        if inside:
+            text[id(node)] = 0 if by_itself(node) else sum(text[id(x)] if isinstance(x, Node) else sum(map(len, x.split())) for x in node.items)
     for node in order:
-        by_hint = hints and node.hinted and id(node) not in core and node.tag not in ("article", "main")
-        node.drop = node.never or by_hint or (node.parent is not None and node.parent.drop)
+        by_form = node.wraps and id(node) not in held and 2 * text[id(node)] <= text[id(root)]
+        node.drop = by_itself(node) or by_form or (node.parent is not None and node.parent.drop)
 
 
 def parse(page: str) -> Node:
