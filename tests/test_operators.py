@@ -94,6 +94,19 @@ def test_anonymised_output_has_no_ids(spark):
         assert "t-1" not in text and "m-1" not in text and "more" not in text
 
 
+def test_tool_entities_at_any_depth(spark):
+    deep = '{"path":"/deep"}'
+    for _ in range(300):
+        deep = '{"a":[%s]}' % deep
+    arguments = [
+        '{"files":[{"path":"/a"},{"x":[{"url":"u1"}]},"/no",5]}', '{"a":{"b":{"c":{"d":{"e":{"key":"k6"}}}}}}', deep, '{"file":"[draft] b","id":7,"ref":"","name":null,"target":true}', '[{"path":"/top"}]', "no json", None, "{}",
+        '{"id":%s,"uri":"u2"}' % ("9" * 5000), '{"entity":"\\ud800"}', '{"path":"{\\"path\\":\\"/in a text\\"}"}',
+    ]
+    rows = spark.createDataFrame([("t", 0, i, "run", a) for i, a in enumerate(arguments)], "trajectory_id string, ts int, event_id int, action string, arguments string")
+    got = sorted(r.entity_id for r in D.tool_entities(rows).collect())
+    assert got == sorted(["tool:run", "file:/a", "url:u1", "reference:k6", "file:/deep", "file:[draft] b", "url:u2", "reference:?", 'file:{"path":"/in a text"}'])
+
+
 def test_page_ties_and_nulls(spark):
     rows = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("d", None), ("e", None), ("f", 2)], "id string, created_at int")
     seen, cursor = [], None

@@ -7,8 +7,10 @@ by trajectory serves them.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -140,26 +142,49 @@ def trajectory_text(messages: DataFrame, first: int = 3, cut: int = 500) -> Data
 ENTITY_KEYS = ("id", "name", "file", "path", "url", "uri", "resource", "entity", "key", "ref", "target")
 
 
-def tool_entities(calls: DataFrame, depth: int = 4) -> DataFrame:
-    """Entities of a trajectory: its tools, and string arguments whose key names one, down to ``depth`` levels of JSON.
+def entity_arguments(text: str | None) -> list[dict]:
+    """(level, key, value) of the non-empty strings whose key points at an entity, in a JSON object, the objects in it and those in its lists, at any depth.
 
-    (trajectory_id, entity_id, entity_type, name), first seen kept.  Keys below ``depth`` are not visited.
+    What isn't a JSON object has none.  The parser's own limit of nesting raises: no depth is left out silently.
     """
+    try:
+        top = json.loads(text or "null", parse_int=float)
+    except json.JSONDecodeError:
+        return []
+    found, todo = [], [(1, top)] if isinstance(top, dict) else []
+    while todo:
+        level, node = todo.pop()
+        for key, value in node.items():
+            if isinstance(value, str):
+                if value and any(k in key.lower() for k in ENTITY_KEYS):
+                    found.append({"level": level, "key": _valid(key), "value": _valid(value)})
+            else:
+                todo.extend((level + 1, x) for x in (value if isinstance(value, list) else [value]) if isinstance(x, dict))
+    return found
+
+
+def _valid(text: str) -> str:
+    """The text with half surrogates, which JSON can escape, as question marks."""
+    return text.encode("utf-8", "replace").decode()
+
+
+def tool_entities(calls: DataFrame) -> DataFrame:
+    """Entities of a trajectory: its tools, and string arguments at any depth whose key names one.
+
+    (trajectory_id, entity_id, entity_type, name), first seen kept.
+    """
+    kind_of = pa.list_(pa.struct([("level", pa.int32()), ("key", pa.string()), ("value", pa.string())]))
+
+    def walk(texts: pa.Array) -> pa.Array:
+        return pa.array([entity_arguments(x) for x in texts.to_pylist()], type=kind_of)
+
+    named = F.arrow_udf(walk, "array<struct<level:int,key:string,value:string>>")
     tools = calls.select("trajectory_id", "ts", "event_id", F.lit(0).alias("level"), F.concat(F.lit("tool:"), "action").alias("entity_id"), F.lit("tool").alias("entity_type"), F.col("action").alias("name"))
-    level = calls.select("trajectory_id", "ts", "event_id", F.col("arguments").alias("json"))
-    found = [tools]
-    for d in range(1, depth + 1):
-        pairs = level.select("trajectory_id", "ts", "event_id", F.explode(F.from_json("json", "map<string,string>")).alias("key", "value"))
-        key, value = F.lower("key"), F.col("value")
-        is_text = ~value.rlike(r"^\s*[\[{]")
-        kind = F.when(key.rlike("url|uri") | value.rlike("^https?://"), "url").when(key.rlike("file|path"), "file").when(key.contains("resource"), "resource").otherwise("reference")
-        hit = pairs.where(key.rlike("|".join(ENTITY_KEYS)) & is_text & (F.length(value) > 0))
-        found.append(hit.select("trajectory_id", "ts", "event_id", F.lit(d).alias("level"), F.concat(kind, F.lit(":"), value).alias("entity_id"), kind.alias("entity_type"), value.alias("name")))
-        level = pairs.where(value.rlike(r"^\s*\{")).select("trajectory_id", "ts", "event_id", value.alias("json"))
-    rows = found[0]
-    for f in found[1:]:
-        rows = rows.unionByName(f)
-    return first_seen(rows, ["trajectory_id", "entity_id"], ["ts", "event_id", "level", "name"]).select("trajectory_id", "entity_id", "entity_type", "name")
+    pairs = calls.select("trajectory_id", "ts", "event_id", F.inline(named("arguments")))
+    key, value = F.lower("key"), F.col("value")
+    kind = F.when(key.rlike("url|uri") | value.rlike("^https?://"), "url").when(key.rlike("file|path"), "file").when(key.contains("resource"), "resource").otherwise("reference")
+    hits = pairs.select("trajectory_id", "ts", "event_id", "level", F.concat(kind, F.lit(":"), value).alias("entity_id"), kind.alias("entity_type"), value.alias("name"))
+    return first_seen(tools.unionByName(hits), ["trajectory_id", "entity_id"], ["ts", "event_id", "level", "name"]).select("trajectory_id", "entity_id", "entity_type", "name")
 
 
 def first_seen(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
