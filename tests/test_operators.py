@@ -17,6 +17,7 @@ from tracklight.operators import privacy as P
 from tracklight.operators import search as S
 from tracklight.operators import text as T
 from tracklight.operators import windows as W
+from tracklight.plans import registry
 from tracklight.sources import io
 
 
@@ -82,6 +83,16 @@ def test_inverted_lists_recall(spark):
     assert indexed.count() == rows.count()
 
 
+def test_v26_finds_neighbours_of_all_stated_queries(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    monkeypatch.setattr(S.blocks, "__defaults__", (3,))
+    t = registry.Tables(spark, sf)
+    queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    got = registry.QUERIES["v26_ivf"](spark, sf).cache()
+    assert {r.query_id for r in got.select("query_id").distinct().collect()} == {r.query_id for r in queries.select("query_id").collect()}
+    assert S.recall(got, S.best(S.scored(queries, t.v_trajectories), 10)).first().recall >= 0.9
+
+
 def test_nest_and_flatten_are_inverse(spark):
     d = spark.createDataFrame([("a", 0, 0, "x"), ("a", 0, 1, "y"), ("a", 3, 0, "z"), ("b", 1, 0, "x")], "trajectory_id string, turn_index int, decision_index int, action string")
     assert sorted(map(tuple, D.flatten_decisions(D.nest_decisions(d)).collect())) == sorted(map(tuple, d.collect()))

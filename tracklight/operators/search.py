@@ -28,14 +28,17 @@ def blocks(queries: DataFrame, key: str, block: int = QUERY_BLOCK) -> list[DataF
     return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
+def crossed(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each row with each query, a block of queries at a time."""
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(b), F.lit(True)) for b in blocks(queries, queries.columns[0])])
+
+
 def scored(queries: DataFrame, rows: DataFrame, query_vector: str = "query_embedding", vector: str = "embedding") -> DataFrame:
     """Each query with each row that has a vector, and their cosine; norms are computed once for each side."""
     q = queries.withColumn("__qn", X.norm(query_vector))
     r = rows.where(F.col(vector).isNotNull()).withColumn("__rn", X.norm(vector))
-    parts = [r.join(F.broadcast(b), F.lit(True)) for b in blocks(q, q.columns[0])]
     size = F.col("__qn") * F.col("__rn")
-    all_ = reduce(DataFrame.unionByName, parts)
-    return all_.withColumn("similarity", F.when(size == 0, 0.0).otherwise(X.dot(query_vector, vector) / size)).drop("__qn", "__rn")
+    return crossed(q, r).withColumn("similarity", F.when(size == 0, 0.0).otherwise(X.dot(query_vector, vector) / size)).drop("__qn", "__rn")
 
 
 def best(rows: DataFrame, k: int, by: Sequence[str] = ("query_id",), score: str = "similarity", tie: str = "trajectory_id") -> DataFrame:
@@ -189,11 +192,15 @@ def inverted_lists(rows: DataFrame, lists: int, seed: int = 7, sample: int = 20_
 
 
 def probe(queries: DataFrame, indexed: DataFrame, model, nprobe: int, k: int) -> DataFrame:
-    """Top k of each query within its ``nprobe`` nearest lists, by exact cosine: an equi-join on the list."""
+    """Top k of each query within its ``nprobe`` nearest lists, by exact cosine: an equi-join on the list for each block of queries."""
     centres = queries.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "list int, centre array<double>")
-    near = best(queries.join(F.broadcast(centres)).withColumn("similarity", X.cosine("query_embedding", "centre")), nprobe, tie="list").select("query_id", "query_embedding", "list")
-    met = indexed.join(F.broadcast(near), "list").withColumn("similarity", X.cosine("query_embedding", "embedding"))
-    return best(met, k)
+
+    def met(block: DataFrame) -> DataFrame:
+        near = best(block.join(F.broadcast(centres)).withColumn("similarity", X.cosine("query_embedding", "centre")), nprobe, tie="list").select("query_id", "query_embedding", "list")
+        return indexed.join(F.broadcast(near), "list")
+
+    found = reduce(DataFrame.unionByName, [met(b) for b in blocks(queries, "query_id")])
+    return best(found.withColumn("similarity", X.cosine("query_embedding", "embedding")), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
