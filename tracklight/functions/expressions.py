@@ -28,14 +28,16 @@ def has_error(text: Column | str, profile: str = "full") -> Column:
     return F.coalesce(F.lower(_col(text)).rlike("|".join(ERROR_WORDS[profile])), F.lit(False))
 
 
+# Words of a failed response and the error type that the first match names.
+ERROR_TYPES = ((("timeout",), "Timeout"), (("validation",), "ValidationError"), (("permission", "auth"), "PermissionError"), (("not found",), "NotFoundError"), (("error", "exception"), "Error"))
+
+
 def error_type(text: Column | str) -> Column:
-    """First matching kind: timeout, validation, permission, not found, error; else null."""
-    low = F.lower(_col(text))
-    has = lambda *words: F.coalesce(low.rlike("|".join(words)), F.lit(False))
-    return (
-        F.when(has("timeout"), "timeout").when(has("validation"), "validation_error").when(has("permission", "auth"), "permission_error")
-        .when(has("not found"), "not_found").when(has("error", "exception"), "execution_error")
-    )
+    """The type that the first matching words name; else null."""
+    low, out = F.lower(_col(text)), F.lit(None).cast("string")
+    for words, name in reversed(ERROR_TYPES):
+        out = F.when(F.coalesce(low.rlike("|".join(words)), F.lit(False)), name).otherwise(out)
+    return out
 
 
 def summarise_result(text: Column | str, limit: int = 200, dots: bool = True) -> Column:
@@ -101,11 +103,23 @@ def slug(text: Column | str, limit: int = 50) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(s, r"[\s_]+", "-"), "-+", "-"), 1, limit)
 
 
+# Names that some systems keep for devices.
+DEVICES = ("con", "prn", "aux", "nul", "clock$", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10)))
+
+
+def split_extension(name: Column) -> tuple[Column, Column]:
+    """A file name's base and extension (from its last dot; leading dots begin none)."""
+    ext = F.regexp_extract(name, r"[^.].*?(\.[^.]*)$", 1)
+    return F.substring(name, F.lit(1), F.length(name) - F.length(ext)), ext
+
+
 def sanitise_file_name(name: Column | str, limit: int = 255) -> Column:
-    """Path parts and control characters out of a file name; an empty name becomes ``file``."""
-    base = F.regexp_replace(_col(name), r"^.*[/\\]", "")
-    clean = F.substring(F.regexp_replace(base, r'[<>:"|?*\x00-\x1f]', "_"), 1, limit)
-    return F.when(F.length(F.trim(clean)) > 0, clean).otherwise("file")
+    """The last path part of a name without control and reserved characters or trailing blanks and dots in its base, an
+    underscore after a device's name, the base cut so that all fits ``limit``; null if the base begins with a dot."""
+    base, ext = split_extension(F.regexp_replace(_col(name), r"^.*/", ""))
+    clean = F.regexp_replace(F.regexp_replace(base, r'[\x00-\x1f\x7f/\\:*?"<>|]', ""), r"[ .]+$", "")
+    free = F.when(F.lower(clean).isin(*DEVICES), F.concat(clean, F.lit("_"))).otherwise(clean)
+    return F.when(~clean.startswith("."), F.concat(F.substring(free, F.lit(1), F.lit(limit) - F.length(ext)), ext))
 
 
 def time_ago(then: Column | str, now: Column) -> Column:
@@ -139,3 +153,13 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine similarity; 0 where a norm is 0."""
     size = norm(a) * norm(b)
     return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
+
+
+def bucket_of(value: Column | str, marks: Sequence) -> Column:
+    """How many of the sorted constants ``marks`` are below the value, by binary search."""
+    if not len(marks):
+        return F.lit(0)
+    v, n = _col(value), len(marks)
+    constants = F.array(*[F.lit(m) for m in marks])
+    steps = [1 << s for s in range(n.bit_length() - 1, -1, -1)]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, by: F.when((at + by <= n) & (F.get(constants, at + by - 1) < v), at + by).otherwise(at))

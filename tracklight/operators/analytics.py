@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .listing import ranked
+
 
 def success_rate(decisions: DataFrame, by: str = "action") -> DataFrame:
     """Share of successes; rows without a verdict do not count."""
@@ -32,21 +34,32 @@ def turn_counts(decisions: DataFrame) -> DataFrame:
 def duration_stats(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """min, max, mean and the upper median (element floor(n/2) in ascending order, from 0), per group.
 
-    The rank is taken over distinct values with running counts, so repeated values cost one row each.
+    Repeated values are counted first, and ranks are taken range by range, so a group of any size is spread.
     """
     keys = list(by)
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("m"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    up = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumns({"upto": F.sum("m").over(up), "n": F.sum("m").over(w)})
-    median = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col(value)))
-    return ranked.groupBy(*keys).agg(F.min(value).alias("min_value"), F.max(value).alias("max_value"), (F.sum(F.col(value) * F.col("m")) / F.sum("m")).alias("mean_value"), median.alias("median_value"))
+    seen = ranked(counts, value, keys, "m")
+    median = F.min(F.when(F.col("__upto") > F.floor(F.col("__n") / 2), F.col(value)))
+    return seen.groupBy(*keys).agg(F.min(value).alias("min_value"), F.max(value).alias("max_value"), (F.sum(F.col(value) * F.col("m")) / F.sum("m")).alias("mean_value"), median.alias("median_value"))
+
+
+def cumulative_share(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with ``share``: the part of the group's rows that have at most this value."""
+    return ranked(rows, value, by).withColumn("share", F.col("__upto") / F.col("__n")).drop("__upto", "__n")
+
 
+def histogram(rows: DataFrame, value: str, buckets: int = 10, percent: bool = False) -> DataFrame:
+    """Counts of [0, 1] values in equal bins, 1.0 in the last, in numeric order.
 
-def histogram(rows: DataFrame, value: str, buckets: int = 10) -> DataFrame:
-    """Counts of [0, 1] values in equal bins; 1.0 falls into the last; labels ``0.0-0.1`` in numeric order."""
-    bin_ = F.least(F.floor(F.col(value) * buckets), F.lit(buckets - 1)).cast("int")
-    label = F.format_string("%.1f-%.1f", F.col("bin") / buckets, (F.col("bin") + 1) / buckets)
+    Labels are ``0.0-0.1``, of bins by ``value * buckets``; with ``percent`` they are ``0-10%``, of bins by
+    ``value / (1 / buckets)``, which differ in the last bit (0.3 falls into ``20-30%``).
+    """
+    at = F.col(value) / F.lit(1.0 / buckets) if percent else F.col(value) * buckets
+    bin_ = F.least(F.floor(at), F.lit(buckets - 1)).cast("int")
+    width = 100 / buckets
+    form = "%d-%d%%" if width.is_integer() else "%.1f-%.1f%%"
+    edge = lambda x: (x * 100 / buckets).cast("int") if width.is_integer() else x * 100 / buckets
+    label = F.format_string(form, edge(F.col("bin")), edge(F.col("bin") + 1)) if percent else F.format_string("%.1f-%.1f", F.col("bin") / buckets, (F.col("bin") + 1) / buckets)
     return rows.where(F.col(value).isNotNull()).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")).withColumn("label", label)
 
 
@@ -137,25 +150,31 @@ def run_usage(steps: DataFrame) -> DataFrame:
     )
 
 
+#: Token counts of a step, the price that each is billed at, and the name of its cost.
+BILLED = (
+    ("prompt_tokens", "input", "input_cost"), ("completion_tokens", "output", "output_cost"), ("cached_tokens", "cached", "cached_cost"), ("cache_write_tokens", "cache_write", "cache_write_cost"),
+    ("reasoning_tokens", "reasoning", "reasoning_cost"),
+)
+#: A price list of at most so many rows is broadcast; a longer one is joined by a shuffle.
+PRICES = 100_000
+
+
 def step_cost(steps: DataFrame, prices: DataFrame) -> DataFrame:
-    """USD of each step: price by exact model name, else without the provider prefix, else by its first three dash parts.
+    """USD of each step and kind of token: price by exact model name, else without the provider prefix, else by the
+    name's first three dash parts.
 
-    The price list has a row for each model; it is broadcast, being a maintained constant.
+    Every count is billed in full (prompt tokens include cached ones); a missing price of a listed model is 0; a count
+    that is null or 0 has no cost, nor has a model without a price; a total of 0 is null.
     """
-    short = F.regexp_replace("model", r"^[^/]*/", "")
-    three = F.concat_ws("-", F.slice(F.split(short, "-"), 1, 3))
+    few = "broadcast" if prices.count() <= PRICES else "merge"
+    short, three = F.regexp_replace("model", r"^[^/]*/", ""), F.concat_ws("-", F.slice(F.split("model", "-"), 1, 3))
     out, found = steps, []
     for i, key in enumerate((F.col("model"), short, three)):
-        p = F.broadcast(prices.select(F.col("model").alias(f"m{i}"), F.struct("input", "output", "cached").alias(f"p{i}")))
-        out = out.join(p, key == F.col(f"m{i}"), "left")
+        p = prices.select(F.col("model").alias(f"m{i}"), F.struct(*[F.coalesce(price, F.lit(0.0)).alias(price) for _, price, _ in BILLED]).alias(f"p{i}"))
+        out = out.join(p.hint(few), key == F.col(f"m{i}"), "left")
         found.append(F.col(f"p{i}"))
     price = F.coalesce(*found)
-    cached = F.coalesce("cached_tokens", F.lit(0))
-    million = 1_000_000.0
-    parts = {
-        "input_cost": (F.col("prompt_tokens") - F.least(cached, "prompt_tokens")) * price["input"] / million,
-        "cached_cost": cached * price["cached"] / million, "output_cost": F.col("completion_tokens") * price["output"] / million,
-    }
+    parts = {cost: F.when(F.col(count) > 0, F.col(count) / 1_000_000.0 * price[name]) for count, name, cost in BILLED}
     out = out.withColumns(parts).drop("m0", "m1", "m2", "p0", "p1", "p2")
     total = reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0.0)) for c in parts])
     return out.withColumn("total_cost", F.when(total > 0, total))

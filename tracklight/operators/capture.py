@@ -39,7 +39,7 @@ def run_metadata(steps: DataFrame, messages: DataFrame) -> tuple[DataFrame, Data
         F.array_sort(F.collect_set("model")).alias("models"),
     )
     m = messages.groupBy("run_id").agg(
-        F.count("*").alias("message_count"), F.count_if(F.col("role") == "user").alias("user_messages"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("tools", F.array().cast("array<string>")))))).alias("tools_used"),
+        F.count("*").alias("message_count"), F.count_if(F.col("role") == "user").alias("user_messages"), F.count_if(F.size("tools") > 0).alias("tool_messages"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("tools", F.array().cast("array<string>")))))).alias("tools_used"),
     )
     return s, m
 
@@ -55,16 +55,29 @@ def run_turns(steps: DataFrame, messages: DataFrame) -> DataFrame:
     return full.groupBy("run_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
 
-def outcome(status: Column, stop_reason: Column, user_messages: Column, tools: Column) -> Column:
-    """Execution status, confidence, reasons and the older type word, by rules on status and stop reason."""
-    done, ended = status == "completed", stop_reason.eqNullSafe("end_turn")
-    name = F.when(done & ended, "completed").when(done & stop_reason.eqNullSafe("max_tokens"), "incomplete").when(done, "completed").when(status.isin("failed", "cancelled"), "failed").otherwise("unknown")
-    base = F.when(done & ended, 0.8).when(done & stop_reason.eqNullSafe("max_tokens"), 0.5).when(done, 0.6).when(status == "failed", 0.9).when(status == "cancelled", 0.8).otherwise(0.3)
-    busy = done & (F.coalesce(user_messages, F.lit(0)) > 3)
+# The reasons that an outcome states.
+REASONS = {
+    "completed": "Run completed without errors", "end_turn": "Agent naturally ended turn", "max_tokens": "Hit token limit (may be incomplete)", "failed": "Run failed with error", "error": "Error: %s",
+    "cancelled": "Run was cancelled", "busy": "High user engagement (%d user messages)", "tools": "Used %d tool calls",
+}
+
+
+def outcome(status: Column, stop_reason: Column, user_messages: Column, tool_messages: Column, error: Column | None = None) -> Column:
+    """Execution status, confidence, reasons and the older type word, by rules on status and stop reason.
+
+    More than three user messages raise the confidence of completed runs only; ``error`` is what a failed run recorded.
+    """
+    done, ended, full = status == "completed", stop_reason.eqNullSafe("end_turn"), stop_reason.eqNullSafe("max_tokens")
+    users, tools = F.coalesce(user_messages, F.lit(0)), F.coalesce(tool_messages, F.lit(0))
+    name = F.when(done & full, "incomplete").when(done, "completed").when(status.isin("failed", "cancelled"), "failed").otherwise("unknown")
+    base = F.when(done & ended, 0.8).when(done & full, 0.5).when(done, 0.7).when(status == "failed", 0.9).when(status == "cancelled", 0.8).otherwise(0.5)
+    busy = (name == "completed") & (users > 3)
     confidence = F.least(F.lit(1.0), base + F.when(busy, 0.1).otherwise(0.0))
+    said = F.lit(None).cast("string") if error is None else error
     reasons = F.array_compact(F.array(
-        F.when(done & ended, "ended normally"), F.when(done & stop_reason.eqNullSafe("max_tokens"), "stopped at the token limit"), F.when(status == "failed", "run failed"), F.when(status == "cancelled", "run cancelled"),
-        F.when(F.coalesce(F.size(tools), F.lit(0)) > 0, "tools were used"), F.when(busy, "several user messages"),
+        F.when(done, REASONS["completed"]), F.when(done & ended, REASONS["end_turn"]), F.when(done & full, REASONS["max_tokens"]), F.when(status == "failed", REASONS["failed"]),
+        F.when((status == "failed") & said.isNotNull(), F.format_string(REASONS["error"], said)), F.when(status == "cancelled", REASONS["cancelled"]),
+        F.when(busy, F.format_string(REASONS["busy"], users)), F.when(tools > 0, F.format_string(REASONS["tools"], tools)),
     ))
     kind = F.when(name == "completed", "success").when(name == "incomplete", "partial_success").when(name == "failed", "failure").otherwise("unknown")
     return F.struct(name.alias("status"), F.round(confidence, 6).alias("confidence"), reasons.alias("reasoning"), kind.alias("type"))
@@ -73,7 +86,7 @@ def outcome(status: Column, stop_reason: Column, user_messages: Column, tools: C
 def build_trajectories(runs: DataFrame, steps: DataFrame, messages: DataFrame) -> DataFrame:
     """One nested trajectory for each run: run_id, metadata, turns, outcome.
 
-    runs: run_id, agent_id, status, stop_reason, created_at, completed_at.  steps: run_id, step_no, model,
+    runs: run_id, agent_id, status, stop_reason, created_at, completed_at (and error, if known).  steps: run_id, step_no, model,
     prompt_tokens, completion_tokens.  messages: run_id, step_no, seq, message_id, role, text, tools.
     """
     s, m = run_metadata(steps, messages)
@@ -85,7 +98,7 @@ def build_trajectories(runs: DataFrame, steps: DataFrame, messages: DataFrame) -
         F.col("created_at").alias("start_time"), F.col("completed_at").alias("end_time"), ns.alias("duration_ns"), "status", "stop_reason", zero("step_count").alias("step_count"), zero("message_count").alias("message_count"),
         F.coalesce("tools_used", strings).alias("tools_used"), zero("input_tokens").alias("input_tokens"), zero("output_tokens").alias("output_tokens"), (zero("input_tokens") + zero("output_tokens")).alias("total_tokens"), F.coalesce("models", strings).alias("models"),
     )
-    return whole.select("run_id", "agent_id", meta.alias("metadata"), "turns", outcome(F.col("status"), F.col("stop_reason"), F.col("user_messages"), F.col("tools_used")).alias("outcome"))
+    return whole.select("run_id", "agent_id", meta.alias("metadata"), "turns", outcome(F.col("status"), F.col("stop_reason"), F.col("user_messages"), F.col("tool_messages"), F.col("error") if "error" in runs.columns else None).alias("outcome"))
 
 
 def to_analytic(trajectories: DataFrame) -> DataFrame:
@@ -117,26 +130,34 @@ def context_resources(calls: DataFrame, uri: Column) -> DataFrame:
     return once.groupBy("trajectory_id").agg(F.transform(listed, lambda r: r["uri"]).alias("resources"))
 
 
-def fallback_summary(parts: Sequence[tuple[str, Column]]) -> Column:
-    return X.labelled(parts)
+def fallback_summary(request: Column, completed: Column, feedback: Column, size: Column) -> Column:
+    """Request, status and feedback, those that are known; without any, the size of the trace in bytes."""
+    status = F.when(completed, "Completed").when(~completed, "Abandoned")
+    known = X.labelled([("User request", request), ("Status", status), ("Feedback", feedback)])
+    return F.when(known != "", known).otherwise(F.format_string("Agent execution trace with %d bytes", size))
 
 
-# Words of feedback that raise or lower the fallback score.
-PRAISE, COMPLAINT = ("thank", "great", "perfect", "good"), ("wrong", "bad", "error", "fail")
+# Words of feedback that raise, or else lower, the fallback score, and the reasons given for it.
+PRAISE, COMPLAINT = ("good", "great", "loved", "excellent", "perfect"), ("bad", "poor", "didn't", "not")
+DONE, NOT_DONE, LIKED, DISLIKED, NOTHING = "Task completed", "Task not completed", "Positive user feedback", "Negative user feedback", "no clear signals"
 
 
-def fallback_score(status: Column, feedback: Column) -> Column:
-    """0.5, +-0.2 for how the run ended, +-0.2 for words of feedback, within [0, 1]."""
-    low = F.lower(F.coalesce(feedback, F.lit("")))
-    ended = F.when(status == "completed", 0.2).when(status == "failed", -0.2).otherwise(0.0)
-    said = F.when(low.rlike("|".join(PRAISE)), 0.2).otherwise(0.0) - F.when(low.rlike("|".join(COMPLAINT)), 0.2).otherwise(0.0)
-    return F.round(X.clamp(0.5 + ended + said), 6)
+def fallback_score(outcome: Column) -> Column:
+    """(score, reasoning) of an outcome (completed, feedback): 0.5, 0.2 up or down for its end (unknown counts as not
+    completed), 0.2 up for praise or else down for a complaint; 0.5 for a null outcome."""
+    known, done, low = outcome.isNotNull(), F.coalesce(outcome["completed"], F.lit(False)), F.lower(F.coalesce(outcome["feedback"], F.lit("")))
+    praise, complaint = low.rlike("|".join(PRAISE)), low.rlike("|".join(COMPLAINT))
+    ended = F.when(~known, 0.0).when(done, 0.2).otherwise(-0.2)
+    said = F.when(~known, 0.0).when(praise, 0.2).when(complaint, -0.2).otherwise(0.0)
+    reasons = F.array_compact(F.array(F.when(known & done, DONE).when(known, NOT_DONE), F.when(known & praise, LIKED).when(known & complaint, DISLIKED)))
+    why = F.when(F.size(reasons) > 0, F.array_join(reasons, ", ")).otherwise(NOTHING)
+    return F.struct(F.round(X.clamp(0.5 + ended + said), 6).alias("score"), F.concat(F.lit("Heuristic score based on: "), why).alias("reasoning"))
 
 
 def fallback_labels(turns: Column, tools: Column, messages: Column) -> Column:
     """Complexity by turns, and tags by tools and length."""
     level = F.when(turns <= 2, "simple").when(turns >= 10, "complex").otherwise("moderate")
-    tags = F.array_compact(F.array(F.when(tools > 0, "tool_usage"), F.when(messages > 10, "long_conversation")))
+    tags = F.array_compact(F.array(F.when(tools > 0, "tool_usage"), F.when(messages > 10, "extended_interaction")))
     return F.struct(level.alias("complexity"), F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("general"))).alias("tags"))
 
 

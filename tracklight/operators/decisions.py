@@ -48,7 +48,7 @@ def match_responses(calls: DataFrame, responses: DataFrame, scope: str = "turn")
 def judge(decisions: DataFrame, profile: str = "full", summary: int = 200) -> DataFrame:
     """success (true without a response), error_type, result_summary."""
     failed = X.has_error("response_text", profile)
-    return decisions.withColumns({"success": ~failed, "error_type": F.when(failed, F.coalesce(X.error_type("response_text"), F.lit("unknown"))), "result_summary": X.summarise_result("response_text", summary)})
+    return decisions.withColumns({"success": ~failed, "error_type": F.when(failed, F.coalesce(X.error_type("response_text"), F.lit("tool_error"))), "result_summary": X.summarise_result("response_text", summary)})
 
 
 def parse_arguments(arguments: Column | str) -> Column:
@@ -96,10 +96,10 @@ def flatten_decisions(trajectories: DataFrame) -> DataFrame:
 
 
 def fill_missing_turns(trajectories: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Turns with decisions keep them; turns without get the extracted ones."""
+    """Turns with decisions keep them; turns without get the extracted ones.  Both sides are shuffled by turn."""
     have = trajectories.select("trajectory_id", F.explode("turns").alias("t")).select("trajectory_id", "t.*")
     more = extracted.groupBy(*TURN).agg(F.array_sort(F.collect_list(F.struct("decision_index", "decision_id", "action"))).alias("extracted"))
-    return have.join(more, TURN, "left").select(*TURN, F.when(F.size("decisions") > 0, F.col("decisions")).otherwise(F.coalesce("extracted", F.col("decisions"))).alias("decisions"))
+    return have.join(more.hint("merge"), TURN, "left").select(*TURN, F.when(F.size("decisions") > 0, F.col("decisions")).otherwise(F.coalesce("extracted", F.col("decisions"))).alias("decisions"))
 
 
 def prefer_stored(stored: DataFrame, programmatic: DataFrame) -> DataFrame:
@@ -108,25 +108,49 @@ def prefer_stored(stored: DataFrame, programmatic: DataFrame) -> DataFrame:
     return stored.withColumn("origin", F.lit("stored")).unionByName(programmatic.join(ids, "trajectory_id", "left_anti").withColumn("origin", F.lit("programmatic")))
 
 
-def searchable_text() -> Column:
-    """Text that decision search indexes."""
+def searchable_text(rationale: Column | None = None) -> Column:
+    """Text that decision search indexes: action, type, rationale (500 characters), outcome, error, result (200)."""
+    why = F.substring(F.lit(None).cast("string") if rationale is None else rationale, 1, 500)
     return X.labelled([
-        ("Action", F.col("action")), ("Type", F.col("decision_type")), ("Outcome", F.when(F.col("success"), "success").otherwise("failure")),
-        ("Error", F.col("error_type")), ("Result", F.substring("response_text", 1, 200)),
+        ("Action", F.col("action")), ("Type", F.col("decision_type")), ("Rationale", F.when(why != "", why)), ("Outcome", F.when(F.col("success"), "success").otherwise("failure")),
+        ("Error", F.col("error_type")), ("Result", _said(F.substring("response_text", 1, 200))),
     ])
 
 
+def _said(text: Column) -> Column:
+    """The text, null if it is empty."""
+    return F.when(text != "", text)
+
+
+def embed_decisions(decisions: DataFrame, embed: Callable[[DataFrame], DataFrame], builder: Callable[[], Column] = searchable_text, name: str = "searchable_text") -> DataFrame:
+    """Decisions with the text that ``builder`` makes of a row's columns, and what ``embed`` adds to it."""
+    return embed(decisions.withColumn(name, builder()))
+
+
 def arguments_summary(arguments: Column, most: int = 5, each: int = 50, total: int = 100) -> Column:
-    """Sorted ``key=value`` pairs: so many, each value and the whole cut."""
-    pairs = F.slice(F.array_sort(F.map_entries(arguments)), 1, most)
-    return F.substring(F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), F.substring(e["value"], 1, each))), ", "), 1, total)
+    """``key=value`` of the first arguments of a JSON object, in its order: so many, long strings cut with three dots,
+    nested values as their kind, the whole cut."""
+    entries = F.slice(F.map_entries(F.from_json(arguments, "map<string,variant>")), 1, most)
+
+    def shown(e: Column) -> Column:
+        kind, text = F.schema_of_variant(e["value"]), F.try_variant_get(e["value"], "$", "string")
+        cut = F.when((kind == "STRING") & (F.length(text) > each), F.concat(F.substring(text, 1, each - 3), F.lit("..."))).otherwise(text)
+        # How nested values, truth values and nothing are written.
+        value = F.when(kind.startswith("OBJECT"), "<dict>").when(kind.startswith("ARRAY"), "<list>").when(kind == "BOOLEAN", F.initcap(text)).when(e["value"].isNull() | (kind == "VOID"), "None").otherwise(cut)
+        return F.concat(e["key"], F.lit("="), value)
+
+    return F.substring(F.array_join(F.transform(entries, shown), ", "), 1, total)
 
 
-def embedding_text() -> Column:
-    """Text that a decision's embedding is made from."""
+def embedding_text(context: Column | None = None, available: Column | None = None, rationale: Column | None = None, alternatives: Column | None = None) -> Column:
+    """Text that a decision's embedding is made from; ``available`` and ``alternatives`` (the first three) are arrays."""
+    none = F.lit(None).cast("string")
+    listed = lambda a: none if a is None else F.when(F.size(a) > 0, F.array_join(a, ", "))
+    summary = F.when(F.size(F.from_json("arguments", "map<string,variant>")) > 0, arguments_summary(F.col("arguments")))
     return X.labelled([
-        ("Type", F.coalesce("decision_type", F.lit("unknown"))), ("Action", F.col("action")), ("Arguments", arguments_summary(parse_arguments("arguments"))),
-        ("Outcome", F.when(F.col("success"), "success").otherwise("failure")), ("Result", F.substring("response_text", 1, 200)),
+        ("Decision type", F.coalesce("decision_type", F.lit("unknown"))), ("Context", none if context is None else _said(context)), ("Available actions", listed(available)), ("Action", F.col("action")),
+        ("Arguments", summary), ("Rationale", none if rationale is None else _said(rationale)), ("Outcome", F.when(F.col("success"), "Success").otherwise("Failure")),
+        ("Result", _said(F.substring("response_text", 1, 200))), ("Alternatives considered", listed(None if alternatives is None else F.slice(alternatives, 1, 3))),
     ])
 
 
@@ -171,7 +195,8 @@ def _valid(text: str) -> str:
 def tool_entities(calls: DataFrame) -> DataFrame:
     """Entities of a trajectory: its tools, and string arguments at any depth whose key names one.
 
-    (trajectory_id, entity_id, entity_type, name), first seen kept.
+    (trajectory_id, entity_id, entity_type, name), first seen kept.  The key alone tells the type: file, url, resource (ids)
+    or reference.
     """
     kind_of = pa.list_(pa.struct([("level", pa.int32()), ("key", pa.string()), ("value", pa.string())]))
 
@@ -182,7 +207,7 @@ def tool_entities(calls: DataFrame) -> DataFrame:
     tools = calls.select("trajectory_id", "ts", "event_id", F.lit(0).alias("level"), F.concat(F.lit("tool:"), "action").alias("entity_id"), F.lit("tool").alias("entity_type"), F.col("action").alias("name"))
     pairs = calls.select("trajectory_id", "ts", "event_id", F.inline(named("arguments")))
     key, value = F.lower("key"), F.col("value")
-    kind = F.when(key.rlike("url|uri") | value.rlike("^https?://"), "url").when(key.rlike("file|path"), "file").when(key.contains("resource"), "resource").otherwise("reference")
+    kind = F.when(key.rlike("file|path"), "file").when(key.rlike("url|uri"), "url").when(key.contains("id"), "resource").otherwise("reference")
     hits = pairs.select("trajectory_id", "ts", "event_id", "level", F.concat(kind, F.lit(":"), value).alias("entity_id"), kind.alias("entity_type"), value.alias("name"))
     return first_seen(tools.unionByName(hits), ["trajectory_id", "entity_id"], ["ts", "event_id", "level", "name"]).select("trajectory_id", "entity_id", "entity_type", "name")
 

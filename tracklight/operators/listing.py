@@ -6,7 +6,6 @@ a limit, which Spark plans as a top-k; set membership is a semi or anti join.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import expressions as X
+
 
 def scoped(df: DataFrame, organization_id: str, deleted: bool | None = None) -> DataFrame:
     """Rows of one organisation; optionally only those that are (not) deleted."""
@@ -144,14 +145,52 @@ def list_runs(
 
 
 def above_percentile(runs: DataFrame, value: str, p: float) -> DataFrame:
-    """Rows at or above a percentile (interpolated) of their own population."""
-    line = runs.agg(F.percentile(value, F.lit(p)).alias("__line"))
+    """Rows at or above a percentile (interpolated) of their own population.
+
+    Ranks come from counts of distinct values, range by range, so that no task sees all values.
+    """
+    counts = runs.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__m"))
+    seen = ranked(counts, value, weight="__m")
+    at = (F.col("__n") - 1) * F.lit(float(p))
+    of = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col(value)))
+    ends = seen.agg(of(F.floor(at)).cast("double").alias("lo"), of(F.ceil(at)).cast("double").alias("hi"), F.max(at - F.floor(at)).alias("part"))
+    line = ends.select((F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("__line"))
     return runs.join(F.broadcast(line), F.col(value) >= F.col("__line")).drop("__line")  # one row
 
 
-def glob_to_regex(pattern: str) -> str:
-    """A file-name glob as an anchored regular expression."""
-    return "(?i)^" + re.sub(r"\\\*", ".*", re.sub(r"\\\?", ".", re.escape(pattern))) + "$"
+#: Rows that one range of ``ranked`` holds on average, and its ranges at most (their bounds are a constant in the plan).
+RANGE_ROWS, RANGES = 1_000_000, 4_096
+
+
+def ranked(rows: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """``rows`` with ``__upto`` (rows of the group with at most this value) and ``__n`` (rows of the group).
+
+    Values are dealt to ranges between approximate quantiles; ranks inside a range come from a window, those of the ranges
+    before it from the ranges' totals.  So a group may hold any share of the rows without being in one task.
+    """
+    m = F.lit(1) if weight is None else F.col(weight)
+    n = rows.count()
+    ranges = max(1, min(RANGES, n // RANGE_ROWS))
+    marks = sorted(set(rows.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or [])) if ranges > 1 else []
+    dealt = rows.withColumn("__r", X.bucket_of(F.col(value), marks))
+    keys = [*by, "__r"]
+    totals = dealt.groupBy(*keys).agg(F.sum(m).alias("__here"))  # at most RANGES rows a group
+    w = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__here").over(w.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.withColumns({"__before": before, "__n": F.sum("__here").over(w)}).drop("__here")
+    same = [dealt[k].eqNullSafe(totals[k]) for k in keys]
+    met = dealt.join(totals.hint("merge"), reduce(lambda a, b: a & b, same)).drop(*[totals[k] for k in keys])
+    inside = F.sum(m).over(Window.partitionBy(*keys).orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
+    return met.withColumn("__upto", F.col("__before") + inside).drop("__before", "__r")
+
+
+def name_pattern(include: str) -> str:
+    """A file-name filter as a regular expression to search for (any case): a glob if it has a star and nothing that only
+    expressions have, anchored at its end alone; anything else is an expression already."""
+    glob = "*" in include and not set(include) & set("^$()[]{}\\+")
+    if glob:
+        include = "".join({".": r"\.", "*": ".*", "?": "."}.get(c, c) for c in include) + "$"
+    return "(?i)" + include
 
 
 def date_bounds(start: str | None, end: str | None, zone: str = "UTC") -> tuple[Column | None, Column | None]:

@@ -2,7 +2,7 @@
 
 A *table* of queries is matched against all rows in one job.  Query tables are measured before they are broadcast;
 larger ones are worked off in blocks.  The best k of each query come from partial top-k lists: every task keeps k rows
-a query (``max_by`` with k), so the corpus is never shuffled.
+a query, so the corpus is never shuffled.
 """
 
 from __future__ import annotations
@@ -10,7 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,27 +21,90 @@ from pyspark.sql.window import Window
 
 from ..functions import expressions as X
 
-#: Queries in one broadcast block.
-QUERY_BLOCK = 1_000
+#: Queries, and bytes of them, in one broadcast block.
+QUERY_BLOCK, BLOCK_BYTES = 1_000, 32 << 20
+#: Other small sides are broadcast up to so many rows, counted first; beyond it the same join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def blocks(queries: DataFrame, key: str, block: int = QUERY_BLOCK) -> list[DataFrame]:
-    """The query table in parts of about ``block`` rows, each small enough to broadcast."""
-    n = queries.count() // block + 1
+    """The query table in parts of about ``block`` rows and ``BLOCK_BYTES`` of vectors, each small enough to broadcast."""
+    wide = [F.size(f.name) * 8 if f.dataType.typeName() == "array" else F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in queries.schema.fields]
+    rows, size = queries.agg(F.count("*"), F.coalesce(F.sum(reduce(lambda a, b: a + b, wide)), F.lit(0))).first()
+    n = int(max(rows // block, size // BLOCK_BYTES)) + 1
     return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
-def crossed(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Each row with each query, a block of queries at a time."""
-    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(b), F.lit(True)) for b in blocks(queries, queries.columns[0])])
+def small(side: DataFrame) -> DataFrame:
+    """A side to join: broadcast if it is counted as small, else sorted and merged."""
+    return side.hint("broadcast" if side.count() <= BROADCAST_ROWS else "merge")
 
 
 def scored(queries: DataFrame, rows: DataFrame, query_vector: str = "query_embedding", vector: str = "embedding") -> DataFrame:
-    """Each query with each row that has a vector, and their cosine; norms are computed once for each side."""
-    q = queries.withColumn("__qn", X.norm(query_vector))
-    r = rows.where(F.col(vector).isNotNull()).withColumn("__rn", X.norm(vector))
-    size = F.col("__qn") * F.col("__rn")
-    return crossed(q, r).withColumn("similarity", F.when(size == 0, 0.0).otherwise(X.dot(query_vector, vector) / size)).drop("__qn", "__rn")
+    """Each query with each row that has a vector, and their cosine: all pairs, for checks on small tables only."""
+    pairs = [rows.where(F.col(vector).isNotNull()).join(F.broadcast(b), F.lit(True)) for b in blocks(queries, queries.columns[0])]
+    return reduce(DataFrame.unionByName, pairs).withColumn("similarity", X.cosine(query_vector, vector))
+
+
+def similarities(kind: str, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Of every query (rows of ``q``) with every row of ``r``: cosine, or 1 / (1 + Euclidean distance)."""
+    dot = r @ q.T
+    qq, rr = (q * q).sum(axis=1), (r * r).sum(axis=1)
+    if kind == "cosine":
+        size = np.sqrt(rr)[:, None] * np.sqrt(qq)[None, :]
+        return np.divide(dot, size, out=np.zeros_like(dot), where=size > 0)
+    out = np.empty_like(dot)
+    for i in range(len(q)):
+        out[:, i] = np.sqrt(((r - q[i]) ** 2).sum(axis=1))
+    return 1 / (1 + out)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, kind: str = "cosine", key: str = "trajectory_id", vector: str = "embedding", floor: float | None = None, places: int = 6) -> DataFrame:
+    """(query_id, key, similarity, rank): the k rows most similar to each query, ties by key; similarities are rounded to
+    ``places`` and those below ``floor`` do not count.
+
+    Each task multiplies Arrow batches of vectors with a broadcast block of query vectors and keeps k rows a query, so only
+    tasks x queries x k rows are shuffled, whatever the size of the table.
+    """
+    found = None
+    plain = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    fields = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField(key, rows.schema[key].dataType), T.StructField("similarity", T.DoubleType())]
+    for block in blocks(queries, "query_id"):
+        held = block.select("query_id", F.col("query_embedding").cast("array<double>").alias("v")).where("v is not null").collect()  # a block
+        if not held:
+            continue
+        shared = queries.sparkSession.sparkContext.broadcast(([r.query_id for r in held], np.array([r.v for r in held])))
+        part = plain.mapInArrow(lambda batches, s=shared: _best_of_task(batches, *s.value, k, kind, key, floor, places), T.StructType(fields))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], T.StructType(fields))
+    return best(found, k, tie=key)
+
+
+def _best_of_task(batches: Iterator[pa.RecordBatch], ids: list, q: np.ndarray, k: int, kind: str, key: str, floor: float | None, places: int) -> Iterator[pa.RecordBatch]:
+    keys: list[np.ndarray] = [np.zeros(0, object)] * len(ids)
+    scores: list[np.ndarray] = [np.zeros(0)] * len(ids)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        flat = pc.list_flatten(batch.column(1)).to_numpy(zero_copy_only=False)
+        here, found = np.array(batch.column(0).to_pylist(), object), np.round(similarities(kind, q, flat.reshape(batch.num_rows, -1)), places)
+        for i in range(len(ids)):
+            s = found[:, i]
+            least = -np.inf if floor is None else floor
+            if len(scores[i]) == k:
+                least = max(least, scores[i][-1])
+            on = np.flatnonzero(s >= least)
+            if not len(on):
+                continue
+            if len(on) > 4 * k:  # no row below the k-th best of the batch can matter
+                on = on[s[on] >= np.partition(s[on], -k)[-k]]
+            s, names = np.append(scores[i], s[on]), np.append(keys[i], here[on])
+            order = sorted(range(len(s)), key=lambda j: (-s[j], names[j]))[:k]
+            scores[i], keys[i] = s[order], names[order]
+    names = [x for per in keys for x in per]
+    flat = [x for i, per in zip(ids, keys, strict=True) for x in [i] * len(per)]
+    yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(names), pa.array(np.concatenate(scores))], names=["query_id", key, "similarity"])
 
 
 def best(rows: DataFrame, k: int, by: Sequence[str] = ("query_id",), score: str = "similarity", tie: str = "trajectory_id") -> DataFrame:
@@ -60,7 +126,7 @@ def search_trajectories(
         rows = rows.where(F.col("outcome_score") >= min_score)
     if max_score is not None:
         rows = rows.where(F.col("outcome_score") <= max_score)
-    return best(scored(queries, rows), k)
+    return nearest(queries, rows, k)
 
 
 def search_across(queries: DataFrame, trajectories: DataFrame, organization_id: str, domain: str, k: int, salt: str = "") -> DataFrame:
@@ -70,7 +136,8 @@ def search_across(queries: DataFrame, trajectories: DataFrame, organization_id:
     rows = trajectories.where(F.col("domain_type") == domain)
     own = rows.where(F.col("organization_id") == organization_id).withColumn("visibility", F.lit("own"))
     other = rows.where((F.col("organization_id") != organization_id) & F.col("share_cross_org")).withColumn("visibility", F.lit("shared"))
-    found = best(scored(queries, own.unionByName(other)), k)
+    both = own.unionByName(other)
+    found = both.select("trajectory_id", "visibility").join(small(nearest(queries, both, k)), "trajectory_id")
     hidden = F.col("visibility") == "shared"
     return found.withColumn("trajectory_id", F.when(hidden, X.redacted("trajectory_id", salt)).otherwise(F.col("trajectory_id")))
 
@@ -106,19 +173,19 @@ def tokens(text: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score): Robertson's BM25 of each query's terms.  docs: doc_id, text; queries: query_id, query.
 
-    Only the queries' terms are counted, so the term table has a row for each match, not for each word.
+    Only the queries' terms are counted, so the term table has a row for each match, not for each word.  Lengths are
+    counted without cutting the texts up.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    terms = F.broadcast(wanted.select("term").distinct())  # a stated query set
-    words = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    size = words.select("doc_id", F.size("w").alias("len"))
-    total = size.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    tf = words.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    text = F.coalesce("text", F.lit(""))
+    total = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(text), F.lit(r"(?U)\w+"))).alias("avg_len"))
+    words = docs.select("doc_id", tokens(text).alias("w")).select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term"))
+    tf = words.join(small(wanted.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = tf.join(F.broadcast(df), "term").join(F.broadcast(total))  # a row a query term; one row
+    weighed = tf.join(df.hint("merge"), "term").join(F.broadcast(total))  # one row
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return weighed.withColumn("part", part).join(F.broadcast(wanted), "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    return weighed.withColumn("part", part).join(wanted.hint("merge"), "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
 def reciprocal_rank_fusion(first: DataFrame, second: DataFrame, k: int, key: str = "id", weights: tuple[float, float] = (0.5, 0.5), constant: int = 60, by: Sequence[str] = ()) -> DataFrame:
@@ -134,39 +201,73 @@ def reciprocal_rank_fusion(first: DataFrame, second: DataFrame, k: int, key: str
 
 def decisions_of(found: DataFrame, decisions: DataFrame, k: int, tie: str = "decision_id") -> DataFrame:
     """Decisions of the found trajectories, with their similarity, cut to k for each query."""
-    met = decisions.join(found.select("query_id", "trajectory_id", "similarity"), "trajectory_id")
+    met = decisions.join(small(found.select("query_id", "trajectory_id", "similarity")), "trajectory_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "trajectory_id", tie)
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def context_examples(found: DataFrame, decisions: DataFrame, k: int, min_success: float = 0.7, action: str | None = None, entity: str | None = None) -> DataFrame:
+def context_examples(found: DataFrame, decisions: DataFrame, k: int, min_success: float = 0.7, action: str | None = None, entity_type: str | None = None, entity_id: str | None = None) -> DataFrame:
     """The k most similar successful and failed decisions for each query (kind: success, failure).
 
     found: query_id, trajectory_id, similarity, outcome_score.  Success needs a score of at least ``min_success`` and a
     decision that succeeded; failure a score below 0.5 or a decision that failed.
     """
-    met = decisions.join(found.select("query_id", "trajectory_id", "similarity", "outcome_score"), "trajectory_id")
+    met = decisions.join(small(found.select("query_id", "trajectory_id", "similarity", "outcome_score")), "trajectory_id")
     if action is not None:
         met = met.where(F.col("action") == action)
-    if entity is not None:
-        met = met.where(entity_match(F.col("arguments"), entity))
+    if entity_type or entity_id:
+        met = met.where(entity_match(F.col("arguments"), entity_type, entity_id))
     kind = F.when(F.col("success") & (F.col("outcome_score") >= min_success), "success").when(~F.col("success") | (F.col("outcome_score") < 0.5), "failure")
     order = Window.partitionBy("query_id", "kind").orderBy(F.desc("similarity"), "trajectory_id", "decision_id")
     return met.withColumn("kind", kind).where("kind is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def entity_match(arguments: Column, entity: str, kind: str = "entity") -> Column:
-    """Does an argument named id, entity_id, type, entity_type or {kind}_id hold the entity?"""
-    paths = ("id", "entity_id", "type", "entity_type", f"{kind}_id", "k")
-    return F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(F.get_json_object(arguments, f"$.{p}") == entity, F.lit(False)) for p in paths]), F.lit(False))
+def entity_match(arguments: Column, entity_type: str | None = None, entity_id: str | None = None, active: Column | None = None) -> Column:
+    """Does an argument named type or entity_type hold the type, one named id, entity_id or {type}_id the id, or is an
+    entity in ``active`` (entity_type, entity_id) of that type and id?  Without either all match."""
+    tests = []
+    if entity_type:
+        tests += [(p, entity_type) for p in ("type", "entity_type")]
+    if entity_id:
+        tests += [(p, entity_id) for p in ("id", "entity_id", f"{entity_type}_id")]
+    if not tests:
+        return F.lit(True)
+    hits = [F.coalesce(F.get_json_object(arguments, f"$.{p}") == v, F.lit(False)) for p, v in tests]
+    if active is not None:
+        same = lambda e: (F.lit(True) if not entity_type else e["entity_type"] == entity_type) & (F.lit(True) if not entity_id else e["entity_id"] == entity_id)
+        hits.append(F.coalesce(F.exists(active, same), F.lit(False)))
+    return reduce(lambda a, b: a | b, hits)
+
+
+# The headings, openings and labels of a context block.
+GOOD = ("## Relevant Past Decisions", "Consider these successful past approaches:", "✓ Success", "Success")
+BAD = ("## Anti-Patterns to Avoid", "The following approaches led to poor outcomes:", "✗ Failed", "Failed")
+
+
+def example_text(failed: Column) -> Column:
+    """A decision as lines of context: domain, context, action, reasoning, result, and what failed and was learned.
+
+    Columns: domain, context, action, rationale, result, error_type, feedback; nulls and empty texts have no line.
+    """
+    line = lambda label, c: F.when(c != "", F.concat(F.lit(f"**{label}**: "), c))
+    result = F.coalesce(F.when(F.col("result") != "", F.substring("result", 1, 200)), F.when(failed, BAD[3]).otherwise(GOOD[3]))
+    return F.concat_ws(
+        "\n", line("Domain", F.col("domain")), line("Context", F.col("context")), F.concat(F.lit("**Action**: "), "action"), line("Reasoning", F.col("rationale")), line("Result", result),
+        F.when(failed, line("Error", F.col("error_type"))), F.when(failed, line("Lesson", F.substring("feedback", 1, 200))),
+    )
 
 
 def context_block(examples: DataFrame) -> DataFrame:
-    """(query_id, block): markdown of a query's examples, successes first."""
-    line = F.concat(F.lit("- "), "action", F.lit(" ("), F.col("decision_id"), F.lit("): "), F.coalesce("response_text", F.lit("")))
-    rows = F.array_sort(F.collect_list(F.struct((F.col("kind") == "failure").alias("f"), "rank", "kind", line.alias("line"))))
-    part = lambda kind, title: F.concat(F.lit(f"## {title}\n"), F.array_join(F.transform(F.filter("rows", lambda r: r["kind"] == kind), lambda r: r["line"]), "\n"))
-    return examples.groupBy("query_id").agg(rows.alias("rows")).select("query_id", F.concat_ws("\n\n", part("success", "What worked"), part("failure", "What failed")).alias("block"))
+    """(query_id, block): markdown of a query's examples (kind, rank, similarity and the columns of ``example_text``), what
+    succeeded before what failed."""
+    rows = F.array_sort(F.collect_list(F.struct("rank", "kind", "similarity", example_text(F.col("kind") == "failure").alias("text"))))
+
+    def part(kind: str, words: tuple[str, ...]) -> Column:
+        mine = F.filter("rows", lambda r: r["kind"] == kind)
+        each = lambda r: F.concat(F.format_string("### Example %d (similarity: %.2f, outcome: " + words[2] + ")\n", r["rank"], r["similarity"]), r["text"], F.lit("\n"))
+        return F.when(F.size(mine) > 0, F.concat(F.lit(f"{words[0]}\n\n{words[1]}\n\n"), F.array_join(F.transform(mine, each), "\n")))
+
+    return examples.groupBy("query_id").agg(rows.alias("rows")).select("query_id", F.concat_ws("\n", part("success", GOOD), part("failure", BAD)).alias("block"))
 
 
 def rule_applied(record: Column, rule: str) -> Column:
@@ -192,15 +293,40 @@ def inverted_lists(rows: DataFrame, lists: int, seed: int = 7, sample: int = 20_
 
 
 def probe(queries: DataFrame, indexed: DataFrame, model, nprobe: int, k: int) -> DataFrame:
-    """Top k of each query within its ``nprobe`` nearest lists, by exact cosine: an equi-join on the list for each block of queries."""
-    centres = queries.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "list int, centre array<double>")
+    """Top k of each query within its ``nprobe`` nearest lists, by exact cosine.
 
-    def met(block: DataFrame) -> DataFrame:
-        near = best(block.join(F.broadcast(centres)).withColumn("similarity", X.cosine("query_embedding", "centre")), nprobe, tie="list").select("query_id", "query_embedding", "list")
-        return indexed.join(F.broadcast(near), "list")
-
-    found = reduce(DataFrame.unionByName, [met(b) for b in blocks(queries, "query_id")])
-    return best(found.withColumn("similarity", X.cosine("query_embedding", "embedding")), k)
+    Rows go through once for each block of queries; a task multiplies the rows of a list with the queries that probe it.
+    """
+    centres = np.array([[float(x) for x in c] for c in model.clusterCenters()])
+    plain = indexed.select("list", F.col("trajectory_id").alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+    fields = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("trajectory_id", indexed.schema["trajectory_id"].dataType), T.StructField("similarity", T.DoubleType())]
+    found = None
+    for block in blocks(queries, "query_id"):
+        held = block.select("query_id", F.col("query_embedding").cast("array<double>").alias("v")).where("v is not null").collect()  # a block
+        if not held:
+            continue
+        q = np.array([r.v for r in held])
+        near = np.argsort(-similarities("cosine", centres, q), axis=1, kind="stable")[:, :nprobe]
+        shared = queries.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in held], object), q, near))
+        part = plain.mapInArrow(lambda batches, s=shared: _probed(batches, *s.value, k), T.StructType(fields))
+        found = part if found is None else found.unionByName(part)
+    return best(queries.sparkSession.createDataFrame([], T.StructType(fields)) if found is None else found, k)
+
+
+def _probed(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, near: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    kept: dict = {}
+    for batch in batches:
+        lists = batch.column(0).to_numpy(zero_copy_only=False)
+        for one in np.unique(lists):
+            rows, who = np.flatnonzero(lists == one), np.flatnonzero((near == one).any(axis=1))
+            if len(who):
+                part = pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(rows)) for i in (1, 2)], names=["k", "v"])
+                (out,) = _best_of_task(iter([part]), ids[who].tolist(), q[who], k, "cosine", "trajectory_id", None, 15)
+                for i, name, s in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                    kept.setdefault(i, []).append((-s, name))
+        kept = {i: sorted(x)[:k] for i, x in kept.items()}
+    flat = [(i, name, -s) for i, x in kept.items() for s, name in x]
+    yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in flat], type=t) for j, t in enumerate((pa.array(ids.tolist()).type, pa.string(), pa.float64()))], names=["query_id", "trajectory_id", "similarity"])
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

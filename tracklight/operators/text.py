@@ -1,10 +1,12 @@
 """Chunking, line search, transcripts, token budgets and context eviction, per document or conversation.
 
-Everything is column functions and windows partitioned by the document or conversation.
+Everything is column functions and windows partitioned by the document or conversation; word wrap alone, which is
+sequential, is a loop over Arrow batches.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,25 +27,41 @@ def sentence_chunks(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
 
 
+def wrapped(text: str | None, width: int) -> list[str] | None:
+    """Words packed greedily: a line is full when its letters, its gaps and the next word pass ``width``."""
+    if text is None:
+        return None
+    lines, line, size = [], [], 0
+    for word in text.split():
+        if line and size + len(word) + len(line) > width:
+            lines.append(" ".join(line))
+            line, size = [], 0
+        line.append(word)
+        size += len(word)
+    return lines + [" ".join(line)] if line else lines
+
+
 def wrap_chunks(text: Column, width: int = 100) -> Column:
     """Words packed greedily into lines of at most ``width`` characters (longer words get a line of their own)."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("lines"), F.lit("").alias("line"))
+    kind = pa.list_(pa.string())
+    pack = F.arrow_udf(lambda texts: pa.array([wrapped(x, width) for x in texts.to_pylist()], type=kind), "array<string>")
+    return pack(text)
 
-    def step(s: Column, w: Column) -> Column:
-        fits = (F.length(s["line"]) == 0) | (F.length(s["line"]) + 1 + F.length(w) <= width)
-        longer = F.when(F.length(s["line"]) == 0, w).otherwise(F.concat(s["line"], F.lit(" "), w))
-        return F.struct(F.when(fits, s["lines"]).otherwise(F.concat(s["lines"], F.array(s["line"]))).alias("lines"), F.when(fits, longer).otherwise(w).alias("line"))
 
-    return F.aggregate(words, start, step, lambda s: F.when(F.length(s["line"]) > 0, F.concat(s["lines"], F.array(s["line"]))).otherwise(s["lines"]))
+def bound(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once however often it occurs."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def fixed_chunks(text: Column, size: int = 512, overlap: int = 50) -> Column:
     """Runs of ``size`` words, each sharing ``overlap`` words with the one before; the last may be shorter."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), n - overlap - 1), F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), n - overlap - 1), F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))
+
+    return bound(F.filter(F.split(text, r"\s+"), lambda w: w != ""), cut)
 
 
 def chunk_strategy(files: DataFrame, types: DataFrame) -> DataFrame:
@@ -55,18 +73,22 @@ def chunk_strategy(files: DataFrame, types: DataFrame) -> DataFrame:
     return out.select(*files.columns, F.coalesce("s1", "s2", F.lit("line_based")).alias("strategy"))
 
 
+def matching_lines(text: Column, pattern: str, context: int = 1) -> Column:
+    """The lines of a text that match a pattern (any case), in order, as (line_no, line, before, after)."""
+
+    def hits(lines: Column) -> Column:
+        around = lambda i, steps: F.array_join(F.array_compact(F.array(*[F.get(lines, i + k) for k in steps])), "\n")
+        line = lambda x, i: F.when(x.rlike(f"(?i){pattern}"), F.struct((i + 1).alias("line_no"), x.alias("line"), around(i, range(-context, 0)).alias("before"), around(i, range(1, context + 1)).alias("after")))
+        return F.array_compact(F.transform(lines, line))
+
+    return bound(F.split(text, r"\R"), hits)
+
+
 def grep(files: DataFrame, pattern: str, key: str, text: str, context: int = 1, per_page: int = 20) -> DataFrame:
     """Lines that match a pattern (any case) with their neighbours, and the page each falls on: (key, line_no, line,
-    before, after, page)."""
-    lines = files.select(key, F.posexplode(F.split(text, r"\R")).alias("pos", "line"))
-    w = Window.partitionBy(key).orderBy("pos")
-    around = lambda f: F.concat_ws("\n", *f)
-    seen = lines.withColumns({
-        "before": around([F.lag("line", i).over(w) for i in range(context, 0, -1)]), "after": around([F.lead("line", i).over(w) for i in range(1, context + 1)]),
-    })
-    hits = seen.where(F.col("line").rlike(f"(?i){pattern}"))
-    nth = F.row_number().over(w) - 1
-    return hits.select(key, (F.col("pos") + 1).alias("line_no"), "line", "before", "after", F.floor(nth / per_page).cast("int").alias("page"))
+    before, after, page).  Only hits leave their row; nothing is shuffled."""
+    some = files.where(F.col(text).rlike(f"(?i){pattern}")).select(key, F.posexplode(matching_lines(F.col(text), pattern, context)).alias("nth", "h"))
+    return some.select(key, "h.*", F.floor(F.col("nth") / per_page).cast("int").alias("page"))
 
 
 def searchable_message(role: Column, text: Column) -> Column:
@@ -82,11 +104,19 @@ def transcript(messages: DataFrame, key: str = "trajectory_id") -> DataFrame:
     return messages.groupBy(key).agg(F.array_join(F.transform(turns, lambda t: t["line"]), "\n").alias("transcript"))
 
 
-def middle_cut(text: Column, limit: int, marker: str = "\n...[truncated]...\n") -> Column:
-    """Head and tail of a text that is too long, with a marker between; never longer than ``limit``."""
-    room = max(0, limit - len(marker))
-    head, tail = room - room // 2, room // 2
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, head), F.lit(marker), F.right(text, F.lit(tail)))).otherwise(text)
+def middle_cut(text: Column, budget: int, head: float = 0.3, tail: float = 0.3) -> Column:
+    """(text, dropped): the first and last parts of a text beyond ``budget`` characters, with the count of dropped
+    characters between; the tail loses at its end what the marker is too long, all of it if need be."""
+    first, last = max(0, int(budget * head)), max(0, int(budget * tail))
+    last = min(last, max(0, budget - first))
+    n = F.length(text)
+    dropped = n - F.lit(first) - F.lit(last)
+    # Fixed value: the marker.
+    marker = F.format_string("\n[TRUNCATED: dropped %d middle chars due to context budget]\n", dropped)
+    over = F.greatest(F.lit(0), F.length(marker) - (budget - first - last))
+    end = F.substring(text, n - last + 1, F.greatest(F.lit(0), F.lit(last) - over)) if last else F.lit("")
+    whole = F.lit(budget <= 0) | (n <= budget)
+    return F.when(text.isNotNull(), F.struct(F.when(whole, text).otherwise(F.concat(F.substring(text, 1, first), marker, end)).alias("text"), F.when(whole, 0).otherwise(dropped).alias("dropped")))
 
 
 def context_breakdown(messages: DataFrame, key: str = "trajectory_id") -> DataFrame:
@@ -102,21 +132,23 @@ def _numbered(messages: DataFrame, key: str) -> DataFrame:
 
 
 def static_evict(messages: DataFrame, limit: int, minimum: int, key: str = "trajectory_id") -> DataFrame:
-    """Messages with ``kept``: all within the limit; beyond it the first, and from the first user message at or after
-    the last ``minimum`` on (the last ``minimum`` if there is none)."""
+    """Messages with ``kept``: all within the limit; beyond it the first, and from the first user message among the last
+    ``minimum`` on (none, if there is no such message)."""
     rows = _numbered(messages, key)
-    target = F.col("n") - minimum
+    target = F.greatest(F.lit(1), F.col("n") - minimum)
     start = F.min(F.when((F.col("role") == "user") & (F.col("idx") >= target), F.col("idx"))).over(Window.partitionBy(key))
-    return rows.withColumn("kept", (F.col("n") <= limit) | (F.col("idx") == 0) | (F.col("idx") >= F.coalesce(start, target)))
+    return rows.withColumn("kept", (F.col("n") <= limit) | (F.col("idx") == 0) | F.coalesce(F.col("idx") >= start, F.lit(False)))
 
 
 def partial_evict(messages: DataFrame, share: float, key: str = "trajectory_id") -> DataFrame:
     """Messages with ``kept``: the first, and from the first assistant message at or after round((1 - share) * n), half
-    to even."""
+    to even, on.  Where there is no such message, ``kept`` is null and ``error`` says so."""
     rows = _numbered(messages, key)
     target = F.bround((1 - F.lit(share)) * F.col("n"), 0).cast("int")
     start = F.min(F.when((F.col("role") == "assistant") & (F.col("idx") >= target), F.col("idx"))).over(Window.partitionBy(key))
-    return rows.withColumn("kept", (F.col("idx") == 0) | (F.col("idx") >= F.coalesce(start, F.col("n"))))
+    # Fixed value: the message of the error.
+    error = F.when(start.isNull(), F.format_string("No assistant message found from indices %d to %d", target, F.col("n")))
+    return rows.withColumns({"kept": F.when(start.isNotNull(), (F.col("idx") == 0) | (F.col("idx") >= start)), "error": error})
 
 
 def window_evict(messages: DataFrame, goal: int, key: str = "trajectory_id", step: float = 0.1) -> DataFrame:
@@ -170,7 +202,10 @@ def strip_html(html: Column) -> Column:
 
 
 def ingest(files: DataFrame, embed, size: int = 512, overlap: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(passages, counts): files cut into chunks, empty ones and repeated embeddings dropped."""
+    """(passages, counts): files cut into chunks, empty ones dropped, and of equal embeddings the first by file and
+    position kept.  Embeddings are compared by two 64-bit hashes; vectors stay where they are."""
     chunks = files.select("file_id", F.posexplode(fixed_chunks(F.col("text"), size, overlap)).alias("position", "text")).where(F.length("text") > 0)
-    passages = embed(chunks).dropDuplicates(["embedding"])
+    made = embed(chunks).withColumns({"__h": F.xxhash64("embedding"), "__g": F.xxhash64(F.lit(1), "embedding")})
+    nth = F.row_number().over(Window.partitionBy("__h", "__g").orderBy("file_id", "position"))
+    passages = made.withColumn("__n", nth).where("__n = 1 or embedding is null").drop("__n", "__h", "__g")
     return passages, passages.agg(F.count("*").alias("passages"), F.count_distinct("file_id").alias("files"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions import expressions as X
+
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Position from 0 in the order, within the keys."""
@@ -42,16 +46,47 @@ def evict_open_files(files: DataFrame, limit: int) -> DataFrame:
 
 
 def block_versions(events: DataFrame) -> DataFrame:
-    """From a checkpoint log (block_id, at, value): sequence number, and the values undo and redo would give."""
-    w = Window.partitionBy("block_id").orderBy("at")
-    return events.withColumns({"sequence": F.row_number().over(w), "undo": F.lag("value").over(w), "redo": F.lead("value").over(w)})
-
-
-def unique_names(files: DataFrame, keys: Sequence[str] = ("source_id", "file_name")) -> DataFrame:
-    """``name_(k).ext`` for the k-th repeat of a file name in a source."""
-    k = F.row_number().over(Window.partitionBy(*keys).orderBy("file_id")) - 1
-    base, ext = F.regexp_replace("file_name", r"\.[^.]*$", ""), F.regexp_extract("file_name", r"(\.[^.]*)$", 1)
-    return files.withColumn("unique_name", F.when(k == 0, F.col("file_name")).otherwise(F.concat(base, F.lit("_("), k.cast("string"), F.lit(")"), ext)))
+    """A block's history from its log (block_id, at, kind, value): for each event the sequence that the block is at, its
+    value there and how many checkpoints exist.
+
+    A checkpoint drops those after the current one and adds one; undo and redo move to the next one before or after, and do
+    nothing where there is none.  Blocks are hashed to tasks, sorted there and folded in passing: a task holds one block's
+    checkpoints at a time.
+    """
+    schema = T.StructType([events.schema["block_id"], events.schema["at"], T.StructField("sequence", T.LongType()), events.schema["value"], T.StructField("checkpoints", T.LongType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, at, values = None, 0, []
+        for batch in batches:
+            out = []
+            for b, when, kind, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != block:
+                    block, at, values = b, 0, []
+                if kind == "checkpoint":
+                    del values[at:]
+                    values.append(value)
+                    at += 1
+                elif kind == "undo":
+                    at = max(at - 1, min(at, 1))
+                elif kind == "redo":
+                    at = min(at + 1, len(values))
+                out.append((b, when, at, values[at - 1] if at else None, len(values)))
+            types = [batch.schema.field(0).type, batch.schema.field(1).type, pa.int64(), batch.schema.field(3).type, pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=t) for i, t in enumerate(types)], names=schema.names)
+
+    return events.select("block_id", "at", "kind", "value").repartition("block_id").sortWithinPartitions("block_id", "at").mapInArrow(fold, schema)
+
+
+def unique_names(files: DataFrame, keys: Sequence[str] = ("source_id",), limit: int = 255, live: str | None = "is_deleted") -> DataFrame:
+    """``source/name.ext``, or ``source/name_(k).ext`` where k earlier files of the source (by file_id, without deleted
+    ones) have the same name.  Bases are cut first, so that the name and six more characters fit ``limit``."""
+    base, ext = X.split_extension(F.col("file_name"))
+    short = F.substring(base, F.lit(1), F.lit(limit - 6) - F.length(ext))
+    named = files.withColumns({"__base": short, "__ext": ext})
+    w = Window.partitionBy(*keys, "__base", "__ext").orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)
+    k = F.coalesce(F.sum(F.lit(1) if live is None else (~F.col(live)).cast("int")).over(w), F.lit(0))
+    suffix = F.when(k > 0, F.concat(F.lit("_("), k.cast("string"), F.lit(")"))).otherwise("")
+    return named.withColumn("unique_name", F.concat("source_name", F.lit("/"), "__base", suffix, "__ext")).drop("__base", "__ext")
 
 
 def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
@@ -73,9 +108,30 @@ def concurrency(calls: DataFrame, start: str, end: str, by: str) -> DataFrame:
 
 
 def clean_conversation(messages: DataFrame) -> DataFrame:
-    """Repeated calls and returns dropped (first kept), and a last message that only asks for approval or reasons."""
-    w = Window.partitionBy("conversation")
+    """Messages as a model may see them.  Columns: conversation, seq, role, text, calls (ids), call_id (of tool returns),
+    is_summary, approved (of approval responses).
+
+    Out go an approval request that a summary follows (with a response or nothing after it), a last lone approval request
+    and the call before it, and a last assistant message without text and calls.  A call and the approval request after it
+    become one; tool returns of one call are kept once, as are repeated calls of a message.
+    """
+    order, whole = Window.partitionBy("conversation").orderBy("seq"), Window.partitionBy("conversation")
+    asks, calls = (F.col("role") == "approval") & (F.size("calls") > 0), (F.col("role") == "assistant") & (F.size("calls") > 0)
+    nothing = F.array().cast("array<string>")
+    flat = messages.withColumn("calls", F.coalesce("calls", nothing))
+    after, then = F.lead("is_summary", 1, False).over(order), F.lead(F.struct("seq", F.col("approved").isNotNull().alias("answers")), 2).over(order)
+    cut_off = flat.withColumn("__drop", asks & after & (then.isNull() | then["answers"])).where("not __drop")
+    last, before = F.row_number().over(Window.partitionBy("conversation").orderBy(F.desc("seq"))), F.lead(F.struct(asks.alias("asks"))).over(order)["asks"]
+    ends = cut_off.withColumns({"__r": last, "__next": F.coalesce(before, F.lit(False))})
+    open_ = ends.where(~(((F.col("__r") == 1) & asks) | ((F.col("__r") == 2) & F.col("__next") & calls)))
+    lone = (F.col("role") == "assistant") & (F.size("calls") == 0) & (F.coalesce(F.col("text"), F.lit("")) == "")
+    said = open_.withColumn("__last", F.max("seq").over(whole)).where(~((F.col("seq") == F.col("__last")) & lone))
+    next_, prev = F.lead(F.struct(asks.alias("asks"), "text", "calls")).over(order), F.lag(calls).over(order)
+    met = said.withColumns({"__n": next_, "__p": F.coalesce(prev, F.lit(False))}).withColumn("__join", calls & F.coalesce(F.col("__n.asks"), F.lit(False)))
+    one = met.where(~(asks & F.col("__p"))).withColumns({
+        "text": F.when(F.col("__join"), F.concat(F.coalesce("text", F.lit("")), F.coalesce("__n.text", F.lit("")))).otherwise(F.col("text")),
+        "calls": F.when(F.col("role") == "assistant", F.array_distinct(F.when(F.col("__join"), F.concat("calls", "__n.calls")).otherwise(F.col("calls")))).otherwise(F.col("calls")),
+    })
     nth = F.row_number().over(Window.partitionBy("conversation", "role", "call_id").orderBy("seq"))
-    once = messages.withColumn("nth", nth).where((F.col("call_id").isNull()) | (F.col("nth") == 1))
-    last = once.withColumn("last", F.max("seq").over(w))
-    return last.where(~((F.col("seq") == F.col("last")) & F.col("role").isin("approval", "reasoning"))).drop("nth", "last")
+    kept = one.withColumn("__k", nth).where((F.col("role") != "tool") | F.col("call_id").isNull() | (F.col("__k") == 1))
+    return kept.select(*messages.columns)

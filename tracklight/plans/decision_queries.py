@@ -21,8 +21,8 @@ def decisions(t: Tables):
 #: The same in SQL, for the checks below.
 DECIDED = """with x as (select *, coalesce(regexp_matches(lower(response_text), 'error|exception|failed|failure|invalid'), false) as bad, lower(response_text) as low from v_tool_events),
 d as (select *, not bad as success, row_number() over (partition by trajectory_id, turn_index order by ts, event_id) - 1 as decision_index,
-case when not bad then null when low like '%timeout%' then 'timeout' when low like '%validation%' then 'validation_error' when low like '%permission%' or low like '%auth%' then 'permission_error'
-when low like '%not found%' then 'not_found' when low like '%error%' or low like '%exception%' then 'execution_error' else 'unknown' end as error_type from x) """
+case when not bad then null when low like '%timeout%' then 'Timeout' when low like '%validation%' then 'ValidationError' when low like '%permission%' or low like '%auth%' then 'PermissionError'
+when low like '%not found%' then 'NotFoundError' when low like '%error%' or low like '%exception%' then 'Error' else 'tool_error' end as error_type from x) """
 
 
 @query("flagship_actions", DECIDED + """select action, count(*) as calls, avg(cast(success as int)) as success_rate,
@@ -83,10 +83,11 @@ def x6(t):
     return t.v_tool_events.select("call_id", F.element_at(m, "k").alias("k"), F.element_at(m, "raw").alias("raw"))
 
 
-@query("x7_reasoning", "select message_id, 'r'||cast(turn_index as varchar)||chr(10)||chr(10)||role||chr(10)||chr(10)||substring(text, 1, 20) as reasoning from v_messages where trim(substring(text, 1, 20)) = substring(text, 1, 20)")
+@query("x7_reasoning", "select message_id, 'r'||cast(turn_index as varchar)||chr(10)||chr(10)||role||coalesce(chr(10)||chr(10)||nullif(trim(text), ''), '') as reasoning from v_messages")
 def x7(t):
-    m = t.v_messages.where("trim(substring(text, 1, 20)) = substring(text, 1, 20)")
-    text = F.concat(F.lit("a <thinking>"), "role", F.lit(" </thinking> b <THINKING>"), F.substring("text", 1, 20), F.lit("</Thinking> c"))
+    """Whole texts as thinking blocks."""
+    m = t.v_messages
+    text = F.concat(F.lit("a <thinking>"), "role", F.lit(" </thinking> b <THINKING>"), F.coalesce("text", F.lit("")), F.lit("</Thinking> c"))
     return m.select("message_id", D.reasoning_text(F.concat(F.lit("r"), "turn_index"), text).alias("reasoning"))
 
 
@@ -133,14 +134,25 @@ def t9(t):
     return n.select("trajectory_id", F.size("turns").cast("bigint").alias("n_turns"), F.size(flat).cast("bigint").alias("n_decisions"), F.array_join(F.transform(flat, lambda x: x["action"]), ",").alias("actions"))
 
 
-@query("x12_searchable_text", DECIDED + "select call_id, concat_ws(' | ', 'Action: '||action, 'Type: '||decision_type, 'Outcome: '||case when success then 'success' else 'failure' end, 'Error: '||error_type, 'Result: '||substring(response_text, 1, 200)) as searchable from d")
+@query("x12_searchable_text", DECIDED + "select call_id, concat_ws(' | ', 'Action: '||action, 'Type: '||decision_type, 'Rationale: '||substring(repeat(arguments, 60), 1, 500), 'Outcome: '||case when success then 'success' else 'failure' end, 'Error: '||error_type, 'Result: '||substring(response_text, 1, 200)) as searchable from d")
 def x12(t):
-    return decisions(t).select("call_id", D.searchable_text().alias("searchable"))
+    return decisions(t).select("call_id", D.searchable_text(F.repeat("arguments", F.lit(60))).alias("searchable"))
 
 
-@query("x13_embedding_text", DECIDED + "select call_id, concat_ws(' | ', 'Type: '||coalesce(decision_type, 'unknown'), 'Action: '||action, 'Arguments: k='||json_extract_string(arguments, '$.k'), 'Outcome: '||case when success then 'success' else 'failure' end, 'Result: '||substring(response_text, 1, 200)) as embedding_text from d")
+@query("x13_embedding_text", DECIDED + "select call_id, concat_ws(' | ', 'Decision type: '||coalesce(decision_type, 'unknown'), 'Context: '||case when event_id%2=0 then agent_id end, 'Available actions: click, '||action, 'Action: '||action, 'Arguments: k='||json_extract_string(arguments, '$.k')||', long='||repeat('x', 47)||'..., list=<list>, flag=True, none=None', 'Rationale: because '||action, 'Outcome: '||case when success then 'Success' else 'Failure' end, 'Result: '||substring(response_text, 1, 200), 'Alternatives considered: a, b, '||action) as embedding_text from d")
 def x13(t):
-    return decisions(t).select("call_id", D.embedding_text().alias("embedding_text"))
+    d = decisions(t)
+    more = F.concat(F.lit('{"k": '), F.get_json_object("arguments", "$.k"), F.lit(', "long": "' + "x" * 60 + '", "list": [1, 2], "flag": true, "none": null, "sixth": 6}'))
+    text = D.embedding_text(F.when(F.col("event_id") % 2 == 0, F.col("agent_id")), F.array(F.lit("click"), "action"), F.concat(F.lit("because "), "action"), F.array(F.lit("a"), F.lit("b"), F.col("action"), F.lit("z")))
+    return d.withColumn("arguments", more).select("call_id", text.alias("embedding_text"))
+
+
+@query("e5_text_builder", DECIDED + "select call_id, action||'/'||coalesce(error_type, 'fine') as searchable_text, length(action||'/'||coalesce(error_type, 'fine')) as size from d")
+def e5(t):
+    """Decisions described by a builder of the caller's, with what an embedding step adds."""
+    builder = lambda: F.concat_ws("/", "action", F.coalesce("error_type", F.lit("fine")))
+    made = D.embed_decisions(decisions(t), lambda d: d.withColumn("size", F.length("searchable_text")), builder)
+    return made.select("call_id", "searchable_text", "size")
 
 
 @query("x14_trajectory_text", "with m as (select *, row_number() over (partition by trajectory_id order by sequence_id) as n from v_messages) select trajectory_id, string_agg(substring(text, 1, 500), ' | ' order by n) as embedding_text from m where n <= 3 group by 1")
@@ -155,13 +167,14 @@ def x15(t):
 
 
 @query("x16_tool_entities", """with a as (select trajectory_id, ts, event_id, action, cast(json_extract_string(arguments, '$.k') as varchar) as k from v_tool_events),
-f as (select trajectory_id, 'tool:'||action as entity_id, 'tool' as entity_type, action as name from a union select trajectory_id, 'file:/data/'||k, 'file', '/data/'||k from a
-union select trajectory_id, 'url:http://h/'||k, 'url', 'http://h/'||k from a union select trajectory_id, 'reference:'||k, 'reference', k from a)
+f as (select trajectory_id, 'tool:'||action as entity_id, 'tool' as entity_type, action as name from a union select trajectory_id, 'file:http://h/'||k, 'file', 'http://h/'||k from a
+union select trajectory_id, 'url:http://l/'||k, 'url', 'http://l/'||k from a union select trajectory_id, 'resource:'||k, 'resource', k from a union select trajectory_id, 'reference:r'||k, 'reference', 'r'||k from a)
 select * from f""")
 def x16(t):
-    """Tools and nested argument entities (arguments are wrapped to have three levels)."""
+    """Tools and nested argument entities (arguments are wrapped to have six levels and a list)."""
     k = F.get_json_object("arguments", "$.k")
-    wrapped = F.to_json(F.struct(k.alias("user_id"), F.lit(1).alias("size"), F.struct(F.concat(F.lit("/data/"), k).alias("path"), F.struct(F.concat(F.lit("http://h/"), k).alias("target")).alias("deep")).alias("options")))
+    deep = F.struct(F.struct(F.concat(F.lit("http://h/"), k).alias("uri_path"), F.array(F.struct(F.concat(F.lit("http://l/"), k).alias("url"))).alias("links")).alias("c"))
+    wrapped = F.to_json(F.struct(k.alias("user_id"), F.lit(1).alias("size"), F.concat(F.lit("r"), k).alias("target"), F.struct(F.struct(deep.alias("b")).alias("a")).alias("options")))
     return D.tool_entities(t.v_tool_events.withColumn("arguments", wrapped))
 
 
@@ -241,9 +254,9 @@ def a7(t):
     return A.duration_stats(t.v_tool_events, "duration_ms", ["action"])
 
 
-@query("a8_confidence_hist", "select least(cast(floor(confidence*10) as int), 9) as bin, count(*) as n, printf('%.1f-%.1f', least(cast(floor(confidence*10) as int), 9)/10.0, (least(cast(floor(confidence*10) as int), 9)+1)/10.0) as label from v_tool_events where confidence is not null group by 1")
+@query("a8_confidence_hist", "select bin, n, cast(bin*10 as varchar)||'-'||cast(bin*10+10 as varchar)||'%' as label from (select least(cast(floor(confidence/cast(0.1 as double)) as int), 9) as bin, count(*) as n from v_tool_events where confidence is not null group by 1) b")
 def a8(t):
-    return A.histogram(t.v_tool_events, "confidence")
+    return A.histogram(t.v_tool_events, "confidence", percent=True)
 
 
 @query("a9_pivotal", "select action, sum(cast(pivotal as int)) as pivotal, avg(cast(pivotal as int)) as pivotal_rate from v_tool_events group by 1")
@@ -334,12 +347,15 @@ def a23(t):
     return A.run_usage(t.v_steps)
 
 
-@query("a24_cost", """with p as (select s.*, coalesce(a.input, b.input, c.input) as pi, coalesce(a.output, b.output, c.output) as po, coalesce(a.cached, b.cached, c.cached) as pc from v_steps s left join v_prices a on a.model=s.model
-left join v_prices b on b.model=regexp_replace(s.model, '^[^/]*/', '') left join v_prices c on c.model=array_to_string(list_slice(string_split(regexp_replace(s.model, '^[^/]*/', ''), '-'), 1, 3), '-'))
-select run_id, sum((prompt_tokens-least(coalesce(cached_tokens,0), prompt_tokens))*pi/1e6) as input_cost, sum(coalesce(cached_tokens,0)*pc/1e6) as cached_cost, sum(completion_tokens*po/1e6) as output_cost,
-sum((prompt_tokens-least(coalesce(cached_tokens,0), prompt_tokens))*pi/1e6+coalesce(cached_tokens,0)*pc/1e6+completion_tokens*po/1e6) as total_cost from p group by 1""")
+COSTS = ("input_cost", "output_cost", "cached_cost", "cache_write_cost", "reasoning_cost", "total_cost")
+
+
+@query("a24_cost", """with p as (select s.*, coalesce(a.input, b.input, c.input) as pi, coalesce(a.output, b.output, c.output) as po, coalesce(a.cached, b.cached, c.cached) as pc, coalesce(a.cache_write, b.cache_write, c.cache_write, 0) as pw, coalesce(a.reasoning, b.reasoning, c.reasoning, 0) as pr from v_steps s left join v_prices a on a.model=s.model
+left join v_prices b on b.model=regexp_replace(s.model, '^[^/]*/', '') left join v_prices c on c.model=array_to_string(list_slice(string_split(s.model, '-'), 1, 3), '-')),
+k as (select run_id, case when prompt_tokens>0 then prompt_tokens*pi/1e6 end as i, case when completion_tokens>0 then completion_tokens*po/1e6 end as o, case when cached_tokens>0 then cached_tokens*pc/1e6 end as c, case when cache_write_tokens>0 then cache_write_tokens*pw/1e6 end as w, case when reasoning_tokens>0 then reasoning_tokens*pr/1e6 end as r from p)
+select run_id, sum(i) as input_cost, sum(o) as output_cost, sum(c) as cached_cost, sum(w) as cache_write_cost, sum(r) as reasoning_cost, sum(nullif(coalesce(i,0)+coalesce(o,0)+coalesce(c,0)+coalesce(w,0)+coalesce(r,0), 0)) as total_cost from k group by 1""")
 def a24(t):
-    return A.step_cost(t.v_steps, t.v_prices).groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("input_cost", "cached_cost", "output_cost", "total_cost")])
+    return A.step_cost(t.v_steps, t.v_prices).groupBy("run_id").agg(*[F.sum(c).alias(c) for c in COSTS])
 
 
 @query("a25_run_metrics", "select s.run_id, count(*) as num_steps, coalesce(max(m.run_ns), cast((epoch(max(s.created_at)) - epoch(min(s.created_at))) as bigint)*1000000000) as run_ns from v_steps s left join v_run_metrics m on s.run_id=m.run_id group by 1")

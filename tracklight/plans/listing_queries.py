@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..operators import analytics as A
 from ..operators import listing as L
 from ..operators import windows as W
 from .registry import query
@@ -32,9 +33,12 @@ def f3b(t):
     return L.page(t.v_runs, "run_id", 25, before="run-500").select("run_id", "created_at")
 
 
-@query("f4_middle", "select event_id from v_tool_events where event_id > 100 and event_id < 140 order by event_id limit 20 offset 5")
+@query("f4_middle", "with c as (select min(event_id) as lo, max(event_id) as hi from v_tool_events) select event_id from v_tool_events, c where event_id > lo and event_id < hi order by event_id limit 20 offset 10")
 def f4(t):
-    return L.middle(t.v_tool_events.where("event_id > 100 and event_id < 131").select("event_id"), [F.col("event_id")], 20)
+    """The middle of what follows the first row and comes before the last (cursors taken from the data; one row)."""
+    ends = t.v_tool_events.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    rows = t.v_tool_events.select("event_id").join(F.broadcast(ends), (F.col("event_id") > F.col("lo")) & (F.col("event_id") < F.col("hi")))
+    return L.middle(rows.select("event_id"), [F.col("event_id")], 20)
 
 
 @query("f5_null_cursor", "select trajectory_id, outcome_score from v_trajectories where outcome_score is null and trajectory_id < 'doc-50' order by trajectory_id desc limit 20")
@@ -106,9 +110,9 @@ def f15(t):
     return L.above_percentile(L.with_metrics(L.scoped(t.v_runs, "org-1"), t.v_run_metrics), "run_ns", 0.9).select("run_id", "run_ns")
 
 
-@query("f16_steps", "select run_id, step_no, model from v_steps where model='model-a' and feedback is null and created_at >= timestamp '1994-01-01' and created_at < timestamp '1995-01-01'")
+@query("f16_steps", "select run_id, step_no, model from v_steps where model='model-a' and feedback is null and created_at >= timestamp '1998-01-01' and created_at < timestamp '1999-01-01'")
 def f16(t):
-    return t.v_steps.where((F.col("model") == "model-a") & F.col("feedback").isNull() & (F.col("created_at") >= F.lit("1994-01-01").cast("date")) & (F.col("created_at") < F.lit("1995-01-01").cast("date"))).select("run_id", "step_no", "model")
+    return t.v_steps.where((F.col("model") == "model-a") & F.col("feedback").isNull() & (F.col("created_at") >= F.lit("1998-01-01").cast("date")) & (F.col("created_at") < F.lit("1999-01-01").cast("date"))).select("run_id", "step_no", "model")
 
 
 @query("f17_messages", "select message_id from v_messages where role in ('user','assistant') and lower(text) like '%tion%' and sequence_id > 20000 order by sequence_id limit 60")
@@ -124,9 +128,9 @@ def f18(t):
     return rows.orderBy(F.desc("created_at"), F.desc("run_id")).limit(50).select("run_id")
 
 
-@query("f19_blocks", "select doc_id from documents where lower(substring(text,1,400)) like '%license%' and lang='en'")
+@query("f19_blocks", "select doc_id from documents where lower(text) like '%license%' and lang='en'")
 def f19(t):
-    return L.matching(t.documents.withColumn("value", F.substring("text", 1, 400)), {"lang": "en"}, contains={"value": "License"}).select("doc_id")
+    return L.matching(t.documents, {"lang": "en"}, contains={"text": "License"}).select("doc_id")
 
 
 @query("f20_batch_messages", "select s.run_id, s.step_no, r.status, m.num_steps from v_steps s join v_runs r on s.run_id=r.run_id join v_run_metrics m on m.run_id=r.run_id where r.status='running' and r.created_at >= timestamp '1998-01-01'")
@@ -142,9 +146,11 @@ def f21(t):
     return t.v_tool_events.where((ts >= low) & (ts <= high)).select("event_id")
 
 
-@query("f22_glob", "select file_id from v_files where regexp_matches(file_name, '(?i)^page.7\\.html$')")
+@query("f22_glob", "select file_id, regexp_matches(file_name, '(?i)age.7\\.h.*l$') as by_glob, regexp_matches(file_name, '(?i)^PAGE[13]') as by_regex from v_files where regexp_matches(file_name, '(?i)age.7\\.h.*l$') or regexp_matches(file_name, '(?i)^PAGE[13]')")
 def f22(t):
-    return t.v_files.where(F.col("file_name").rlike(L.glob_to_regex("page?7.html"))).select("file_id")
+    """A glob matches at the end of a name, from any place; what isn't one is an expression."""
+    glob, regex = (F.col("file_name").rlike(L.name_pattern(p)) for p in ("age?7.h*l", "^PAGE[13]"))
+    return t.v_files.where(glob | regex).select("file_id", glob.alias("by_glob"), regex.alias("by_regex"))
 
 
 @query("f23_tools", "select distinct action from v_tool_events where action not in ('click') and lower(action) like '%e%'")
@@ -170,12 +176,13 @@ def j1(t):
     return L.with_metrics(t.v_runs, t.v_run_metrics).select("run_id", "status", "num_steps", "run_ns")
 
 
-@query("j2_agent_passages", "select a.agent_id, p.passage_id from (select distinct agent_id, 'archive-src'||cast(cast(substring(agent_id, 7) as bigint)%20 as varchar) as archive_id from v_agent_tags where cast(substring(agent_id, 7) as bigint) < 200) a join v_passages p on a.archive_id=p.archive_id")
+@query("j2_agent_passages", "select a.agent_id, p.tag_size, count(*) as n, min(p.passage_id) as first_passage from (select distinct agent_id, 'archive-src'||cast(cast(substring(agent_id, 7) as bigint)%20 as varchar) as archive_id from v_agent_tags) a join v_passages p on a.archive_id=p.archive_id group by 1, 2")
 def j2(t):
+    """Passages of every agent through its archives, counted by size."""
     n = F.substring("agent_id", F.lit(7), F.length("agent_id")).cast("bigint")
-    agents = t.v_agent_tags.where(n < 200).select("agent_id").distinct()
+    agents = t.v_agent_tags.select("agent_id").distinct()
     junction = agents.withColumn("archive_id", F.concat(F.lit("archive-src"), (n % 20).cast("string")))
-    return L.linked(agents, junction, t.v_passages, "agent_id", "archive_id").select("agent_id", "passage_id")
+    return L.linked(agents, junction, t.v_passages, "agent_id", "archive_id").groupBy("agent_id", "tag_size").agg(F.count("*").alias("n"), F.min("passage_id").alias("first_passage"))
 
 
 @query("j3_union_passages", "select passage_id as id, archive_id, cast(null as varchar) as source_id, 'archival' as kind from v_passages union all select file_id, null, source_id, 'source' from v_files")
@@ -295,14 +302,23 @@ def w5(t):
     return W.evict_open_files(t.v_open_files, 5).select("agent_id", "file_id", "stays")
 
 
-@query("w6_block_history", "select user_id as block_id, event_id as at, row_number() over w as sequence, lag(event_type) over w as undo, lead(event_type) over w as redo from events window w as (partition by user_id order by event_id)")
+@query("w6_block_history", """with recursive e as (select user_id as b, event_id as "at", row_number() over (partition by user_id order by event_id) as i, case cast(event_id%5 as int) when 3 then 'undo' when 4 then 'redo' else 'checkpoint' end as kind, event_type as value from events),
+f as (select b, i, "at", 1 as pos, [value] as vals from (select * from e where i=1 and kind='checkpoint') union all select b, i, "at", 0, cast([] as varchar[]) from e where i=1 and kind<>'checkpoint'
+union all select e.b, e.i, e."at", case e.kind when 'checkpoint' then pos+1 when 'undo' then greatest(pos-1, least(pos, 1)) else least(pos+1, len(vals)) end, case when e.kind='checkpoint' then list_append(list_slice(vals, 1, pos), e.value) else vals end from f join e on e.b=f.b and e.i=f.i+1)
+select b as block_id, "at", pos as sequence, vals[pos] as value, len(vals) as checkpoints from f""")
 def w6(t):
-    return W.block_versions(t.events.select(F.col("user_id").alias("block_id"), F.col("event_id").alias("at"), F.col("event_type").alias("value"))).drop("value")
+    n = F.col("event_id") % 5
+    kind = F.when(n == 3, "undo").when(n == 4, "redo").otherwise("checkpoint")
+    return W.block_versions(t.events.select(F.col("user_id").alias("block_id"), F.col("event_id").alias("at"), kind.alias("kind"), F.col("event_type").alias("value")))
 
 
-@query("w7_unique_names", "select file_id, case when k=0 then file_name else replace(file_name, '.html', '')||'_('||cast(k as varchar)||').html' end as unique_name from (select *, row_number() over (partition by source_id, file_name order by file_id)-1 as k from v_files)")
+@query("w7_unique_names", """with f as (select file_id, source_id, is_deleted, case when cast(substring(file_id, 6) as bigint)%3=0 then repeat('y', 260)||'.'||file_name else file_name end as name from v_files), s as (select *, left(left(name, length(name)-5), 244) as base from f)
+select file_id, source_id||'/'||base||case when k>0 then '_('||cast(k as varchar)||')' else '' end||'.html' as unique_name from (select *, coalesce(sum(case when is_deleted then 0 else 1 end) over (partition by source_id, base order by file_id rows between unbounded preceding and 1 preceding), 0) as k from s)""")
 def w7(t):
-    return W.unique_names(t.v_files).select("file_id", "unique_name")
+    """Every third name is too long and is cut."""
+    third = F.substring("file_id", F.lit(6), F.length("file_id")).cast("bigint") % 3 == 0
+    name = F.when(third, F.concat(F.lit("y" * 260 + "."), "file_name")).otherwise(F.col("file_name"))
+    return W.unique_names(t.v_files.withColumns({"file_name": name, "source_name": F.col("source_id")})).select("file_id", "unique_name")
 
 
 @query("w8_top_k", "select event_id from v_tool_events where confidence is not null order by confidence desc, ts desc, event_id limit 20")
@@ -326,11 +342,9 @@ def w11(t):
     return W.concurrency(calls, "begin", "end", "user_id").withColumnRenamed("at", "instant")
 
 
-@query("w11_latency_cdf", "select event_id, cume_dist() over (partition by action order by duration_ms) as share from v_tool_events")
+@query("w11_latency_cdf", "select event_id, cume_dist() over (partition by action order by duration_ms) as share from v_tool_events where duration_ms is not null")
 def w11b(t):
-    from pyspark.sql.window import Window
-
-    return t.v_tool_events.select("event_id", F.cume_dist().over(Window.partitionBy("action").orderBy("duration_ms")).alias("share"))
+    return A.cumulative_share(t.v_tool_events.where("duration_ms is not null").select("event_id", "action", "duration_ms"), "duration_ms", ["action"]).select("event_id", "share")
 
 
 @query("w12_view", "select doc_id, case when length(text)>100 then substring(text,1,100)||'...' else text end as shown from documents")
@@ -338,11 +352,21 @@ def w12(t):
     return t.documents.select("doc_id", X.summarise_result("text", 100).alias("shown"))
 
 
-@query("w13_clean", """with m as (select user_id as conversation, event_id as seq, case cast(event_id%4 as int) when 0 then 'assistant' when 1 then 'tool' when 2 then 'approval' else 'user' end as role, case when event_id%4<2 then event_type end as call_id from events),
-o as (select *, row_number() over (partition by conversation, role, call_id order by seq) as nth from m), k as (select * from o where call_id is null or nth=1), l as (select *, max(seq) over (partition by conversation) as last from k)
-select conversation, seq, role from l where not (seq=last and role in ('approval','reasoning'))""")
+@query("w13_clean", """with m as (select user_id as conversation, event_id as seq, case cast(event_id%4 as int) when 0 then 'assistant' when 1 then 'approval' when 2 then 'tool' else 'user' end as role, case when event_id%7<>0 then props end as text,
+case when event_id%4<2 and event_id%3<>0 then ['c'||cast(event_id//8 as varchar), 'd'||event_type] else [] end as calls, case when event_id%4=2 then 'c'||cast(event_id//12 as varchar) end as call_id, event_id%5=0 as is_summary, case when event_id%4=1 and event_id%3=0 then true end as approved from events),
+a as (select *, coalesce(lead(is_summary) over w, false) as s1, lead(seq, 2) over w as q2, lead(approved, 2) over w as a2 from m window w as (partition by conversation order by seq)), b as (select * from a where not (role='approval' and len(calls)>0 and s1 and (q2 is null or a2 is not null))),
+c as (select *, row_number() over (partition by conversation order by seq desc) as r, coalesce(lead(role='approval' and len(calls)>0) over (partition by conversation order by seq), false) as n1 from b), d as (select * from c where not ((r=1 and role='approval' and len(calls)>0) or (r=2 and n1 and role='assistant' and len(calls)>0))),
+e as (select *, max(seq) over (partition by conversation) as l from d), f as (select * from e where not (seq=l and role='assistant' and len(calls)=0 and coalesce(text, '')='')),
+g as (select *, coalesce(lead(role='approval' and len(calls)>0) over w, false) as nj, lead(text) over w as nt, lead(calls) over w as nc, coalesce(lag(role='assistant' and len(calls)>0) over w, false) as pj from f window w as (partition by conversation order by seq)),
+h as (select conversation, seq, role, case when nj and role='assistant' and len(calls)>0 then coalesce(text,'')||coalesce(nt,'') else text end as text, case when nj and role='assistant' and len(calls)>0 then list_concat(calls, nc) else calls end as calls, call_id from g where not (role='approval' and len(calls)>0 and pj)),
+k as (select *, row_number() over (partition by conversation, role, call_id order by seq) as n from h)
+select conversation, seq, role, text, case when role='assistant' then (select string_agg(x, ',' order by i) from (select unnest(calls) as x, generate_subscripts(calls, 1) as i) u where list_position(calls, x)=i) else array_to_string(calls, ',') end as calls from k where role<>'tool' or call_id is null or n=1""".replace("case when role='assistant' then (select", "case when role='assistant' then coalesce((select").replace("list_position(calls, x)=i) else", "list_position(calls, x)=i), '') else"))
 def w13(t):
-    e = t.events
-    role = F.when(e.event_id % 4 == 0, "assistant").when(e.event_id % 4 == 1, "tool").when(e.event_id % 4 == 2, "approval").otherwise("user")
-    m = e.select(F.col("user_id").alias("conversation"), F.col("event_id").alias("seq"), role.alias("role"), F.when(e.event_id % 4 < 2, F.col("event_type")).alias("call_id"))
-    return W.clean_conversation(m).select("conversation", "seq", "role")
+    e, n = t.events, F.col("event_id")
+    role = F.when(n % 4 == 0, "assistant").when(n % 4 == 1, "approval").when(n % 4 == 2, "tool").otherwise("user")
+    group = lambda by: F.concat(F.lit("c"), F.floor(n / by).cast("string"))
+    m = e.select(
+        F.col("user_id").alias("conversation"), n.alias("seq"), role.alias("role"), F.when(n % 7 != 0, F.col("props")).alias("text"), F.when((n % 4 < 2) & (n % 3 != 0), F.array(group(8), F.concat(F.lit("d"), "event_type"))).alias("calls"),
+        F.when(n % 4 == 2, group(12)).alias("call_id"), (n % 5 == 0).alias("is_summary"), F.when((n % 4 == 1) & (n % 3 == 0), True).alias("approved"),
+    )
+    return W.clean_conversation(m).select("conversation", "seq", "role", "text", F.array_join("calls", ",").alias("calls"))

@@ -16,7 +16,7 @@ from .registry import query
 def _captured(t):
     """Runs of orders, steps of line items, and a message for every second step, with its model as the tool."""
     runs = t.v_runs.withColumn("completed_at", F.when(F.col("background"), F.col("created_at").cast("timestamp") + F.expr("interval 90 seconds")))
-    m = t.v_steps.where("step_no % 2 = 1 or step_no = 4").select("run_id", F.when(F.col("step_no") != 4, F.col("step_no")).alias("step_no"), F.col("step_no").cast("bigint").alias("seq"), F.concat("run_id", F.lit("/"), F.col("step_no").cast("string")).alias("message_id"), F.when(F.col("step_no") == 1, "user").when(F.col("step_no") == 5, "robot").otherwise("assistant").alias("role"), F.concat(F.lit("text "), F.col("step_no").cast("string")).alias("text"), F.when(F.col("step_no") == 3, F.array("model")).alias("tools"))
+    m = t.v_steps.where("step_no % 2 = 1 or step_no = 4").select("run_id", F.when(F.col("step_no") != 4, F.col("step_no")).alias("step_no"), F.col("step_no").cast("bigint").alias("seq"), F.concat("run_id", F.lit("/"), F.col("step_no").cast("string")).alias("message_id"), F.when(F.col("step_no").isin(1, 3, 4, 7), "user").when(F.col("step_no") == 5, "robot").otherwise("assistant").alias("role"), F.concat(F.lit("text "), F.col("step_no").cast("string")).alias("text"), F.when(F.col("step_no") == 3, F.array("model")).alias("tools"))
     return C.build_trajectories(runs, t.v_steps, m)
 
 
@@ -34,16 +34,17 @@ def t1b(t):
     return turns.select("run_id", "x.step_no", F.size("x.messages").alias("n_messages"))
 
 
-OUTCOME = """with u as (select run_id, count(case when step_no=1 then 1 end) as users, max(case when step_no=3 then 1 else 0 end) as tools from v_steps group by 1), o as (select r.run_id, status, stop_reason, coalesce(tools,0) as tools,
-case when status='completed' and coalesce(stop_reason,'')='max_tokens' then 'incomplete' when status='completed' then 'completed' when status in ('failed','cancelled') then 'failed' else 'unknown' end as name,
-case when status='completed' and stop_reason='end_turn' then 0.8 when status='completed' and stop_reason='max_tokens' then 0.5 when status='completed' then 0.6 when status='failed' then 0.9 else 0.3 end + case when status='completed' and coalesce(users,0)>3 then 0.1 else 0 end as confidence from v_runs r left join u on r.run_id=u.run_id) """
+OUTCOME = """with u as (select run_id, count(case when step_no in (1, 3, 4, 7) then 1 end) as users, count(case when step_no=3 then 1 end) as tools from v_steps group by 1), o1 as (select r.run_id, status, stop_reason, coalesce(tools,0) as tools, coalesce(users,0) as users,
+case when status='completed' and coalesce(stop_reason,'')='max_tokens' then 'incomplete' when status='completed' then 'completed' when status in ('failed','cancelled') then 'failed' else 'unknown' end as name from v_runs r left join u on r.run_id=u.run_id),
+o as (select *, case when status='completed' and stop_reason='end_turn' then 0.8 when status='completed' and stop_reason='max_tokens' then 0.5 when status='completed' then 0.7 when status='failed' then 0.9 when status='cancelled' then 0.8 else 0.5 end + case when name='completed' and users>3 then 0.1 else 0 end as confidence,
+concat_ws('; ', case when status='completed' then 'Run completed without errors' when status='failed' then 'Run failed with error' when status='cancelled' then 'Run was cancelled' end, case when status='completed' and stop_reason='end_turn' then 'Agent naturally ended turn' when status='completed' and stop_reason='max_tokens' then 'Hit token limit (may be incomplete)' end,
+case when name='completed' and users>3 then 'High user engagement ('||cast(users as varchar)||' user messages)' end, case when tools>0 then 'Used '||cast(tools as varchar)||' tool calls' end) as reasons from o1) """
 
 
-@query("t1c_outcome", OUTCOME + "select name, cast(confidence as double) as confidence, case name when 'completed' then 'success' when 'incomplete' then 'partial_success' when 'failed' then 'failure' else 'unknown' end as kind, tools=1 as tools, count(*) as n from o group by all")
+@query("t1c_outcome", OUTCOME + "select run_id, name, cast(confidence as double) as confidence, case name when 'completed' then 'success' when 'incomplete' then 'partial_success' when 'failed' then 'failure' else 'unknown' end as kind, reasons from o")
 def t1c(t):
     o = F.col("outcome")
-    rows = _captured(t).select(o["status"].alias("name"), o["confidence"].alias("confidence"), o["type"].alias("kind"), F.array_contains(o["reasoning"], "tools were used").alias("tools"))
-    return rows.groupBy("name", "confidence", "kind", "tools").agg(F.count("*").alias("n"))
+    return _captured(t).select("run_id", o["status"].alias("name"), o["confidence"].alias("confidence"), o["type"].alias("kind"), F.array_join(o["reasoning"], "; ").alias("reasons"))
 
 
 @query("t2_content", "select message_id, text as first_text, text||chr(10)||role as joined from v_messages")
@@ -58,7 +59,7 @@ def t2b(t):
     return t.v_messages.select("message_id", C.joined_text(C.content_blocks(F.col("text"))).alias("joined"))
 
 
-@query("t3_analytic", OUTCOME + ", w as (select run_id, max(case when step_no=1 then 1 else 0 end) as has_user, count(case when step_no=5 then 1 end) as robots, count(*) as n from v_steps group by 1) select o.run_id, case when has_user=1 then 'text 1' else 'Unknown task' end as task, case name when 'completed' then 'success' when 'incomplete' then 'partial' else 'failure' end as result, n as n_turns from o join w on o.run_id=w.run_id")
+@query("t3_analytic", OUTCOME + ", w as (select run_id, min(case when step_no in (1, 3, 7) then step_no end) as first_user, count(*) as n from v_steps group by 1) select o.run_id, coalesce('text '||cast(first_user as varchar), 'Unknown task') as task, case name when 'completed' then 'success' when 'incomplete' then 'partial' else 'failure' end as result, n as n_turns from o join w on o.run_id=w.run_id")
 def t3(t):
     a = C.to_analytic(_captured(t)).where("turns is not null")
     return a.select("run_id", "task", "result", F.size("turns").cast("bigint").alias("n_turns"))
@@ -89,21 +90,33 @@ def t8(t):
     return r.select("trajectory_id", F.array_join("resources", ",").alias("resources"))
 
 
-@query("t10_summary", "select run_id, concat_ws(' | ', 'Status: '||status, 'Stop: '||stop_reason) as summary from v_runs")
+#: What runs say in place of a request, an end and feedback; every fifth run says nothing.
+SAID = "select run_id, agent_id, created_at, o % 5 <> 0 as says, case when o % 3 = 0 then 'do '||run_id end as request, case when o % 7 <> 0 then status = 'completed' end as completed, case cast(o % 4 as int) when 0 then 'Not GOOD' when 1 then 'It did not work' when 2 then 'fine' end as feedback from (select *, cast(substring(run_id, 5) as bigint) as o from v_runs) r0"
+
+
+def _said(t):
+    o = F.substring("run_id", F.lit(5), F.length("run_id")).cast("bigint")
+    feedback = F.when(o % 4 == 0, "Not GOOD").when(o % 4 == 1, "It did not work").when(o % 4 == 2, "fine")
+    return t.v_runs.select("run_id", (o % 5 != 0).alias("says"), F.when(o % 3 == 0, F.concat(F.lit("do "), "run_id")).alias("request"), F.when(o % 7 != 0, F.col("status") == "completed").alias("completed"), feedback.alias("feedback"))
+
+
+@query("t10_summary", "select run_id, case when not says or (request is null and completed is null and feedback is null) then 'Agent execution trace with '||cast(length(run_id) as varchar)||' bytes' else concat_ws(' | ', 'User request: '||request, 'Status: '||case when completed then 'Completed' when not completed then 'Abandoned' end, 'Feedback: '||feedback) end as summary from (" + SAID + ") s")
 def t10(t):
-    return t.v_runs.select("run_id", C.fallback_summary([("Status", F.col("status")), ("Stop", F.col("stop_reason"))]).alias("summary"))
+    known = lambda c: F.when(F.col("says"), F.col(c))
+    return _said(t).select("run_id", C.fallback_summary(known("request"), known("completed"), known("feedback"), F.octet_length("run_id")).alias("summary"))
 
 
-@query("t11_score", "select run_id, round(greatest(0, least(1, cast(0.5 as double)+case status when 'completed' then 0.2 when 'failed' then -0.2 else 0 end - case when stop_reason='error' then 0.2 else 0 end)), 6) as score from v_runs")
+@query("t11_score", "select run_id, round(greatest(0, least(1, cast(0.5 as double)+case when not says then 0 when completed then 0.2 else -0.2 end+case when not says or feedback is null then 0 when feedback='Not GOOD' then 0.2 when feedback='It did not work' then -0.2 else 0 end)), 6) as score, 'Heuristic score based on: '||case when not says then 'no clear signals' else concat_ws(', ', case when completed then 'Task completed' else 'Task not completed' end, case feedback when 'Not GOOD' then 'Positive user feedback' when 'It did not work' then 'Negative user feedback' end) end as reasoning from (" + SAID + ") s")
 def t11(t):
-    return t.v_runs.select("run_id", C.fallback_score(F.col("status"), F.col("stop_reason")).alias("score"))
+    s = C.fallback_score(F.when(F.col("says"), F.struct("completed", "feedback")))
+    return _said(t).select("run_id", s["score"].alias("score"), s["reasoning"].alias("reasoning"))
 
 
-@query("t12_labels", "select trajectory_id, case when max(turn_index)+1<=2 then 'simple' when max(turn_index)+1>=10 then 'complex' else 'moderate' end as complexity, case when count(*)>3 then 'tool_usage' else 'general' end as tags from v_messages group by 1")
+@query("t12_labels", "select agent_id, case when turns<=2 then 'simple' when turns>=10 then 'complex' else 'moderate' end as complexity, case when tools=0 and n<=10 then 'general' else concat_ws(',', case when tools>0 then 'tool_usage' end, case when n>10 then 'extended_interaction' end) end as tags from (select agent_id, count(case when background then 1 end) as turns, count(case when stop_reason is null then 1 end) as tools, count(*) as n from v_runs group by 1) g")
 def t12(t):
-    g = t.v_messages.groupBy("trajectory_id").agg((F.max("turn_index") + 1).alias("turns"), F.count("*").alias("n"))
-    x = C.fallback_labels(F.col("turns"), F.when(F.col("n") > 3, 1).otherwise(0), F.col("n"))
-    return g.select("trajectory_id", x["complexity"].alias("complexity"), F.array_join(x["tags"], ",").alias("tags"))
+    g = t.v_runs.groupBy("agent_id").agg(F.count_if("background").alias("turns"), F.count_if(F.col("stop_reason").isNull()).alias("tools"), F.count("*").alias("n"))
+    x = C.fallback_labels(F.col("turns"), F.col("tools"), F.col("n"))
+    return g.select("agent_id", x["complexity"].alias("complexity"), F.array_join(x["tags"], ",").alias("tags"))
 
 
 @query("t13_enrich", "select trajectory_id, case when created_seq%3=0 then 'fallback' else upper(complexity_level) end as summary, case when created_seq%3=0 then 0.5 when created_seq%3=1 then 1.0 else 0.25 end as score, case when created_seq%3=2 then 'simple' else complexity_level end as level from v_trajectories")
@@ -142,15 +155,19 @@ def s2(t):
     return io.upsert_versions(old, new, "doc_id")
 
 
-@query("s3_promoted", "select run_id, agent_id as domain_type from v_runs")
+@query("s3_promoted", "select r.run_id, r.agent_id as domain_type, r.created_at as timestamp_start, coalesce(s.model, '') as tags, r.status from v_runs r left join (select run_id, string_agg(distinct model, ',' order by model) as model from v_steps where step_no=3 group by 1) s on r.run_id=s.run_id")
 def s3(t):
-    return io.promoted(_captured(t)).select("run_id", "domain_type")
+    p = io.promoted(_captured(t))
+    return p.select("run_id", "domain_type", "timestamp_start", F.array_join("tags", ",").alias("tags"), F.get_json_object("data", "$.metadata.status").alias("status"))
 
 
-@query("s4_list_files", "select 'documents.parquet' as name, 'parquet' as ext")
+@query("s4_list_files", "select 'documents.parquet' as name, 'parquet' as ext, count(*) as rows, count(distinct source) as sources from documents")
 def s4(t):
-    """Files of the folder by pattern: names and types only."""
-    return io.list_files(t.spark, t.sf_dir, "doc*.parquet").where("name = 'documents.parquet' or path like '%documents.parquet/%'").select(F.lit("documents.parquet").alias("name"), "ext").distinct()
+    """Files found by a pattern, and what is read from them by path."""
+    found = io.list_files(t.spark, t.sf_dir, "*.parquet").where("path like '%/documents.parquet%'").select("path", "ext")
+    rows = t.documents.select(F.col("_metadata.file_path").alias("path"), "source").groupBy("path", "source").agg(F.count("*").alias("n"))
+    met = rows.join(found.hint("merge"), "path")
+    return met.agg(F.lit("documents.parquet").alias("name"), F.max("ext").alias("ext"), F.sum("n").alias("rows"), F.count_distinct("source").alias("sources"))
 
 
 @query("s8_spans", "with d as (select trajectory_id, turn_index, count(*) as n from v_tool_events group by 1, 2) select trajectory_id as trace_id, 'trajectory' as name, count(*) as n from (select distinct trajectory_id from d) group by 1 union all select trajectory_id, 'turn', count(*) from d group by 1 union all select trajectory_id, 'decision', sum(n) from d group by 1")
@@ -158,10 +175,13 @@ def s8(t):
     return io.spans(decisions(t)).groupBy("trace_id", "name").agg(F.count("*").alias("n"))
 
 
-@query("s9_traces", "select trajectory_id, count(distinct turn_index) as n_generations, true as parsed from v_tool_events group by 1")
+@query("s9_traces", "with s as (select *, row_number() over (partition by trajectory_id, turn_index order by ts, event_id)-1 as i from v_tool_events) select trajectory_id, count(distinct turn_index) as n_generations, string_agg(cast(turn_index as varchar)||':'||cast(i as varchar)||action||coalesce('='||response_text, ''), ';' order by turn_index, i) as spans from s group by 1")
 def s9(t):
+    """Traces read back from their JSON."""
     trace, _ = io.traces(decisions(t))
-    return trace.select("trajectory_id", F.col("n_generations").cast("bigint").alias("n_generations"), (F.get_json_object("trace", "$.trajectory_id") == F.col("trajectory_id")).alias("parsed"))
+    back = F.from_json("trace", "trajectory_id string, generations array<struct<turn_index:int,spans:array<struct<decision_index:int,id:string,name:string,output:string>>>>")
+    told = lambda g: F.transform(g["spans"], lambda s: F.concat(g["turn_index"].cast("string"), F.lit(":"), s["decision_index"].cast("string"), s["name"], F.coalesce(F.concat(F.lit("="), s["output"]), F.lit(""))))
+    return trace.select(back.alias("b")).select("b.trajectory_id", F.size("b.generations").cast("bigint").alias("n_generations"), F.array_join(F.flatten(F.transform("b.generations", told)), ";").alias("spans"))
 
 
 @query("s9_scores", "select trajectory_id as trace_id, confidence as value from v_tool_events where confidence is not null")

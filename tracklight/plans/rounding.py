@@ -2,14 +2,13 @@
 
 PLACES = 6
 
-# Fixed values.
 ROUNDED = {
     "a10_snapshot": ("avg_confidence", "avg_decisions", "avg_turns", "success_rate"),
     "a14_daily": ("avg_score",),
     "a15_agent_stats": ("avg_score",),
     "a16_annotation_agg": ("avg_score", "max_score", "min_score"),
     "a1_success_rate": ("success_rate",),
-    "a24_cost": ("cached_cost", "input_cost", "output_cost", "total_cost"),
+    "a24_cost": ("cache_write_cost", "cached_cost", "input_cost", "output_cost", "reasoning_cost", "total_cost"),
     "a26_latency": ("mean_value",),
     "a7_duration_stats": ("max_value", "mean_value", "median_value", "min_value"),
     "a9_pivotal": ("pivotal_rate",),

@@ -16,31 +16,30 @@ COS = "round(list_cosine_similarity(cast(q.query_embedding as double[]), cast(v.
 TOP = "select query_id, trajectory_id, similarity, row_number() over (partition by query_id order by similarity desc, trajectory_id) as rank from (select q.query_id, v.trajectory_id, " + COS + " as similarity, {more} from v_queries q, v_trajectories v where v.embedding is not null and {where})"
 
 
-def _rounded(df):
-    return df.withColumn("similarity", F.round("similarity", 6))
-
-
 def _top(t, k=10, **filters):
     rows = t.v_trajectories
     for c, v in filters.items():
         rows = rows.where(F.col(c) == v)
-    return S.best(_rounded(S.scored(t.v_queries, rows)), k)
+    return S.nearest(t.v_queries, rows, k)
 
 
-@query("v1_cosine", "select q.query_id, v.trajectory_id, " + COS + " as similarity from v_queries q, v_trajectories v where v.embedding is not null")
+@query("v1_cosine", "select v.trajectory_id, round(list_cosine_similarity(cast(v.embedding as double[]), cast(w.embedding as double[])), 6) as similarity from v_trajectories v join embeddings w on v.created_seq+1=w.vec_id where v.embedding is not null")
 def v1(t):
-    return _rounded(S.scored(t.v_queries, t.v_trajectories)).select("query_id", "trajectory_id", "similarity")
+    """Cosine of each row with the row after it: one equi-join."""
+    after = t.embeddings.select((F.col("vec_id") - 1).alias("created_seq"), F.col("embedding").alias("other"))
+    rows = t.v_trajectories.where("embedding is not null").join(after, "created_seq")
+    return rows.select("trajectory_id", F.round(X.cosine("embedding", "other"), 6).alias("similarity"))
 
 
 @query("v2_topk", "select * from (" + TOP.format(more="1 as m", where="outcome_score>=0.4 and domain_type='en'") + ") where rank<=10")
 def v2(t):
     rows = t.v_trajectories.where((F.col("outcome_score") >= 0.4) & (F.col("domain_type") == "en"))
-    return S.best(_rounded(S.scored(t.v_queries, rows)), 10).select("query_id", "trajectory_id", "similarity", "rank")
+    return S.nearest(t.v_queries, rows, 10).select("query_id", "trajectory_id", "similarity", "rank")
 
 
 @query("v3_cross_org", "select query_id, case when organization_id='org-1' then trajectory_id else '[REDACTED:'||substring(sha256('s'||trajectory_id),1,8)||']' end as trajectory_id, similarity, case when organization_id='org-1' then 'own' else 'shared' end as visibility from (select *, row_number() over (partition by query_id order by similarity desc, trajectory_id) as rank from (select q.query_id, v.trajectory_id, v.organization_id, " + COS + " as similarity from v_queries q, v_trajectories v where v.embedding is not null and domain_type='en' and (organization_id='org-1' or share_cross_org))) where rank<=10")
 def v3(t):
-    return _rounded(S.search_across(t.v_queries, t.v_trajectories, "org-1", "en", 10, "s")).select("query_id", "trajectory_id", "similarity", "visibility")
+    return S.search_across(t.v_queries, t.v_trajectories, "org-1", "en", 10, "s").select("query_id", "trajectory_id", "similarity", "visibility")
 
 
 @query("v4_fallback", "select trajectory_id, cast(0 as double) as similarity from v_trajectories where agent_id='agent-src2' order by created_seq desc limit 10")
@@ -67,11 +66,10 @@ def v5b(t):
     return t.v_trajectories.where(s > 0).select("trajectory_id")
 
 
-@query("v6_distance", "select * from (select query_id, trajectory_id, round(1/(1+list_distance(cast(q.query_embedding as double[]), cast(v.embedding as double[]))), 6) as similarity from v_queries q, v_trajectories v where v.embedding is not null) where similarity>=0.4")
+@query("v6_distance", "select * from (select *, row_number() over (partition by query_id order by similarity desc, trajectory_id) as rank from (select query_id, trajectory_id, round(1/(1+list_distance(cast(q.query_embedding as double[]), cast(v.embedding as double[]))), 6) as similarity from v_queries q, v_trajectories v where v.embedding is not null)) where rank<=10")
 def v6(t):
-    d = S.euclidean(F.col("query_embedding"), F.col("embedding"))
-    rows = S.crossed(t.v_queries, t.v_trajectories.where("embedding is not null"))
-    return rows.select("query_id", "trajectory_id", F.round(S.from_distance(d), 6).alias("similarity")).where("similarity >= 0.4")
+    """Nearest by Euclidean distance, as 1 / (1 + distance)."""
+    return S.nearest(t.v_queries, t.v_trajectories, 10, kind="distance").select("query_id", "trajectory_id", "similarity", "rank")
 
 
 @query("v7_decision_search", "select * from (select query_id, trajectory_id, similarity from (" + TOP.format(more="1 as m", where="organization_id='org-2'") + ") where rank<=20) where similarity>=0.2")
@@ -83,17 +81,18 @@ def v7(t):
 @query("v8_similar", "select query_id, trajectory_id, rank from (select query_id, trajectory_id, row_number() over (partition by query_id order by similarity desc, trajectory_id) as rank from (select q.query_id, v.trajectory_id, " + COS + " as similarity from v_queries q, v_trajectories v where v.embedding is not null) where similarity>=0.1) where rank<=5")
 def v8(t):
     """The floor first, then top k."""
-    return S.best(_rounded(S.scored(t.v_queries, t.v_trajectories)).where("similarity >= 0.1"), 5).select("query_id", "trajectory_id", "rank")
+    return S.nearest(t.v_queries, t.v_trajectories, 5, floor=0.1).select("query_id", "trajectory_id", "rank")
 
 
-#: Trajectories found by vector stand for those of the tool calls by position in their order of names.
-LINK = "(select trajectory_id as tool_trajectory, 'doc-'||cast(row_number() over (order by trajectory_id) - 1 as varchar) as trajectory_id from (select distinct trajectory_id from v_tool_events))"
+#: Trajectories of tool calls stand for those found by vector: the hash of an id, modulo the documents, names one.
+LINK = "(select trajectory_id as tool_trajectory, 'doc-'||cast(cast('0x'||substring(md5(trajectory_id), 1, 8) as bigint) % (select count(*) from documents) as varchar) as trajectory_id from (select distinct trajectory_id from v_tool_events))"
 
 
 def _linked_decisions(t):
     d = decisions(t)
-    ids = d.select("trajectory_id").distinct().withColumn("doc", F.concat(F.lit("doc-"), (F.row_number().over(Window.orderBy("trajectory_id")) - 1).cast("string")))
-    return d.join(ids, "trajectory_id").drop("trajectory_id").withColumnRenamed("doc", "trajectory_id").withColumnRenamed("call_id", "decision_call")
+    one = t.documents.agg(F.count("*").alias("n_docs"))  # one row
+    at = F.conv(F.substring(F.md5(F.col("trajectory_id").cast("binary")), 1, 8), 16, 10).cast("bigint") % F.col("n_docs")
+    return d.join(F.broadcast(one)).withColumn("trajectory_id", F.concat(F.lit("doc-"), at.cast("string"))).drop("n_docs").withColumnRenamed("call_id", "decision_call")
 
 
 @query("v9_decisions_of_found", "with f as (select * from (" + TOP.format(more="1 as m", where="true") + ") where rank<=10), l as (select e.*, k.trajectory_id as doc from v_tool_events e join " + LINK + " k on e.trajectory_id=k.tool_trajectory) select query_id, doc as trajectory_id, call_id as decision_call, rn as rank from (select f.query_id, l.doc, l.call_id, row_number() over (partition by f.query_id order by f.similarity desc, l.doc, l.call_id) as rn from f join l on f.trajectory_id=l.doc) where rn<=15")
@@ -101,11 +100,11 @@ def v9(t):
     return S.decisions_of(_top(t, 10), _linked_decisions(t), 15, tie="decision_call").select("query_id", "trajectory_id", "decision_call", "rank")
 
 
-CONTEXT = "with f as (select r.*, v.outcome_score from (" + TOP.format(more="1 as m", where="true") + ") r join v_trajectories v on r.trajectory_id=v.trajectory_id where rank<=30), l as (select e.*, k.trajectory_id as doc, not coalesce(regexp_matches(lower(response_text), 'error|exception|failed|failure|invalid'), false) as success from v_tool_events e join " + LINK + " k on e.trajectory_id=k.tool_trajectory), m as (select f.query_id, f.similarity, l.*, case when success and outcome_score>=0.7 then 'success' when not success or outcome_score<0.5 then 'failure' end as kind from f join l on f.trajectory_id=l.doc), e as (select *, row_number() over (partition by query_id, kind order by similarity desc, doc, call_id) as rank from m where kind is not null) "
+CONTEXT = "with f as (select r.*, v.outcome_score from (" + TOP.format(more="1 as m", where="true") + ") r join v_trajectories v on r.trajectory_id=v.trajectory_id where rank<=30), l as (select e.*, k.trajectory_id as doc, not coalesce(regexp_matches(lower(response_text), 'error|exception|failed|failure|invalid'), false) as success, case when not coalesce(regexp_matches(lower(response_text), 'error|exception|failed|failure|invalid'), false) then null when lower(response_text) like '%timeout%' then 'Timeout' when lower(response_text) like '%validation%' then 'ValidationError' when lower(response_text) like '%permission%' or lower(response_text) like '%auth%' then 'PermissionError' when lower(response_text) like '%not found%' then 'NotFoundError' when lower(response_text) like '%error%' or lower(response_text) like '%exception%' then 'Error' else 'tool_error' end as error_type from v_tool_events e join " + LINK + " k on e.trajectory_id=k.tool_trajectory), m as (select f.query_id, f.similarity, l.*, case when success and outcome_score>=0.7 then 'success' when not success or outcome_score<0.5 then 'failure' end as kind from f join l on f.trajectory_id=l.doc), e as (select *, row_number() over (partition by query_id, kind order by similarity desc, doc, call_id) as rank from m where kind is not null) "
 
 
 def _examples(t):
-    found = _top(t, 30).join(t.v_trajectories.select("trajectory_id", F.col("outcome_score").alias("o")), "trajectory_id").drop("outcome_score").withColumnRenamed("o", "outcome_score")
+    found = t.v_trajectories.select("trajectory_id", "outcome_score").join(S.small(_top(t, 30)), "trajectory_id")
     d = _linked_decisions(t).drop("decision_id").withColumnRenamed("decision_call", "decision_id")
     return S.context_examples(found, d, 5)
 
@@ -116,14 +115,29 @@ def v10(t):
     return _examples(t).select("query_id", "kind", "rank", "decision_id", "action")
 
 
-@query("v11_entity_match", "select call_id from v_tool_events where json_extract_string(arguments, '$.k')='42'")
+@query("v11_entity_match", "select call_id, entity_id, event_id%3=0 or event_id%5=0 or k=42 as by_type, k=42 or event_id%7=0 as by_id from (select *, cast(json_extract_string(arguments, '$.k') as int) as k, case when event_id%2=0 then 'order' end as entity_id from v_tool_events) x where event_id%3=0 or event_id%5=0 or event_id%7=0 or k=42")
 def v11(t):
-    return t.v_tool_events.where(S.entity_match(F.col("arguments"), "42")).select("call_id")
+    """Arguments that name an entity by type or by id, and active entities (k = 42) that match both."""
+    e, n = t.v_tool_events, F.col("event_id")
+    arguments = F.to_json(F.struct(F.when(n % 3 == 0, "world").alias("type"), F.when(n % 5 == 0, "world").alias("entity_type"), F.when(n % 7 == 0, "w-1").alias("world_id")))
+    active = F.array(F.struct(F.lit("world").alias("entity_type"), F.when(F.get_json_object("arguments", "$.k") == "42", "w-1").alias("entity_id")))
+    by_type = S.entity_match(arguments, "world") | S.entity_match(F.lit("{}"), "world", "w-1", active)
+    by_id = S.entity_match(F.to_json(F.struct(F.when(n % 7 == 0, "w-1").alias("world_id"))), "world", "w-1", active)
+    return e.where(by_type | by_id).select("call_id", F.when(n % 2 == 0, "order").alias("entity_id"), by_type.alias("by_type"), by_id.alias("by_id"))
+
+
+BLOCK = """, x as (select *, '### Example '||cast(rank as varchar)||' (similarity: '||printf('%.2f', similarity)||', outcome: '||case kind when 'success' then '✓ Success' else '✗ Failed' end||')'||chr(10)||concat_ws(chr(10), '**Domain**: '||domain_type, '**Context**: turn '||cast(turn_index as varchar), '**Action**: '||action, '**Reasoning**: '||decision_type, '**Result**: '||coalesce(nullif(substring(response_text, 1, 200), ''), case kind when 'success' then 'Success' else 'Failed' end),
+case when kind='failure' then '**Error**: '||error_type end, case when kind='failure' then '**Lesson**: learn '||action end)||chr(10) as line from e where rank<=5),
+y as (select query_id, string_agg(line, chr(10) order by rank) filter (where kind='success') as s, string_agg(line, chr(10) order by rank) filter (where kind='failure') as f from x group by 1)
+select query_id, concat_ws(chr(10), '## Relevant Past Decisions'||chr(10)||chr(10)||'Consider these successful past approaches:'||chr(10)||chr(10)||s, '## Anti-Patterns to Avoid'||chr(10)||chr(10)||'The following approaches led to poor outcomes:'||chr(10)||chr(10)||f) as block from y"""
 
 
-@query("v12_context_block", CONTEXT + """select query_id, '## What worked'||chr(10)||coalesce(string_agg('- '||action||' ('||call_id||'): '||coalesce(response_text,''), chr(10) order by rank) filter (where kind='success'), '')||chr(10)||chr(10)||'## What failed'||chr(10)||coalesce(string_agg('- '||action||' ('||call_id||'): '||coalesce(response_text,''), chr(10) order by rank) filter (where kind='failure'), '') as block from e where rank<=5 group by 1""")
+@query("v12_context_block", CONTEXT + BLOCK)
 def v12(t):
-    return S.context_block(_examples(t))
+    e = _examples(t).withColumns({
+        "domain": F.col("domain_type"), "context": F.concat(F.lit("turn "), F.col("turn_index").cast("string")), "rationale": F.col("decision_type"), "result": F.col("response_text"), "feedback": F.concat(F.lit("learn "), "action"),
+    })
+    return S.context_block(e)
 
 
 @query("v13_rules", "select call_id from v_tool_events where event_id%2=0 and action='click'")
@@ -132,18 +146,18 @@ def v13(t):
     return t.v_tool_events.where(S.rule_applied(record, "click")).select("call_id")
 
 
-@query("v14_bm25", """with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda w: w <> '') as w from documents), q as (select item_id as query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda w: w <> ''))) as term from benchmark where item_id < 3),
+@query("v14_bm25", """with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda w: w <> '') as w from documents), q as (select item_id as query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda w: w <> ''))) as term from benchmark where item_id % 50 = 0),
 s as (select count(*) as n, avg(len(w)) as a from d), x as (select doc_id, len(w) as l, unnest(w) as term from d), f as (select doc_id, l, term, count(*) as tf from x where term in (select term from q) group by all), g as (select term, count(*) as df from f group by 1)
 select query_id, doc_id, round(sum(ln(1+(n-df+0.5)/(df+0.5))*tf*2.2/(tf+1.2*(0.25+0.75*l/a))), 6) as score from f join g using (term) join q using (term), s group by 1, 2""")
 def v14(t):
-    """Three benchmark texts as queries over all documents."""
-    queries = t.benchmark.where("item_id < 3").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    """Benchmark texts whose id is divisible by 50 as queries over all documents."""
+    queries = t.benchmark.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return S.bm25(t.documents, queries).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query("v15_vector_mode", "select trajectory_id, similarity from (" + TOP.format(more="1 as m", where="query_id=3") + ") where rank<=25")
+@query("v15_vector_mode", "select query_id, trajectory_id, similarity from (" + TOP.format(more="1 as m", where="true") + ") where rank<=25")
 def v15(t):
-    return S.best(_rounded(S.scored(t.v_queries.where("query_id = 3"), t.v_trajectories)), 25).select("trajectory_id", "similarity")
+    return _top(t, 25).select("query_id", "trajectory_id", "similarity")
 
 
 RRF = "with a as (select * from (" + TOP.format(more="1 as m", where="true") + ") where rank<=20), b as (select query_id, trajectory_id, row_number() over (partition by query_id order by outcome_score desc, trajectory_id) as rank from (select query_id, trajectory_id, outcome_score from v_queries, v_trajectories where outcome_score is not null and embedding is not null)), c as (select * from b where rank<=20) "
@@ -153,7 +167,9 @@ RRF = "with a as (select * from (" + TOP.format(more="1 as m", where="true") + "
 def v16(t):
     """Vector rank and outcome rank of each query's trajectories, fused."""
     rows = t.v_trajectories.where("outcome_score is not null and embedding is not null").select("trajectory_id", "outcome_score")
-    second = S.best(S.crossed(t.v_queries.select("query_id"), rows), 20, score="outcome_score")
+    order = Window.orderBy(F.desc("outcome_score"), "trajectory_id")  # of the 20 best rows
+    top = rows.orderBy(F.desc("outcome_score"), "trajectory_id").limit(20).withColumn("rank", F.row_number().over(order))
+    second = t.v_queries.select("query_id").join(F.broadcast(top))  # 20 rows
     fused = S.reciprocal_rank_fusion(_top(t, 20), second, 40, key="trajectory_id", weights=(0.6, 0.4), by=["query_id"])
     return fused.select("query_id", "trajectory_id", F.round("score", 6).alias("score"))
 
@@ -201,10 +217,11 @@ def v23(t):
 
 @query("v24_tiered", "select query_id, tier, trajectory_id from (select *, row_number() over (partition by query_id, tier order by similarity desc, trajectory_id) as r from (select q.query_id, v.trajectory_id, " + COS + " as similarity, case when outcome_score>=0.7 then 'success' when outcome_score<=0.3 then 'failure' else 'moderate' end as tier from v_queries q, v_trajectories v where v.embedding is not null and outcome_score is not null)) where r<=3")
 def v24(t):
-    s = F.col("outcome_score")
-    tier = F.when(s >= 0.7, "success").when(s <= 0.3, "failure").otherwise("moderate")
-    rows = _rounded(S.scored(t.v_queries, t.v_trajectories.where(s.isNotNull()))).withColumn("tier", tier)
-    return S.best(rows, 3, ["query_id", "tier"]).select("query_id", "tier", "trajectory_id")
+    s, out = F.col("outcome_score"), None
+    for tier, test in (("success", s >= 0.7), ("failure", s <= 0.3), ("moderate", (s > 0.3) & (s < 0.7))):
+        part = S.nearest(t.v_queries, t.v_trajectories.where(test), 3).select("query_id", F.lit(tier).alias("tier"), "trajectory_id")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("v25_export", "select trajectory_id, outcome_score, round(list_dot_product(cast(embedding as double[]), cast(embedding as double[])), 4) as sq from v_trajectories where processing_status='completed' and embedding is not null and outcome_score>=0.5")
@@ -222,17 +239,17 @@ def v26(t):
     return S.probe(queries, indexed, model, 13, 10).select("query_id", "trajectory_id", "similarity", "rank")
 
 
-@query("v27_embed", "select doc_id, 64 as dimension, true as unit from documents")
+@query("v27_embed")
 def v27(t):
-    """The default provider's vectors have length one."""
+    """The default provider's vectors (tests hold them against a plain loop)."""
     e = S.embed(t.documents.select("doc_id", "text"), "text")
-    return e.select("doc_id", F.size("embedding").alias("dimension"), (F.abs(X.norm("embedding") - 1) < 1e-9).alias("unit"))
+    return e.select("doc_id", F.size("embedding").alias("dimension"), F.round(X.dot("embedding", "embedding"), 6).alias("length"), F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
-@query("e6_sql_function", "select v.trajectory_id, round(1 - list_cosine_similarity(cast(v.embedding as double[]), cast(q.query_embedding as double[])), 6) as distance from v_queries q, v_trajectories v where q.query_id=0 and v.embedding is not null")
+@query("e6_sql_function", "select v.trajectory_id, round(1 - list_cosine_similarity(cast(v.embedding as double[]), cast(w.embedding as double[])), 6) as distance from v_trajectories v join embeddings w on v.created_seq=w.vec_id+1 where v.embedding is not null")
 def e6(t):
-    """The cosine distance as a SQL function."""
+    """The cosine distance as a SQL function, of each row and the row before it."""
     t.spark.sql("""create or replace temporary function tracklight_cosine_distance(a array<float>, b array<float>) returns double return
         1 - aggregate(zip_with(a, b, (x, y) -> cast(x as double) * y), cast(0 as double), (s, x) -> s + x) / (sqrt(aggregate(a, cast(0 as double), (s, x) -> s + cast(x as double) * x)) * sqrt(aggregate(b, cast(0 as double), (s, x) -> s + cast(x as double) * x)))""")
-    rows = t.v_trajectories.where("embedding is not null").join(F.broadcast(t.v_queries.where("query_id = 0")), F.lit(True))
-    return rows.select("trajectory_id", F.expr("round(tracklight_cosine_distance(embedding, query_embedding), 6)").alias("distance"))
+    before = t.embeddings.select((F.col("vec_id") + 1).alias("created_seq"), F.col("embedding").alias("other"))
+    return t.v_trajectories.where("embedding is not null").join(before, "created_seq").select("trajectory_id", F.expr("round(tracklight_cosine_distance(embedding, other), 6)").alias("distance"))

@@ -23,12 +23,10 @@ def c2(t):
     return t.documents.select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("bigint").alias("n"), F.array_join(F.slice("s", 1, 2), "#").alias("head"))
 
 
-@query("c3_wrap", "select doc_id, len(string_split(text, ' ')) > 0 as some, true as within, true as whole from documents")
+@query("c3_wrap")
 def c3(t):
-    """Word wrap keeps all words in order, and no line of several words is too long."""
-    made = t.documents.select("doc_id", F.col("text"), C.wrap_chunks(F.col("text")).alias("lines"))
-    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
-    return made.select("doc_id", (F.size("lines") > 0).alias("some"), F.forall("lines", lambda x: (F.length(x) <= 100) | ~x.contains(" ")).alias("within"), (F.array_join("lines", " ") == flat).alias("whole"))
+    """Every line of word-wrapped texts (tests hold it against a plain loop)."""
+    return t.documents.select("doc_id", F.posexplode(C.wrap_chunks(F.col("text"))).alias("line_no", "line"))
 
 
 @query("c4_strategy", "select file_id, case when cast(substring(file_id, 6) as bigint)%4=0 then 'structured_data' when cast(substring(file_id, 6) as bigint)%4=1 then 'documentation' else 'line_based' end as strategy from v_files")
@@ -55,7 +53,8 @@ def c6(t):
 
 @query("a29_file_matches", GREP + "select doc_id, count(*) as n from h group by 1")
 def a29(t):
-    return C.grep(t.documents, "licen[sc]e", "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_id")
+    counted = t.documents.where(F.col("text").rlike("(?i)licen[sc]e")).select("doc_id", F.size(C.matching_lines(F.col("text"), "licen[sc]e", 0)).cast("bigint").alias("n"))
+    return counted.where("n > 0").orderBy(F.desc("n"), "doc_id")
 
 
 @query("c7_search_text", "select message_id, case when role='system' or trim(text)='' then null else role end as role, case when role='system' or trim(text)='' then null else text end as content from v_messages")
@@ -69,9 +68,9 @@ def c8(t):
     return C.transcript(t.v_messages)
 
 
-@query("c9_middle_cut", "select doc_id, case when length(text)>200 then substring(text,1,91)||chr(10)||'...[truncated]...'||chr(10)||right(text,90) else text end as cut from documents")
+@query("c9_middle_cut", "select doc_id, case when n>100 then substring(text,1,30)||chr(10)||'[TRUNCATED: dropped '||cast(n-60 as varchar)||' middle chars due to context budget]'||chr(10)||substring(text, n-30+1, greatest(0, 30-greatest(0, 58+length(cast(n-60 as varchar))-40))) else text end as cut, case when n>100 then n-60 else 0 end as dropped from (select doc_id, text, length(text) as n from documents) d")
 def c9(t):
-    return t.documents.select("doc_id", C.middle_cut(F.col("text"), 200).alias("cut"))
+    return t.documents.select("doc_id", C.middle_cut(F.col("text"), 100).alias("c")).select("doc_id", F.col("c.text").alias("cut"), F.col("c.dropped").alias("dropped"))
 
 
 @query("c10_tokens", "select doc_id, cast((strlen(text)+3)//4 as bigint) as tokens, cast(floor(cast((strlen(text)+3)//4 as bigint)*cast(1.3 as double)) as bigint) as with_margin from documents")
@@ -87,14 +86,14 @@ def c11(t):
 NUMBERED = "with m as (select *, row_number() over (partition by trajectory_id order by sequence_id)-1 as idx, count(*) over (partition by trajectory_id) as n, (strlen(text)+3)//4 as tokens from v_messages) "
 
 
-@query("c12_static_evict", NUMBERED + ", s as (select *, min(case when role='user' and idx>=n-3 then idx end) over (partition by trajectory_id) as start from m) select message_id, n<=4 or idx=0 or idx>=coalesce(start, n-3) as kept from s")
+@query("c12_static_evict", NUMBERED + ", s as (select *, min(case when role='user' and idx>=greatest(1, n-3) then idx end) over (partition by trajectory_id) as start from m) select message_id, n<=4 or idx=0 or coalesce(idx>=start, false) as kept from s")
 def c12(t):
     return C.static_evict(t.v_messages, 4, 3).select("message_id", "kept")
 
 
-@query("c13_partial_evict", NUMBERED + ", s as (select *, min(case when role='assistant' and idx>=round_even((1-cast(0.3 as double))*n, 0) then idx end) over (partition by trajectory_id) as start from m) select message_id, idx=0 or idx>=coalesce(start, n) as kept from s")
+@query("c13_partial_evict", NUMBERED + ", s as (select *, cast(round_even((1-cast(0.3 as double))*n, 0) as int) as target from m), p as (select *, min(case when role='assistant' and idx>=target then idx end) over (partition by trajectory_id) as start from s) select message_id, case when start is not null then idx=0 or idx>=start end as kept, case when start is null then 'No assistant message found from indices '||cast(target as varchar)||' to '||cast(n as varchar) end as error from p")
 def c13(t):
-    return C.partial_evict(t.v_messages, 0.3).select("message_id", "kept")
+    return C.partial_evict(t.v_messages, 0.3).select("message_id", "kept", "error")
 
 
 @query("c14_window_evict", NUMBERED + """, x as (select *, sum(tokens) over (partition by trajectory_id order by idx desc) as suffix from m), k as (select trajectory_id, idx, suffix, cast(floor(n*i*cast(0.1 as double)+1e-9) as int) as cut from x, range(1, 10) r(i) where role='assistant' and idx>0 and idx<=cast(floor(n*i*cast(0.1 as double)+1e-9) as int)),
@@ -128,12 +127,12 @@ def c18(t):
     return t.pages.select("page_id", C.strip_html(F.col("html")).alias("text"))
 
 
-@query("s5_load_passages", r"""with w as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents), s as (select doc_id, unnest(list_transform(range(0, greatest(0, len(w)-11)+1, 40), lambda i: array_to_string(list_slice(w, i+1, i+50), ' '))) as chunk from w where len(w) > 0) select count(distinct chunk) > 0 as some, (select count(*) from documents) >= count(distinct doc_id) as bounded from s""")
+@query("s5_load_passages")
 def s5(t):
-    """Documents into passages with embeddings, repeated embeddings dropped."""
+    """Documents into passages with embeddings, repeated embeddings dropped (tests hold it against a plain loop)."""
     files = t.documents.select(F.col("doc_id").cast("string").alias("file_id"), "text")
-    counts = C.ingest(files, lambda c: S.embed(c, "text"), 50, 10)[1]
-    return counts.select((F.col("passages") > 0).alias("some"), (F.col("files") <= t.documents.count()).alias("bounded"))
+    made = C.ingest(files, lambda c: S.embed(c, "text"), 50, 10)[0]
+    return made.select("file_id", "position", F.sha2("text", 256).alias("text_sha256"), F.size("embedding").alias("dimension"))
 
 
 # ------------------------------------------------------------------------------------------------ privacy
@@ -147,13 +146,14 @@ def p2(t):
     return t.v_trajectories.select("trajectory_id", X.redacted("trajectory_id").alias("hidden"))
 
 
-@query("p3_full", "select substring(sha256('s'||trajectory_id), 1, 16) as trajectory_id, count(*) as n, min('[REDACTED]') as text from v_messages group by 1")
+@query("p3_full", "select substring(sha256('s'||trajectory_id), 1, 16) as trajectory_id, string_agg(cast(sequence_id as varchar)||'/'||role||'/'||case when text is null then '' else '[REDACTED]' end||'/'||substring(sha256('s'||message_id), 1, 16), ',' order by sequence_id) as messages from v_messages group by v_messages.trajectory_id")
 def p3(t):
     """Nested conversations anonymised: ids hashed, texts redacted, structure kept."""
     m = F.array_sort(F.collect_list(F.struct("sequence_id", "role", "text", "message_id")))
     nested = t.v_messages.groupBy("trajectory_id").agg(m.alias("messages"))
     hidden = P.anonymise(nested, P.Policy(salt="s"))
-    return hidden.select("trajectory_id", F.size("messages").cast("bigint").alias("n"), F.array_min(F.transform("messages", lambda x: x["text"])).alias("text"))
+    told = F.transform("messages", lambda x: F.concat_ws("/", x["sequence_id"].cast("string"), x["role"], F.coalesce(x["text"], F.lit("")), x["message_id"]))
+    return hidden.select("trajectory_id", F.array_join(told, ",").alias("messages"))
 
 
 FIRST = "case when strpos(substring({c},1,{n}), '.')>0 then string_split({c}, '.')[1]||'.' when length({c})<={n} then {c} else substring({c},1,{n})||'...' end"
@@ -192,7 +192,7 @@ def p9(t):
 
 
 # ------------------------------------------------------------------------------------------------ scalar functions
-@query("u1_times", "select event_id, cast(epoch_ms(ts)//1000 as bigint) as seconds, strftime(ts, '%Y-%m-%d') as day, cast(floor(duration_ms) as bigint) as ms from v_tool_events where duration_ms is not null")
+@query("u1_times", "select event_id, cast(epoch_us(ts)//1000000 as bigint) as seconds, strftime(ts, '%Y-%m-%d') as day, cast(floor(duration_ms) as bigint) as ms from v_tool_events where duration_ms is not null")
 def u1(t):
     ns = (F.floor("duration_ms") * 1_000_000).cast("bigint")
     return t.v_tool_events.where("duration_ms is not null").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("seconds"), F.date_format("ts", "yyyy-MM-dd").alias("day"), (ns / 1_000_000).cast("bigint").alias("ms"))
@@ -203,9 +203,14 @@ def u2(t):
     return t.events.select("event_id", X.clamp(F.col("value") / 100).alias("clamped"))
 
 
-@query("u6_file_names", r"select page_id, regexp_replace(substring(regexp_replace(regexp_replace(url, '^.*[/\\]', ''), '[<>:" + '"' + r"|?*\x00-\x1f]', '_', 'g'), 1, 255), '^$', 'file') as name from pages")
+@query("u6_file_names", r"""with n as (select page_id, case cast(page_id%6 as int) when 0 then url when 1 then '/a/b?c:'||regexp_replace(url, '^.*/', '')||'.tar.gz' when 2 then 'dir/.hidden' when 3 then 'NUL.txt' when 4 then repeat('x', 300)||'.html' else 'tail. .pdf' end as name from pages),
+b as (select page_id, regexp_replace(name, '^.*/', '') as f from n), s as (select page_id, regexp_extract(f, '[^.].*?(\.[^.]*)$', 1) as ext, f from b),
+c as (select page_id, ext, regexp_replace(regexp_replace(left(f, length(f)-length(ext)), '[\x00-\x1f\x7f/\\:*?"<>|]', '', 'g'), '[ .]+$', '') as base from s)
+select page_id, case when base like '.%' then null else left(base||case when regexp_matches(base, '(?i)^(con|prn|aux|nul|clock\$|com[1-9]|lpt[1-9])$') then '_' else '' end, 255-length(ext))||ext end as name from c""")
 def u6(t):
-    return t.pages.select("page_id", X.sanitise_file_name("url").alias("name"))
+    n, last = F.col("page_id") % 6, F.regexp_replace("url", r"^.*/", "")
+    name = F.when(n == 0, F.col("url")).when(n == 1, F.concat(F.lit("/a/b?c:"), last, F.lit(".tar.gz"))).when(n == 2, "dir/.hidden").when(n == 3, "NUL.txt").when(n == 4, "x" * 300 + ".html").otherwise("tail. .pdf")
+    return t.pages.select("page_id", X.sanitise_file_name(name).alias("name"))
 
 
 @query("u7_formats", "select action, printf('%.2f', sum(confidence)/count(*)) as two, printf('%.1f%%', 100.0*sum(cast(pivotal as int))/count(*)) as share from v_tool_events group by 1")

@@ -29,7 +29,7 @@ o_orderkey%3=0 as background, o_orderdate as created_at from {orders} join {cust
 select 'run-'||cast(l_orderkey as varchar(20)) as run_id, cast(sum(l_quantity)*1000000 as bigint) as run_ns, cast(count(*) as int) as num_steps from {lineitem} where l_orderkey%10<>0 group by l_orderkey""",
     "v_steps": """
 select 'run-'||cast(l_orderkey as varchar(20)) as run_id, l_linenumber as step_no, cast(l_quantity*100 as bigint) as prompt_tokens, cast(floor(l_extendedprice/100) as bigint) as completion_tokens,
-case when l_discount>0.05 then cast(l_quantity*10 as bigint) else null end as cached_tokens,
+case when l_discount>0.05 then cast(l_quantity*10 as bigint) else null end as cached_tokens, case when l_tax>0.04 then cast(l_quantity*5 as bigint) else null end as cache_write_tokens, case when l_linenumber<=2 then cast(l_quantity*3 as bigint) else null end as reasoning_tokens,
 case l_returnflag when 'A' then 'model-a' when 'N' then 'vendor/model-n' else 'model-r-2024-x' end as model, case l_linestatus when 'O' then 'positive' else null end as feedback, l_shipdate as created_at from {lineitem}""",
     "v_messages": """
 select 'conv-'||cast(conv_id as varchar(20)) as trajectory_id, 'msg-'||cast(conv_id as varchar(20))||'-'||cast(turn as varchar(20)) as message_id, conv_id*1000+turn as sequence_id, cast(turn as int) as turn_index, role, text from {conversations}""",
@@ -45,7 +45,7 @@ case cast(d.doc_id%7 as int) when 0 then 'failed' when 1 then 'pending' else 'co
 from {documents} d left join {labels} l on d.doc_id=l.doc_id left join {embeddings} e on e.vec_id=d.doc_id""",
     "v_passages": """
 select 'passage-'||cast(doc_id as varchar(20)) as passage_id, 'archive-'||source as archive_id, lang as tag_lang, case when n_chars>2000 then 'long' else 'short' end as tag_size, text from {documents}""",
-    "v_queries": "select vec_id as query_id, embedding as query_embedding from {embeddings} where vec_id<10",
+    "v_queries": "select vec_id as query_id, embedding as query_embedding from {embeddings} where vec_id%50=0",
     "v_agent_tags": """
 select distinct agent_id, tag from (select 'agent-'||cast(c_custkey as varchar(20)) as agent_id, 't'||cast(c_custkey%2 as varchar(20)) as tag from {customer}
 union all select 'agent-'||cast(c_custkey as varchar(20)), 't'||cast(c_custkey%3 as varchar(20)) from {customer}
@@ -55,8 +55,8 @@ select 'file-'||cast(page_id as varchar(20)) as file_id, 'source-'||cast(page_id
     "v_open_files": """
 select 'agent-'||cast(user_id as varchar(20)) as agent_id, 'file-'||cast(event_id as varchar(20)) as file_id, event_id%3<>0 as is_open, ts as last_accessed_at from {events}""",
     "v_prices": """
-select 'model-a' as model, cast(5 as double) as input, cast(25 as double) as output, cast(0.5 as double) as cached
-union all select 'model-n', cast(1 as double), cast(4 as double), cast(0.1 as double) union all select 'model-r-2024', cast(2 as double), cast(8 as double), cast(0.2 as double)""",
+select 'model-a' as model, cast(5 as double) as input, cast(25 as double) as output, cast(0.5 as double) as cached, cast(6 as double) as cache_write, cast(30 as double) as reasoning
+union all select 'model-n', cast(1 as double), cast(4 as double), cast(0.1 as double), cast(null as double), cast(5 as double) union all select 'model-r-2024', cast(2 as double), cast(8 as double), cast(0.2 as double), cast(2.4 as double), cast(null as double)""",
 }
 
 
