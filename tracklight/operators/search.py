@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import expressions as X
+from .listing import all_tags, any_tag, page
 
 #: Queries, and bytes of them, in one broadcast block.
 QUERY_BLOCK, BLOCK_BYTES = 1_000, 32 << 20
@@ -199,6 +200,74 @@ def reciprocal_rank_fusion(first: DataFrame, second: DataFrame, k: int, key: str
     return both.orderBy(F.desc("score"), key).limit(k)
 
 
+#: Ways to search: by time alone, by text, by vector, or by the last two together.
+MODES = ("timestamp", "fts", "vector", "hybrid")
+
+
+def search(rows: DataFrame, queries: DataFrame, mode: str, k: int, key: str, text: str = "text", vector: str = "embedding", order: str = "created_at", weights: tuple[float, float] = (0.5, 0.5)) -> DataFrame:
+    """(query_id, key, rank, score, vector_rank, fts_rank): the k best of ``rows`` for each query (query_id, query,
+    query_embedding) in one of ``MODES``.
+
+    A single mode scores 1 / rank; ``hybrid`` fuses the k best of both lists, and keeps both ranks.  Filters come before:
+    they are predicates on ``rows``.
+    """
+    if mode not in MODES:
+        raise ValueError(f"a search mode is one of {MODES}")
+    none = F.lit(None).cast("int")
+    if mode == "timestamp":
+        newest = rows.orderBy(F.desc(order), key).limit(k).select(key, F.row_number().over(Window.orderBy(F.desc(order), key)).alias("rank"))  # k rows
+        ranks = small(queries.select("query_id")).join(F.broadcast(newest)).withColumns({"vector_rank": none, "fts_rank": none})
+        return ranks.select("query_id", key, "rank", (F.lit(1.0) / F.col("rank")).alias("score"), "vector_rank", "fts_rank")
+    by_vector = nearest(queries, rows, k, key=key, vector=vector).select("query_id", key, "rank") if mode != "fts" else None
+    by_text = best(bm25(rows.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), queries).withColumnsRenamed({"doc_id": key}).withColumn("score", F.round("score", 6)), k, score="score", tie=key).select("query_id", key, "rank") if mode != "vector" else None
+    if mode == "hybrid":
+        fused = reciprocal_rank_fusion(by_vector, by_text, k, key, weights, by=["query_id"])
+        return fused.select("query_id", key, "rank", "score", F.col("rank_a").alias("vector_rank"), F.col("rank_b").alias("fts_rank"))
+    one = by_vector if mode == "vector" else by_text
+    return one.select("query_id", key, "rank", (F.lit(1.0) / F.col("rank")).alias("score"), (F.col("rank") if mode == "vector" else none).alias("vector_rank"), (F.col("rank") if mode == "fts" else none).alias("fts_rank"))
+
+
+def local_time(at: Column, zone: str) -> Column:
+    """A UTC time in a zone of fixed offset (``-05:00``), in ISO form, with fractions only where there are some."""
+    local = F.from_utc_timestamp(at.cast("timestamp"), zone)
+    whole = F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.pmod(F.unix_micros(at.cast("timestamp")), F.lit(1_000_000))
+    return F.concat(whole, F.when(micros > 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(""), F.lit(zone))
+
+
+def archive_response(found: DataFrame, zone: str) -> DataFrame:
+    """Rows of an archive search as a caller sees them: timestamp, content, tags, relevance (JSON of what is known)."""
+    relevance = F.to_json(F.struct(F.col("score").alias("rrf_score"), "vector_rank", "fts_rank"))
+    return found.withColumns({"timestamp": local_time(F.col("created_at"), zone), "content": F.col("text"), "tags": F.coalesce("tags", F.array().cast("array<string>")), "relevance": F.when(relevance != "{}", relevance)})
+
+
+# Fixed value: the tool whose calls a conversation search leaves out.
+SEARCH_TOOL = "conversation_search"
+
+
+def conversation_response(found: DataFrame, zone: str, now: Column, mode: str) -> DataFrame:
+    """Messages of a search as a caller sees them, without tool messages and calls of the search itself: timestamp,
+    time_ago, role, content, relevance.  Columns: created_at, role, text, tools (names that the message calls), score,
+    vector_rank, fts_rank."""
+    own = (F.col("role") == "assistant") & F.coalesce(F.array_contains("tools", SEARCH_TOOL), F.lit(False))
+    relevance = F.to_json(F.struct(F.col("score").alias("rrf_score"), "vector_rank", "fts_rank", F.lit(mode).alias("search_mode")))
+    return found.where((F.col("role") != "tool") & ~own).withColumns({"timestamp": local_time(F.col("created_at"), zone), "time_ago": X.time_ago("created_at", now), "content": F.col("text"), "relevance": relevance})
+
+
+def passages_page(passages: DataFrame, limit: int, contains: str | None = None, start: Column | None = None, end: Column | None = None, after: str | None = None, before: str | None = None, ascending: bool = True, tags: Sequence[str] = (), every: bool = False) -> DataFrame:
+    """Passages without a vector index: text filter, dates, cursors, order by time, limit, and only then tags, any or all.
+
+    Columns: passage_id, created_at, text, tags.
+    """
+    rows = passages if contains is None else passages.where(F.lower("text").contains(contains.lower()))
+    if start is not None:
+        rows = rows.where(F.col("created_at") >= start)
+    if end is not None:
+        rows = rows.where(F.col("created_at") <= end)
+    rows = page(rows, "passage_id", limit, ascending=ascending, after=after, before=before)
+    return rows.where((all_tags if every else any_tag)(F.col("tags"), list(tags))) if tags else rows
+
+
 def decisions_of(found: DataFrame, decisions: DataFrame, k: int, tie: str = "decision_id") -> DataFrame:
     """Decisions of the found trajectories, with their similarity, cut to k for each query."""
     met = decisions.join(small(found.select("query_id", "trajectory_id", "similarity")), "trajectory_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -148,6 +150,35 @@ def t15(t):
 
 
 # ------------------------------------------------------------------------------------------------ stores and exports
+def _written(t, rows, kind: str) -> str:
+    """The path of rows written as files in the shared folder."""
+    path = f"{jobs.shared_dir(t.spark)}/{kind}-{uuid.uuid4().hex}"
+    (rows.write.option("header", True).csv(path) if kind == "csv" else rows.write.json(path))
+    return path
+
+
+@query("s1_read_store", "select run_id, agent_id, status, coalesce(n, 0) as n_turns from v_runs r left join (select 'run-'||cast(l_orderkey as varchar) as id, count(*) as n from lineitem group by 1) s on r.run_id=s.id")
+def s1(t):
+    """Captured trajectories written as JSON documents and read with a schema."""
+    path = _written(t, _captured(t).select("run_id", "agent_id", "metadata", "turns"), "json")
+    rows = io.read_trajectories(t.spark, path, "run_id string, agent_id string, metadata struct<status:string>, turns array<struct<step_no:int>>", lines=True)
+    return rows.select("run_id", "agent_id", "metadata.status", F.coalesce(F.size("turns"), F.lit(0)).cast("bigint").alias("n_turns"))
+
+
+@query("s6_chat_log", "select row_number() over (partition by conv_id order by turn)-1 as turn, role, text from conversations")
+def s6(t):
+    """Conversations written as a chat log and read back."""
+    m = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    logs = t.conversations.groupBy("conv_id").agg(m.alias("messages")).select(F.transform("messages", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+    return io.read_chat_log(t.spark, _written(t, logs, "json")).select("turn", "role", "text")
+
+
+@query("s7_read_any", "select c_custkey, c_name, c_acctbal from customer")
+def s7(t):
+    """Customers written as CSV and read back."""
+    return io.read_any(t.spark, _written(t, t.customer.select("c_custkey", "c_name", "c_acctbal"), "csv"), "csv", "c_custkey bigint, c_name string, c_acctbal double")
+
+
 @query("s2_upsert", "select doc_id, 3 as version, 'new' as origin from documents where doc_id%3=0 union all select doc_id, 2, 'old' from documents where doc_id%3<>0")
 def s2(t):
     old = t.documents.select("doc_id", F.lit(2).alias("version"), F.lit("old").alias("origin"))
@@ -213,15 +244,21 @@ def r2(t):
     return jobs.ingest_once(t.spark, f"{t.sf_dir}/events.parquet").select("event_id", "event_type")
 
 
-@query("r3_status_machine", "select user_id, case when sum(case when event_type='error' then 1 else 0 end) > 3 then 'failed' else 'completed' end as status from (select user_id, case when value >= 80 then 'error' else 'ok' end as event_type from events) group by 1")
+@query("r3_status_machine", "with a as (select user_id, event_type, value >= 20 as bad, row_number() over (partition by user_id order by event_id) as n from events), s as (select user_id, min(case when not coalesce(bad, false) then n end) as ok, count(*) as c, max(case when n=4 then event_type end) as fourth from a group by 1) select user_id, case when ok<=4 then 'completed' when c>=4 then 'failed' else 'processing' end as status, cast(case when ok<=4 then ok else least(c, 4) end as int) as attempts, case when not coalesce(ok<=4, false) and c>=4 then 'Failed after 3 retries: '||fourth||' failed' end as error from s")
 def r3(t):
+    """Attempts until the first good one, three retries at most, and the error of those that gave up."""
     return jobs.status_stream(t.spark, f"{t.sf_dir}/events.parquet")
 
 
-@query("r4_file_timer", "with e as (select * from events where user_id%3=0 or event_type<>'purchase') select user_id, case when count(case when event_type='purchase' then 1 end)>0 then 'completed' when max(ts)+interval 30 minute < (select max(ts) from e) then 'error' else 'processing' end as status from e group by 1")
+@query("r4_file_timer", """with recursive e as (select user_id, row_number() over (partition by user_id order by epoch_us(ts)//1000, event_id) as i, epoch_us(ts)//1000 as ms, case event_type when 'view' then 'parsing' when 'click' then 'embedding' when 'purchase' then 'completed' else case when value > 100 then 'error' else 'parsing' end end as asked from events),
+f as (select user_id, cast(0 as bigint) as i, cast(0 as bigint) as last, 'pending' as status, cast(null as varchar) as error, 0 as refused from e where i=1
+union all select user_id, i, ms, case when legal then asked else s1 end, case when legal then case when asked='error' then 'asked to fail' end else e1 end, refused + case when legal then 0 else 1 end from
+(select *, (asked='parsing' and s1 in ('pending','parsing')) or (asked='embedding' and s1 in ('parsing','embedding')) or (asked='completed' and s1 in ('embedding','completed')) or (asked='error' and s1 in ('pending','parsing','embedding')) as legal from
+(select f.user_id, e.i, e.ms, asked, refused, case when status not in ('completed','error') and last>0 and ms-last > 86400000 then 'error' else status end as s1, case when status not in ('completed','error') and last>0 and ms-last > 86400000 then 'Processing timed out' else error end as e1 from f join e on e.user_id=f.user_id and e.i=f.i+1)))
+select user_id, case when late then 'error' else status end as status, case when late then 'Processing timed out' else error end as error, refused from (select *, status not in ('completed','error') and last+86400000 < (select max(epoch_us(ts)//1000) from events) as late from f where (user_id, i) in (select user_id, max(i) from e group by 1))""")
 def r4(t):
-    """Files without an update for half an hour of event time end in error."""
-    return jobs.file_stream(t.spark, f"{t.sf_dir}/events.parquet")
+    """Legal steps only; files that are not final and hear nothing for a day of event time end in error."""
+    return jobs.file_stream(t.spark, f"{t.sf_dir}/events.parquet", minutes=1440)
 
 
 @query("r5_daily", "select cast(ts as date) as day, count(*) as n, avg(value) as avg_score from events group by 1")
@@ -234,9 +271,10 @@ def r6(t):
     return jobs.latency_stream(t.spark, f"{t.sf_dir}/events.parquet")
 
 
-@query("r7_chunks", "select user_id, count(*) as chunks, max(event_id) as last_seq from events group by 1")
+@query("r7_chunks", "with c as (select user_id as run, row_number() over (partition by user_id order by event_id) as seq, case when event_type='purchase' then 'complete' else 'delta' end as kind, cast(event_id as varchar) as body from events), d as (select *, min(case when kind='complete' then seq end) over (partition by run) as last from c) select run, seq, kind, body, kind='complete' as complete from d where seq > 1 and (last is null or seq <= last)")
 def r7(t):
-    return jobs.chunk_stream(t.spark, f"{t.sf_dir}/events.parquet")
+    """Chunks that come twice and in any order, each once and in order up to the end marker, replayed from the second on."""
+    return jobs.chunk_stream(t.spark, f"{t.sf_dir}/events.parquet", after=1)
 
 
 @query("r8_latest_status", "select user_id, max_by(event_type, event_id) as status from events group by 1")

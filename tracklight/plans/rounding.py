@@ -31,6 +31,7 @@ ROUNDED = {
     "v15_vector_mode": ("similarity",),
     "v16_rrf": ("score",),
     "v19_messages": ("score",),
+    "v19_recent": ("score",),
     "v1_cosine": ("similarity",),
     "v25_export": ("outcome_score", "sq"),
     "v2_topk": ("similarity",),

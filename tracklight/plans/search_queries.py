@@ -185,34 +185,84 @@ def v18(t):
     return t.v_passages.where(L.any_tag(tags, ["fr", "long"]) & ~L.all_tags(tags, ["en"])).select("passage_id")
 
 
-@query("v19_messages", "select message_id, rank, cast(1 as double)/rank as score from (select *, row_number() over (partition by role order by sequence_id desc) as rank from v_messages where lower(text) like '%tion%') where rank<=10")
+#: BM25 in SQL: rows (id, text) of `d0` for queries (query_id, query) of `q0`, best 30 as `f` (query_id, id, rank).
+BM25 = """d as (select id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda w: w <> '') as w from d0), q as (select query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda w: w <> ''))) as term from q0),
+s as (select count(*) as n, avg(len(w)) as a from d), x as (select id, len(w) as l, unnest(w) as term from d), f0 as (select id, l, term, count(*) as tf from x where term in (select term from q) group by all), g as (select term, count(*) as df from f0 group by 1),
+f1 as (select query_id, id, round(sum(ln(1+(n-df+0.5)/(df+0.5))*tf*2.2/(tf+1.2*(0.25+0.75*l/a))), 6) as score from f0 join g using (term) join q using (term), s group by 1, 2), f as (select * from (select query_id, id, row_number() over (partition by query_id order by score desc, id) as rank from f1) where rank<=30)"""
+
+
+def _text_queries(t, text="text"):
+    return t.benchmark.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col(text).alias("query"))
+
+
+@query("v19_messages", "with d0 as (select message_id as id, text from v_messages where role in ('user','assistant')), q0 as (select item_id as query_id, text as query from benchmark where item_id%50=0), " + BM25 + " select query_id, id as message_id, rank, cast(1 as double)/rank as score, rank as fts_rank from f")
 def v19(t):
-    """Newest matching messages of each role, scored by rank."""
-    rows = t.v_messages.where(F.lower("text").contains("tion"))
-    ranked = S.best(rows, 10, ["role"], "sequence_id", "message_id")
-    return ranked.select("message_id", "rank", (F.lit(1.0) / F.col("rank")).alias("score"))
+    """Messages of two roles by text; a single mode scores by rank."""
+    found = S.search(t.v_messages.where(F.col("role").isin("user", "assistant")), _text_queries(t), "fts", 30, "message_id")
+    return found.select("query_id", "message_id", "rank", "score", "fts_rank")
 
 
-@query("v20_files", "select file_id from v_files where source_id='source-3' and lower(html) like '%article%' and not is_deleted")
+@query("v19_recent", "with r as (select message_id, row_number() over (order by sequence_id desc, message_id) as rank from v_messages where role='user') select item_id as query_id, message_id, rank, cast(1 as double)/rank as score from r, benchmark where rank<=30 and item_id%50=0")
+def v19b(t):
+    """The newest messages of a role, for every query."""
+    return S.search(t.v_messages.where("role = 'user'"), _text_queries(t), "timestamp", 30, "message_id", order="sequence_id").select("query_id", "message_id", "rank", "score")
+
+
+@query("v20_files", "with d0 as (select doc_id as id, text from documents where source in ('src1','src2','src3')), q0 as (select item_id as query_id, text as query, e.embedding as qe from benchmark b join embeddings e on e.vec_id=b.item_id where item_id%50=0), " + BM25 + """, v0 as (select query_id, v.vec_id as id, round(list_cosine_similarity(cast(qe as double[]), cast(v.embedding as double[])), 6) as sim from q0, embeddings v join d0 on d0.id=v.vec_id),
+v as (select * from (select query_id, id, row_number() over (partition by query_id order by sim desc, id) as rank from v0) where rank<=30), h as (select coalesce(v.query_id, f.query_id) as query_id, coalesce(v.id, f.id) as file_id, v.rank as vector_rank, f.rank as fts_rank, coalesce(0.5/(60+v.rank), 0)+coalesce(0.5/(60+f.rank), 0) as score from v full join f on v.query_id=f.query_id and v.id=f.id)
+select query_id, file_id, rank, round(score, 6) as score, vector_rank, fts_rank from (select *, row_number() over (partition by query_id order by score desc, file_id) as rank from h) where rank<=30""")
 def v20(t):
-    return L.matching(t.v_files, {"source_id": "source-3", "is_deleted": False}, contains={"html": "Article"}).select("file_id")
+    """Passages of some sources' files by text and vector together, both ranks kept."""
+    rows = t.documents.where(F.col("source").isin("src1", "src2", "src3")).select(F.col("doc_id").alias("file_id"), "text").join(t.embeddings.select(F.col("vec_id").alias("file_id"), "embedding").hint("merge"), "file_id", "left")
+    queries = _text_queries(t).join(t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding")), "query_id")
+    found = S.search(rows, queries, "hybrid", 30, "file_id")
+    return found.select("query_id", "file_id", "rank", F.round("score", 6).alias("score"), "vector_rank", "fts_rank")
+
+
+@query("v20_tools", "with d0 as (select action as id, 'tool '||action||' of '||string_agg(distinct decision_type, ' ' order by decision_type) as text from v_tool_events group by 1), q0 as (select distinct decision_type as query_id, decision_type||' click' as query from v_tool_events where decision_type is not null), " + BM25 + " select query_id, id as action, rank from f")
+def v20b(t):
+    """Tools by what is said of them."""
+    e = t.v_tool_events
+    tools = e.groupBy("action").agg(F.concat_ws(" ", F.lit("tool"), "action", F.lit("of"), F.array_join(F.array_sort(F.collect_set("decision_type")), " ")).alias("text"))
+    queries = e.where("decision_type is not null").select(F.col("decision_type").alias("query_id"), F.concat("decision_type", F.lit(" click")).alias("query")).distinct()
+    return S.search(tools, queries, "fts", 30, "action").select("query_id", "action", "rank")
+
+
+#: Passages with a time and tags.
+DATED = "(select 'passage-'||cast(doc_id as varchar) as passage_id, timestamp '2024-01-01' + interval 1 minute * (doc_id*37%5000) as created_at, text, [lang, case when n_chars>2000 then 'long' else 'short' end] as tags from documents)"
+
+
+def _dated(t):
+    at = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=(F.col("doc_id") * 37 % 5000).cast("int"))
+    return t.documents.select(F.concat(F.lit("passage-"), F.col("doc_id").cast("string")).alias("passage_id"), at.alias("created_at"), "text", F.array("lang", F.when(F.col("n_chars") > 2000, "long").otherwise("short")).alias("tags"))
+
+
+PAGED = "with p as (select * from " + DATED + " x where lower(text) like '%a%' and created_at >= timestamp '2024-01-01 05:00:00' and created_at <= timestamp '2024-01-03 20:00:00'), c as (select created_at as ca, passage_id as cp from " + DATED + " y where passage_id='passage-150'), r as (select p.* from p, c where created_at < ca or (created_at = ca and passage_id < cp) order by created_at desc, passage_id desc limit 40) "
 
 
-@query("v21_sql_fallback", "select passage_id from v_passages where lower(text) like '%license%' and tag_size='long' order by passage_id limit 40")
+@query("v21_sql_fallback", PAGED + "select passage_id, 'any' as mode from r where list_has_any(tags, ['fr', 'long']) union all select passage_id, 'all' from r where list_has_all(tags, ['en', 'short'])")
 def v21(t):
-    return L.matching(t.v_passages, {"tag_size": "long"}, contains={"text": "License"}).orderBy("passage_id").limit(40).select("passage_id")
+    """Text, dates, a cursor, an order and a limit; tags are matched after the limit, any or all."""
+    rows = _dated(t)
+    bound = lambda s: F.lit(s).cast("timestamp")
+    take = lambda tags, every: S.passages_page(rows, 40, "A", bound("2024-01-01 05:00:00"), bound("2024-01-03 20:00:00"), after="passage-150", ascending=False, tags=tags, every=every)
+    return take(["fr", "long"], False).select("passage_id", F.lit("any").alias("mode")).unionByName(take(["en", "short"], True).select("passage_id", F.lit("all").alias("mode")))
 
 
-@query("v22_response_rows", "select event_id, strftime(ts - interval 5 hour, '%Y-%m-%d %H:%M') as local_time, action as content from v_tool_events where confidence > 0.4")
+@query("v22_response_rows", "select event_id, strftime(ts - interval 5 hour, '%Y-%m-%dT%H:%M:%S')||case when epoch_us(ts)%1000000>0 then '.'||lpad(cast(epoch_us(ts)%1000000 as varchar), 6, '0') else '' end||'-05:00' as timestamp, action as content, array_to_string(list_filter([decision_type, domain_type], lambda x: x is not null), ',') as tags, case when event_id%3<>0 then '{\"vector_rank\":'||cast(event_id%5 as varchar)||case when event_id%2=0 then ',\"fts_rank\":1' else '' end||'}' end as relevance from v_tool_events")
 def v22(t):
-    local = F.date_format(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "-05:00"), "yyyy-MM-dd HH:mm")
-    return t.v_tool_events.where("confidence > 0.4").select("event_id", local.alias("local_time"), F.col("action").alias("content"))
+    n = F.col("event_id")
+    rows = t.v_tool_events.select("event_id", F.col("ts").alias("created_at"), F.col("action").alias("text"), F.array_compact(F.array("decision_type", "domain_type")).alias("tags"), F.lit(None).cast("double").alias("score"), F.when(n % 3 != 0, n % 5).alias("vector_rank"), F.when((n % 3 != 0) & (n % 2 == 0), 1).alias("fts_rank"))
+    return S.archive_response(rows, "-05:00").select("event_id", "timestamp", "content", F.array_join("tags", ",").alias("tags"), "relevance")
 
 
-@query("v23_conversation", "select message_id, row_number() over (partition by trajectory_id order by sequence_id desc) as rank from v_messages where role not in ('tool','system') and lower(text) not like '%conversation_search%'")
+@query("v23_conversation", "select event_id, strftime(ts - interval 5 hour, '%Y-%m-%dT%H:%M:%S')||case when epoch_us(ts)%1000000>0 then '.'||lpad(cast(epoch_us(ts)%1000000 as varchar), 6, '0') else '' end||'-05:00' as timestamp, case when s<60 then cast(s as varchar)||'s ago' when s<3600 then cast(s//60 as varchar)||'m ago' when s<86400 then cast(s//3600 as varchar)||'h ago' else cast(s//86400 as varchar)||'d ago' end as time_ago, role, props as content, '{'||case when event_id%2=0 then '\"fts_rank\":2,' else '' end||'\"search_mode\":\"hybrid\"}' as relevance from (select *, case cast(event_id%4 as int) when 0 then 'tool' when 1 then 'user' else 'assistant' end as role, cast(epoch(timestamp '2024-02-01') - floor(epoch(ts)) as bigint) as s from events) e where role<>'tool' and not (role='assistant' and event_type='click')")
 def v23(t):
-    rows = t.v_messages.where(~F.col("role").isin("tool", "system") & ~F.lower("text").contains("conversation_search"))
-    return rows.select("message_id", F.row_number().over(Window.partitionBy("trajectory_id").orderBy(F.desc("sequence_id"))).alias("rank"))
+    """Messages found, without tool messages and calls of the search itself (here: clicks of assistants)."""
+    n = F.col("event_id")
+    role = F.when(n % 4 == 0, "tool").when(n % 4 == 1, "user").otherwise("assistant")
+    rows = t.events.select("event_id", F.col("ts").alias("created_at"), role.alias("role"), F.col("props").alias("text"), F.when(F.col("event_type") == "click", F.array(F.lit(S.SEARCH_TOOL))).alias("tools"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("vector_rank"), F.when(n % 2 == 0, 2).alias("fts_rank"))
+    return S.conversation_response(rows, "-05:00", F.lit("2024-02-01").cast("timestamp"), "hybrid").select("event_id", "timestamp", "time_ago", "role", "content", "relevance")
 
 
 @query("v24_tiered", "select query_id, tier, trajectory_id from (select *, row_number() over (partition by query_id, tier order by similarity desc, trajectory_id) as r from (select q.query_id, v.trajectory_id, " + COS + " as similarity, case when outcome_score>=0.7 then 'success' when outcome_score<=0.3 then 'failure' else 'moderate' end as tier from v_queries q, v_trajectories v where v.embedding is not null and outcome_score is not null)) where r<=3")

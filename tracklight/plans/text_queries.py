@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..operators import listing as L
 from ..operators import privacy as P
 from ..operators import search as S
 from ..operators import text as C
@@ -203,6 +204,25 @@ def u2(t):
     return t.events.select("event_id", X.clamp(F.col("value") / 100).alias("clamped"))
 
 
+@query("u3_matches", "select doc_id, lower(text) like '%license%' as has, text ilike 'the%' as begins, text like '%.' as ends from documents")
+def u3(t):
+    text = F.col("text")
+    return t.documents.select("doc_id", F.lower(text).contains("license").alias("has"), text.ilike("the%").alias("begins"), text.like("%.").alias("ends"))
+
+
+@query("u4_json_path", "select event_id, json_extract_string(props, '$.k') as k, cast(json_extract_string(props, '$.k') as bigint) % 10 as digit from events where json_extract_string(props, '$.k') <> '7'")
+def u4(t):
+    rows = L.matching(t.events.withColumn("nested", F.concat(F.lit('{"a":'), "props", F.lit("}"))), excluded={}).where(F.get_json_object("nested", "$.a.k") != "7")
+    return rows.select("event_id", F.get_json_object("nested", "$.a.k").alias("k"), (F.variant_get(F.parse_json("props"), "$.k", "bigint") % 10).alias("digit"))
+
+
+@query("u5_json", "select event_id, 'k,type' as keys, '{\"k\":'||json_extract_string(props, '$.k')||',\"type\":\"'||event_type||'\"}' as dumped from events")
+def u5(t):
+    """JSON objects parsed, their keys, and written again."""
+    full = F.concat(F.substring("props", F.lit(1), F.length("props") - 1), F.lit(', "type": "'), "event_type", F.lit('"}'))
+    return t.events.select("event_id", F.array_join(F.json_object_keys(full), ",").alias("keys"), F.to_json(F.from_json(full, "k bigint, type string")).alias("dumped"))
+
+
 @query("u6_file_names", r"""with n as (select page_id, case cast(page_id%6 as int) when 0 then url when 1 then '/a/b?c:'||regexp_replace(url, '^.*/', '')||'.tar.gz' when 2 then 'dir/.hidden' when 3 then 'NUL.txt' when 4 then repeat('x', 300)||'.html' else 'tail. .pdf' end as name from pages),
 b as (select page_id, regexp_replace(name, '^.*/', '') as f from n), s as (select page_id, regexp_extract(f, '[^.].*?(\.[^.]*)$', 1) as ext, f from b),
 c as (select page_id, ext, regexp_replace(regexp_replace(left(f, length(f)-length(ext)), '[\x00-\x1f\x7f/\\:*?"<>|]', '', 'g'), '[ .]+$', '') as base from s)

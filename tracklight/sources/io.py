@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def read_trajectories(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document for each trajectory, with a given schema (no inference pass)."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_trajectories(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """One JSON document a file (``lines``: a line) for each trajectory, with a given schema (no inference pass)."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def upsert_versions(old: DataFrame, new: DataFrame, key: str = "trajectory_id", version: str = "version") -> DataFrame:

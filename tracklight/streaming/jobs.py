@@ -21,10 +21,13 @@ TERMINAL = ("completed", "failed", "cancelled")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one only where none is set."""
+    """The checkpoint folder of the session; a temporary one only on one machine: a cluster must name a shared folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -73,10 +76,48 @@ def ingest_once(spark: SparkSession, path: str) -> DataFrame:
     return drain(twice.withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["event_id"]), "append")
 
 
+# Fixed value: how a record says that it gave up.
+GAVE_UP = "Failed after %d retries: %s"
+
+
+def status_machine(attempts: DataFrame, retries: int = 3) -> DataFrame:
+    """A stream of attempts (id, seq, error: null if it went well) as status rows (id, seq, status, attempts, error).
+
+    A record is pending until its first attempt, then processing; a good attempt completes it; a failed one is tried again up
+    to ``retries`` times, after which the record has failed and keeps the last error.  Completed and failed are final:
+    later attempts are ignored.
+    """
+    schema = T.StructType([attempts.schema["id"], T.StructField("seq", T.LongType()), T.StructField("status", T.StringType()), T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())])
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        status, tries = state.get if state.exists else ("pending", 0)
+        out = []
+        for seq, error in sorted((int(s), e) for b in batches for s, e in zip(b["seq"], b["error"], strict=True)):
+            if status in ("completed", "failed"):
+                break
+            tries += 1
+            bad = isinstance(error, str)
+            status = "completed" if not bad else "failed" if tries > retries else "processing"
+            out.append((key[0], seq, status, tries, GAVE_UP % (retries, error) if status == "failed" else None))
+        state.update((status, tries))
+        if out:
+            yield pd.DataFrame(out, columns=schema.names)
+
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    return attempts.groupBy("id").applyInPandasWithState(step, schema, "status string, attempts int", "append", GroupStateTimeout.NoTimeout)
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """The last status row of each id."""
+    return rows.groupBy("id").agg(F.max_by(F.struct("status", "attempts", "error"), "seq").alias("s")).select("id", "s.*")
+
+
 def status_stream(spark: SparkSession, path: str, retries: int = 3) -> DataFrame:
-    """Processing status per user: every failing event is an attempt; more than ``retries`` failures end it."""
-    events = source(spark, path).select("user_id", F.when(F.col("value") >= 80, 1).otherwise(0).alias("failed"))
-    return drain(events.groupBy("user_id").agg(F.when(F.sum("failed") > retries, "failed").otherwise("completed").alias("status")), "complete")
+    """Status of every user's processing: each event is an attempt, which fails if its value is high."""
+    error = F.when(F.col("value") >= 20, F.concat("event_type", F.lit(" failed")))
+    attempts = source(spark, path).select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), error.alias("error"))
+    return latest(drain(status_machine(attempts, retries), "append")).withColumnRenamed("id", "user_id")
 
 
 def daily_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -91,22 +132,53 @@ def latency_stream(spark: SparkSession, path: str) -> DataFrame:
     return drain(w.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n"), "complete")
 
 
-def chunk_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of each run, counted with custom state: last sequence seen and chunks so far, emitted after each batch."""
-    schema = "user_id bigint, chunks bigint, last_seq bigint"
+# Kinds of chunks that end a run.
+LAST_CHUNKS = ("complete", "error")
+
 
-    def count(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, last = state.get if state.exists else (0, -1)
+def ordered_chunks(chunks: DataFrame) -> DataFrame:
+    """A stream of chunks (run, seq, kind, body), in any order and with repeats, as (run, seq, kind, body, complete): each
+    chunk once, a run's chunks in order from 1, none after its end marker; what comes early waits in the run's state."""
+    schema = T.StructType([chunks.schema["run"], T.StructField("seq", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("body", T.StringType()), T.StructField("complete", T.BooleanType())])
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        upto, ended, early = state.get if state.exists else (0, False, [])
+        waiting = {int(s): (k, b) for s, k, b in early}
         for b in batches:
-            n, last = n + len(b), max(last, int(b["event_id"].max()))
-        state.update((n, last))
-        yield pd.DataFrame({"user_id": [key[0]], "chunks": [n], "last_seq": [last]})
+            for s, k, body in zip(b["seq"], b["kind"], b["body"], strict=True):
+                if s > upto:
+                    waiting.setdefault(int(s), (k, body))
+        out = []
+        while not ended and upto + 1 in waiting:
+            upto += 1
+            kind, body = waiting.pop(upto)
+            ended = kind in LAST_CHUNKS
+            out.append((key[0], upto, kind, body, ended))
+        state.update((upto, ended, [] if ended else [(s, k, body) for s, (k, body) in sorted(waiting.items())]))
+        if out:
+            yield pd.DataFrame(out, columns=schema.names)
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    rows = source(spark, path).select("user_id", "event_id").groupBy("user_id").applyInPandasWithState(count, schema, "n bigint, last bigint", "update", GroupStateTimeout.NoTimeout)
-    done = drain(rows, "update")
-    return done.groupBy("user_id").agg(F.max("chunks").alias("chunks"), F.max("last_seq").alias("last_seq"))
+    return chunks.groupBy("run").applyInPandasWithState(step, schema, "upto bigint, ended boolean, early array<struct<seq:bigint,kind:string,body:string>>", "append", GroupStateTimeout.NoTimeout)
+
+
+def replay(chunks: DataFrame, after: int = 0) -> DataFrame:
+    """The chunks of each run after a sequence number, in order."""
+    return chunks.where(F.col("seq") > after).orderBy("run", "seq")
+
+
+def chunk_stream(spark: SparkSession, path: str, after: int = 0) -> DataFrame:
+    """Every user's events as a run of chunks, a purchase as its end, replayed from after a sequence number.
+
+    Chunks are numbered by the table that they come from, and every one arrives twice.
+    """
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = spark.read.parquet(path).select(F.col("user_id").alias("run"), n.cast("bigint").alias("seq"), F.when(F.col("event_type") == "purchase", "complete").otherwise("delta").alias("kind"), F.col("event_id").cast("string").alias("body"))
+    home = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    rows.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).orderBy(F.xxhash64("body", "again")).drop("again").write.option("maxRecordsPerFile", max(1, rows.count() // 3)).parquet(home)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(home)
+    return replay(drain(ordered_chunks(stream), "append"), after)
 
 
 def latest_status(spark: SparkSession, path: str) -> DataFrame:
@@ -115,28 +187,44 @@ def latest_status(spark: SparkSession, path: str) -> DataFrame:
     return drain(polls, "complete")
 
 
+# From which statuses a file may come to each; the final ones; what a file that stopped moving is told.
+STEPS = {"parsing": ("pending", "parsing"), "embedding": ("parsing", "embedding"), "completed": ("embedding", "completed"), "error": ("pending", "parsing", "embedding")}
+FINAL = ("completed", "error")
+TIMED_OUT = "Processing timed out"
+
+
 def file_stream(spark: SparkSession, path: str, minutes: int = 30) -> DataFrame:
-    """File status with a timer: each file (here a user) is processing until its last legal step completes it; one that
-    hears nothing for ``minutes`` of event time ends in error."""
+    """File status with legal steps and a timer: each file (here a user) begins as pending; an event asks for a status, by
+    its type, and is refused unless the step is legal; a file that is not final and hears nothing for ``minutes`` of event
+    time ends in error.  Gives status, error and how many updates were refused."""
     wait = minutes * 60_000
+    schema = "user_id bigint, status string, error string, refused bigint, step bigint"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        status, last = state.get if state.exists else ("processing", 0)
+        status, error, refused, last = state.get if state.exists else ("pending", None, 0, 0)
         if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"user_id": [key[0]], "status": ["error"], "step": [1]})
+            state.update(("error", TIMED_OUT, refused, last))
+            yield pd.DataFrame([(key[0], "error", TIMED_OUT, refused, last + 1)], columns=["user_id", "status", "error", "refused", "step"])
             return
-        for b in batches:
-            last = max(last, int(b["ms"].max()))
-            if (b["event_type"] == "purchase").any():
-                status = "completed"
-        state.update((status, last))
-        if status == "processing":
+        rows = sorted((int(ms), int(e), asked) for b in batches for ms, e, asked in zip(b["ms"], b["event_id"], b["asked"], strict=True))
+        for ms, _, asked in rows:
+            if status not in FINAL and ms - last > wait and last:
+                status, error = "error", TIMED_OUT
+            if status in STEPS[asked] and not (status in FINAL and asked != status):
+                status, error = asked, "asked to fail" if asked == "error" else None
+            else:
+                refused += 1
+            last = max(last, ms)
+        state.update((status, error, refused, last))
+        if status not in FINAL:
             state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": [key[0]], "status": [status], "step": [0 if status == "processing" else 2]})
+        yield pd.DataFrame([(key[0], status, error, refused, last)], columns=["user_id", "status", "error", "refused", "step"])
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    events = source(spark, path).where("user_id % 3 = 0 or event_type <> 'purchase'").withWatermark("ts", "0 seconds").select("user_id", "event_type", "ts", F.unix_millis("ts").alias("ms"))
-    rows = events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, status string, step int", "status string, last bigint", "update", GroupStateTimeout.EventTimeTimeout)
-    return drain(rows, "update").groupBy("user_id").agg(F.max_by("status", "step").alias("status"))
+    kind = F.col("event_type")
+    asked = F.when(kind == "view", "parsing").when(kind == "click", "embedding").when(kind == "purchase", "completed").when(F.col("value") > 100, "error").otherwise("parsing")
+    events = source(spark, path).withWatermark("ts", "0 seconds").select("user_id", "event_id", "ts", F.unix_millis("ts").alias("ms"), asked.alias("asked"))
+    rows = events.groupBy("user_id").applyInPandasWithState(step, schema, "status string, error string, refused bigint, last bigint", "update", GroupStateTimeout.EventTimeTimeout)
+    done = drain(rows, "update")
+    return done.groupBy("user_id").agg(F.max_by(F.struct("status", "error", "refused"), "step").alias("s")).select("user_id", "s.*")
