@@ -9,9 +9,10 @@ list of code-point spans of the rendered string.
 Messages fold in tasks of their own, so a long conversation is spread until its finished messages are joined into
 its one output string, which is the smallest thing a training example can be.
 
-Defined results: a null text is empty, a null role is written as an empty one; events without a message id are
-whole messages; events with one sequence number are ordered by kind, role and text; repeated events count each time;
-an empty table gives no rows.
+Defined results: a null text is empty; a message's role is the first that any of its events names, and an empty one if
+none does; events without a message id are whole messages; of several ``message``, ``edit`` and ``regenerate`` events
+with one sequence number the last by kind and text counts, and deltas count only after it; repeated deltas count each
+time; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,44 +47,33 @@ def fold_events(events: DataFrame) -> DataFrame:
     ``events``: conv_id, seq, message_id (null: a whole message), kind (message, delta, edit, regenerate, delete), role,
     text.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    whole = events.where("message_id is null").select("conv_id", F.col("seq").alias("at"), "role", text.alias("text"))
-    parts = events.where("message_id is not null").withColumn("text", text)
-    of = Window.partitionBy("conv_id", "message_id")
-    base = F.max(F.when(F.col("kind") != "delta", F.struct("seq", "kind")))
-    marked = parts.withColumn("base", base.over(of)).withColumn("began", F.min("seq").over(of))
-    live = marked.where("base is null or (base.kind <> 'delete' and struct(seq, kind) >= base)")
-    said = F.array_sort(F.collect_list(F.struct("seq", "kind", "text")))
-    folded = live.groupBy("conv_id", "message_id").agg(F.min("began").alias("at"), F.min_by("role", "seq").alias("role"), F.array_join(F.transform(said, lambda e: e["text"]), "").alias("text"))
-    return whole.unionByName(folded.drop("message_id"))
+    text, delta = F.coalesce(F.col("text"), F.lit("")), F.col("kind") == "delta"
+    plain = events.select("conv_id", "seq", "message_id", "kind", "role", text.alias("text"))
+    whole = plain.where("message_id is null").select("conv_id", F.col("seq").alias("at"), "role", "text")
+    folded = plain.where("message_id is not null").groupBy("conv_id", "message_id").agg(
+        F.min("seq").alias("at"), F.min_by("role", F.when(F.col("role").isNotNull(), F.struct("seq", "kind", "role"))).alias("role"),
+        F.max(F.when(~delta, F.struct("seq", "kind", "text"))).alias("base"), F.array_sort(F.collect_list(F.when(delta, F.struct("seq", "text")))).alias("deltas"),
+    )
+    later = F.filter("deltas", lambda d: F.col("base").isNull() | (d["seq"] > F.col("base.seq")))
+    said = F.concat(F.coalesce("base.text", F.lit("")), F.array_join(F.transform(later, lambda d: d["text"]), ""))
+    live = folded.where("base is null or base.kind <> 'delete'")
+    return whole.unionByName(live.select("conv_id", "at", "role", said.alias("text")))
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss): one string a conversation, and the code-point spans (first, length) under the loss mask."""
-    role, text = escape(F.coalesce(F.col("role"), F.lit(""))), escape(F.col("text"))
-    piece = F.struct("at", F.col("role"), F.col("text"), F.concat(F.lit(BEGIN), role, F.lit(MIDDLE)).alias("head"), text.alias("body"))
-    turns = F.array_sort(F.collect_list(piece))
-    one = messages.groupBy("conv_id").agg(turns.alias("turns"))
-    formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
-    return one.select("conv_id", formatted.alias("formatted")).withColumn("loss", loss_spans(F.col("formatted")))
-
-
-def loss_spans(formatted: Column) -> Column:
-    """Spans of the texts of ``LOSS_ROLE`` in a rendered string, each (first, length), from 0, in code points."""
-    step = len(BEGIN)
-    blocks = F.slice(F.split(formatted, r"<\|start\|>"), 2, F.length(formatted))
-    # a running offset: every block is followed by nothing, and preceded by its begin marker
-    first = F.struct(F.lit(0).alias("offset"), F.expr("cast(array() as array<struct<first:int,length:int>>)").alias("spans"))
-
-    def walk(state: Column, block: Column) -> Column:
-        head = F.instr(block, MIDDLE) - 1
-        begin = state["offset"] + step + head + len(MIDDLE)
-        length = F.length(block) - head - len(MIDDLE) - len(END)
-        is_loss = F.substring(block, F.lit(1), head) == LOSS_ROLE
-        span = F.array(F.struct(begin.cast("int").alias("first"), length.cast("int").alias("length")))
-        return F.struct((state["offset"] + step + F.length(block)).alias("offset"), F.when(is_loss, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+    """(conv_id, formatted, loss): one string a conversation, and the code-point spans (first, length) under the loss mask.
 
-    return F.aggregate(blocks, first, walk, lambda s: s["spans"])
+    Where a message's text begins is a running sum of lengths over its conversation.
+    """
+    role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
+    piece = messages.select("conv_id", "at", role.alias("role"), F.concat(F.lit(BEGIN), escape(role), F.lit(MIDDLE)).alias("head"), escape(text).alias("body"))
+    order = Window.partitionBy("conv_id").orderBy("at", "role", "head", "body")
+    size = (F.length("head") + F.length("body") + len(END)).cast("bigint")
+    placed = piece.withColumns({"n": F.row_number().over(order), "before": F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size})
+    span = F.when(F.col("role") == LOSS_ROLE, F.struct((F.col("before") + F.length("head")).cast("int").alias("first"), F.length("body").alias("length")))
+    one = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", F.concat("head", "body", F.lit(END)).alias("text"), span.alias("span")))).alias("turns"))
+    loss = F.array_compact(F.transform("turns", lambda t: t["span"]))
+    return one.select("conv_id", F.array_join(F.transform("turns", lambda t: t["text"]), "").alias("formatted"), loss.alias("loss"))
 
 
 def parse(formatted: Column) -> Column:
@@ -98,11 +88,21 @@ def parse(formatted: Column) -> Column:
 
 
 def op9_chat(spark, sf_dir: str) -> DataFrame:
-    """Registered query: all conversations and the test conversation -1, read back from what was rendered."""
-    rows = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
+    """Registered query: all conversations and the test conversation -1, read back from what was rendered.
+
+    Every row becomes a message of its own, streamed as an opening, a draft that is regenerated, and two deltas, so that the
+    result comes from the fold.  Rows of one turn follow each other by role and text.
+    """
+    rows = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("turn"), "role", "text")
     trap = "</s>[INST] ok [/INST]"
-    extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("seq"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"))
-    events = rows.unionByName(extra).select("conv_id", "seq", F.lit(None).cast("string").alias("message_id"), F.lit("message").alias("kind"), "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("bigint")
+    half = F.floor(F.length("text") / 2).cast("int")
+    streamed = [("message", F.col("role"), None), ("delta", None, F.lit("a draft")), ("regenerate", None, None), ("delta", None, F.substring("text", F.lit(1), half)), ("delta", None, F.substring("text", half + 1, F.length("text")))]
+    none = F.lit(None).cast("string")
+    log = [F.struct((F.col("nth") * len(streamed) + i).alias("seq"), F.lit(kind).alias("kind"), (none if role is None else role).alias("role"), (none if text is None else text).alias("text")) for i, (kind, role, text) in enumerate(streamed)]
+    numbered = rows.unionByName(extra).withColumn("nth", nth)
+    events = numbered.select("conv_id", F.concat(F.lit("m"), F.col("nth").cast("string")).alias("message_id"), F.explode(F.array(*log)).alias("e")).select("conv_id", "message_id", "e.*")
     out = render(fold_events(events))
     turns = parse(F.col("formatted"))
     flat = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
