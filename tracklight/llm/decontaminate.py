@@ -20,12 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import ASCII_LOWER, WORD_BYTES, annotate, fresh, span_hashes, utf8, word_spans
+from .common import ASCII_LOWER, WORD_BYTES, annotate, fresh, mix64, span_hashes, spool, utf8, word_spans
 
 #: Words in a window.
 WINDOW = 13
-#: Benchmark text that one pass over the documents searches for; larger benchmarks take one pass for each such block.
+#: Benchmark text that one pass over the documents searches for (its phrases take about twice as many bytes in the driver
+#: and in each worker); larger benchmarks take one pass for each such block.
 BLOCK_BYTES = 16 << 20
 #: Text in a shard (the rows that one index covers).
 SHARD_BYTES = 3 << 20
@@ -37,31 +39,69 @@ RESULT = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<
 
 # ---------------------------------------------------------------------------------------------------- phrases
 class Phrases:
-    """The distinct windows of some items, as rows of symbols (1, 2, ...) over the items' own vocabulary."""
+    """The distinct windows of some items, as places in the items' text of symbols (1, 2, ... over their vocabulary).
+
+    Windows are kept by their rarest word, so that a shard only searches those whose words it has.  Each holds a few
+    numbers, whatever its width.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        ids, texts = [str(i) for i, _ in items], pa.array([t for _, t in items], type=pa.string())
-        raw, offsets = utf8(texts)
+        self.ids = np.array(sorted({str(i) for i, _ in items}), object)
+        raw, offsets = utf8(pa.array([t for _, t in items], type=pa.string()))
         raw = ASCII_LOWER[raw]
         starts, ends, counts = word_spans(raw, offsets, WORD_BYTES)
-        words = span_hashes(raw, starts, ends)
-        self.vocabulary, symbols = np.unique(words, return_inverse=True)
-        symbols = symbols.astype(np.int64) + 1
-        found: dict[bytes, set[str]] = {}
-        at = 0
-        for k, n in enumerate(counts.tolist()):
-            w = min(window, n)
-            for i in range(n - w + 1) if n else ():
-                found.setdefault(symbols[at + i : at + i + w].tobytes(), set()).add(ids[k])
-            at += n
-        self.windows = [np.frombuffer(b, np.int64) for b in found]
-        self.owners = [sorted(v) for v in found.values()]
-        self.length = np.array([len(w) for w in self.windows], np.int64)
+        self.vocabulary, symbols = np.unique(span_hashes(raw, starts, ends), return_inverse=True)
+        self.text = symbols.astype(np.int32) + 1
+        width = np.minimum(window, counts)
+        many = np.where(counts > 0, counts - width + 1, 0)  # windows of each item
+        item = np.repeat(np.arange(len(counts)), many)
+        at = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.cumsum(counts) - counts, many)
+        length = width[item]
+        # equal windows have equal hashes of their symbols; the first of each stands for all
+        h = mix64(length.astype(np.uint64))
+        for k in range(int(length.max()) if len(length) else 0):
+            inside = k < length
+            h[inside] = mix64(h[inside] * np.uint64(0x9E3779B97F4A7C15) + self.text[at[inside] + k].astype(np.uint64))
+        _, first, same = np.unique(h, return_index=True, return_inverse=True)
+        owner = np.searchsorted(self.ids.astype(str), np.array([str(i) for i, _ in items]))[item] if len(item) else item
+        pairs = np.unique(np.stack([same, owner]), axis=1) if len(item) else np.zeros((2, 0), np.int64)
+        self.at, self.length = at[first].astype(np.int32), length[first].astype(np.int32)
+        # by rarest word
+        often = np.bincount(self.text, minlength=len(self.vocabulary) + 1)
+        rare = np.zeros(len(self.at), np.int64)
+        if len(self.at):
+            table = self.rows(np.arange(len(self.at)))
+            rare = table[np.arange(len(table)), np.where(table > 0, often[table], 1 << 62).argmin(axis=1)]
+        order = np.argsort(rare, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.at, self.length = self.at[order], self.length[order]
+        self.by_word = np.searchsorted(rare[order], np.arange(len(self.vocabulary) + 2))
+        window_of, self.owner = place[pairs[0]], pairs[1].astype(np.int32)
+        by_window = np.argsort(window_of, kind="stable")
+        self.owner, self.owned = self.owner[by_window], np.searchsorted(window_of[by_window], np.arange(len(self.at) + 1))
         self.shortest = int(self.length.min()) if len(self.length) else 0
+
+    def rows(self, which: np.ndarray) -> np.ndarray:
+        """The symbols of some windows, a right-aligned row each."""
         width = int(self.length.max()) if len(self.length) else 0
-        self.table = np.zeros((len(self.windows), width), np.int64)  # right-aligned
-        for r, w in enumerate(self.windows):
-            self.table[r, width - len(w) :] = w
+        k = np.arange(width)[None, :] - (width - self.length[which].astype(np.int64))[:, None]
+        return np.where(k >= 0, self.text[np.maximum(self.at[which][:, None] + k, 0)], 0).astype(np.int64)
+
+    def candidates(self, present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows all of whose words are ``present`` (a flag for each symbol, from 0), and their symbols."""
+        words = np.flatnonzero(present[1:]) + 1
+        lo, many = self.by_word[words], self.by_word[words + 1] - self.by_word[words]
+        which = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+        table = self.rows(which)
+        whole = (present[table] | (table == 0)).all(axis=1)
+        return which[whole], table[whole]
+
+    def items(self, windows: np.ndarray) -> list[str]:
+        """The ids of the items with any of some windows, sorted."""
+        if not len(windows):
+            return []
+        return self.ids[np.unique(np.concatenate([self.owner[self.owned[w] : self.owned[w + 1]] for w in windows.tolist()]))].tolist()
 
 
 # ---------------------------------------------------------------------------------------------------- index
@@ -215,13 +255,18 @@ def search_shard(phrases: Phrases, texts: pa.Array) -> dict[str, list]:
     word_at = np.full(len(text), -1, np.int64)
     word_at[place] = keep
 
+    present = np.zeros(len(phrases.vocabulary) + 1, bool)
+    present[text] = True
+    candidates, table = phrases.candidates(present)
+    if not len(candidates):
+        return out
     index = FMIndex(text, len(phrases.vocabulary) + 1)
-    lo, hi = index.search(phrases.table)
+    lo, hi = index.search(table)
     hit = np.flatnonzero(hi > lo)
     if not len(hit):
         return out
     many = (hi - lo)[hit]
-    which = np.repeat(hit, many)
+    which = np.repeat(candidates[hit], many)
     rows = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo[hit], many)
     first_word = word_at[index.locate(rows)]
     # merge the spans: words that some occurrence covers
@@ -236,45 +281,59 @@ def search_shard(phrases: Phrases, texts: pa.Array) -> dict[str, list]:
     for a, b in zip(np.flatnonzero(edge).tolist(), np.flatnonzero(last).tolist(), strict=True):
         r = int(row[a])
         out["spans"][r].append({"first": a - int(begin[r]), "last": b - int(begin[r])})
-    for pair in np.unique(row[first_word] * len(phrases.windows) + which).tolist():
-        out["items"][pair // len(phrases.windows)].append(pair % len(phrases.windows))
-    for r, ws in enumerate(out["items"]):
-        out["items"][r] = sorted({owner for w in ws for owner in phrases.owners[w]})
+    pairs = np.unique(row[first_word] * len(phrases.at) + which)
+    for r in np.unique(pairs // len(phrases.at)).tolist():
+        mine = pairs[np.searchsorted(pairs, r * len(phrases.at)) : np.searchsorted(pairs, (r + 1) * len(phrases.at))]
+        out["items"][r] = phrases.items(mine % len(phrases.at))
     return out
 
 
+def search_block(docs: DataFrame, benchmark: DataFrame, text: str, window: int, name: str, keep: list[str]) -> DataFrame:
+    """One pass: each row's ``keep`` columns and the struct that ``search_shard`` gives for a block (item, text) of items."""
+    found = benchmark.select(F.coalesce(F.col("item").cast("string"), F.lit("null")).alias("item"), "text").sort("item", "text").collect()  # bounded by block_bytes
+    shared = docs.sparkSession.sparkContext.broadcast(Phrases([(r.item, r.text) for r in found], window))
+    return annotate(docs, [text], RESULT, lambda _, texts: search_shard(shared.value, texts), name, keep, slice_bytes=SHARD_BYTES)
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """(rid, n_words, n_hit, items, spans) from rows (rid, r) of several passes: spans that touch or overlap become one,
+    found by a running maximum over each row's spans in order."""
+    order = Window.partitionBy("rid").orderBy("first", "last")
+    spans = parts.select("rid", F.explode("r.spans").alias("s")).select("rid", "s.*")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("opens", F.when(reach.isNull() | (F.col("first") > reach + 1), 1).otherwise(0))
+    each = opened.withColumn("k", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("rid", "k").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    whole = each.groupBy("rid").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n_hit"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    items = parts.groupBy("rid").agg(F.first("r.n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("r.items")))).alias("items"))
+    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
+    return items.join(whole.hint("merge"), "rid", "left").select("rid", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), "items", F.coalesce("spans", none).alias("spans"))
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     keep: list[str] | None = None, name: str = "contamination", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Each row's ``keep`` columns (all by default) and a struct ``name``: n_words, n_hit, items, spans.
 
-    The phrases travel to the tasks, so the benchmark is measured first and cut into blocks of about ``block_bytes``
-    of text; each block is one more pass over the documents, and the passes' spans and items are merged per row.
+    The phrases travel to the tasks, so the benchmark is measured first.  Beyond ``block_bytes`` of text it is cut into
+    blocks: rows are then numbered in a table of their own, each block is one pass over that, which leaves a table of
+    counts, items and spans, and the passes are merged by row; one block's phrases are held at a time.
     """
-    total = benchmark.agg(F.sum(F.coalesce(F.octet_length(item_text), F.lit(0)) + 64)).first()[0] or 0
-    blocks = int(total // block_bytes) + 1
-    spans = fresh(docs, name)
-    out = docs
+    plain = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
+    total = plain.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    blocks, spans = int(total // block_bytes) + 1, fresh(docs, name)
+    kept = list(docs.columns if keep is None else keep)
+    if blocks == 1:
+        return search_block(docs, plain, text, window, spans, kept)
+    rid = fresh(docs, "rid")
+    rows = spool(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
+    parts = None
     for b in range(blocks):
-        part = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
-        if blocks > 1:
-            part = part.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        phrases = Phrases([("null" if r.i is None else r.i, r.t) for r in part.sort("i", "t").collect()], window)  # bounded by block_bytes
-        shared = docs.sparkSession.sparkContext.broadcast(phrases)
-        last = b == blocks - 1
-        out = annotate(out, [text], RESULT, lambda _, texts, s=shared: search_shard(s.value, texts), fresh(out, f"{spans}_{b}" if blocks > 1 else spans), keep if last and blocks == 1 else None, slice_bytes=SHARD_BYTES)
-    if blocks > 1:
-        parts = [out.columns[-blocks + b] for b in range(blocks)]
-        words = lambda s: F.sequence(s["first"], s["last"])
-        hit = F.array_distinct(F.flatten(F.array(*[F.flatten(F.transform(F.col(p)["spans"], words)) for p in parts])))
-        merged = F.struct(
-            F.col(parts[0])["n_words"].alias("n_words"), F.size(hit).cast("bigint").alias("n_hit"),
-            F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(p)["items"] for p in parts])))).alias("items"),
-            F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(p)["spans"] for p in parts])))).alias("spans"),
-        )
-        out = out.select(*(keep if keep is not None else docs.columns), merged.alias(spans))
-    return out
+        part = search_block(rows, plain.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b), text, window, fresh(rows, "r"), [rid])
+        part = spool(part.toDF("rid", "r"), "pass")
+        parts = part if parts is None else parts.unionByName(part)
+    found = spool(merged(parts), "merged").select(F.col("rid").alias(rid), F.struct("n_words", "n_hit", "items", "spans").alias(spans))
+    return rows.join(found.hint("merge"), rid).select(*kept, spans)
 
 
 def contaminated(result: str = "contamination"):
