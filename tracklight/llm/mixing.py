@@ -9,10 +9,11 @@ join and sum over that table, for all sources at once.
 Rates become copies by systematic rounding down the sizes (largest first), then by a few rounds that give or take
 copies of ever smaller documents until a source's sum meets its target, and by exchanges of one copy for another whose
 sizes differ by what is still missing.  Which documents of one source and size get
-the odd copy is decided by a hash of their id, found with a salted rank, so no source or size is ever in one task.
+the odd copy is decided by a hash of their id and text, found with a salted rank, so no source or size is ever in one
+task; only rows that agree in both are told apart by their place in the table.
 
 Defined results: null texts have size 0 and one copy of nothing; a null source is a source of its own, the last;
-repeated rows share one decision; a source without words takes none; an empty table gives no rows.
+null and repeated ids and repeated rows are documents of their own; a source without words takes none; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from .common import fresh, read, spool
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-#: Newton steps at most, rounds of corrections to the rounding, and of exchanges of two documents' copies.
-STEPS, CORRECTIONS, EXCHANGES = 40, 2, 3
+#: Newton steps, halvings of the bracket after them, rounds of corrections to the rounding, and of exchanges of two
+#: documents' copies.
+STEPS, HALVINGS, CORRECTIONS, EXCHANGES = 30, 90, 2, 3
 #: Salts that spread the documents of one source and size; rows for each salt beyond which there are more.
 SALTS, SALT_ROWS = 64, 1_000_000
 #: Tables of source and size with at most so many rows are broadcast; larger ones are joined by a shuffle.
@@ -75,10 +77,12 @@ def multipliers(classes: DataFrame, targets: DataFrame, most: int = MOST) -> Dat
     idle = (F.col("source_size") == 0) | full
     start = F.when(F.col("source_size") == 0, 0.0).when(full, F.col("hi")).otherwise(F.log(F.greatest(F.col("target"), F.lit(1e-9)) / F.col("source_size")) * 0.5)
     state = spool(state.withColumn("lam", F.greatest(F.coalesce("lo", F.lit(0.0)), F.least(F.coalesce("hi", F.lit(0.0)), start))).withColumn("done", idle), "dual")
-    for _step in range(STEPS):
+    for round_ in range(STEPS + HALVINGS + 1):
         todo = state.where(~F.col("done"))
         if todo.isEmpty():
             break
+        if round_ == STEPS + HALVINGS:
+            raise ArithmeticError("the dual of the mix has not been solved")
         tilt = F.exp(F.col("lam") * z)
         mass = F.col("c") * F.col("size")
         sums = classes.where("size > 0").join(todo.hint("merge"), "src").groupBy("src").agg(
@@ -89,8 +93,9 @@ def multipliers(classes: DataFrame, targets: DataFrame, most: int = MOST) -> Dat
         low = F.col("got") < F.col("target")
         lo, hi = F.when(low, F.col("lam")).otherwise(F.col("lo")), F.when(low, F.col("hi")).otherwise(F.col("lam"))
         newton = F.col("lam") + (F.col("target") - F.col("got")) / F.col("slope")
-        step = F.when((F.col("slope") > 0) & (newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
-        met = F.abs(F.col("got") - F.col("target")) <= 0.01 + 1e-9 * F.col("target")
+        step = F.when(F.lit(round_ < STEPS) & (F.col("slope") > 0) & (newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
+        # met, or as near as doubles come
+        met = (F.abs(F.col("got") - F.col("target")) <= 0.01 + 1e-9 * F.col("target")) | (hi - lo <= 1e-14 * F.greatest(F.abs(lo), F.abs(hi)))
         running = ~F.col("done")
         state = spool(next_.select(
             "src", "source_size", "target", "mean", F.when(running, lo).otherwise(F.col("lo")).alias("lo"), F.when(running, hi).otherwise(F.col("hi")).alias("hi"),
@@ -146,10 +151,17 @@ def exchange(out: DataFrame, most: int) -> DataFrame:
     return moved.select("src", "size", "c", "source_size", "target", (F.col("copies") + plus - minus).alias("copies"))
 
 
+def row_keys(doc_id: str, text: str) -> tuple[Column, Column]:
+    """A row's place in the order that hands out odd copies: a hash of its id and text, and one of its place in the
+    table, which tells rows apart that have both in common."""
+    return F.xxhash64(F.col(doc_id), F.col(text), F.lit("mix")), F.xxhash64(F.monotonically_increasing_id())
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with a struct ``mixed`` (size, source_size, target, copies); underscores are added if the name is taken."""
     name = fresh(docs, "mixed")
-    sized = spool(docs.select(F.xxhash64(doc_id, F.lit("mix")).alias("h"), source_key(source).alias("src"), words_of(text).alias("size")), "sized")
+    h, m = row_keys(doc_id, text)
+    sized = spool(docs.select(h.alias("h"), m.alias("m"), source_key(source).alias("src"), words_of(text).alias("size")), "sized")
     salts = max(SALTS, sized.count() // SALT_ROWS)
     salt = F.pmod(F.col("h"), F.lit(salts))
     salted = spool(sized.groupBy("src", "size", salt.alias("salt")).agg(F.count("*").alias("c")), "salted")
@@ -161,13 +173,15 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     run = Window.partitionBy("src", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     cut = salted.withColumnRenamed("c", "here").withColumn("before", F.coalesce(F.sum("here").over(run), F.lit(0))).join(taken.hint("merge"), ["src", "size"]).where((F.col("before") <= odd) & (odd < F.col("before") + F.col("here")))
     cut = cut.select("src", "size", F.col("salt").alias("cut"), (odd - F.col("before")).alias("nth"))
-    order = Window.partitionBy("src", "size").orderBy("h")
-    edge = sized.withColumn("cut", salt).join(cut.hint("merge"), ["src", "size", "cut"]).withColumn("rank", F.row_number().over(order) - 1).where("rank = nth").select("src", "size", "cut", F.col("h").alias("edge"))
-    plan = spool(taken.join(edge.hint("merge"), ["src", "size"]).select(F.col("src").alias("k_src"), F.col("size").alias("k_size"), "source_size", "target", F.floor(F.col("copies") / F.col("c")).alias("whole"), "cut", "edge"), "plan")
+    order = Window.partitionBy("src", "size").orderBy("h", "m")
+    edge = sized.withColumn("cut", salt).join(cut.hint("merge"), ["src", "size", "cut"]).withColumns({"rank": F.row_number().over(order) - 1, "alike": F.count("*").over(Window.partitionBy("src", "size", "h"))})
+    edge = edge.where("rank = nth").select("src", "size", "cut", F.col("h").alias("edge"), F.when(F.col("alike") > 1, F.col("m")).alias("last"))
+    plan = spool(taken.join(edge.hint("merge"), ["src", "size"]).select(F.col("src").alias("k_src"), F.col("size").alias("k_size"), "source_size", "target", F.floor(F.col("copies") / F.col("c")).alias("whole"), (odd > 0).alias("odd"), "cut", "edge", "last"), "plan")
     few = plan.count() <= BROADCAST_CLASSES
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(doc_id, F.lit("mix")).alias("h"), source_key(source).alias("src"), words_of(text).alias("size"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), h.alias("h"), m.alias("m"), source_key(source).alias("src"), words_of(text).alias("size"))
     met = keyed.join(plan.hint("broadcast" if few else "merge"), (F.col("src") == F.col("k_src")) & (F.col("size") == F.col("k_size")))
-    extra = (salt < F.col("cut")) | ((salt == F.col("cut")) & (F.col("h") < F.col("edge")))
+    first = (F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.coalesce(F.col("m") < F.col("last"), F.lit(False)))
+    extra = F.col("odd") & ((salt < F.col("cut")) | ((salt == F.col("cut")) & first))
     return met.select("row.*", F.struct("size", "source_size", "target", (F.col("whole") + extra.cast("bigint")).alias("copies")).alias(name))
 
 
