@@ -46,7 +46,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     met = rows.join(gone.hint("broadcast" if few else "merge"), F.col("id").eqNullSafe(F.col("k_id")) & (F.xxhash64("body") == F.col("k_hash")), "left")
     lines = F.when(F.length("body") > 0, F.split("body", "\n", -1)).otherwise(F.array().cast("array<string>"))
     removed = F.coalesce("lines", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter("all", lambda x, i: ~F.array_contains(F.col("removed"), i)), "\n")
+    # what lies between two removed lines stays: a slice for each gap, so that the work grows with the lines alone
+    edge = lambda j, otherwise: F.coalesce(F.get("removed", j), F.lit(otherwise) if isinstance(otherwise, int) else otherwise)
+    begin = lambda j: F.when(j == 0, 0).otherwise(edge(j - 1, 0) + 1)
+    gap = lambda j: F.slice("all", begin(j) + 1, F.greatest(F.lit(0), edge(j, F.size("all")) - begin(j)))
+    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("removed")), gap)), "\n")
     done = met.select("row", "body", lines.alias("all"), removed.alias("removed"))
     clean = F.when(F.size("removed") > 0, kept).otherwise(F.col("body"))
     return done.select("row.*", F.struct(F.size("all").cast("bigint").alias("n_lines"), "removed", clean.alias("text")).alias(name))
