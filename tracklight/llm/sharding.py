@@ -3,8 +3,10 @@
 Records are ordered by a key (a hash of the text, so that equal texts are neighbours, then a hash of the id).  A
 size-weighted sample of keys gives quantile boundaries; records are dealt to the ranges between them, ranges that
 turn out overfull are subdivided by a denser sample of their own, and each range is sorted on its own.  Exact range
-totals then place every record on one line of bytes, which is cut into shards of equal length: law ``bytes``.  A
-group of equal texts stays in one shard unless a cut, or an overfull range, falls inside it.
+totals then place every record on one line of bytes, which is cut into shards of equal length: law ``bytes``.  Equal
+texts lie next to each other on that line, so a group of them stays in one shard unless one of the cuts (one fewer than
+shards) falls inside it.  A cut is not moved to the group's edge: the law promises sizes that differ by no more than a
+record, and a moved cut would make them differ by up to half a group.
 
 Defined results: a null text counts as empty (size 1, crc32 0); null ids and repeated rows are records like any other;
 an empty table gives no rows.
@@ -74,10 +76,10 @@ def sample_splitters(keys: DataFrame, total: int, ranges: int, samples: int) ->
     return cuts
 
 
-def splitters_for(keys: DataFrame, shards: int, whole_rows: bool) -> list[tuple[int, int]]:
-    """Boundaries between which records lie evenly; overfull ranges get boundaries from samples of their own."""
-    rows, total = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    ranges = min(RANGES, max(RANGES_PER_SHARD * shards, rows // RANGE_ROWS + 1, total // RANGE_BYTES + 1 if whole_rows else 0))
+def splitters_for(keys: DataFrame, ranges: int) -> list[tuple[int, int]]:
+    """Boundaries between which records (h, tie, size) lie evenly; overfull ranges get boundaries from samples of their
+    own."""
+    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     cuts = sorted(set(sample_splitters(keys, total, ranges, ranges * SAMPLES)))
     for _ in range(ROUNDS):
         ranged = keys.withColumn("range", range_of(cuts))
@@ -103,7 +105,10 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
     tie = F.xxhash64(doc_id).bitwiseAND(F.lit(-65536)).bitwiseOR(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(65536)))
     key = F.struct(F.xxhash64(content).alias("h"), tie.alias("tie"), size_of(text).alias("size"))
     keyed = docs.select(F.struct(*(keep if keep is not None else docs.columns)).alias("row"), key.alias("key")).select("row", "key.*")
-    cuts = splitters_for(spool(keyed.select("h", "tie", "size"), "keys"), shards, whole_rows=keep is None)
+    keys = spool(keyed.select("h", "tie", "size"), "keys")
+    rows, total = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    ranges = min(RANGES, max(RANGES_PER_SHARD * shards, rows // RANGE_ROWS + 1, total // RANGE_BYTES + 1 if keep is None else 0))
+    cuts = splitters_for(keys, int(ranges))
     line = Window.partitionBy("range").orderBy("h", "tie")
     laid = keyed.withColumn("range", range_of(cuts)).select(
         "row", "size", "range",
