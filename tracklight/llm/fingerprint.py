@@ -6,11 +6,14 @@ chunks; each chunk gives one base-64 character, and a second signature has twice
 compared at equal or neighbouring block sizes by the edit distance (insertions and deletions) of their signatures,
 computed bit-parallel for many pairs at once; signatures without a common run of ``RUN`` characters are unlike.
 
-Neighbours: documents in descending order are range-partitioned by quantiles of their ids; each range also gets a copy
-of the first document of the range after it, so that every task finds each document's successor in its own sorted run.
+Neighbours: documents in descending order of id are dealt to ranges between sampled splitters; each range also gets a
+copy of the first document of the range after it, so that every task finds each document's successor in its own sorted
+run, which it reads in passing.  Null and much-repeated ids are split by a hash of their text, and equal rows by their
+place, so no id fills a range.
 
 Defined results: a null text is empty, with fingerprint ``3::``; rows that share an id are ordered by hash of their
-text and text; null ids come last; the only document is its own successor; an empty table gives no rows.
+text and text; null ids come last; ids must be integers; the only document is its own successor; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -23,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, bounded_batches, read, span_hashes, utf8
+from .common import SLICE_BYTES, bounded_batches, fresh, read, span_hashes, spool, utf8
 
 WINDOW = 7
 FIRST_BLOCK, LONGEST = 3, 64
 #: Characters in a row that two signatures must share (all of a shorter signature).
 RUN = 4
-#: Text bytes in a range, about.
-RANGE_BYTES = 24 << 20
+#: Text bytes in a range, about, and ranges at most (their splitters and first rows are what reaches the driver; beyond
+#: it ranges grow, which tasks read in passing).
+RANGE_BYTES, RANGES = 24 << 20, 10_000
 
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
@@ -142,69 +146,84 @@ def take(fp: tuple, which: slice) -> tuple:
     return k[which], [x[which] for x in s], [x[which] for x in m]
 
 
-def compare_run(ids: list, texts: list[str]) -> dict[str, list]:
+def compare_run(texts: list[str]) -> dict[str, list]:
     """Rows for all but the last of consecutive documents; each one's successor follows it."""
     own = fingerprints(pa.array(texts, pa.string()))
     edited = [t[: len(t) - len(t) // 2] + s[: len(t) // 2] for t, s in zip(texts[:-1], texts[1:], strict=True)]
     changed = fingerprints(pa.array(edited, pa.string()))
     here, after = take(own, slice(0, -1)), take(own, slice(1, None))
     return {
-        "doc_id": ids[:-1], "n_chars": [len(t) for t in texts[:-1]], "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in edited],
+        "n_chars": [len(t) for t in texts[:-1]], "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in edited],
         "fingerprint": written(*here), "edited_fingerprint": written(*changed), "near_edited": likeness(here, changed), "near_next": likeness(here, after),
     }
 
 
-RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of ``RESULT`` for every row of ``docs``."""
+def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, name: str = "printed") -> DataFrame:
+    """``keep`` columns (all by default) and a struct ``name`` of ``RESULT``, for every row of ``docs``; underscores are
+    added if the name is taken."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import IntegralType, StructField, StructType
 
-    from .sharding import literal
+    from .sharding import range_of, splitters_for
 
+    if not isinstance(docs.schema[doc_id].dataType, IntegralType):
+        raise TypeError(f"{doc_id} must hold integers, to be ordered")
     spark = docs.sparkSession
     bounded_batches(spark)
-    plain = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    total = plain.agg(F.coalesce(F.sum(F.octet_length("body") + 32), F.lit(0))).first()[0]
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // RANGE_BYTES) + 1)
-    marks = plain.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)] or [0.5], 20 * ranges)).first()[0]
-    marks = sorted(set(marks or []))
-    nulls = len(marks) + 1
-    # range 0 has the largest ids; null ids are a range of their own, the last
-    below = F.aggregate(F.array(*[F.lit(1 << s) for s in range(len(marks).bit_length(), -1, -1)]), F.lit(0), lambda at, by: F.when((at + by <= len(marks)) & (F.get(literal(marks or [0]), at + by - 1) <= F.col("id")), at + by).otherwise(at))
-    ranged = plain.withColumn("range", F.when(F.col("id").isNull(), nulls).otherwise(len(marks) - below))
-    firsts = sorted((r["range"], r["first"]) for r in ranged.groupBy("range").agg(F.max("id").alias("first")).collect())  # one row a range
-    before, first = [0] * (nulls + 1), [0] * (nulls + 1)
-    for i, (r, top) in enumerate(firsts):
-        before[r], first[r] = firsts[i - 1][0], top or 0
-    is_first = (F.col("range") == nulls) | (F.col("id") == F.get(literal(first), F.col("range")))
-    home = F.struct(F.col("range").cast("int").alias("to"), F.lit(False).alias("guest"))
-    visit = F.struct(F.get(literal(before), F.col("range")).cast("int").alias("to"), F.lit(True).alias("guest"))
-    dealt = ranged.select("id", "body", F.explode(F.when(is_first, F.array(home, visit)).otherwise(F.array(home))).alias("d")).select("id", "body", "d.*")
-    run = dealt.repartitionById(nulls + 1, "to").sortWithinPartitions("to", "guest", F.desc_nulls_last("id"), F.xxhash64("body"), "body").select("id", "body", "to", "guest")
-    schema = StructType.fromDDL(RESULT)
-    arrow = to_arrow_schema(schema)
+    keep, name = list(docs.columns if keep is None else keep), fresh(docs, name)
+    body = F.coalesce(F.col(text), F.lit(""))
+    # ascending by the complement of the id is descending by id; then by the text's hash, whose lowest bits are given up for
+    # a row's place: that spreads equal rows over ranges, and nothing else depends on it
+    h = F.coalesce(F.bitwise_not(F.col(doc_id).cast("bigint")), F.lit((1 << 63) - 1))
+    content = F.xxhash64(body).bitwiseAND(F.lit(-65536))
+    tie = content.bitwiseOR(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(65536)))
+    plain = docs.select(F.struct(*keep).alias("kept"), body.alias("body"), h.alias("h"), content.alias("content"), tie.alias("tie"))
+    keys = spool(plain.select("h", "tie", (F.octet_length("body") + 32).cast("bigint").alias("size")), "keys")
+    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    cuts = splitters_for(keys, min(RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // RANGE_BYTES) + 1)))
+    # a range begins with all rows of a text, or cuts through equal ones: no place in the table moves any other row
+    whole = [(a, b & -65536) for a, b in cuts]
+    cuts = sorted({cut if i and c == whole[i - 1] else c for i, (c, cut) in enumerate(zip(whole, cuts, strict=True))})
+    ranges = len(cuts) + 1
+    # one row a range: what it begins with; each range, empty or not, is visited by what the next one begins with
+    begins = sorted((r["range"], r["first"].h, r["first"].tie & -65536) for r in keys.withColumn("range", range_of(cuts)).groupBy("range").agg(F.min(F.struct("h", "tie")).alias("first")).collect())
+    visits: dict[tuple[int, int], list[int]] = {}
+    for i, (r, *_) in enumerate(begins):
+        upto = begins[i + 1][0] if i + 1 < len(begins) else ranges + begins[0][0]
+        visits.setdefault(tuple(begins[(i + 1) % len(begins)][1:]), []).extend(x % ranges for x in range(r, upto))
+    asked = spark.createDataFrame([(a, b, to) for (a, b), to in visits.items()], "h bigint, content bigint, to array<int>")
+    guests = plain.join(F.broadcast(asked), ["h", "content"]).groupBy("h", "content").agg(F.first("body").alias("body"), F.first("to").alias("to"))  # at most a row a range
+    guests = guests.select(F.lit(None).cast(plain.schema["kept"].dataType).alias("kept"), "h", "body", F.explode("to").alias("to"), F.lit(True).alias("guest"))
+    home = plain.select("kept", "h", "body", range_of(cuts).cast("int").alias("to"), F.lit(False).alias("guest"))
+    run = home.unionByName(guests).repartitionById(ranges, "to").sortWithinPartitions("to", "guest", "h", F.xxhash64("body"), "body").select("kept.*", F.col("body").alias("__body"), F.col("to").alias("__to"), F.col("guest").alias("__guest"))
+    schema = StructType([docs.schema[c] for c in keep] + [StructField(name, StructType.fromDDL(RESULT))])
+    arrow, n_keep = to_arrow_schema(schema), len(keep)
+    made = list(arrow.field(n_keep).type)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size, where, done = [], [], 0, None, False
+        kept, texts, size, where, done = [], [], 0, None, False
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if len(ids) > 1:
-                got = compare_run(ids, texts)
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
-            del ids[:-1], texts[:-1]
+            if len(texts) > 1:
+                got = compare_run(texts)
+                struct = pa.StructArray.from_arrays([pa.array(got[f.name], type=f.type) for f in made], fields=made)
+                columns = [pa.array([row[i] for row in kept[:-1]], type=arrow.field(i).type) for i in range(n_keep)]
+                yield pa.RecordBatch.from_arrays([*columns, struct], schema=arrow)
+            del kept[:-1], texts[:-1]
 
         for batch in batches:
-            for i, t, to, guest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            columns = [c.to_pylist() for c in batch.columns]
+            for i, (t, to, guest) in enumerate(zip(*columns[n_keep:], strict=True)):
                 if to != where:
                     yield from flush()
-                    ids.clear(), texts.clear()
+                    kept.clear(), texts.clear()
                     where, done, size = to, False, 0
                 if done:
                     continue  # only the first guest is a successor
-                ids.append(i), texts.append(t)
+                kept.append([c[i] for c in columns[:n_keep]]), texts.append(t)
                 done, size = guest, size + len(t)
                 if size > SLICE_BYTES:
                     yield from flush()
@@ -216,4 +235,5 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def op7_fingerprint(spark, sf_dir: str) -> DataFrame:
     """Registered query: all documents."""
-    return fingerprint(read(spark, sf_dir, "documents"))
+    found = fingerprint(read(spark, sf_dir, "documents"), keep=["doc_id"], name="p")
+    return found.select("doc_id", "p.n_chars", "p.edited_sha256", "p.fingerprint", "p.edited_fingerprint", "p.near_edited", "p.near_next")
