@@ -46,8 +46,9 @@ def test_decontamination_equals_brute_force(spark, docs):
         for r in got.collect():
             n, hit, items = H.contamination(texts[r.doc_id], found)
             assert (r[name].n_words, r[name].n_hit, r[name].items) == (n, hit, items)
-            if block > 80:
-                assert sum(s.last - s.first + 1 for s in r[name].spans) == hit
+            spans = [(s.first, s.last) for s in r[name].spans]
+            assert sum(b - a + 1 for a, b in spans) == hit
+            assert all(a[1] + 1 < b[0] for a, b in zip(spans, spans[1:], strict=False))  # merged and in order
 
 
 def test_decontamination_edges(spark, docs, empty):
@@ -115,6 +116,20 @@ def test_mixing_edges(spark, docs, empty):
     assert mixing.mix(repeated).count() == 2 * docs.count()
 
 
+def test_mixing_of_null_and_repeated_ids_meets_targets(spark):
+    rng = random.Random(8)
+    rows = [(None if i < 40 else i, H.prose(rng, rng.randint(1, 9)) if i >= 20 else "one text of six words here", None, "ab"[i % 2], 1) for i in range(80)]
+    rows += [(7, "same id and text", None, "c", 1)] * 30 + [(100 + i, H.prose(rng, 5), None, "d", 1) for i in range(30)]
+    df = spark.createDataFrame(rows, H.SCHEMA).coalesce(2)
+    out = mixing.mix(df).collect()
+    by_source, taken = {}, {}
+    for r in out:
+        by_source[r.source] = by_source.get(r.source, 0) + r.mixed["size"]
+        taken[r.source] = taken.get(r.source, 0) + r.mixed.copies * r.mixed["size"]
+    target = {r.source: r.mixed.target for r in out}
+    assert all(abs(taken[s] - target[s]) <= 3 for s in target) and len(out) == len(rows)
+
+
 # ------------------------------------------------------------------------------------------------ 3
 def dedup(rows):
     first, lines = {}, {}
@@ -151,6 +166,20 @@ def test_line_dedup_equals_brute_force(spark, empty):
     assert twice.count() == 2 * len(rows)
 
 
+def test_line_dedup_of_long_texts_and_null_ids(spark):
+    """A text of 30,000 lines, all of them removed but the first ones, takes no longer than its lines."""
+    import time
+
+    long_ = "\n".join(f"line {i % 7}" for i in range(30_000))
+    rows = [(1, long_), (None, long_), (None, "a\nb\nc\nd"), (0, "a\nb\nc"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    began = time.time()
+    got = sorted(((r.doc_id is None, r.deduped.n_lines, r.deduped.text) for r in linedup.dedup_lines(df).collect()), key=str)
+    assert time.time() - began < 60
+    first = "\n".join(f"line {i}" for i in range(7))
+    assert got == sorted([(False, 30_000, first), (True, 30_000, ""), (True, 4, "d"), (False, 3, "a\nb\nc"), (True, 0, None)], key=str)
+
+
 # ------------------------------------------------------------------------------------------------ 4
 def test_trees_learn_and_score_alike():
     rng = np.random.default_rng(0)
@@ -305,23 +334,66 @@ def fingerprint_of(text):
     return f"{3 << k}:{parts[0]}:{parts[1]}"
 
 
-def test_fingerprints_equal_brute_force(spark, docs, empty):
-    rows = sorted(((r[0], r[1] or "") for r in H.documents()), reverse=True)
-    got = {r.doc_id: r for r in fingerprint.fingerprint(clashing(docs)).collect()}
-    assert len(got) == len(rows)
-    for i, (k, text) in enumerate(rows):
-        after = rows[(i + 1) % len(rows)][1]
-        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
-        assert got[k].n_chars == len(text) and got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        if len(text) < 3000:
-            assert (got[k].fingerprint, got[k].edited_fingerprint) == (fingerprint_of(text), fingerprint_of(edited))
-        assert 0 <= got[k].near_edited <= 1 and 0 <= got[k].near_next <= 1
-        if edited == text:
-            assert got[k].near_edited == 1
+def likeness_of(x, y):
+    """By the edit distance of the signatures at equal or neighbouring block sizes, if they share a run of four."""
+    (bx, *sx), (by, *sy) = x.split(":"), y.split(":")
+
+    def alike(a, b):
+        if not a and not b:
+            return 1.0
+        run = min(4, len(a), len(b))
+        if not run or not {a[i : i + run] for i in range(len(a) - run + 1)} & {b[i : i + run] for i in range(len(b) - run + 1)}:
+            return 0.0
+        best = [0] * (len(b) + 1)
+        for c in a:
+            last, best = best, [0]
+            for j, d in enumerate(b):
+                best.append(last[j] + 1 if c == d else max(best[-1], last[j + 1]))
+        return 2 * best[-1] / (len(a) + len(b))
+
+    bx, by = int(bx), int(by)
+    pairs = list(zip(sx, sy, strict=True)) if bx == by else [(sx[0], sy[1])] if bx == 2 * by else [(sx[1], sy[0])] if by == 2 * bx else []
+    return round(max((alike(a, b) for a, b in pairs), default=0.0), 6)
+
+
+def check_fingerprints(rows, ordered):
+    """``rows``: (id, text, struct); ``ordered``: (id, text) in the order of succession, ties in any order."""
+    after = {}
+    for i, (k, text) in enumerate(ordered):
+        after.setdefault((k, text), set()).add(ordered[(i + 1) % len(ordered)][1])
+    for k, text, got in rows:
+        edits = {t: text[: len(text) - len(text) // 2] + t[: len(text) // 2] for t in after[k, text]}
+        nxt = [t for t, e in edits.items() if hashlib.sha256(e.encode()).hexdigest() == got.edited_sha256]
+        assert got.n_chars == len(text) and nxt and got.fingerprint == fingerprint_of(text)
+        assert any((got.edited_fingerprint, got.near_edited, got.near_next) == (fingerprint_of(edits[t]), likeness_of(fingerprint_of(text), fingerprint_of(edits[t])), likeness_of(fingerprint_of(text), fingerprint_of(t))) for t in nxt)
+
+
+def test_fingerprints_equal_brute_force(spark, docs, empty, monkeypatch):
+    ordered = sorted(((r[0], r[1] or "") for r in H.documents()), reverse=True)
+    clash = clashing(docs).withColumn("printed", F.lit("clash"))
+    out = fingerprint.fingerprint(clash)
+    assert out.columns == [*clash.columns, "printed_"]
+    rows = out.collect()
+    assert len(rows) == len(ordered)
+    check_fingerprints([(r.doc_id, r.text or "", r.printed_) for r in rows], ordered)
     assert fingerprint.fingerprint(empty).count() == 0
     assert fingerprint.fingerprint(docs.where("doc_id = 8")).count() == 1
-    nulls = docs.select(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("doc_id"), "text")
-    assert fingerprint.fingerprint(nulls.unionByName(nulls)).count() == 2 * docs.count()
+    with pytest.raises(TypeError):
+        fingerprint.fingerprint(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark, monkeypatch):
+    """Null ids and one id hold most rows; they are split into ranges, and every row still meets its successor."""
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 600)
+    rng = random.Random(6)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, H.prose(rng, rng.randint(1, 12))) for i in range(150)] + [(7, "the same")] * 60 + [(None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    ordered = sorted(((k, t or "", hashes[t]) for k, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
+    out = fingerprint.fingerprint(df)
+    got = out.collect()
+    assert len(got) == len(rows) and out.rdd.getNumPartitions() > 8
+    check_fingerprints([(r.doc_id, r.text or "", r.printed) for r in got], [(k, t) for k, t, _ in ordered])
 
 
 # ------------------------------------------------------------------------------------------------ 8
@@ -372,6 +444,26 @@ def test_chat_folds_events(spark):
     assert chat.render(chat.fold_events(events.where("false"))).count() == 0
 
 
+def test_chat_fold_keeps_roles_and_counts_events_once(spark):
+    rows = [
+        (1, 1, "a", "message", "assistant", "draft"), (1, 2, "a", "edit", None, "final"), (1, 3, "b", "message", "assistant", "x"), (1, 4, "b", "regenerate", None, ""), (1, 5, "b", "delta", None, "y"),
+        (1, 6, "c", "message", "user", "twice"), (1, 6, "c", "message", "user", "twice"), (1, 7, "c", "delta", None, "!"), (1, 7, "c", "delta", None, "!"), (1, 8, "d", "delta", None, "q"), (1, 8, "d", "edit", "user", "e"),
+        (1, 9, "e", "edit", "user", "1"), (1, 9, "e", "message", "user", "2"), (None, 1, "n", "message", None, None), (1, 8, "f", "delta", None, "lost role"),
+    ]
+    events = spark.createDataFrame(rows, "conv_id bigint, seq bigint, message_id string, kind string, role string, text string").repartition(3)
+    clash = events.select("*", *[F.lit("clash").alias(c) for c in ("at", "base", "deltas", "turns", "formatted", "loss", "n", "before", "head", "body", "span", "turn")])
+    out = chat.render(chat.fold_events(clash)).withColumn("said", chat.parse(F.col("formatted")))
+    got = {r.conv_id: r for r in out.collect()}
+    assert [(t.role, t.text) for t in got[1].said] == [("assistant", "final"), ("assistant", "y"), ("user", "twice!!"), ("", "lost role"), ("user", "e"), ("user", "2")]
+    assert [got[1].formatted[s.first : s.first + s.length] for s in got[1].loss] == ["final", "y"]
+    assert [(t.role, t.text) for t in got[None].said] == [("", "")] and got[None].loss == []
+
+
+def test_chat_query_goes_through_the_fold(spark):
+    plan = entry_queries.QUERIES["op9_chat"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regenerate" in plan and "deltas" in plan and "message_id" in plan
+
+
 # ------------------------------------------------------------------------------------------------ 10
 def test_language_on_held_out_rows(spark):
     rows = entry_queries.QUERIES["op10_language"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
