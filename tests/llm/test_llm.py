@@ -246,6 +246,38 @@ def test_html_text_of_pages_wrapped_in_a_form():
         assert htmltext.main_text(f"<body><div>{prose}</div><{wrap}><aside><article>teaser</article></aside><p>Write to us</p>{end}</body>") == want
 
 
+def test_html_text_density_decides():
+    prose = [f"Sentence number {i} of the text says something, at some length." for i in range(40)]
+    body = "".join(f"<p>{x}</p>" for x in prose)
+    want = "\n".join(prose)
+    menu = "<ul class=menu>" + "".join(f"<li><a href=/{i}>topic {i}</a>" for i in range(30)) + "</ul>"
+    for hint in ("widget-content", "social", "notice", "page-with-sidebar", "share post"):  # words around most of the text
+        assert htmltext.main_text(f"<body>{menu}<div class='{hint}'>{body}</div><div><p>short</p></div></body>").startswith(want)
+    comments = "".join(f"<p>I think {x}</p>" for x in prose)
+    assert htmltext.main_text(f"<body>{menu}<div>{body}</div><div id=comments>{comments}</div><div class='cookie-notice'><p>We use cookies</p></div></body>") == want
+    assert htmltext.main_text(f"<body>{menu}<div>{body}</div><div class=sidebar><p>About us, a short text</p></div>") == want
+    assert htmltext.main_text(f"<body>{menu}<div><h1>Head</h1>{body}<ul><li>one</li><li>two</li></ul><h3>More</h3></div><table class=nav><tr><td><a href=x>next</a></table>") == f"Head\n{want}\none\ntwo\nMore"
+    assert htmltext.main_text("<p>Einstein wrote <math><mi>E</mi></math> today.") == "Einstein wrote E today."
+
+
+def test_html_text_takes_time_by_length():
+    import time
+
+    for page in ("<div>" * 50_000 + "deep" + "</p>" * 50_000, "<p><b>" * 50_000 + "deep", "<li>" * 50_000 + "deep", "<b>" * 25_000 + "</i>" * 25_000 + "deep", '<a ">x' * 30_001 + "deep", "<td>" * 30_000 + "</li>" * 30_000 + "deep"):
+        began = time.time()
+        assert htmltext.main_text(page).endswith("deep")
+        assert time.time() - began < 3  # about a second on an idle machine
+
+
+def test_html_text_columns_and_long_pages(spark):
+    long_ = "<article>" + "".join(f"<p>Paragraph {i} of a long page.</p>" for i in range(20_000)) + "</article>"
+    pages = spark.createDataFrame([(1, None, long_), (None, "u", "<p>a"), (None, "u", "<p>a")], "page_id bigint, url string, html string")
+    clash = pages.select("*", *[F.lit("clash").alias(c) for c in ("article", "article_", "text", "n_chars")])
+    out, name = htmltext.extract(clash)
+    assert name == "article__" and out.columns == [*clash.columns, name]
+    assert sorted(len(r[name].text.split("\n")) for r in out.collect()) == [1, 1, 20_000]
+
+
 def test_html_text_of_given_pages(spark):
     import re
 

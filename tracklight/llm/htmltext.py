@@ -1,15 +1,18 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree with the few implied end tags that real pages rely on.  Menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts and styles are taken out by tag, role, or a word of their class or id; a form
-that wraps the page's article or most of its text stays without its controls.  For
-every remaining node the link-adjusted characters per tag are computed (Sun, Song, Liao 2011), each node sums its
-children's densities, and the subtree with the largest sum is the core.  The smallest density on the path from the
-body to the core is the threshold: every other part of the page that reaches it gives its own largest-sum subtree.
-A core inside an ``article`` or ``main`` element grows to that element.
+A page becomes a tree with the few implied end tags that real pages rely on.  Elements and roles that are never a part of
+an article (menus, footers, sidebars, notices, forms, scripts, styles) are taken out; a form that wraps the page's
+article or most of its text stays without its controls.  Words of a class or id are evidence only: an element that they
+speak against goes unless its text outweighs that of the rest of the page by the weight of the words, or an article
+lies in it.  For every remaining node the link-adjusted characters per tag are computed (Sun, Song, Liao 2011), each
+node sums its children's densities, and the subtree with the largest sum is the core.  The smallest density on the path
+from the body to the core is the threshold: every other part of the page that reaches it gives its own largest-sum
+subtree, and blocks of text beside the path stay.  An ``article`` or ``main`` element around the core is taken whole if
+it is at least as dense as the body.
 
 Defined results: a null or empty page gives an empty text; pages cut off in the middle, stray end tags, unclosed
-elements and quotes are read to their end; a "<" that begins no tag is text, or a comment if it is "</"; repeated pages give equal texts; an empty table gives no rows.
+elements and quotes are read to their end; a "<" that begins no tag is text, or a comment if it is "</";
+after ``STRICT`` tags whose quotes never close, quotes count for nothing; repeated pages give equal texts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,19 +35,28 @@ BLOCK = frozenset(
 #: Elements that an opening tag closes, looked for up to a boundary.
 CLOSES = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 #: Never part of an article.
-DROP_TAGS = frozenset("aside audio button canvas dialog footer head iframe math menu nav noscript object script select style svg template textarea title video".split())
+DROP_TAGS = frozenset("aside audio button canvas dialog footer head iframe menu nav noscript object script select style svg template textarea title video".split())
 DROP_ROLES = frozenset("alert alertdialog banner complementary contentinfo menu menubar navigation".split())
 #: Dropped as well, unless they wrap the page's article or most of its text; then only their labels (and controls) are.
 WRAP_TAGS = frozenset(["form"])
 WRAP_ROLES = frozenset("dialog form search".split())
-DROP_WORDS = frozenset(
-    "ad ads adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus foot footer gdpr legal login "
-    "masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion related replies reply respond share sharing sidebar signup social sponsor sponsored "
-    "subscribe subscription teaser toolbar widget widgets".split()
+# Words of a class or id that speak against an element, by weight: how many times the text of the rest of the
+# page its own must have for it to stay.  The heavy ones name what is never an article; the light ones often are layout.
+HEAVY, LIGHT = 4.0, 1.0
+HEAVY_WORDS = frozenset(
+    "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus foot footer gdpr masthead menu menus modal nav navbar navigation newsletter pagination popup "
+    "reply respond sidebar signup sponsor sponsored subscribe subscription toolbar".split()
 )
+LIGHT_WORDS = frozenset("alert copyright disclaimer legal login notice notices notification overlay pager promo promotion related replies share sharing social teaser widget widgets".split())
 #: Dropped outside an article, where they are the page's own.
 PAGE_HEADERS = frozenset(["header"])
 
+#: Tags that may fail to close their quotes before quotes are no longer looked at.
+STRICT = 100
+#: Blocks of text that stay beside the core unless a third of them is links.
+BESIDE = frozenset("p blockquote pre ul ol dl table figure details".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAME = re.compile(r"</?[a-zA-Z]")
@@ -53,36 +65,42 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "never", "hinted", "wraps", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "never", "against", "wraps", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, never: bool = False, hinted: bool = False, wraps: bool = False):
-        self.tag, self.parent, self.items, self.never, self.hinted, self.wraps, self.drop = tag, parent, [], never, hinted, wraps, False
+    def __init__(self, tag: str, parent: Node | None, never: bool = False, against: float = 0.0, wraps: bool = False):
+        self.tag, self.parent, self.items, self.never, self.against, self.wraps, self.drop = tag, parent, [], never, against, wraps, False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
-    """Is the element never a part of an article (by element or role); do words of its class or id say so; is it a form or the like?"""
+def unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, float, bool]:
+    """Is the element never a part of an article (by element or role); the weight of what its class and id say against
+    it (0: nothing); is it a form or the like?"""
     if tag in DROP_TAGS or (tag in PAGE_HEADERS and not in_article):
-        return True, False, False
-    hinted, wraps = False, tag in WRAP_TAGS
+        return True, 0.0, False
+    against, wraps = 0.0, tag in WRAP_TAGS
     for m in _ATTR.finditer(attributes) if attributes and tag not in ("html", "body") else ():
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "role":
             role = value.strip().lower()
             if role in DROP_ROLES:
-                return True, False, False
+                return True, 0.0, False
             wraps |= role in WRAP_ROLES
         else:
             words = {w.lower() for w in _WORD.findall(value)}
-            hinted |= bool(words & DROP_WORDS) or (not in_article and "header" in words)
-    return False, hinted, wraps
+            if words & HEAVY_WORDS or (not in_article and "header" in words):
+                against = HEAVY
+            elif words & LIGHT_WORDS:
+                against = max(against, LIGHT)
+    return False, against, wraps
 
 
 def settle(root: Node, hints: bool) -> None:
-    """Sets ``drop``: what never belongs, and what is hinted at unless an article (itself not hinted at) lies in it.
+    """Sets ``drop``: what never belongs, and what has evidence against it that its text does not outweigh, unless an
+    article (itself without such evidence) lies in it.
 
-    A form (or a role like it) goes too, unless such an article or most of the page's text lies in it; then its labels go.
+    Text counts without links, and without what never belongs.  A form (or a role like it) goes too, unless such an
+    article or most of the page's text lies in it; then its labels go.
     """
     order, todo, core, held, inside, text = [], [root], set(), set(), set(), {}
     while todo:
@@ -91,13 +109,8 @@ def settle(root: Node, hints: bool) -> None:
         if node.wraps or (node.parent is not None and id(node.parent) in inside):
             inside.add(id(node))
         todo.extend(x for x in node.items if isinstance(x, Node))
-
-    def by_itself(node: Node) -> bool:
-        by_hint = hints and node.hinted and id(node) not in core and node.tag not in ("article", "main")
-        return node.never or by_hint or (node.tag == "label" and id(node) in inside and id(node) not in core)
-
     for node in reversed(order):
-        article = node.tag in ("article", "main") and not node.hinted and not node.never
+        article = node.tag in ("article", "main") and not node.against and not node.never
         if id(node) in core or article:
             core.add(id(node))
             if node.parent is not None:
@@ -106,21 +119,44 @@ def settle(root: Node, hints: bool) -> None:
             held.add(id(node))
             if node.parent is not None:
                 held.add(id(node.parent))
-        if inside:
-            text[id(node)] = 0 if by_itself(node) else sum(text[id(x)] if isinstance(x, Node) else sum(map(len, x.split())) for x in node.items)
+        lost = node.never or node.tag == "a" or (node.tag == "label" and id(node) in inside and id(node) not in core)
+        text[id(node)] = 0 if lost else sum(text[id(x)] if isinstance(x, Node) else sum(map(len, x.split())) for x in node.items)
+    whole = text[id(root)]
     for node in order:
-        by_form = node.wraps and id(node) not in held and 2 * text[id(node)] <= text[id(root)]
-        node.drop = by_itself(node) or by_form or (node.parent is not None and node.parent.drop)
+        own = text[id(node)]
+        by_hint = hints and node.against and id(node) not in core and own <= node.against * (whole - own)
+        by_form = node.wraps and id(node) not in held and 2 * own <= whole
+        label = node.tag == "label" and id(node) in inside and id(node) not in core
+        node.drop = node.never or bool(by_hint) or label or by_form or (node.parent is not None and node.parent.drop)
 
 
 def parse(page: str) -> Node:
     """The page's tree; texts are strings in ``items``, with character references decoded."""
     root = Node("html", None)
-    stack, at, n, articles, last = [root], 0, len(page), 0, page.rfind(">")
+    stack, at, n, articles, last, loose = [root], 0, len(page), 0, page.rfind(">"), 0
+    # where elements of each name, and blocks, are open: a tag looks no further than the nearest
+    opened: dict[str, list[int]] = {}
+    blocks_: list[int] = []
+
+    def nearest(tags: tuple[str, ...]) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
+    def push(node: Node) -> None:
+        nonlocal articles
+        opened.setdefault(node.tag, []).append(len(stack))
+        if node.tag in BLOCK:
+            blocks_.append(len(stack))
+        stack.append(node)
+        articles += node.tag in ("article", "main")
 
-    def pop() -> None:
+    def close(k: int) -> None:
         nonlocal articles
-        articles -= stack.pop().tag in ("article", "main")
+        while len(stack) > k:
+            tag = stack.pop().tag
+            opened[tag].pop()
+            if tag in BLOCK:
+                blocks_.pop()
+            articles -= tag in ("article", "main")
 
     while at < n:
         lt = page.find("<", at)
@@ -138,7 +174,10 @@ def parse(page: str) -> Node:
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
             continue
-        m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
+        m = _TAG.match(page, lt) if loose < STRICT else None
+        if not m:
+            m = _LOOSE.match(page, lt)
+            loose += m is not None
         if not m:
             if _NAME.match(page, lt):
                 break  # a tag that the page's end cuts off
@@ -150,44 +189,34 @@ def parse(page: str) -> Node:
             continue
         at, tag = m.end(), m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    while len(stack) > k:
-                        pop()
-                    break
-                if tag not in BLOCK and stack[k].tag in BLOCK:
-                    break
+            k = nearest((tag,))
+            if k and (tag in BLOCK or not blocks_ or blocks_[-1] < k):
+                close(k)
             continue
         if tag in ("html", "body"):
             continue  # both are the root: the head is an element that is dropped
-        if tag in BLOCK and any(x.tag == "p" for x in stack[1:]):
-            k = max(i for i, x in enumerate(stack) if x.tag == "p")
-            if not any(x.tag in BLOCK for x in stack[k + 1 :]):
-                while len(stack) > k:
-                    pop()
+        if tag in BLOCK:
+            k = nearest(("p",))
+            if k and blocks_[-1] == k:
+                close(k)
         if tag in CLOSES:
             names, bounds = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in bounds:
-                    break
-                if stack[k].tag in names.split():
-                    while len(stack) > k:
-                        pop()
-                    break
+            k = nearest(tuple(names.split()))
+            if k > nearest(bounds):
+                close(k)
         if stack[-1].tag == "head" and tag not in ("meta", "link", "base", "title", "style", "script", "noscript", "template"):
-            pop()  # the body begins
+            close(len(stack) - 1)  # the body begins
         node = Node(tag, stack[-1], *unwanted(tag, m[3], articles > 0))
         stack[-1].items.append(node)
         if tag in VOID:
             continue
         if tag in RAW and not m[3].rstrip().endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            node.items.append(page[at : close.start()] if close else page[at:])
-            at = close.end() if close else n
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+            node.items.append(page[at : end.start()] if end else page[at:])
+            at = end.end() if end else n
             continue
         if not (m[3].rstrip().endswith("/") and tag not in BLOCK):
-            stack.append(node)
-            articles += tag in ("article", "main")
+            push(node)
     return root
 
 
@@ -234,21 +263,25 @@ def select(root: Node, order: list[Node]) -> set[int]:
         return inside
 
     core = best(root)
-    node = core
-    while node is not None and node.tag not in ("article", "main"):
-        node = node.parent
-    if node is not None:
-        return {id(node)}
     path, node = [], core
     while node is not None:
         path.append(node)
         node = node.parent
+    for node in path:  # the nearest article around the core
+        if node.tag in ("article", "main"):
+            if node.density >= root.density:
+                return {id(node)}
+            break
     threshold, on_path = min(x.density for x in path), {id(x) for x in path}
     chosen = {id(core)}
     for step in path[1:]:
         for x in step.items:
-            if isinstance(x, Node) and not x.drop and id(x) not in on_path and x.chars and (x.density >= threshold or x.tag in ("h1", "h2", "p", "blockquote", "pre")):
-                chosen.add(id(best(x)) if x.density >= threshold and x.tag not in BLOCK - {"div", "section", "table", "ul", "ol"} else id(x))
+            if not isinstance(x, Node) or x.drop or id(x) in on_path or not x.chars:
+                continue
+            if x.density >= threshold:
+                chosen.add(id(x) if x.tag in BLOCK - {"div", "section", "table", "ul", "ol"} else id(best(x)))
+            elif x.tag in HEADINGS or (x.tag in BESIDE and 3 * x.link_chars <= x.chars):
+                chosen.add(id(x))
     return chosen
 
 
