@@ -300,7 +300,7 @@ def test_near_duplicates_equal_brute_force(spark, docs):
 
 
 def test_near_duplicates_in_a_large_group(spark):
-    """Many edits of one text: most are not close to the hub, and small blocks must still find every link."""
+    """Many edits of one text: most are not close to the hub, and every link must still be found."""
     rng = random.Random(9)
     base, rows = H.prose(rng, 60).split(" "), []
     for i in range(150):
@@ -309,13 +309,35 @@ def test_near_duplicates_in_a_large_group(spark):
             e[rng.randrange(len(e))] = H.prose(rng, 1)
         rows.append((i, " ".join(e)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    want, small = H.components({i: H.shingles(t) for i, t in rows}), neardup.BLOCK_ROWS
-    neardup.BLOCK_ROWS = 16
-    try:
-        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()}
-    finally:
-        neardup.BLOCK_ROWS = small
-    assert got == want
+    want = H.components({i: H.shingles(t) for i, t in rows})
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == want
+
+
+def test_open_pairs_are_complete_and_few(spark):
+    """Edits of few texts, short and long: all close pairs are among the candidates, with good and bad shingle counts;
+    a large group of texts that share four fifths of their words gives next to no pairs."""
+    rng = random.Random(12)
+    texts = []
+    for size in (7, 30, 90):
+        base = H.prose(rng, size).split(" ")
+        for _ in range(40):
+            e = base[: rng.randint(max(5, size - 6), size)]
+            for _ in range(rng.randint(0, 3)):
+                e[rng.randrange(len(e))] = H.prose(rng, 1)
+            texts.append(" ".join(e))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    groups = spark.range(len(rows)).select(F.lit(0).cast("bigint").alias("hub"), F.col("id").alias("rep"))
+    labels = spark.createDataFrame([], "id bigint, label bigint")
+    sets = [H.shingles(t) for t in texts]
+    close = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    for counters in (1 << 18, 4):
+        got = {(r.a, r.b) for r in neardup.open_pairs(groups, labels, df, counters).collect()}
+        assert close <= got and len(close) > 200
+    base = H.prose(rng, 160)
+    many = [(i, base + " " + H.prose(rng, 40)) for i in range(3000)]
+    groups = spark.range(len(many)).select(F.lit(0).cast("bigint").alias("hub"), F.col("id").alias("rep"))
+    assert neardup.open_pairs(groups, labels, spark.createDataFrame(many, "doc_id bigint, text string")).count() < 300
 
 
 def test_near_duplicates_edges(spark, docs, empty):
