@@ -299,8 +299,8 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(want.values())
 
 
-def test_near_duplicates_in_a_large_group(spark):
-    """Many edits of one text: most are not close to the hub, and every link must still be found."""
+def test_near_duplicates_in_a_large_group(spark, monkeypatch):
+    """Many edits of one text: most are not close to the hub, and small blocks must still find every link."""
     rng = random.Random(9)
     base, rows = H.prose(rng, 60).split(" "), []
     for i in range(150):
@@ -310,12 +310,13 @@ def test_near_duplicates_in_a_large_group(spark):
         rows.append((i, " ".join(e)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = H.components({i: H.shingles(t) for i, t in rows})
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 16)
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == want
 
 
-def test_open_pairs_are_complete_and_few(spark):
-    """Edits of few texts, short and long: all close pairs are among the candidates, with good and bad shingle counts;
-    a large group of texts that share four fifths of their words gives next to no pairs."""
+def test_close_members_are_complete_and_few(spark):
+    """Edits of few texts, short and long: both sides of all close pairs stay, with good and bad shingle counts; of a large
+    group of texts that share four fifths of their words next to none stay."""
     rng = random.Random(12)
     texts = []
     for size in (7, 30, 90):
@@ -325,19 +326,18 @@ def test_open_pairs_are_complete_and_few(spark):
             for _ in range(rng.randint(0, 3)):
                 e[rng.randrange(len(e))] = H.prose(rng, 1)
             texts.append(" ".join(e))
-    rows = list(enumerate(texts))
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    groups = spark.range(len(rows)).select(F.lit(0).cast("bigint").alias("hub"), F.col("id").alias("rep"))
-    labels = spark.createDataFrame([], "id bigint, label bigint")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     sets = [H.shingles(t) for t in texts]
-    close = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    # components by place: none holds two members of a pair that is looked for
+    label = [i % 3 if i < 60 else i for i in range(len(texts))]
+    members = spark.createDataFrame([(i, label[i], i % 2 == 1) for i in range(len(texts))], "rep bigint, label bigint, out boolean")
+    close = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and label[i] != label[j] and (i % 2 or j % 2)]
     for counters in (1 << 18, 4):
-        got = {(r.a, r.b) for r in neardup.open_pairs(groups, labels, df, counters).collect()}
-        assert close <= got and len(close) > 200
+        got = {r.rep for r in neardup.close_members(members, df, counters).collect()}
+        assert len(close) > 100 and {x for pair in close for x in pair} <= got
     base = H.prose(rng, 160)
-    many = [(i, base + " " + H.prose(rng, 40)) for i in range(3000)]
-    groups = spark.range(len(many)).select(F.lit(0).cast("bigint").alias("hub"), F.col("id").alias("rep"))
-    assert neardup.open_pairs(groups, labels, spark.createDataFrame(many, "doc_id bigint, text string")).count() < 300
+    many = spark.createDataFrame([(i, base + " " + H.prose(rng, 40)) for i in range(3000)], "doc_id bigint, text string")
+    assert neardup.close_members(spark.range(3000).select(F.col("id").alias("rep"), F.col("id").alias("label"), F.lit(True).alias("out")), many).count() < 150
 
 
 def test_near_duplicates_edges(spark, docs, empty):

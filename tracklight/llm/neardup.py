@@ -14,11 +14,13 @@ random registers; generation stops where no register of the set can change any m
 4. What remains is confirmed on the full sets, computed from the whole texts of both sides.
 5. Components by minimum-label propagation with pointer jumping; every step is a table in the shared folder.
 6. Buckets of one hub form a group.  Groups whose members are then in one component are done.  In the others, pairs of
-   different components are still open, and are searched for exactly and without a cap: every member's shingles are
-   put in one order, rare ones first, and two sets that reach the threshold share a shingle among the first 15 in a hundred of
-   the larger and the first 8 in a hundred of the smaller one.  Only members that meet in such a shingle become pairs,
-   which go through likelihood and verification like any other.  So a group of texts that share less than the
-   threshold, however large, costs as much as its members, not its pairs.
+   different components are still open, and are searched for exactly and without a cap.  First every member's shingles are
+   put in one order, rare ones first: two sets that reach the threshold share a shingle among the first 15 in a hundred of
+   the larger and the first 8 in a hundred of the smaller one.  Members that meet no other component in such a shingle
+   are done, at a cost that grows with the members alone, however large their group.  The rest, which differ from others by
+   little more or less than the threshold (more than registers can tell), are compared exactly: the group is cut into
+   blocks of bounded size, and a task gets two blocks, counts all common shingles by one product of two incidence
+   matrices, and returns no more links than connect them.
 
 Defined results: null, empty and wordless texts have an empty set, linked with nothing; texts of fewer than five
 words are one shingle; a null ``doc_id`` is linked with nothing and has a null component; repeated rows get the same
@@ -45,6 +47,10 @@ THRESHOLD = 85
 SURE = 18.0
 #: Tables of at most so many ids may be broadcast; beyond it the same join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Members and text bytes of a block of a group.
+BLOCK_ROWS, BLOCK_BYTES = 256, 1 << 20
+#: Shared shingles that one step of the incidence product covers.
+BLOCK_COLUMNS = 16_384
 #: Counters of the table that tells rare shingles from frequent ones (any table gives an order, so its size bears on cost
 #: alone, not on what is found).
 COUNTERS = 1 << 18
@@ -229,25 +235,88 @@ def prefixes(counts: np.ndarray, texts: pa.Array) -> dict[str, list]:
     return {"shingles": [members[a : a + k] for a, k in zip(begin.tolist(), np.where(some, probe, 0).tolist(), strict=True)], "n_index": np.where(some, index, 0), "n": n}
 
 
-def open_pairs(groups: DataFrame, labels: DataFrame, docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """Pairs (a, b) across components within the groups (hub, rep) that may reach the threshold, none missed."""
-    named = spool(groups.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("hub", "rep", F.coalesce("label", "rep").alias("label")), "named")
-    own = named.where("hub = rep").select("hub", F.col("label").alias("hub_label"))
-    marked = spool(named.join(own.hint("merge"), "hub").select("hub", "rep", "label", (F.col("label") != F.col("hub_label")).alias("out")), "marked")
-    still_open = spool(marked.where("out").select("hub").distinct(), "open")
-    members = spool(marked.join(still_open.hint("merge"), "hub").groupBy("rep").agg(F.first("label").alias("label"), F.max("out").alias("out")), "members")
-    texts = spool(semi(docs.select("doc_id", "text"), members.select(F.col("rep").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"]), "texts")
-    shared = docs.sparkSession.sparkContext.broadcast(count_shingles(texts, counters))
+def close_members(members: DataFrame, texts: DataFrame, counters: int = COUNTERS) -> DataFrame:
+    """The members (rep, label, out) that share a leading shingle with one of another component, one of both being out:
+    every pair across components that reaches the threshold is among them.  ``texts``: doc_id, text of the members."""
+    shared = texts.sparkSession.sparkContext.broadcast(count_shingles(texts, counters))
     cut = annotate(texts, ["text"], "shingles array<bigint>, n_index bigint, n bigint", lambda _, t: prefixes(shared.value, t), "p", keep=["doc_id"])
-    first = cut.select(F.col("doc_id").alias("rep"), F.posexplode("p.shingles").alias("pos", "key"), F.col("p.n").alias("n"), F.col("p.n_index").alias("n_index"))
-    rows = spool(first.join(members.hint("merge"), "rep").select("key", "rep", "label", "out", "n", (F.col("pos") < F.col("n_index")).alias("short")), "prefixes")
-    side = lambda test, x: rows.where(test).select("key", F.col("rep").alias(f"rep{x}"), F.col("label").alias(f"label{x}"), F.col("n").alias(f"n{x}"))
-    pairs = None
-    for small, large in (("short and out", "true"), ("short and not out", "out")):
-        met = side(small, 1).join(side(large, 2).hint("merge"), "key").where((F.col("n1") <= F.col("n2")) & (100 * F.col("n1") >= THRESHOLD * F.col("n2")) & (F.col("label1") != F.col("label2")))
-        part = met.select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b"))
-        pairs = part if pairs is None else pairs.unionByName(part)
-    return spool(spool(pairs, "met").distinct(), "open_pairs")  # written first, so that a hot shingle can be split
+    first = cut.select(F.col("doc_id").alias("rep"), F.posexplode("p.shingles").alias("pos", "key"), F.col("p.n_index").alias("n_index"))
+    rows = spool(first.join(members.hint("merge"), "rep").select("key", "rep", "label", "out", (F.col("pos") < F.col("n_index")).alias("short")), "prefixes")
+    keys = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("short").alias("short"), F.max("out").alias("out")).where("least < most and short and out").select("key")
+    met = rows.join(spool(keys, "keys").hint("merge"), "key", "left_semi")
+    return members.join(met.select("rep").distinct().hint("merge"), "rep", "left_semi")
+
+
+def block_links(_, ids_a: pa.Array, ids_b: pa.Array, labels_a: pa.Array, labels_b: pa.Array, texts_a: pa.Array, texts_b: pa.Array) -> dict[str, list]:
+    """Links between members of two blocks that are in different components: a spanning forest of them."""
+    out = []
+    for row in range(len(ids_a)):
+        ids = np.array(ids_a[row].as_py() + ids_b[row].as_py())
+        labels = np.array(labels_a[row].as_py() + labels_b[row].as_py())
+        texts = pa.concat_arrays([texts_a[row].values, texts_b[row].values])
+        members, counts = shingle_sets(texts)
+        p, owner = len(ids_a[row]), np.repeat(np.arange(len(ids)), counts)
+        values, where, often = np.unique(members, return_inverse=True, return_counts=True)
+        column = np.cumsum(often > 1) - 1  # only shared shingles matter
+        shared = often[where] > 1
+        owner, where = owner[shared], column[where[shared]]
+        common = np.zeros((p, len(ids) - p), np.float32)
+        for lo in range(0, int((often > 1).sum()), BLOCK_COLUMNS):
+            now = (where >= lo) & (where < lo + BLOCK_COLUMNS)
+            has = np.zeros((len(ids), BLOCK_COLUMNS), np.float32)
+            has[owner[now], where[now] - lo] = 1
+            common += has[:p] @ has[p:].T
+        union = counts[:p, None] + counts[None, p:] - common
+        linked = (100 * common >= THRESHOLD * union) & (labels[:p, None] != labels[None, p:])
+        root = {x: x for x in labels.tolist()}
+
+        def find(x: int, root: dict = root) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        found = []
+        for i, j in np.argwhere(linked).tolist():
+            a, b = find(int(labels[i])), find(int(labels[p + j]))
+            if a != b:
+                root[a] = b
+                found.append({"a": int(ids[i]), "b": int(ids[p + j])})
+        out.append(found)
+    return {"links": out}
+
+
+def group_links(groups: DataFrame, labels: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) across components within each group (hub, rep): none is missed, and pairs are compared block by block."""
+    named = groups.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("hub", "rep", F.coalesce("label", "rep").alias("label"))
+    named = spool(named.join(sets.select(F.col("doc_id").alias("rep"), "bytes").hint("merge"), "rep"), "named")
+    own = named.where("hub = rep").select("hub", F.col("label").alias("hub_label"))
+    marked = spool(named.join(own.hint("merge"), "hub").withColumn("main", F.col("label") == F.col("hub_label")), "marked")
+    open_hubs = spool(marked.where("not main").select("hub").distinct(), "open")
+    marked = spool(marked.join(open_hubs.hint("merge"), "hub"), "marked")
+    members = spool(marked.groupBy("rep").agg(F.first("label").alias("label"), F.max(~F.col("main")).alias("out")), "members")
+    texts = semi(docs.select("doc_id", "text"), members.select(F.col("rep").alias("doc_id")), "doc_id")
+    close = spool(close_members(members, texts).select("rep"), "close")
+    marked = spool(marked.join(close.hint("merge"), "rep", "left_semi"), "marked")
+    part = lambda main, what: F.sum(F.when(F.col("main") == main, what).otherwise(0))
+    blocks = lambda main: F.ceil(F.greatest(part(main, F.lit(1)) / BLOCK_ROWS, part(main, F.col("bytes")) / BLOCK_BYTES)).cast("int")
+    open_ = marked.groupBy("hub").agg(blocks(True).alias("n_main"), blocks(False).alias("n_out"), F.count("*").alias("many")).where("n_out > 0 and many > 1")
+    open_ = spool(open_, "groups")  # a table, so that the join below has no aggregate in its stage and a hot group can be split
+    at = marked.select("hub", "rep", "label", "main").join(open_.drop("many").hint("merge"), "hub")
+    at = spool(at.withColumn("block", F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.when(F.col("main"), F.col("n_main")).otherwise(F.col("n_out"))))), "open")
+    texts = semi(docs.select("doc_id", "text"), at.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").withColumnRenamed("doc_id", "rep")
+    full = at.join(texts.hint("merge"), "rep").groupBy("hub", "main", "block").agg(F.first("n_main").alias("n_main"), F.first("n_out").alias("n_out"), F.collect_list(F.struct("rep", "label", "text")).alias("m"))
+    full = spool(full, "blocks")
+    none = F.array().cast("array<struct<main:boolean,block:bigint>>")
+    targets = F.concat(
+        F.when(F.col("n_main") > 0, F.transform(F.sequence(F.lit(0), F.col("n_main") - 1), lambda j: F.struct(F.lit(True).alias("main"), j.cast("bigint").alias("block")))).otherwise(none),
+        F.transform(F.sequence(F.col("block").cast("int"), F.col("n_out") - 1), lambda j: F.struct(F.lit(False).alias("main"), j.cast("bigint").alias("block"))),
+    )
+    left = full.where("not main").select("hub", F.explode(targets).alias("t"), F.col("m").alias("ma")).select("hub", "t.*", "ma")
+    met = left.join(full.select("hub", "main", "block", F.col("m").alias("mb")).hint("merge"), ["hub", "main", "block"])
+    sides = met.select("ma.rep", "mb.rep", "ma.label", "mb.label", "ma.text", "mb.text").toDF("ia", "ib", "la", "lb", "ta", "tb")
+    found = annotate(sides, ["ia", "ib", "la", "lb", "ta", "tb"], "links array<struct<a:bigint,b:bigint>>", block_links, "f", keep=[])
+    return found.select(F.explode("f.links").alias("l")).select("l.*").distinct()
 
 
 def link(docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -257,7 +326,7 @@ def link(docs: DataFrame, sets: DataFrame) -> DataFrame:
     groups = spool(rows.join(shared.hint("merge"), "key").select("hub", "rep").distinct(), "groups")
     links = spool(verify(groups.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")), docs, sets), "links")
     labels = components(links)
-    more = spool(verify(open_pairs(groups, labels, docs), docs, sets), "links")
+    more = spool(group_links(groups, labels, docs, sets), "links")
     return labels if more.isEmpty() else components(links.unionByName(more))
 
 
