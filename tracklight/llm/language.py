@@ -44,11 +44,10 @@ def letters() -> np.ndarray:
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gram hashes of a slice of texts, the row of each, and whether each row has a letter."""
     rows = ["" if t is None else t for t in texts.to_pylist()]
-    # a line feed is no letter, so no gram crosses two texts
+    # a line feed is no letter, so no gram crosses two texts; the one before the first text bounds its first word
     lowered = [t.lower() for t in rows]
     code = np.frombuffer(("\n" + "\n".join(lowered) + "\n").encode("utf-32-le", "replace"), np.uint32)
-    row = np.repeat(np.arange(len(rows)), [len(t) + 1 for t in lowered])  # with the line feed after it
-    code = code[1:]
+    row = np.append(0, np.repeat(np.arange(len(rows)), [len(t) + 1 for t in lowered]))  # with the line feed after it
     letter = letters()[code]
     keep = letter | np.append(True, letter[:-1])  # the first non-letter after a word bounds it
     code, row, letter = np.where(letter, code, 0)[keep].astype(np.uint64), row[keep], letter[keep]
