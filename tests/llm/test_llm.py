@@ -209,6 +209,57 @@ def test_quality_edges(spark, docs, empty):
     assert quality.score_quality(empty, none)[0].count() == 0
 
 
+def plain_statistics(text):
+    """The statistics of one text, by loops."""
+    raw = (text or "").encode()
+    kind = {}
+    for name, of in (
+        ("lower", range(97, 123)), ("upper", range(65, 91)), ("digit", range(48, 58)), ("blank", b" \t"), ("newline", b"\n\r"), ("stop", b"."), ("comma", b",;:"), ("bang", b"!?"), ("bar", b"|"),
+        ("symbol", b"#$%&*+/<=>@\\^_`{}~[]"), ("quote", b"\"'()-"), ("lead", range(192, 256)), ("tail", range(128, 192)),
+    ):
+        kind |= dict.fromkeys(of, name)
+    counts = dict.fromkeys(quality.CLASSES, 0)
+    for b in raw:
+        counts[kind.get(b, "other")] += 1
+    chars = len(raw) - counts["tail"]
+    ratio = lambda a, b: a / max(b, 1)
+    words = [w.encode() for w in H.NONSPACE.findall(text or "")]
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    sizes, n = [len(w) for w in words], len(words)
+    mean = ratio(sum(sizes), n)
+    spread = max(0.0, ratio(sum(x * x for x in sizes), n) - mean**2) ** 0.5
+    often = lambda xs: max((xs.count(x) for x in set(xs)), default=0)
+    pairs = list(zip(low, low[1:], strict=False))
+    alpha = lambda w: sum(65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in w)
+    ups = lambda w: sum(65 <= c <= 90 for c in w)
+    lines = [x.encode() for x in (text or "").split("\n") if x]
+    return [
+        *[counts[c] / max(chars, 1) for c in quality.CLASSES], np.log1p(chars), np.log1p(n), mean, spread, max(sizes, default=0), ratio(len(set(low)), n), ratio(often(low), n), ratio(sum(a == b for a, b in pairs), n), ratio(len(set(pairs)), n - 1),
+        ratio(often(pairs), n - 1), ratio(sum(ups(w) >= 2 and 2 * ups(w) > alpha(w) for w in words), n), ratio(sum(alpha(w) == 0 for w in words), n), ratio(sum(len(w) - alpha(w) >= 2 for w in words), n), ratio(sum(len(w) == 1 for w in words), n),
+        len(lines), ratio(len(set(lines)), len(lines)), ratio(often(lines), len(lines)), ratio(sum(x.endswith(b".") for x in lines), len(lines)), ratio(sum(map(len, lines)), len(lines)), ratio(n, len(lines)),
+        len(set(low)) / max(n, 1) ** 0.5, ratio(counts["stop"], n), ratio(counts["upper"], n),
+    ]
+
+
+def test_statistics_and_scores_equal_brute_force(spark):
+    texts = [r[1] for r in H.documents()] + ["THE THE the. 12 !!\n\na|b <x> ÄÖ\n. ., aa aa aa aa\r\nx", "\n \n", "A" * 500, "é|" * 40]
+    got = quality.statistics(pa.array(texts, pa.string()))
+    for row, text in zip(got, texts, strict=True):
+        assert np.allclose(row, np.array(plain_statistics(text), np.float32), rtol=1e-5, atol=1e-6)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6)).astype(np.float32)
+    trees = quality.Trees(x, (x[:, 0] * x[:, 1] > 0).astype(float))
+    for row, score in zip(x[:50], trees.score(x[:50]), strict=True):
+        total = trees.base
+        for feature, split, leaf in zip(trees.feature, trees.split, trees.leaf, strict=True):
+            node = 0
+            for _ in range(quality.DEPTH):
+                bin_ = sum(bool(e < row[feature[node]]) for e in trees.edges[feature[node]])
+                node = 2 * node + (2 if bin_ > split[node] else 1)
+            total += leaf[node - (2**quality.DEPTH - 1)]
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-9
+
+
 # ------------------------------------------------------------------------------------------------ 5
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><nav><a href=x>menu</a></nav><div class="ad">buy this now, it is a very long advert with many words in it</div>
 <article><h1>Head &amp; more</h1><p>First <b>para</b> of
@@ -542,6 +593,53 @@ def test_filters_contain_what_was_put_in():
     assert all((int(masks[(i % 90) // 64, i]) >> ((i % 90) % 64)) & 1 for i in range(900)) and f.false.max() < 0.01
 
 
+def plain_grams(text):
+    """Runs of four letters of words bounded by one marker on each side."""
+    out, word = [], ""
+    for c in (text or "").lower() + "\n":
+        if c.isalpha():
+            word += c
+        elif word:
+            padded = "\0" + word + "\0"
+            out += [padded[i : i + 4] for i in range(len(padded) - 3)]
+            word = ""
+    return out
+
+
+def hash_of(gram):
+    h = np.uint64(0)
+    with np.errstate(over="ignore"):
+        for c in gram:
+            h = h * np.uint64(0x110003) + np.uint64(0 if c == "\0" else ord(c))
+    return int(language.mix64(np.array([h], np.uint64))[0])
+
+
+def test_grams_and_language_scores_equal_brute_force(spark):
+    texts = ["the cat sat on a mat, THE end", "Der Hund läuft über die Straße", "", None, "1 2 3", "a", "ab abc abcd x", "мир и война"]
+    hashes, row, has = language.grams(pa.array(texts, pa.string()))
+    for i, text in enumerate(texts):
+        assert sorted(hashes[row == i].tolist()) == sorted(hash_of(g) for g in plain_grams(text))
+        assert has[i] == any(c.isalpha() for c in text or "")
+    learned = {"en": texts[0], "de": texts[1]}
+    counted = []
+    for lang, text in learned.items():
+        g = plain_grams(text)
+        counted += [(lang, int(np.uint64(hash_of(x)).astype(np.int64)), g.count(x), 2 * len(g)) for x in sorted(set(g))]
+    model = language.Filters(counted)
+    own = {lang: set(plain_grams(text)) for lang, text in learned.items()}
+    tried = [texts[0] + " Hund", "Straße cat cat", "zzzz qqqq", "the die"]
+    got = model.predict(pa.array(tried))
+    for text, lang, score in zip(tried, got["lang"], got["score"], strict=True):
+        g, share = plain_grams(text), {}
+        for i, x in enumerate(model.langs):
+            p = float(model.false[i])
+            share[x] = min(1, max(0, (sum(y in own[x] for y in g) / len(g) - p) / (1 - p))) / float(model.coverage[i])
+        if max(share.values()) == 0:
+            assert score == 0
+            continue
+        assert lang == max(share, key=lambda x: share[x]) and abs(score - max(share.values()) / sum(share.values())) < 1e-5
+
+
 # ------------------------------------------------------------------------------------------------ all
 def test_queries_with_sql(spark):
     import duckdb
@@ -557,6 +655,54 @@ def test_queries_with_sql(spark):
         assert sorted(map(tuple, got.select(*names).collect()), key=str) == sorted(cur.fetchall(), key=str)
 
 
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """Null, empty, long, repeated and clashing rows through every stage, each held against what it should keep."""
+    import corpus_pipeline as cp
+
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    given = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows = given + [(5000 + r[0], *r[1:]) for r in H.documents()] + given[:3] + [(None, given[9][1], None, None, None)] * 2
+    docs = spark.createDataFrame(rows, H.SCHEMA).select("*", *[F.lit("clash").alias(c) for c in ("rated", "score", "contamination", "mixed", "copies", "placed", "shard", "slot", "label", "kept", "again", "size")])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns = docs.columns
+    for k, (name, stage) in enumerate(cp.STAGES):
+        before = docs.collect()
+        rated, at = quality.score_quality(docs, spark.read.parquet(f"{SF}/labels.parquet")) if name == "quality" else (None, None)
+        good = sorted((str(r.doc_id), str(r.text)) for r in rated.where(F.col(f"{at}.score") >= quality.THRESHOLD).collect()) if rated is not None else None
+        docs = cp.spool(stage(spark, docs, str(tmp_path)), name)
+        after = docs.collect()
+        assert len(after) and (docs.columns[: len(columns)] == columns) and (k == len(cp.STAGES) - 1 or docs.columns == columns)
+        if name == "quality":
+            assert sorted((str(r.doc_id), str(r.text)) for r in after) == good and 0 < len(after) < len(before)
+        if name == "mixing":
+            times, size = {}, {}
+            for r in after:
+                times[r.doc_id, r.text] = times.get((r.doc_id, r.text), 0) + 1
+            had = {}
+            for r in before:
+                had[r.doc_id, r.text] = had.get((r.doc_id, r.text), 0) + 1
+                size[r.source] = size.get(r.source, 0) + len(H.NONSPACE.findall(r.text or ""))
+            assert all(k in had and v <= 3 * had[k] for k, v in times.items())
+            taken = {}
+            for r in after:
+                taken[r.source] = taken.get(r.source, 0) + len(H.NONSPACE.findall(r.text or ""))
+            wanted = {r.source: r.mixed_.target for r in mixing.mix(spark.createDataFrame(before, docs.schema)).collect()}
+            assert all(abs(taken.get(s, 0) - t) <= max(10, 0.05 * t) for s, t in wanted.items())
+        if name == "sharding":
+            shards = {}
+            for r in after:
+                shards.setdefault(r.shard_, []).append((r.slot_, len((r.text or "").encode()) + 1))
+            sizes = [sum(x for _, x in v) for v in shards.values()]
+            assert all(sorted(s for s, _ in v) == list(range(len(v))) for v in shards.values()) and sum(map(len, shards.values())) == len(before)
+            assert max(sizes) <= sum(sizes) / 8 + max(x for v in shards.values() for _, x in v)
+    empty = str(tmp_path / "none")
+    for t in ("documents", "benchmark", "labels"):
+        spark.read.parquet(str(tmp_path / f"{t}.parquet")).where("false").write.parquet(f"{empty}/{t}.parquet")
+    assert cp.run(spark, empty).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
