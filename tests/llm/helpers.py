@@ -46,7 +46,7 @@ def contamination(text, found):
     return len(w), len(hit), sorted(items)
 
 
-def components(sets):
+def components(sets, threshold=80):
     ids, parent = sorted(sets), {k: k for k in sets}
 
     def find(a):
@@ -57,7 +57,7 @@ def components(sets):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= threshold * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {k: find(k) for k in ids}

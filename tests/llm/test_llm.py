@@ -341,13 +341,17 @@ def test_html_text_of_given_pages(spark):
 # ------------------------------------------------------------------------------------------------ 6
 def test_near_duplicates_equal_brute_force(spark, docs):
     sets = {r[0]: H.shingles(r[1]) for r in H.documents()}
-    want = H.components(sets)
-    got = {r.doc_id: r for r in neardup.near_duplicates(clashing(docs)).collect()}
-    assert len(got) == len(sets)
-    for k in sets:
-        assert (got[k].n_shingles, got[k].component_id, got[k].kept) == (len(sets[k]), want[k], want[k] == k)
+    found = {}
+    for threshold in (85, 80):
+        want = H.components(sets, threshold)
+        got = {r.doc_id: r for r in neardup.near_duplicates(clashing(docs), threshold=threshold).collect()}
+        assert len(got) == len(sets)
+        for k in sets:
+            assert (got[k].n_shingles, got[k].component_id, got[k].kept) == (len(sets[k]), want[k], want[k] == k)
+        found[threshold] = set(want.values())
+    assert found[80] < found[85]
     kept = neardup.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(want.values())
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == found[80]
 
 
 def test_near_duplicates_in_a_large_group(spark, monkeypatch):
@@ -360,9 +364,10 @@ def test_near_duplicates_in_a_large_group(spark, monkeypatch):
             e[rng.randrange(len(e))] = H.prose(rng, 1)
         rows.append((i, " ".join(e)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    want = H.components({i: H.shingles(t) for i, t in rows})
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 16)
-    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == want
+    for threshold in (85, 80):
+        want = H.components({i: H.shingles(t) for i, t in rows}, threshold)
+        assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, threshold=threshold).collect()} == want
 
 
 def test_close_members_are_complete_and_few(spark):
@@ -384,11 +389,11 @@ def test_close_members_are_complete_and_few(spark):
     members = spark.createDataFrame([(i, label[i], i % 2 == 1) for i in range(len(texts))], "rep bigint, label bigint, out boolean")
     close = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and label[i] != label[j] and (i % 2 or j % 2)]
     for counters in (1 << 18, 4):
-        got = {r.rep for r in neardup.close_members(members, df, counters).collect()}
+        got = {r.rep for r in neardup.close_members(members, df, counters, 85).collect()}
         assert len(close) > 100 and {x for pair in close for x in pair} <= got
     base = H.prose(rng, 160)
     many = spark.createDataFrame([(i, base + " " + H.prose(rng, 40)) for i in range(3000)], "doc_id bigint, text string")
-    assert neardup.close_members(spark.range(3000).select(F.col("id").alias("rep"), F.col("id").alias("label"), F.lit(True).alias("out")), many).count() < 150
+    assert neardup.close_members(spark.range(3000).select(F.col("id").alias("rep"), F.col("id").alias("label"), F.lit(True).alias("out")), many, threshold=85).count() < 150
 
 
 def test_near_duplicates_edges(spark, docs, empty):
@@ -398,6 +403,17 @@ def test_near_duplicates_edges(spark, docs, empty):
     assert got == [("3", "3", True), ("7", "3", False), ("7", "3", False), ("None", "None", True), ("None", "None", True)]
 
 
+def test_one_of_repeated_rows_stays(spark):
+    """Rows that repeat id and text: one stays, by hot keys too; an id's other text has its own verdict; rows without words
+    or without an id stay."""
+    copy, other = "one two three four five six", "nothing like the first one at all"
+    rows = [(3, copy, "x")] * 200 + [(3, copy, "y"), (5, copy, "x"), (5, other, "x"), (8, other, "z"), (9, None, "x"), (9, None, "x"), (None, copy, "x"), (None, copy, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, text_a string").repartition(5)
+    got = neardup.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted([("3", copy), ("5", other), ("9", "None"), ("9", "None"), ("None", copy), ("None", copy)])
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 4000).astype(np.uint64)
