@@ -68,25 +68,24 @@ def pivotal(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("action").agg(F.count_if("pivotal").alias("pivotal"), (F.count_if("pivotal") / F.count("*")).alias("pivotal_rate"))
 
 
-def as_map(counts: DataFrame, key: str, value: str) -> DataFrame:
-    """A small table of counts as one ordered text."""
-    entries = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col(value).alias("v"))))
-    return counts.agg(F.array_join(F.transform(entries, lambda e: F.concat(e["k"], F.lit("="), e["v"].cast("string"))), ",").alias(key))
-
-
 def snapshot(decisions: DataFrame) -> DataFrame:
-    """All headline metrics in one row.  The table is grouped once; everything else works on the grouped counts."""
-    base = decisions.groupBy("trajectory_id", "turn_index", "action", "error_type", "decision_type").agg(
+    """All headline metrics in one row.  One pass groups by trajectory, one by the three keys, whose combinations are few."""
+    per = decisions.groupBy("trajectory_id", "turn_index").agg(
         F.count("*").alias("n"), F.count_if("success").alias("ok"), F.count_if("pivotal").alias("pivotal"), F.sum("confidence").alias("conf"), F.count("confidence").alias("n_conf"),
     )
-    per = base.groupBy("trajectory_id").agg(F.sum("n").alias("n"), F.count_distinct("turn_index").alias("turns"), F.sum("ok").alias("ok"), F.sum("pivotal").alias("pivotal"), F.sum("conf").alias("conf"), F.sum("n_conf").alias("n_conf"))
+    # a turn without an index is in the counts of rows, but isn't a turn
+    per = per.groupBy("trajectory_id").agg(F.sum("n").alias("n"), F.count("turn_index").alias("turns"), F.sum("ok").alias("ok"), F.sum("pivotal").alias("pivotal"), F.sum("conf").alias("conf"), F.sum("n_conf").alias("n_conf"))
     total = per.agg(
         F.count("*").alias("trajectories"), F.sum("turns").alias("turns"), F.sum("n").alias("decisions"), F.avg("turns").alias("avg_turns"), (F.sum("n") / F.count("*")).alias("avg_decisions"),
         (F.sum("ok") / F.sum("n")).alias("success_rate"), F.sum("pivotal").alias("pivotal"), (F.sum("conf") / F.sum("n_conf")).alias("avg_confidence"),
     )
-    for key in ("action", "error_type", "decision_type"):
-        total = total.join(F.broadcast(as_map(base.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("n").alias("n")), key, "n")))  # two one-row tables
-    return total
+    keys = ("action", "error_type", "decision_type")
+    counts = decisions.groupBy(*keys).agg(F.count("*").alias("n"))
+    told = counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.col(k).cast("string").alias("k")) for k in keys])).alias("e"), "n")
+    told = told.where("e.k is not null").groupBy("e.of", "e.k").agg(F.sum("n").alias("n"))
+    listed = lambda key: F.array_sort(F.collect_list(F.when(F.col("of") == key, F.struct("k", "n"))))
+    text = lambda key: F.array_join(F.transform(listed(key), lambda e: F.concat(e["k"], F.lit("="), e["n"].cast("string"))), ",").alias(key)
+    return total.join(F.broadcast(told.agg(*[text(k) for k in keys])))  # two one-row tables
 
 
 def report(decisions: DataFrame, top: int = 5) -> DataFrame:
