@@ -414,6 +414,17 @@ def test_one_of_repeated_rows_stays(spark):
     assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted([("3", copy), ("5", other), ("9", "None"), ("9", "None"), ("None", copy), ("None", copy)])
 
 
+def test_powers_of_long_texts_are_not_kept(monkeypatch):
+    from tracklight.llm import common
+
+    monkeypatch.setattr(common, "KEPT_POWERS", 100)
+    monkeypatch.setattr(common, "_POWERS", {})
+    raw = np.frombuffer(b"some words, some words" * 20, np.uint8)
+    long = common.span_hashes(raw, np.array([0, 12, 22]), np.array([10, 22, 32]))
+    assert not common._POWERS and long[0] == long[1] == long[2]
+    assert list(common.span_hashes(raw[:40], np.array([0]), np.array([10]))) == [long[0]] and common._POWERS
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 4000).astype(np.uint64)

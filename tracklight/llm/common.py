@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 #: Largest Arrow batch sent to a Python worker, and the text bytes that one numpy step looks at.
 BATCH_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
+#: Powers are kept for texts of up to so many bytes; those of a longer text are made for it alone.
+KEPT_POWERS = 2 * SLICE_BYTES
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -119,6 +121,7 @@ def annotate(
                 made = pa.StructArray.from_arrays([pa.array(got[f.name], type=f.type, from_pandas=True) for f in fields], fields=fields)
                 cols = [c.slice(lo, hi - lo).cast(arrow.field(i).type) for i, c in enumerate(kept)]
                 yield pa.RecordBatch.from_arrays([*cols, made], schema=arrow)
+        pa.default_memory_pool().release_unused()  # workers stay for the next task or stage
 
     return carried.mapInArrow(run, schema)
 
@@ -192,13 +195,14 @@ _BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64; the longest so far is kept for the worker's next slices."""
+    """base**0 .. base**n modulo 2**64; the longest so far, up to a bound, is kept for the worker's next slices."""
     have = _POWERS.get(base)
     if have is None or len(have) <= n:
         full = np.full(n + 1, base, np.uint64)
         full[0] = 1
         have = np.multiply.accumulate(full)
-        _POWERS[base] = have
+        if n <= KEPT_POWERS:
+            _POWERS[base] = have
     return have[: n + 1]
 
 
