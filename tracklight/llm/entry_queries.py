@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprint, htmltext, language, linedup, mixing, neardup, quality, sharding
+from . import chat, decontaminate, fingerprint, hardneg, htmltext, language, linedup, merkle, mixing, neardup, packing, quality, sharding
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_chat": chat.op9_chat,
     "op10_language": language.op10_language,
+    "op11_packing": packing.op11_packing,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_hard_negatives": hardneg.op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": linedup.OP3_SQL,
     "op9_chat": chat.OP9_SQL,
+    "op12_merkle": merkle.OP12_SQL,
+    "op13_hard_negatives": hardneg.OP13_SQL,
 }
