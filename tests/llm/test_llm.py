@@ -672,7 +672,7 @@ def test_queries_with_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in entry_queries.ORACLES.items():
         got = entry_queries.QUERIES[name](spark, SF)
@@ -750,3 +750,119 @@ def test_pipeline_stages(spark):
         if name == "sharding":
             assert sorted(after) == sorted(i for i in after if i in before) and {"shard", "slot"} <= set(docs.columns)
     assert cp.run(spark, SF).count() == len(after)
+
+
+# ------------------------------------------------------------------------------------------------ repeated rows
+def test_two_near_copies_repeated_make_one_pair(spark, monkeypatch):
+    """Each of two near copies a thousand times: one pair is verified, one link found, whatever repeats."""
+    rng, seen = random.Random(8), []
+    base = H.prose(rng, 300).split(" ")
+    near = " ".join([*base[:150], "other", *base[151:]])
+    rows = [(1, " ".join(base))] * 1000 + [(2, near)] * 1000 + [(3, H.prose(rng, 100))] * 5
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    plain = neardup.verify
+
+    def counted(pairs, docs, sets, threshold):
+        out = plain(pairs, docs, sets, threshold)
+        seen.append((pairs.count(), sets.count(), docs.where("doc_id < 3").count(), out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "verify", counted)
+    got = neardup.near_duplicates(df).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 1, True, 1000), (2, 1, False, 1000), (3, 3, True, 5)]
+    assert seen == [(1, 3, 2, 1)]
+    kept = neardup.drop_near_duplicates(df)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_repeated_benchmark_items_and_long_ones_stay_in_bounded_blocks(spark, docs):
+    rng = random.Random(9)
+    texts = [r.text for r in docs.collect() if r.text and len(r.text) > 300]
+    long_ = " ".join(texts[:4]) + "! " + H.prose(rng, 3000)
+    items = [("a", texts[0][:200])] * 100_000 + [("long", long_), ("b", texts[1][50:300]), (None, "one two three"), ("none", None), ("none", "...")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    plain = bench.select(F.coalesce("item_id", F.lit("null")).alias("item"), "text").distinct()
+    blocks, keys = decontaminate.item_blocks(plain, 30_000, 13, 4000)
+    sizes = [r.s for r in blocks.groupBy("part", "nr").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("s")).collect()]
+    assert len(keys) == len(sizes) > 4 and max(sizes) <= 8000
+    found = H.windows([("null" if i is None else i, t) for i, t in dict.fromkeys(items)])
+    got = decontaminate.decontaminate(docs, bench, block_bytes=4000).select("doc_id", "text", "contamination").collect()
+    for r in got:
+        n, hit, names = H.contamination(r.text, found)
+        assert (r.contamination.n_words, r.contamination.n_hit, sorted(r.contamination["items"])) == (n, hit, names)
+    assert any("long" in r.contamination["items"] for r in got)
+
+
+def test_classifiers_learn_from_ids_however_often_they_repeat(spark):
+    """What reaches the driver is bounded by ids and languages, not by rows."""
+    rng = random.Random(10)
+    rows = [(i, H.prose(rng, 40 + i), ("en", "fr")[i % 2]) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    again = df.unionByName(df.where("doc_id = 3").crossJoin(spark.range(5000)).drop("id"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    once, many = quality.fit(df, labels), quality.fit(again, labels)
+    assert once.base == many.base and (once.leaf == many.leaf).all()
+    one, two = language.fit(df), language.fit(again)
+    assert one.langs == two.langs and (one.masks == two.masks).all()
+
+
+def test_an_article_outweighs_words_of_any_length():
+    said = lambda w, n: " ".join(f"This {w} sentence number {i} has some words in it." for i in range(n))
+    story, talk = f"<p>{said('story', 3)}</p>", f"<p>{said('talk', 30)}</p>"
+    for page in (
+        f"<article>{story}</article><div id='comments'>{talk}</div>",
+        f"<main><h1>Title</h1>{story}</main><div class='cookie-consent'>{talk}</div>",
+        f"<article>{story}</article><div class='cookie-consent'>{talk}</div>",
+        f"<article>{story}<div class='comments'>{talk}</div></article>",
+        f"<article>{story}</article><div class='comments'><article>{talk}</article></div>",
+    ):
+        got = htmltext.main_text(f"<html><body>{page}</body></html>")
+        assert got.count("story") == 3 and "talk" not in got
+    for page in (  # nothing else has text of its own: the words name the layout
+        f"<main><div class='sidebar-layout'>{talk}</div></main>",
+        f"<main><h1>Title</h1><div class='sidebar-layout'><article>{talk}</article></div></main>",
+        f"<article></article><div class='comment-page'>{talk}</div>",
+    ):
+        assert htmltext.main_text(f"<html><body>{page}</body></html>").count("talk") == 30
+
+
+def test_densities_equal_brute_force():
+    """Every node's density and sum, from counts that are taken anew for each node."""
+    import math
+
+    rng = random.Random(12)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return H.prose(rng, rng.randint(1, 12))
+        tag = rng.choice(["div", "p", "a", "span", "section", "b"])
+        return f"<{tag}>" + " ".join(grow(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+
+    def walk(node):
+        yield node
+        for x in node.items:
+            if isinstance(x, htmltext.Node):
+                yield from walk(x)
+
+    chars = lambda x: len("".join(x.split())) if isinstance(x, str) else sum(map(chars, x.items))
+    linked = lambda x: 0 if isinstance(x, str) else chars(x) if x.tag == "a" else sum(map(linked, x.items))
+
+    def density(node, root):
+        c, t, lc = chars(node), sum(1 for x in walk(node)) - 1, linked(node)
+        lt = sum(x.tag == "a" for x in walk(node)) - (node.tag == "a")
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + linked(root) / max(1, chars(root)) * c + math.e)
+        return c / max(1, t) * math.log(max(1.0, c / lc * max(1, t) / max(1, lt))) / math.log(base)
+
+    for _ in range(30):
+        root = htmltext.parse(f"<body>{''.join(grow(4) for _ in range(4))}</body>")
+        order = htmltext.measure(root)
+        for node in order:
+            assert node.chars == chars(node) and node.link_chars == linked(node)
+            if node.link_chars:
+                assert math.isclose(node.density, density(node, root), rel_tol=1e-9)
+            own = any(isinstance(x, str) and x.strip() for x in node.items)
+            assert math.isclose(node.total, sum(x.density for x in node.items if isinstance(x, htmltext.Node)) + (node.density if own else 0), rel_tol=1e-9)
+        best = max(walk(root), key=lambda x: x.total)
+        assert any(id(best) == i for i in htmltext.select(root, order)) or best.total == max(x.total for x in order)

@@ -16,6 +16,8 @@ once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -290,11 +292,41 @@ def search_shard(phrases: Phrases, texts: pa.Array) -> dict[str, list]:
 
 def search_block(docs: DataFrame, benchmark: DataFrame, text: str, window: int, name: str, keep: list[str]) -> DataFrame:
     """One pass: each row's ``keep`` columns and the struct that ``search_shard`` gives for a block (item, text) of items."""
-    found = benchmark.select(F.coalesce(F.col("item").cast("string"), F.lit("null")).alias("item"), "text").sort("item", "text").collect()  # bounded by block_bytes
+    found = benchmark.select("item", "text").sort("item", "text").collect()  # bounded by block_bytes
     shared = docs.sparkSession.sparkContext.broadcast(Phrases([(r.item, r.text) for r in found], window))
     return annotate(docs, [text], RESULT, lambda _, texts: search_shard(shared.value, texts), name, keep, slice_bytes=SHARD_BYTES)
 
 
+def cut_items(batches: Iterator[pa.RecordBatch], window: int, piece_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Texts of (item, text) in pieces of about ``piece_bytes`` that share a window less one word: no window is lost, and a
+    piece has no window that the text lacks."""
+    for batch in batches:
+        items, cut = [], []
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            raw, offsets = utf8(pa.array([text.as_py()], pa.string()))
+            starts, ends, _ = word_spans(ASCII_LOWER[raw], offsets, WORD_BYTES)
+            first = 0
+            while first < len(starts):
+                last = int(np.searchsorted(ends, starts[first] + piece_bytes, side="right")) - 1
+                last = min(max(last, first + window - 1), len(starts) - 1)  # one whole window at least
+                items.append(item)
+                cut.append(raw[starts[first] : ends[last]].tobytes().decode())
+                first = last - window + 2 if last < len(starts) - 1 else len(starts)
+        yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(cut, pa.string())], names=["item", "text"])
+
+
+def item_blocks(items: DataFrame, total: int, window: int, block_bytes: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Distinct items (item, text) with their block (part, nr), and all blocks: parts of a shuffle are cut by running sums
+    of sizes, and items larger than a block are cut into pieces, so a block is bounded by twice ``block_bytes``."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
+    long = items.where(size > block_bytes).mapInArrow(lambda b: cut_items(b, window, max(1, block_bytes // 2)), "item string, text string")
+    pieces = items.where(size <= block_bytes).unionByName(long)
+    laid = spool(pieces.repartition(total // block_bytes + 1, "item", "text").select("item", "text", F.spark_partition_id().alias("part")), "items")
+    before = Window.partitionBy("part").orderBy("item", "text").rowsBetween(Window.unboundedPreceding, -1)
+    cut = spool(laid.withColumn("nr", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / block_bytes)), "blocks")
+    return cut, sorted((r.part, r.nr) for r in cut.select("part", "nr").distinct().collect())  # one row a pass
+
+
 def merged(parts: DataFrame) -> DataFrame:
     """(rid, n_words, n_hit, items, spans) from rows (rid, r) of several passes: spans that touch or overlap become one,
     found by a running maximum over each row's spans in order."""
@@ -315,21 +347,22 @@ def decontaminate(
 ) -> DataFrame:
     """Each row's ``keep`` columns (all by default) and a struct ``name``: n_words, n_hit, items, spans.
 
-    The phrases travel to the tasks, so the benchmark is measured first.  Beyond ``block_bytes`` of text it is cut into
+    The phrases travel to the tasks, so the benchmark's distinct items are measured first.  Beyond ``block_bytes`` of text it is cut into
     blocks: rows are then numbered in a table of their own, each block is one pass over that, which leaves a table of
     counts, items and spans, and the passes are merged by row; one block's phrases are held at a time.
     """
-    plain = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
+    plain = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("text")).distinct()
     total = plain.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    blocks, spans = int(total // block_bytes) + 1, fresh(docs, name)
+    spans = fresh(docs, name)
     kept = list(docs.columns if keep is None else keep)
-    if blocks == 1:
+    if total < block_bytes:
         return search_block(docs, plain, text, window, spans, kept)
     rid = fresh(docs, "rid")
     rows = spool(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
     parts = None
-    for b in range(blocks):
-        part = search_block(rows, plain.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b), text, window, fresh(rows, "r"), [rid])
+    items, blocks = item_blocks(plain, int(total), window, block_bytes)
+    for part_, nr in blocks:
+        part = search_block(rows, items.where((F.col("part") == part_) & (F.col("nr") == nr)), text, window, fresh(rows, "r"), [rid])
         part = spool(part.toDF("rid", "r"), "pass")
         parts = part if parts is None else parts.unionByName(part)
     found = spool(merged(parts), "merged").select(F.col("rid").alias(rid), F.struct("n_words", "n_hit", "items", "spans").alias(spans))

@@ -40,7 +40,7 @@ DROP_ROLES = frozenset("alert alertdialog banner complementary contentinfo menu
 #: Dropped as well, unless they wrap the page's article or most of its text; then only their labels (and controls) are.
 WRAP_TAGS = frozenset(["form"])
 WRAP_ROLES = frozenset("dialog form search".split())
-# Words of a class or id that speak against an element, by weight: how many times the text of the rest of the
+# Words of a class or id that speak against an element, by weight: how many times the text of the rest of the
 # page its own must have for it to stay.  The heavy ones name what is never an article; the light ones often are layout.
 HEAVY, LIGHT = 4.0, 1.0
 HEAVY_WORDS = frozenset(
@@ -95,6 +95,23 @@ def unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, float,
     return False, against, wraps
 
 
+def free_articles(order: list[Node]) -> set[int]:
+    """Ids of the ``article`` and ``main`` elements that no evidence speaks against, on themselves or around them, and that
+    have text of their own: outside headings, links, and elements with evidence.  ``order``: parents first."""
+    bad, clean, found = set(), {}, set()
+    for node in order:
+        if node.never or node.against or (node.parent is not None and id(node.parent) in bad):
+            bad.add(id(node))
+    for node in reversed(order):
+        if id(node) in bad or node.tag == "a" or node.tag in HEADINGS or node.tag == "label":
+            clean[id(node)] = 0
+            continue
+        clean[id(node)] = sum(clean[id(x)] if isinstance(x, Node) else sum(map(len, x.split())) for x in node.items)
+        if node.tag in ("article", "main") and clean[id(node)]:
+            found.add(id(node))
+    return found
+
+
 def settle(root: Node, hints: bool) -> None:
     """Sets ``drop``: what never belongs, and what has evidence against it that its text does not outweigh, unless an
     article (itself without such evidence) lies in it.
@@ -121,10 +138,14 @@ def settle(root: Node, hints: bool) -> None:
                 held.add(id(node.parent))
         lost = node.never or node.tag == "a" or (node.tag == "label" and id(node) in inside and id(node) not in core)
         text[id(node)] = 0 if lost else sum(text[id(x)] if isinstance(x, Node) else sum(map(len, x.split())) for x in node.items)
-    whole = text[id(root)]
+    whole, free, rivals = text[id(root)], free_articles(order) if hints else set(), {}
     for node in order:
+        over = rivals.get(id(node.parent), 0)  # free articles around the node
+        rivals[id(node)] = over + (id(node) in free)
         own = text[id(node)]
-        by_hint = hints and node.against and id(node) not in core and own <= node.against * (whole - own)
+        elsewhere = len(free) > over  # an element with evidence holds none itself
+        outweighed = own <= node.against * (whole - own) or bool(free)
+        by_hint = hints and node.against and (elsewhere if id(node) in core else outweighed)
         by_form = node.wraps and id(node) not in held and 2 * own <= whole
         label = node.tag == "label" and id(node) in inside and id(node) not in core
         node.drop = node.never or bool(by_hint) or label or by_form or (node.parent is not None and node.parent.drop)

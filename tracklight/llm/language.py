@@ -30,6 +30,8 @@ TRAIN_ROWS, GRAMS = 2_000, 4_000
 BITS, HASHES = 1 << 17, 4
 #: Distinct languages that the sampling table may have to be broadcast.
 BROADCAST_LANGS = 10_000
+#: Languages that are learned at most, the most frequent ones: what reaches the driver is bounded by this times ``GRAMS``.
+LANGUAGES = 2_000
 
 _LETTER: list[np.ndarray] = []
 
@@ -133,12 +135,15 @@ def _counted(_, texts: pa.Array) -> dict[str, list]:
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, keep: int = GRAMS) -> Filters:
-    """Filters from at most about ``rows`` documents a language; ``keep`` grams a language reach the driver."""
+    """Filters from at most about ``rows`` ids a language, of the ``LANGUAGES`` most frequent languages; ``keep`` grams a
+    language reach the driver.  A text that one id repeats is learned once."""
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("many"))
+    sizes = usable.groupBy("lang", "doc_id").count().groupBy("lang").agg(F.count("*").alias("many"))
+    sizes = sizes.orderBy(F.desc("many"), "lang").limit(LANGUAGES)
     few = sizes.count() <= BROADCAST_LANGS
     u = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) / float(1 << 30)
     drawn = usable.join(sizes.hint("broadcast" if few else "merge"), "lang").where(u * F.col("many") < rows)
+    drawn = drawn.groupBy("lang", "doc_id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
     cut = annotate(drawn, ["text"], "gram array<bigint>, n array<bigint>", _counted, "g", keep=["lang"])
     flat = cut.select("lang", F.explode(F.arrays_zip("g.gram", "g.n")).alias("x")).select("lang", F.col("x.gram").alias("gram"), F.col("x.n").alias("n"))
     counted = flat.groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -241,7 +241,7 @@ def manifest(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", fi
     # '0' for no source, else '1' and the source: null comes first, and all others in the order of their bytes
     tree = F.coalesce(F.concat(F.lit("1"), F.col(source).cast("string")), F.lit("0"))
     rows = docs.select(F.struct(*keep).alias("kept"), tree.alias("tree"), F.col(doc_id).alias("id"), leaf.alias("leaf"), (leaf if replacement is None else F.coalesce(replacement, leaf)).alias("offered"))
-    leaves = spool(ranked(rows, "tree", ["id", "leaf"], "rank", "nodes"), "leaves")
+    leaves = spool(ranked(spool(rows, "hashed"), "tree", ["id", "leaf"], "rank", "nodes"), "leaves")
     runs, tops = levels(leaves.select("tree", "rank", "nodes", F.col("leaf").alias("digest")))
     crown = spool(ranked(tops.select(F.lit("root").alias("all"), "tree", "digest"), "all", ["tree"], "rank", "nodes"), "subroots")
     upper, root = levels(crown.select(F.col("all").alias("tree"), "rank", "nodes", "digest"))

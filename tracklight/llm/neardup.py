@@ -175,13 +175,23 @@ def semi(big: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_
     return big.join(ids.hint("broadcast" if few else "merge"), key, how)
 
 
+def told_once(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with one row for each id and text; only the ids in ``again`` repeat.  Partial aggregates leave
+    one row a task of however many repeat."""
+    if again.isEmpty():
+        return docs
+    h = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+    once = spool(semi(docs, again, "doc_id").groupBy("doc_id", *h).agg(F.first("text").alias("text")).select("doc_id", "text"), "once")
+    return semi(docs, again, "doc_id", "left_anti").unionByName(once)
+
+
 def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs (a, b) of class representatives that are links."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     sized = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     sized = sized.where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     rated = annotate(sized, ["ra", "rb", "na", "nb"], "estimate double, possible boolean", partial(plausible, threshold=threshold), "e", keep=["a", "b"])
-    likely = spool(rated.where("e.possible").select("a", "b"), "pairs")
+    likely = spool(rated.where("e.possible").select("a", "b").distinct(), "pairs")
     ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = semi(docs.select("doc_id", "text"), ids, "doc_id")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
@@ -336,13 +346,16 @@ def verdicts(plain: DataFrame, threshold: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``plain`` (doc_id, text, and columns that are carried)."""
     carried = [c for c in plain.columns if c != "text"]
     sketched = annotate(plain, ["text"], SET, describe, "s", keep=carried)
-    table = spool(sketched.select(*carried, "s.*"), "sketches")
-    classes = spool(table.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    first = table.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), F.col("f1").alias("c1"), F.col("f2").alias("c2")).hint("merge"), "doc_id").where("f1 = c1 and f2 = c2")
-    sets = first.select("doc_id", "n", "bytes", "regs", "bands")
-    labels = link(plain.select("doc_id", "text"), sets, threshold)
+    table = spool(sketched.select(*carried, "s.*", F.monotonically_increasing_id().alias("__place")), "sketches")
+    members = table.where("n > 0 and doc_id is not null")
+    # one row stands for a class, however many repeat its smallest id
+    least = F.min(F.struct("doc_id", F.col("__place").alias("place"))).alias("least")
+    classes = spool(members.groupBy("f1", "f2", "n").agg(least).select("f1", "f2", "n", F.col("least.doc_id").alias("rep"), "least.place"), "classes")
+    sets = spool(members.join(classes.select(F.col("place").alias("__place")).hint("merge"), "__place", "left_semi").select("doc_id", "n", "bytes", "regs", "bands"), "sets")
+    again = spool(members.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    labels = link(told_once(plain.select("doc_id", "text"), again), sets, threshold)
     named = classes.join(labels.hint("merge"), classes["rep"] == labels["id"], "left").select("f1", "f2", "n", F.coalesce("label", "rep").alias("label"))
-    joined = table.drop("bytes", "regs", "bands").join(named.hint("merge"), ["f1", "f2", "n"], "left")
+    joined = table.drop("bytes", "regs", "bands", "__place").join(named.hint("merge"), ["f1", "f2", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("label")).otherwise(F.col("doc_id"))
     return joined.select(*carried, F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import annotate, fresh, read, spool
 
 LENGTH = 2048
-#: Items of a partition, on average, and rounds of exchanges at most.
+#: Items of a partition, on average (each round of exchanges doubles it), and rounds of exchanges at most.
 PART_ITEMS, EXCHANGES = 100_000, 4
 #: Functions of the second family that bounds are taken from.
 FUNCTIONS = 100
@@ -206,16 +206,15 @@ PLACED = "row bigint, piece int, length bigint, sequence_id bigint, offset bigin
 
 
 def pack_part(table: pa.Table, capacity: int, turn: int) -> pa.Table:
-    """One partition's items packed; ``gap`` says that its number of sequences is above its bound, or that its last
-    sequences are not full, so that it may gain from others."""
+    """One partition's items packed; ``gap`` marks what it offers for exchange: its unfilled sequences, if it is not
+    certified or they leave as much room as a sequence has; else its emptiest one, which its bound rounds up."""
     table = table.sort_by([("length", "descending"), ("row", "ascending"), ("piece", "ascending")])
     lengths = table["length"].to_numpy()
     bins, offsets, left = best_fit(lengths, capacity)
     certified = len(left) == lower_bound(np.bincount(lengths, minlength=capacity + 1))
     base = (turn << 58) + (table["part"][0].as_py() << 22)
     free = left[bins]
-    # a certified partition still offers its emptiest sequence, which the bound of one partition rounds up
-    gap = np.full(len(bins), not certified) if not certified else free == left.max(initial=0)
+    gap = free > 0 if not certified or left.sum() >= capacity else free == max(1, left.max(initial=0))
     made = [table["row"], table["piece"].cast(pa.int32()), table["length"], pa.array(base + bins), pa.array(offsets), pa.array(free), pa.array(gap)]
     return pa.table(made, names=["row", "piece", "length", "sequence_id", "offset", "free", "gap"])
 
@@ -239,14 +238,14 @@ def place(items: DataFrame, capacity: int = LENGTH, part_items: int = PART_ITEMS
         used = placed.agg(F.count(F.when(F.col("offset") == 0, 1))).first()[0]
         if used <= bound:
             break
-        pool = placed.where("gap and free > 0")
+        pool = placed.where("gap")
         n, old = pool.agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first()
         if old < 2:
             break
-        again = spool(deal(pool, n, capacity, turn, part_items), "packed")
+        again = spool(deal(pool, n, capacity, turn, part_items << turn), "packed")
         if again.agg(F.count(F.when(F.col("offset") == 0, 1))).first()[0] >= old:
             break
-        placed = spool(placed.where("not (gap and free > 0)").unionByName(again), "packed")
+        placed = spool(placed.where("not gap").unionByName(again), "packed")
     return placed.select("row", "piece", "sequence_id", "offset")
 
 

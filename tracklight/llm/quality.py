@@ -160,13 +160,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Trees:
-    """Trees fitted to about ``rows`` labelled rows outside the held-out fold, drawn from all by a hash of the id."""
+    """Trees fitted to about ``rows`` labelled ids outside the held-out fold, drawn from all by a hash of the id; of an id
+    with several texts, the one with the least statistics counts."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.round(F.avg(label)).alias("y"))
     chance = rows / max(1, known.count())
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) < int(min(1.0, chance) * (1 << 30)))
     with_text = docs.select("doc_id", "text").join(drawn.hint("broadcast"), "doc_id")  # at most about `rows` ids
     stats = annotate(with_text, ["text"], "x array<float>", lambda _, t: {"x": list(statistics(t))}, "s", keep=["doc_id", "y"])
-    got = sorted((r.doc_id, r.y, tuple(r.s.x)) for r in stats.collect())  # so that the order of tasks doesn't matter
+    # one row an id, however many repeat it, and sorted, so that the order of tasks doesn't matter
+    once = stats.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("s.x").alias("x"))
+    got = sorted((r.doc_id, r.y, tuple(r.x)) for r in once.collect())
     return Trees(np.array([x for *_, x in got], np.float32), np.array([y for _, y, _ in got], float))
 
 
