@@ -10,7 +10,7 @@ stands if it saves sequences.  Rounds end when certified, or when one saves noth
 
 Tokens are made once, where the texts are; only lengths and places are shuffled.  The tokenizer drops white space and its
 pattern never crosses it, so a chunk between white space always has the same ids: a worker keeps those of the chunks it met,
-in bounded memory, and asks the tokenizer for new ones only.  A text that holds a special token goes to it whole.
+in bounded memory, and those of their words, and asks the tokenizer's model for new words only.  A text that holds a special token goes to it whole.
 
 Defined results: a null or empty text is the single id 0; a null or repeated id and repeated rows are documents like
 any others; an empty table has no rows.
@@ -21,7 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +35,44 @@ LENGTH = 2048
 PART_ITEMS, EXCHANGES = 100_000, 4
 #: Functions of the second family that bounds are taken from.
 FUNCTIONS = 100
-#: Bytes of chunks and words with their ids that a worker keeps, and text bytes that are cut into chunks at a time.
-KEPT_BYTES, SEGMENT = 64 << 20, 1 << 20
-
-#: What the tokenizer's pattern finds in lower-case ASCII text.
-ASCII_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-#: Punctuation at the end of a chunk.
-TAIL = re.compile(rb"[!-/:-@\[-`{-~]+\Z")
+#: Bytes of chunks, and of words, with their ids that a worker keeps, text bytes that are cut into chunks at a time, and the
+#: longest chunk that is looked at word by word.
+KEPT_BYTES, SEGMENT, LONG = 80 << 20, 1 << 20, 10_000
+
+# The tokenizer's pattern for chunks of printable ASCII and the letters from U+00C0 to U+017F, in lower case.  Those
+# letters have no other normal form, and all but U+0130 have a lower case among themselves.
+LATIN = "\u00df-\u00f6\u00f8-\u017f"
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+PLAIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^a-z{LATIN}0-9]+")
 SPACE = re.compile(rb"[ \t-\r]")
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in the vocabulary: printable ones for themselves, others from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b >= 174]
+    hidden = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return [hidden.get(b, chr(b)) for b in range(256)]
+
+
 # ---------------------------------------------------------------------------------------------------- tokens
+class Kept(dict):
+    """Values made when first asked for; ``bytes`` is about what they take."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.bytes = make, 0
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        self.bytes += len(key) + len(value) + 150
+        return value
+
+    def bound(self) -> None:
+        if self.bytes > KEPT_BYTES:
+            self.clear()
+            self.bytes = 0
+
+
 class Encoder:
     """Ids of texts, as little-endian 32-bit words, with those of chunks and words remembered."""
 
@@ -54,67 +81,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        self.merge = self.tokenizer.model.tokenize
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-        self.bytes = 0
-
-    def whole(self, texts: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
-
-    def parts(self, chunk: bytes) -> list[bytes]:
-        """A chunk in parts whose ids do not depend on each other."""
-        if chunk.isascii():
-            return ASCII_WORDS.findall(chunk.lower())
-        tail = TAIL.search(chunk)
-        if tail:
-            body = chunk[: tail.start()]
-            last = body[-2:].decode(errors="ignore")[-1:] if body else ""
-            if last and ord(last) < 0x250 and last.lower().isalpha():  # punctuation after a letter stands alone
-                return [body, tail.group()]
-        return [chunk]
-
-    def joined(self, cut: list[list[bytes]]) -> list[bytes]:
-        """The ids of texts cut into chunks; new chunks are learned first, all of them if the kept ones were dropped."""
-        met = set().union(*cut)
-        if any(c not in self.chunks for c in met):
-            if self.bytes > KEPT_BYTES:
-                self.chunks, self.words, self.bytes = {}, {}, 0
-            self.learn([c for c in met if c not in self.chunks])
-        return [b"".join(map(self.chunks.__getitem__, c)) for c in cut]
-
-    def learn(self, chunks: Iterable[bytes]) -> None:
-        """The ids of new chunks."""
-        cut = {c: self.parts(c) for c in chunks}
-        new = [w for w in {w for parts in cut.values() for w in parts} if w not in self.words]
-        for w, ids in zip(new, self.whole(new), strict=True):
-            self.words[w] = ids
-            self.bytes += len(w) + len(ids) + 150
-        for c, parts in cut.items():
-            self.chunks[c] = self.words[parts[0]] if len(parts) == 1 else b"".join([self.words[w] for w in parts])
-            self.bytes += len(c) + len(self.chunks[c]) + 150
+        self.letters = byte_letters()
+        self.words, self.chunks = Kept(self.word), Kept(self.chunk)
+
+    def whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of what the pattern found: the model alone merges its bytes."""
+        shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(shown)])
+
+    def chunk(self, chunk: bytes) -> bytes:
+        """Ids of a chunk without white space."""
+        text = chunk.decode()
+        if len(text) > LONG or not PLAIN.fullmatch(text):
+            return self.whole(chunk)
+        found = PLAIN_WORDS.findall(text.lower())
+        return self.words[found[0]] if len(found) == 1 else b"".join([self.words[w] for w in found])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids."""
-        out = []
-        for lo in range(0, len(texts), 1000):
-            some = texts[lo : lo + 1000]
-            plain = [t if not any(m in t for m in self.marks) else b"" for t in some]
-            if sum(map(len, plain)) <= 2 * SEGMENT:
-                done = self.joined([t.split() for t in plain])
-            else:
-                done = [self.long(t) for t in plain]
-            out += [d if p or not t else self.whole([t])[0] for d, p, t in zip(done, plain, some, strict=True)]
-        return out
-
-    def long(self, text: bytes) -> bytes:
-        """Ids of one text, cut at white space into segments."""
+        return [self.whole(t) if any(m in t for m in self.marks) else self.plain(t) for t in texts]
+
+    def plain(self, text: bytes) -> bytes:
+        """Ids of a text without special tokens, cut at white space into segments, and these into chunks."""
         out, lo = [], 0
         while lo < len(text):
             end = SPACE.search(text, min(lo + SEGMENT, len(text)))
             hi = end.start() if end else len(text)
-            out += self.joined([text[lo:hi].split()])
+            self.words.bound(), self.chunks.bound()
+            out.append(b"".join(map(self.chunks.__getitem__, text[lo:hi].split())))
             lo = hi
         return b"".join(out)
 
