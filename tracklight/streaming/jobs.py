@@ -1,7 +1,10 @@
 """Structured Streaming jobs, each over a Parquet stream source, drained with ``availableNow``.
 
-Sinks are tables in the folder that driver and executors share; results are read back from them, so a job that is
-started again with the same folder goes on where it stopped.
+A job has a ``home``, a folder that driver and executors share: its log of offsets and state, a folder for each batch, and
+a manifest that names the batches that are whole.  A batch that is run again, because the job died after writing it,
+overwrites its own folder, so no row is ever there twice; a job that is started again with the same home goes on where it
+stopped.  Tables that change are written in update mode, only what changed in a batch, and read by key, the last batch's row
+of each; so a watermark can drop state.
 """
 
 from __future__ import annotations
@@ -16,6 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators.capture import build_trajectories
+from ..operators.search import small
+
 #: Finished runs.
 TERMINAL = ("completed", "failed", "cancelled")
 
@@ -31,12 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def source(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet file or folder as a stream; event times get the type that watermarks need."""
+def source(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
+    """A Parquet file or folder as a stream of at most so many ``files`` a batch; event times get the type that watermarks
+    need."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
-    return stream.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema.fields if isinstance(f.dataType, T.TimestampNTZType)}) if any(isinstance(f.dataType, T.TimestampNTZType) for f in schema.fields) else stream
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    stream = reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", name).parquet(folder)
+    times = [f.name for f in schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
+    return stream.withColumns({c: F.col(c).cast("timestamp") for c in times}) if times else stream
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -45,35 +54,103 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def drain(stream: DataFrame, mode: str, each: Callable[[DataFrame, int, str], None] | None = None) -> DataFrame:
-    """Runs a stream over all available input into a table of the shared folder, and reads it back."""
+def new_home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def batch_path(home: str, i: int) -> str:
+    return f"{home}/batches/{i}"
+
+
+def write_batch(batch: DataFrame, i: int, home: str) -> None:
+    """A batch's rows into its own folder, replacing what an earlier try left there."""
+    batch.write.mode("overwrite").parquet(batch_path(home, i))
+
+
+def commit(spark: SparkSession, i: int, home: str) -> None:
+    """The manifest names batch ``i``: from now on it is read."""
+    spark.createDataFrame([(i,)], "batch bigint").coalesce(1).write.mode("overwrite").parquet(f"{home}/manifest/{i}")
+
+
+def committed(spark: SparkSession, home: str) -> list[int]:
+    """The batches that the manifest names (one small row each)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{home}/manifest")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return []
+    return sorted(r.batch for r in spark.read.schema("batch bigint").parquet(f"{home}/manifest/*").collect())
+
+
+def table(spark: SparkSession, home: str, schema: T.StructType, numbered: str | None = None) -> DataFrame:
+    """The rows of all committed batches; ``numbered`` names a column with each row's batch."""
+    parts = [batch_path(home, i) for i in committed(spark, home)]
+    rows = spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+    if numbered:
+        at = F.regexp_extract(F.col("_metadata.file_path"), r"/batches/(\d+)/", 1).cast("bigint") if parts else F.lit(None).cast("bigint")
+        rows = rows.select("*", at.alias(numbered))
+    return rows
+
+
+def run_all(stream: DataFrame, mode: str, home: str, write: Callable[[DataFrame, int, str], None] = write_batch, seen: list | None = None) -> None:
+    """Runs a stream over all available input: each batch is written by ``write`` (batch, number, home), then committed.
+    ``seen`` gets the progress of every batch."""
     spark = stream.sparkSession
-    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    out, schema = f"{home}/table", stream.schema
-    write = each or (lambda batch, i, path: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path))
-    job = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/log").trigger(availableNow=True).foreachBatch(lambda b, i: write(b, i, out)).start()
+
+    def each(batch: DataFrame, i: int) -> None:
+        write(batch, i, home)
+        commit(spark, i, home)
+
+    job = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/log").trigger(availableNow=True).foreachBatch(each).start()
     job.awaitTermination()
-    return spark.read.schema(schema).parquet(out)
+    if seen is not None:
+        seen += job.recentProgress
+
+
+def drain(stream: DataFrame, mode: str, home: str | None = None, seen: list | None = None) -> DataFrame:
+    """Runs a stream over all available input into the table of ``home`` (a new one by default), and reads that."""
+    home = home or new_home(stream.sparkSession)
+    run_all(stream, mode, home, seen=seen)
+    return table(stream.sparkSession, home, stream.schema)
+
 
+def live(stream: DataFrame, key: list[str], home: str | None = None, seen: list | None = None) -> DataFrame:
+    """Runs a stream in update mode into a live table: the last row of each key."""
+    spark, home = stream.sparkSession, home or new_home(stream.sparkSession)
+    run_all(stream, "update", home, seen=seen)
+    rows = table(spark, home, stream.schema, numbered="__batch")
+    rest = [c for c in stream.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "__batch").alias("__last")).select(*key, *[F.col(f"__last.{c}").alias(c) for c in rest])
 
-def capture_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Terminal run updates, upserted by run as batches arrive: the latest update of a run wins."""
-    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("running")
-    updates = source(spark, path).select(F.concat(F.lit("run-"), F.col("o_orderkey").cast("string")).alias("run_id"), status.alias("status"), F.col("o_orderdate").alias("at")).where(F.col("status").isin(*TERMINAL))
 
-    def upsert(batch: DataFrame, i: int, out: str) -> None:
-        n = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("at")))
-        batch.withColumn("n", n).where("n = 1").drop("n").write.mode("append").parquet(out)
+def capture_stream(updates: DataFrame, steps: DataFrame, messages: DataFrame, home: str | None = None) -> DataFrame:
+    """Nested trajectories of the runs that have ended, captured as their updates arrive.
 
-    rows = drain(updates, "append", upsert)
-    n = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("at")))
-    return rows.withColumn("n", n).where("n = 1").drop("n")
+    ``updates`` is a stream of run_id, agent_id, status, stop_reason, created_at, completed_at and ``at``; ``steps`` and
+    ``messages`` are tables (see ``build_trajectories``), of which a batch reads what its runs need.  A run that is updated again is
+    captured again: its newest update counts, in whatever batch it came.
+    """
+    spark, home = updates.sparkSession, home or new_home(updates.sparkSession)
+    columns = updates.columns
+
+    def write(batch: DataFrame, i: int, home: str) -> None:
+        newest = batch.groupBy("run_id").agg(F.max_by(F.struct(*columns), "at").alias("u")).select("u.*")
+        newest.write.mode("overwrite").parquet(f"{home}/runs/{i}")
+        runs = spark.read.schema(updates.schema).parquet(f"{home}/runs/{i}")
+        mine = lambda rows: rows.join(small(runs.select("run_id")), "run_id", "left_semi")
+        nested = build_trajectories(runs, mine(steps), mine(messages))
+        write_batch(nested.join(small(runs.select("run_id", "at")), "run_id"), i, home)
+
+    run_all(updates.where(F.col("status").isin(*TERMINAL)), "append", home, write)
+    shape = build_trajectories(spark.createDataFrame([], updates.schema), steps, messages).schema.add("at", updates.schema["at"].dataType)
+    rows = table(spark, home, shape, numbered="__batch")
+    newest = rows.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "run_id"]), F.struct("at", "__batch")).alias("r"))
+    return newest.select("run_id", "r.agent_id", "r.metadata", "r.turns", "r.outcome")
 
 
-def ingest_once(spark: SparkSession, path: str) -> DataFrame:
+def ingest_once(spark: SparkSession, path: str, home: str | None = None) -> DataFrame:
     """Events that may arrive again within the watermark, kept once by id."""
     twice = source(spark, path).withColumn("again", F.explode(F.array(F.lit(1), F.lit(2))))
-    return drain(twice.withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["event_id"]), "append")
+    return drain(twice.withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["event_id"]), "append", home)
 
 
 # Fixed value: how a record says that it gave up.
@@ -120,16 +197,17 @@ def status_stream(spark: SparkSession, path: str, retries: int = 3) -> DataFrame
     return latest(drain(status_machine(attempts, retries), "append")).withColumnRenamed("id", "user_id")
 
 
-def daily_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Daily counts and mean values as a live table."""
-    days = source(spark, path).withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"), F.avg("value").alias("avg_score"))
-    return drain(days.select(F.to_date("window.start").alias("day"), "n", "avg_score"), "complete")
+def daily_stream(events: DataFrame, late: str = "2 days", home: str | None = None, seen: list | None = None) -> DataFrame:
+    """Daily counts and mean values as a live table of a stream (ts, value).  Days that ended more than ``late`` before the
+    newest event are final: their state is dropped, and so is what comes for them."""
+    days = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"), F.avg("value").alias("avg_score"))
+    return live(days.select(F.to_date("window.start").alias("day"), "n", "avg_score"), ["day"], home, seen)
 
 
-def latency_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Counts per type and six-hour window as a live table."""
-    w = source(spark, path).withWatermark("ts", "1 day").groupBy("event_type", F.window("ts", "6 hours")).agg(F.count("*").alias("n"))
-    return drain(w.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n"), "complete")
+def latency_stream(events: DataFrame, late: str = "1 day", home: str | None = None, seen: list | None = None) -> DataFrame:
+    """Counts per type and six-hour window as a live table of a stream (event_type, ts)."""
+    w = events.withWatermark("ts", late).groupBy("event_type", F.window("ts", "6 hours")).agg(F.count("*").alias("n"))
+    return live(w.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n"), ["event_type", "start"], home, seen)
 
 
 # Kinds of chunks that end a run.
@@ -181,10 +259,10 @@ def chunk_stream(spark: SparkSession, path: str, after: int = 0) -> DataFrame:
     return replay(drain(ordered_chunks(stream), "append"), after)
 
 
-def latest_status(spark: SparkSession, path: str) -> DataFrame:
+def latest_status(spark: SparkSession, path: str, home: str | None = None) -> DataFrame:
     """The latest polled status of each batch."""
     polls = source(spark, path).groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"))
-    return drain(polls, "complete")
+    return live(polls, ["user_id"], home)
 
 
 # From which statuses a file may come to each; the final ones; what a file that stopped moving is told.
@@ -193,38 +271,61 @@ FINAL = ("completed", "error")
 TIMED_OUT = "Processing timed out"
 
 
-def file_stream(spark: SparkSession, path: str, minutes: int = 30) -> DataFrame:
-    """File status with legal steps and a timer: each file (here a user) begins as pending; an event asks for a status, by
-    its type, and is refused unless the step is legal; a file that is not final and hears nothing for ``minutes`` of event
-    time ends in error.  Gives status, error and how many updates were refused."""
+def asked_for(file: tuple, events: list[tuple], wait: int) -> tuple:
+    """A file (status, error, refused, last) after events (ms, id, asked) in order."""
+    status, error, refused, last = file
+    for ms, _, asked in events:
+        if status not in FINAL and last and ms - last > wait:
+            status, error = "error", TIMED_OUT
+        if status in STEPS[asked] and not (status in FINAL and asked != status):
+            status, error = asked, "asked to fail" if asked == "error" else None
+        else:
+            refused += 1
+        last = max(last, ms)
+    return status, error, refused, last
+
+
+def file_machine(events: DataFrame, minutes: int = 30, late: str = "1 hour") -> DataFrame:
+    """A stream of requests (id, event_id, ts, asked) as rows (id, status, error, refused, step), the last step of each id
+    being its present state.
+
+    Each file begins as pending; a request is refused unless its step is legal; a file that is not final and hears nothing for
+    ``minutes`` of event time ends in error.  Requests count in order of event time, whatever batch they come in: those newer
+    than the watermark, which trails the newest event by ``late``, wait in the file's state, and what is told of it meanwhile
+    is provisional.  What is later than that counts when it comes.
+    """
     wait = minutes * 60_000
-    schema = "user_id bigint, status string, error string, refused bigint, step bigint"
+    names = ["id", "status", "error", "refused", "step"]
+    schema = T.StructType([T.StructField("id", events.schema["id"].dataType), *T.StructType.fromDDL("status string, error string, refused bigint, step bigint").fields])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        status, error, refused, last = state.get if state.exists else ("pending", None, 0, 0)
-        if state.hasTimedOut:
-            state.update(("error", TIMED_OUT, refused, last))
-            yield pd.DataFrame([(key[0], "error", TIMED_OUT, refused, last + 1)], columns=["user_id", "status", "error", "refused", "step"])
-            return
-        rows = sorted((int(ms), int(e), asked) for b in batches for ms, e, asked in zip(b["ms"], b["event_id"], b["asked"], strict=True))
-        for ms, _, asked in rows:
-            if status not in FINAL and ms - last > wait and last:
-                status, error = "error", TIMED_OUT
-            if status in STEPS[asked] and not (status in FINAL and asked != status):
-                status, error = asked, "asked to fail" if asked == "error" else None
-            else:
-                refused += 1
-            last = max(last, ms)
-        state.update((status, error, refused, last))
-        if status not in FINAL:
-            state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], status, error, refused, last)], columns=["user_id", "status", "error", "refused", "step"])
+        *file, told, waiting = state.get if state.exists else ("pending", None, 0, 0, 0, [])
+        now = state.getCurrentWatermarkMs()
+        rows = [tuple(w) for w in waiting] + [(int(ms), int(e), asked) for b in batches for ms, e, asked in zip(b["ms"], b["event_id"], b["asked"], strict=True)]
+        rows.sort()
+        sure = [r for r in rows if r[0] <= now]
+        file, rest = asked_for(tuple(file), sure, wait), rows[len(sure) :]
+        status, error, refused, last = file
+        if status not in FINAL and last and last + wait < now:  # all that is left is newer still
+            file = status, error, refused, last = "error", TIMED_OUT, refused, last
+        state.update((*file, told + 1, rest))
+        due = [rest[0][0]] if rest else [last + wait] if status not in FINAL else []
+        if due:
+            state.setTimeoutTimestamp(max(due[0], now + 1))
+        status, error, refused, _ = asked_for(file, rest, wait)
+        yield pd.DataFrame([(key[0], status, error, refused, told + 1)], columns=names)
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    rows = events.withWatermark("ts", late).select("id", "event_id", "ts", F.unix_millis("ts").alias("ms"), "asked")
+    held = "status string, error string, refused bigint, last bigint, told bigint, waiting array<struct<ms:bigint,event_id:bigint,asked:string>>"
+    return rows.groupBy("id").applyInPandasWithState(step, schema, held, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def file_stream(spark: SparkSession, path: str, minutes: int = 30, late: str = "1 hour", home: str | None = None) -> DataFrame:
+    """Every user as a file: each event asks for a status, by its type.  Gives status, error and refused requests."""
     kind = F.col("event_type")
     asked = F.when(kind == "view", "parsing").when(kind == "click", "embedding").when(kind == "purchase", "completed").when(F.col("value") > 100, "error").otherwise("parsing")
-    events = source(spark, path).withWatermark("ts", "0 seconds").select("user_id", "event_id", "ts", F.unix_millis("ts").alias("ms"), asked.alias("asked"))
-    rows = events.groupBy("user_id").applyInPandasWithState(step, schema, "status string, error string, refused bigint, last bigint", "update", GroupStateTimeout.EventTimeTimeout)
-    done = drain(rows, "update")
-    return done.groupBy("user_id").agg(F.max_by(F.struct("status", "error", "refused"), "step").alias("s")).select("user_id", "s.*")
+    events = source(spark, path).select(F.col("user_id").alias("id"), "event_id", "ts", asked.alias("asked"))
+    done = drain(file_machine(events, minutes, late), "update", home)
+    return done.groupBy(F.col("id").alias("user_id")).agg(F.max_by(F.struct("status", "error", "refused"), "step").alias("s")).select("user_id", "s.*")
