@@ -193,12 +193,18 @@ def test_context_block_format(spark):
     assert got[2] == "## Anti-Patterns to Avoid\n\nThe following approaches led to poor outcomes:\n\n### Example 1 (similarity: 0.25, outcome: ✗ Failed)\n**Action**: x\n**Result**: Failed\n"
 
 
+def scored(queries, rows):
+    """Each query with each row that has a vector, and their cosine: all pairs of small tables."""
+    pairs = rows.where("embedding is not null").crossJoin(queries)
+    return pairs.withColumn("similarity", X.cosine("query_embedding", "embedding"))
+
+
 def test_nearest_equals_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(f"r{i:03d}", [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(300)] + [("none", None), ("zero", [0.0] * 6)]
     df = spark.createDataFrame(rows, "trajectory_id string, embedding array<double>").repartition(5)
     q = df.where("trajectory_id like 'r00%' or trajectory_id = 'zero'").select(F.col("trajectory_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    exact = S.scored(q, df).withColumn("similarity", F.round("similarity", 6))
+    exact = scored(q, df).withColumn("similarity", F.round("similarity", 6))
     for block in (1000, 3):
         monkeypatch.setattr(S.blocks, "__defaults__", (block,))
         want = sorted((r.query_id, r["rank"], r.trajectory_id, r.similarity) for r in S.best(exact, 7).collect())
@@ -298,13 +304,79 @@ def test_half_even_start(spark):
     assert [r.kept for r in T.partial_evict(rows, 0.5).orderBy("sequence_id").collect()] == [True, False, True, True, True]
 
 
-def test_inverted_lists_recall(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").cast("string").alias("trajectory_id"), "embedding")
+def test_inverted_lists_are_pruned(spark, tmp_path):
+    """A query opens the files of its own lists alone; neighbours at a boundary are found on its other side."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").cast("string").alias("trajectory_id"), "embedding")
     queries = rows.where("cast(trajectory_id as int) % 50 = 0").select(F.col("trajectory_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    model, indexed = S.inverted_lists(rows, 16)
+    path, centres = str(tmp_path / "lists"), S.centres_of(rows, 64)
+    S.write_lists(rows, centres, path)
+    stored = spark.read.parquet(path)
+    assert stored.select("k").distinct().count() == rows.count() and rows.count() < stored.count() <= 4 * rows.count()
     exact = S.nearest(queries, rows, 10)
-    assert S.recall(S.probe(queries, indexed, model, 13, 10), exact).first().recall >= 0.9
-    assert indexed.count() == rows.count()
+    found = S.probe(queries, path, centres, 16, 10)
+    assert S.recall(found, exact).first().recall >= 0.9
+    assert found.groupBy("query_id", "trajectory_id").count().where("count > 1").count() == 0
+    one_ = queries.limit(1).collect()[0]
+    near = np.argsort(-S.similarities("cosine", centres, np.array([one_.query_embedding], float)), axis=1)[0, :16]
+    read = S.read_lists(spark, path, near)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list#" in plan or "PartitionFilters: [isnotnull(list#" in plan
+    rows_read, whole = read.select("k"), stored.select("k")
+    rows_read.collect(), whole.collect()
+    scan = lambda df: df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics()
+    opened, everything = (scan(df).apply("numPartitions").value() for df in (rows_read, whole))
+    assert 0 < opened <= 16 < everything
+    # clear clusters need no copies
+    apart = spark.createDataFrame([(str(i), [1.0 if j == i % 4 else 0.01 * (i % 3) for j in range(4)]) for i in range(80)], "trajectory_id string, embedding array<double>")
+    S.write_lists(apart, S.centres_of(apart, 4), str(tmp_path / "apart"))
+    assert spark.read.parquet(str(tmp_path / "apart")).count() == 80
+
+
+def plain_bm25(docs, query, k1=1.2, b=0.75):
+    import math
+
+    cut = {i: [w for w in re.split(r"\W+", (t or "").lower()) if w] for i, t in docs}
+    mean, terms = sum(map(len, cut.values())) / len(cut), set(w for w in re.split(r"\W+", query.lower()) if w)
+    df = {t: sum(t in w for w in cut.values()) for t in terms}
+    out = []
+    for i, w in cut.items():
+        s = sum(math.log(1 + (len(cut) - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * (k1 + 1) / (w.count(t) + k1 * (1 - b + b * len(w) / mean)) for t in terms)
+        if s > 0:
+            out.append((-round(s, 6), i))
+    return sorted(out)
+
+
+def test_bm25_best_k_equal_the_full_ranking(spark, monkeypatch):
+    """Several queries, stop words among them, over blocks of rows and of queries; no posting is shuffled."""
+    rng = random.Random(11)
+    often, seldom = ["the", "of", "and", "é"], [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choice(often if rng.random() < 0.6 else seldom) for _ in range(rng.randint(0, 40)))) for i in range(700)] + [(700, None), (701, "W1 w1. THE w1"), (702, "")]
+    queries = [("q1", "the w1 W2"), ("q2", "w5"), ("q3", "zzz"), ("q4", "of the and é"), ("q5", ""), ("q6", None), ("q7", " ".join(seldom[:30]))]
+    df, q = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), spark.createDataFrame(queries, "query_id string, query string")
+    for rows, block in ((512, 1000), (7, 1000), (64, 2)):
+        monkeypatch.setattr(S, "BOUND_ROWS", rows)
+        monkeypatch.setattr(S.blocks, "__defaults__", (block,))
+        got = S.bm25(df, q, 9)
+        have = {}
+        for r in got.orderBy("query_id", "rank").collect():
+            have.setdefault(r.query_id, []).append((r.doc_id, r.score))
+        want = {i: [(d, -s) for s, d in plain_bm25(docs, text)[:9]] for i, text in queries if text}
+        for i, found in want.items():
+            assert [d for d, _ in have.get(i, [])] == [d for d, _ in found]
+            assert all(abs(x - y) < 2e-6 for (_, x), (_, y) in zip(have.get(i, []), found, strict=True))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan and "hashpartitioning(query_id" in plan
+    assert S.bm25(df.where("false"), q, 3).count() == 0 and S.bm25(df, q.where("false"), 3).count() == 0
+
+
+def test_bounds_skip_blocks_of_rows():
+    """A query that has its k best looks at no block whose weights cannot reach them."""
+    import pyarrow as pa
+
+    words = [["a", "b"]] * 3 + [["a"] + ["x"] * 30] * 500
+    batch = pa.record_batch({"k": list(range(len(words))), "w": words})
+    (out,) = S._best_texts(iter([batch]), ["a", "b"], ["q"], [np.array([0, 1])], np.array([0.5, 2.0]), 5.0, 3, 1.2, 0.75, 6, "k")
+    assert out.column(1).to_pylist() == [0, 1, 2]
 
 
 def test_v26_finds_neighbours_of_all_stated_queries(spark, monkeypatch):
@@ -314,7 +386,7 @@ def test_v26_finds_neighbours_of_all_stated_queries(spark, monkeypatch):
     queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     got = registry.QUERIES["v26_ivf"](spark, sf).cache()
     assert {r.query_id for r in got.select("query_id").distinct().collect()} == {r.query_id for r in queries.select("query_id").collect()}
-    assert S.recall(got, S.best(S.scored(queries, t.v_trajectories), 10)).first().recall >= 0.9
+    assert S.recall(got, S.best(scored(queries, t.v_trajectories), 10)).first().recall >= 0.9
 
 
 def test_nest_and_flatten_are_inverse(spark):

@@ -41,12 +41,6 @@ def small(side: DataFrame) -> DataFrame:
     return side.hint("broadcast" if side.count() <= BROADCAST_ROWS else "merge")
 
 
-def scored(queries: DataFrame, rows: DataFrame, query_vector: str = "query_embedding", vector: str = "embedding") -> DataFrame:
-    """Each query with each row that has a vector, and their cosine: all pairs, for checks on small tables only."""
-    pairs = [rows.where(F.col(vector).isNotNull()).join(F.broadcast(b), F.lit(True)) for b in blocks(queries, queries.columns[0])]
-    return reduce(DataFrame.unionByName, pairs).withColumn("similarity", X.cosine(query_vector, vector))
-
-
 def similarities(kind: str, q: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Of every query (rows of ``q``) with every row of ``r``: cosine, or 1 / (1 + Euclidean distance)."""
     dot = r @ q.T
@@ -171,22 +165,89 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w != "")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score): Robertson's BM25 of each query's terms.  docs: doc_id, text; queries: query_id, query.
+#: Rows that share one upper bound.
+BOUND_ROWS = 512
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, places: int = 6) -> DataFrame:
+    """(query_id, key, score, rank): the k best rows for each query (query_id, query) by Robertson's BM25, ties by key;
+    scores are rounded to ``places``.
 
-    Only the queries' terms are counted, so the term table has a row for each match, not for each word.  Lengths are
-    counted without cutting the texts up.
+    The queries' terms travel to the rows, a counted block of queries at a time, so no posting is shuffled, however frequent
+    its term.  A first pass counts rows, lengths and the terms' document frequencies, a few numbers a task.  In the second
+    one every ``BOUND_ROWS`` rows get the largest weight that each term has among them; a query whose weights add up to less
+    than its k-th best so far skips the block.  A task returns k rows a query.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    text = F.coalesce("text", F.lit(""))
-    total = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(text), F.lit(r"(?U)\w+"))).alias("avg_len"))
-    words = docs.select("doc_id", tokens(text).alias("w")).select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term"))
-    tf = words.join(small(wanted.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = tf.join(df.hint("merge"), "term").join(F.broadcast(total))  # one row
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return weighed.withColumn("part", part).join(wanted.hint("merge"), "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    spark = queries.sparkSession
+    plain = docs.select(F.col(key).alias("k"), tokens(F.coalesce(text, F.lit(""))).alias("w"))
+    fields = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField(key, docs.schema[key].dataType), T.StructField("score", T.DoubleType())]
+    found = None
+    for block in blocks(queries.select("query_id", "query"), "query_id"):
+        held = block.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("w")).where("w is not null").collect()  # a block
+        terms = sorted({w for r in held for w in r.w})
+        if not terms:
+            continue
+        place = {w: i for i, w in enumerate(terms)}
+        asked = spark.sparkContext.broadcast((terms, [r.query_id for r in held], [np.array(sorted(place[w] for w in r.w), np.int64) for r in held]))
+        counted = plain.select("w").mapInArrow(lambda batches, s=asked: _term_counts(batches, s.value[0]), "term int, n bigint")
+        n = {r.term: r.n for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row for each term
+        rows, words = n.get(-1, 0), n.get(-2, 0)
+        if not rows:
+            continue
+        df = np.array([n.get(i, 0) for i in range(len(terms))], float)
+        idf, mean = np.log(1 + (rows - df + 0.5) / (df + 0.5)), words / rows
+        part = plain.mapInArrow(lambda batches, s=asked, idf=idf, mean=mean: _best_texts(batches, *s.value, idf, mean, k, k1, b, places, key), T.StructType(fields))
+        found = part if found is None else found.unionByName(part)
+    return best(spark.createDataFrame([], T.StructType(fields)) if found is None else found, k, score="score", tie=key)
+
+
+def _matches(column: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists of words: the lists' lengths, and for each word among ``terms`` its list and its term."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    term = pc.fill_null(pc.index_in(pc.list_flatten(column), value_set=terms), -1).to_numpy(zero_copy_only=False)
+    on = np.flatnonzero(term >= 0)
+    return sizes, np.repeat(np.arange(len(sizes)), sizes)[on], term[on].astype(np.int64)
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
+    """How many rows have each term, by its place; as -1 and -2, how many rows and words there are."""
+    known, df, rows, words = pa.array(terms), np.zeros(len(terms), np.int64), 0, 0
+    for batch in batches:
+        sizes, row, term = _matches(batch.column(0), known)
+        rows, words = rows + len(sizes), words + int(sizes.sum())
+        df += np.bincount(np.unique(row * len(terms) + term) % len(terms), minlength=len(terms))
+    at = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2]), pa.int32()), pa.array(np.append(df[at], [rows, words]))], names=["term", "n"])
+
+
+def _best_texts(batches: Iterator[pa.RecordBatch], terms: list[str], ids: list, wanted: list[np.ndarray], idf: np.ndarray, mean: float, k: int, k1: float, b: float, places: int, key: str) -> Iterator[pa.RecordBatch]:
+    known = pa.array(terms)
+    kept: list[list[tuple]] = [[] for _ in ids]
+    for batch in batches:
+        for lo in range(0, batch.num_rows, BOUND_ROWS):
+            part = batch.slice(lo, BOUND_ROWS)
+            sizes, row, term = _matches(part.column(1), known)
+            if not len(term):
+                continue
+            pairs, tf = np.unique(row * len(terms) + term, return_counts=True)
+            row, term = pairs // len(terms), pairs % len(terms)
+            here = np.unique(term)  # the terms of this block, as columns
+            column = np.full(len(terms), -1)
+            column[here] = np.arange(len(here))
+            weight = np.zeros((part.num_rows, len(here)))
+            weight[row, column[term]] = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[row] / mean))
+            most, names = weight.max(axis=0), None
+            for q, mine in enumerate(wanted):
+                at = column[mine]
+                at = at[at >= 0]
+                if not len(at) or (len(kept[q]) == k and round(float(most[at].sum()) + 1e-9, places) < -kept[q][-1][0]):
+                    continue
+                score = weight[:, at].sum(axis=1)
+                on = np.flatnonzero(score > 0)
+                names = names or part.column(0).to_pylist()
+                kept[q] = sorted(kept[q] + [(-s, names[i]) for s, i in zip(np.round(score[on], places).tolist(), on.tolist(), strict=True)])[:k]
+    flat = [(i, name, -s) for i, found in zip(ids, kept, strict=True) for s, name in found]
+    yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in flat]) for j in range(2)] + [pa.array([x[2] for x in flat], pa.float64())], names=["query_id", key, "score"]) if flat else pa.RecordBatch.from_arrays([pa.nulls(0), pa.nulls(0), pa.nulls(0)], names=["query_id", key, "score"])
 
 
 def reciprocal_rank_fusion(first: DataFrame, second: DataFrame, k: int, key: str = "id", weights: tuple[float, float] = (0.5, 0.5), constant: int = 60, by: Sequence[str] = ()) -> DataFrame:
@@ -194,7 +255,7 @@ def reciprocal_rank_fusion(first: DataFrame, second: DataFrame, k: int, key: str
     a = first.select(*by, key, F.col("rank").alias("rank_a"))
     c = second.select(*by, key, F.col("rank").alias("rank_b"))
     part = lambda col, w: F.coalesce(F.lit(float(w)) / (constant + F.col(col)), F.lit(0.0))
-    both = a.join(c, [*by, key], "full_outer").withColumn("score", part("rank_a", weights[0]) + part("rank_b", weights[1]))
+    both = a.hint("merge").join(c.hint("merge"), [*by, key], "full_outer").withColumn("score", part("rank_a", weights[0]) + part("rank_b", weights[1]))
     if by:
         return best(both, k, by, "score", key)
     return both.orderBy(F.desc("score"), key).limit(k)
@@ -219,7 +280,7 @@ def search(rows: DataFrame, queries: DataFrame, mode: str, k: int, key: str, tex
         ranks = small(queries.select("query_id")).join(F.broadcast(newest)).withColumns({"vector_rank": none, "fts_rank": none})
         return ranks.select("query_id", key, "rank", (F.lit(1.0) / F.col("rank")).alias("score"), "vector_rank", "fts_rank")
     by_vector = nearest(queries, rows, k, key=key, vector=vector).select("query_id", key, "rank") if mode != "fts" else None
-    by_text = best(bm25(rows.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), queries).withColumnsRenamed({"doc_id": key}).withColumn("score", F.round("score", 6)), k, score="score", tie=key).select("query_id", key, "rank") if mode != "vector" else None
+    by_text = bm25(rows, queries, k, key, text).select("query_id", key, "rank") if mode != "vector" else None
     if mode == "hybrid":
         fused = reciprocal_rank_fusion(by_vector, by_text, k, key, weights, by=["query_id"])
         return fused.select("query_id", key, "rank", "score", F.col("rank_a").alias("vector_rank"), F.col("rank_b").alias("fts_rank"))
@@ -346,29 +407,55 @@ def rule_applied(record: Column, rule: str) -> Column:
 
 
 # ---------------------------------------------------------------------------------------------------- vectors
-def inverted_lists(rows: DataFrame, lists: int, seed: int = 7, sample: int = 20_000):
-    """(fitted KMeans model, rows with ``list``): vectors dealt to the nearest of ``lists`` centres.
-
-    The centres are fitted to at most about ``sample`` vectors, drawn by a hash; every row is indexed.
-    """
+def centres_of(rows: DataFrame, lists: int, seed: int = 7, sample: int = 20_000, key: str = "trajectory_id") -> np.ndarray:
+    """Centres of ``lists`` clusters of directions, fitted to at most about ``sample`` vectors, drawn by a hash."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    with_vector = rows.where("embedding is not null").withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
+    with_vector = rows.where("embedding is not null")
     n = max(1, with_vector.count())
-    drawn = with_vector.where(F.pmod(F.xxhash64("trajectory_id"), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20)))
-    model = KMeans(k=lists, seed=seed, maxIter=20, distanceMeasure="cosine", predictionCol="list").fit(drawn)
-    return model, model.transform(with_vector).drop("features")
+    drawn = with_vector.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20)))
+    model = KMeans(k=lists, seed=seed, maxIter=20, distanceMeasure="cosine").fit(drawn.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features")))
+    return np.array([[float(x) for x in c] for c in model.clusterCenters()])
+
+
+def write_lists(rows: DataFrame, centres: np.ndarray, path: str, copies: int = 4, margin: float = 0.3, key: str = "trajectory_id") -> None:
+    """Every row with a vector into the lists of its nearest centres: always the nearest one, and up to ``copies`` in all
+    whose cosine is within ``margin`` of that, so that vectors near a boundary are on both of its sides.
+
+    The table is partitioned by list, and each list is dealt to as many files as it fills.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = pc.list_flatten(batch.column(1)).to_numpy(zero_copy_only=False)
+            near = similarities("cosine", shared.value, flat.reshape(batch.num_rows, -1))
+            order = np.argsort(-near, axis=1, kind="stable")[:, :copies]
+            best_ = np.take_along_axis(near, order, axis=1)
+            in_ = best_ >= best_[:, :1] - margin
+            lists = pa.array([o[i].tolist() for o, i in zip(order, in_, strict=True)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["k", "v", "lists"])
+
+    plain = rows.where("embedding is not null").select(F.col(key).alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+    schema = T.StructType([*plain.schema.fields, T.StructField("lists", T.ArrayType(T.IntegerType()))])
+    dealt = plain.mapInArrow(deal, schema).select("k", "v", F.explode("lists").alias("list"))
+    dealt.hint("rebalance", "list").write.partitionBy("list").parquet(path)
 
 
-def probe(queries: DataFrame, indexed: DataFrame, model, nprobe: int, k: int) -> DataFrame:
+def read_lists(spark, path: str, lists: Sequence[int]) -> DataFrame:
+    """Rows (k, v, list) of some lists; no file of another one is opened."""
+    return spark.read.parquet(path).where(F.col("list").isin([int(x) for x in lists])).select("list", "k", "v")
+
+
+def probe(queries: DataFrame, path: str, centres: np.ndarray, nprobe: int, k: int, key: str = "trajectory_id", key_type: str = "string") -> DataFrame:
     """Top k of each query within its ``nprobe`` nearest lists, by exact cosine.
 
-    Rows go through once for each block of queries; a task multiplies the rows of a list with the queries that probe it.
+    Queries go in blocks; a block reads the lists that one of its queries asks for, and a
+    task multiplies the rows of a list with the queries that probe it.
     """
-    centres = np.array([[float(x) for x in c] for c in model.clusterCenters()])
-    plain = indexed.select("list", F.col("trajectory_id").alias("k"), F.col("embedding").cast("array<double>").alias("v"))
-    fields = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("trajectory_id", indexed.schema["trajectory_id"].dataType), T.StructField("similarity", T.DoubleType())]
+    spark = queries.sparkSession
+    fields = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField(key, T._parse_datatype_string(key_type)), T.StructField("similarity", T.DoubleType())]
     found = None
     for block in blocks(queries, "query_id"):
         held = block.select("query_id", F.col("query_embedding").cast("array<double>").alias("v")).where("v is not null").collect()  # a block
@@ -376,10 +463,13 @@ def probe(queries: DataFrame, indexed: DataFrame, model, nprobe: int, k: int) ->
             continue
         q = np.array([r.v for r in held])
         near = np.argsort(-similarities("cosine", centres, q), axis=1, kind="stable")[:, :nprobe]
-        shared = queries.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in held], object), q, near))
-        part = plain.mapInArrow(lambda batches, s=shared: _probed(batches, *s.value, k), T.StructType(fields))
+        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in held], object), q, near))
+        part = read_lists(spark, path, np.unique(near)).mapInArrow(lambda batches, s=shared: _probed(batches, *s.value, k), T.StructType(fields))
         found = part if found is None else found.unionByName(part)
-    return best(queries.sparkSession.createDataFrame([], T.StructType(fields)) if found is None else found, k)
+    if found is None:
+        return best(spark.createDataFrame([], T.StructType(fields)), k, tie=key)
+    once = found.groupBy("query_id", key).agg(F.max("similarity").alias("similarity"))  # copies of a row in several lists
+    return best(once, k, tie=key)
 
 
 def _probed(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, near: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
@@ -392,9 +482,10 @@ def _probed(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, n
                 part = pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(rows)) for i in (1, 2)], names=["k", "v"])
                 (out,) = _best_of_task(iter([part]), ids[who].tolist(), q[who], k, "cosine", "trajectory_id", None, 15)
                 for i, name, s in zip(*(c.to_pylist() for c in out.columns), strict=True):
-                    kept.setdefault(i, []).append((-s, name))
-        kept = {i: sorted(x)[:k] for i, x in kept.items()}
-    flat = [(i, name, -s) for i, x in kept.items() for s, name in x]
+                    mine = kept.setdefault(i, {})
+                    mine[name] = max(s, mine.get(name, s))
+        kept = {i: dict(sorted(x.items(), key=lambda e: (-e[1], e[0]))[:k]) for i, x in kept.items()}
+    flat = [(i, name, s) for i, x in kept.items() for name, s in x.items()]
     yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in flat], type=t) for j, t in enumerate((pa.array(ids.tolist()).type, pa.string(), pa.float64()))], names=["query_id", "trajectory_id", "similarity"])
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import expressions as X
 from ..operators import listing as L
 from ..operators import search as S
+from ..streaming import jobs
 from .decision_queries import decisions
 from .registry import query
 
@@ -147,12 +150,13 @@ def v13(t):
 
 
 @query("v14_bm25", """with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda w: w <> '') as w from documents), q as (select item_id as query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda w: w <> ''))) as term from benchmark where item_id % 50 = 0),
-s as (select count(*) as n, avg(len(w)) as a from d), x as (select doc_id, len(w) as l, unnest(w) as term from d), f as (select doc_id, l, term, count(*) as tf from x where term in (select term from q) group by all), g as (select term, count(*) as df from f group by 1)
-select query_id, doc_id, round(sum(ln(1+(n-df+0.5)/(df+0.5))*tf*2.2/(tf+1.2*(0.25+0.75*l/a))), 6) as score from f join g using (term) join q using (term), s group by 1, 2""")
+s as (select count(*) as n, avg(len(w)) as a from d), x as (select doc_id, len(w) as l, unnest(w) as term from d), f as (select doc_id, l, term, count(*) as tf from x where term in (select term from q) group by all), g as (select term, count(*) as df from f group by 1),
+r as (select query_id, doc_id, round(sum(ln(1+(n-df+0.5)/(df+0.5))*tf*2.2/(tf+1.2*(0.25+0.75*l/a))), 6) as score from f join g using (term) join q using (term), s group by 1, 2)
+select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r) where rank <= 10""")
 def v14(t):
-    """Benchmark texts whose id is divisible by 50 as queries over all documents."""
+    """The ten best documents for each benchmark text whose id is divisible by 50."""
     queries = t.benchmark.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return S.bm25(t.documents, queries).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return S.bm25(t.documents, queries, 10)
 
 
 @query("v15_vector_mode", "select query_id, trajectory_id, similarity from (" + TOP.format(more="1 as m", where="true") + ") where rank<=25")
@@ -282,11 +286,13 @@ def v25(t):
 
 @query("v26_ivf")
 def v26(t):
-    """Inverted lists: found neighbours of every row whose id is divisible by 50, with the exact similarity."""
+    """Inverted lists, a quarter of which each query reads: found neighbours of every row whose id is divisible by 50."""
     queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     rows = t.v_trajectories.select("trajectory_id", "embedding")
-    model, indexed = S.inverted_lists(rows, 16)
-    return S.probe(queries, indexed, model, 13, 10).select("query_id", "trajectory_id", "similarity", "rank")
+    path = f"{jobs.shared_dir(t.spark)}/lists-{uuid.uuid4().hex}"
+    centres = S.centres_of(rows, 64)
+    S.write_lists(rows, centres, path)
+    return S.probe(queries, path, centres, 16, 10).select("query_id", "trajectory_id", "similarity", "rank")
 
 
 @query("v27_embed")
