@@ -8,6 +8,7 @@ by trajectory serves them.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -252,3 +253,21 @@ def run_extractors(tables: DataFrame, extractors: dict[str, Callable[[DataFrame]
         part = extractors[name](tables).withColumn("extractor", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return first_seen(out, ["trajectory_id", "entity_id"], ["extractor", "name"])
+
+
+def extract_into(spark, tables: DataFrame, extractors: dict[str, Callable[[DataFrame], DataFrame]], path: str, keys: Sequence[str] = ("trajectory_id", "entity_id")) -> int:
+    """Runs a registry over ``tables`` and adds to the store at ``path`` the entities that it lacks, by ``keys``; how many
+    those are.  What is stored keeps its first extractor and name, and no stored file is written again."""
+    found = run_extractors(tables, extractors)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        known = spark.read.schema(found.schema).parquet(path).select(*keys)
+        found = found.join(known.hint("merge"), list(keys), "left_anti").select(*found.columns)
+    stage = f"{path}.new-{uuid.uuid4().hex}"
+    found.write.parquet(stage)
+    new = spark.read.schema(found.schema).parquet(stage)
+    n = new.count()
+    if n:
+        new.write.mode("append").parquet(path)
+    return n

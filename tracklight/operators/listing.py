@@ -238,8 +238,13 @@ def counted(left: DataFrame, counts: DataFrame, key: str, name: str) -> DataFram
     return left.join(counts, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
-def bulk_update(rows: DataFrame, updates: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """New values where a key was updated, old ones elsewhere."""
+def bulk_update(rows: DataFrame, updates: DataFrame, keys: Sequence[str], columns: Sequence[str], strict: bool = False) -> DataFrame:
+    """New values where a key was updated, old ones elsewhere.  ``strict`` refuses updates of unknown keys, as one error."""
+    if strict:
+        lost = updates.join(rows.select(*keys), list(keys), "left_anti").select(*keys).distinct()
+        n, some = lost.count(), [tuple(r) for r in lost.orderBy(*keys).limit(5).collect()]
+        if n:
+            raise LookupError(f"{n} updates name no row, as {some}")
     new = updates.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns])
     out = rows.join(new, list(keys), "left")
     return out.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*[f"__{c}" for c in columns])
@@ -252,6 +257,16 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep: str = "new") -> DataF
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def delete_with_dependants(rows: DataFrame, doomed: DataFrame, key: str, dependants: Sequence[tuple[DataFrame, str]] = (), spare: DataFrame | None = None) -> list[DataFrame]:
+    """``rows`` without the doomed keys (but for the spared ones), and each dependant table without the rows whose foreign
+    key (named beside it) points at one that went.  Rows that point nowhere stay."""
+    gone = doomed.select(key) if spare is None else doomed.select(key).join(spare.select(key), key, "left_anti")
+    out = [rows.join(gone, key, "left_anti")]
+    for table, foreign in dependants:
+        out.append(table.join(gone.select(F.col(key).alias(foreign)), foreign, "left_anti").select(*table.columns))
+    return out
+
+
 def delete_set(rows: DataFrame, doomed: DataFrame, key: str, spare: DataFrame | None = None) -> DataFrame:
     """Rows without the doomed keys, but for the spared ones."""
     gone = doomed.select(key) if spare is None else doomed.select(key).join(spare.select(key), key, "left_anti")

@@ -119,11 +119,44 @@ def middle_cut(text: Column, budget: int, head: float = 0.3, tail: float = 0.3)
     return F.when(text.isNotNull(), F.struct(F.when(whole, text).otherwise(F.concat(F.substring(text, 1, first), marker, end)).alias("text"), F.when(whole, 0).otherwise(dropped).alias("dropped")))
 
 
-def context_breakdown(messages: DataFrame, key: str = "trajectory_id") -> DataFrame:
-    """Token estimates of each conversation: system, user, assistant and total."""
-    tokens = X.token_estimate("text")
-    part = lambda role: F.sum(F.when(F.col("role") == role, tokens).otherwise(0))
-    return messages.groupBy(key).agg(part("system").alias("system"), part("user").alias("user"), part("assistant").alias("assistant"), F.sum(tokens).alias("total"))
+# Where the parts of a system text begin, and how a summary of earlier messages opens.
+PARTS = ("<base_instructions>", "<memory_blocks>", "<memory_metadata>")
+SUMMARY = "The following is a summary of the previous "
+
+
+def system_parts(text: Column) -> Column:
+    """(system, core, external) of a system text: what lies between the three marks, in their order; empty where one of the
+    marks that bound a part is missing, or comes before the one that opens it."""
+    base, core, rest = (F.coalesce(F.instr(text, m), F.lit(0)) for m in PARTS)
+    bare = lambda part: F.regexp_replace(part, r"(?U)^\s+|\s+$", "")
+    between = lambda a, b: F.when((a > 0) & (b > 0), bare(F.substring(text, a, F.greatest(F.lit(0), b - a)))).otherwise("")
+    end = F.when(rest > 0, bare(F.substring(text, rest, F.length(text)))).otherwise("")
+    return F.struct(between(base, core).alias("system"), between(core, rest).alias("core"), end.alias("external"))
+
+
+def context_breakdown(messages: DataFrame, agents: DataFrame | None = None, functions: DataFrame | None = None, key: str = "trajectory_id") -> DataFrame:
+    """Token estimates of each conversation's context: system, core, external, summary, messages, functions, and total.
+
+    The first message, if it is the system's, is cut at its marks; without them the agent's own instructions (``agents``: key,
+    system) stand for it.  A user message right after it that opens like a summary is one; all later ones are messages.
+    ``functions``: key, schema (JSON) of each tool.
+    """
+    rows = _numbered(messages, key)
+    first = (F.col("idx") == 0) & (F.col("role") == "system")
+    is_summary = (F.col("idx") == 1) & (F.col("role") == "user") & F.coalesce(F.contains("text", F.lit(SUMMARY)), F.lit(False))
+    tokens = F.coalesce(X.token_estimate("text"), F.lit(0))
+    per = rows.groupBy(key).agg(
+        F.max(F.when(first, system_parts(F.col("text")))).alias("s"), F.sum(F.when(is_summary, tokens).otherwise(0)).alias("summary"), F.sum(F.when((F.col("idx") > 0) & ~is_summary, tokens).otherwise(0)).alias("messages"),
+    )
+    own = per.withColumn("__own", F.lit("")) if agents is None else per.join(agents.select(key, F.col("system").alias("__own")).hint("merge"), key, "left")
+    if functions is None:
+        told = own.withColumn("functions", F.lit(0).cast("bigint"))
+    else:
+        told = own.join(functions.groupBy(key).agg(F.sum(X.token_estimate("schema")).alias("functions")).hint("merge"), key, "left")
+    system = F.when(F.coalesce(F.col("s.system"), F.lit("")) == "", F.coalesce("__own", F.lit(""))).otherwise(F.col("s.system"))
+    out = told.select(key, X.token_estimate(system).alias("system"), X.token_estimate(F.col("s.core")).alias("core"), X.token_estimate(F.col("s.external")).alias("external"), "summary", "messages", F.coalesce("functions", F.lit(0)).alias("functions"))
+    parts = ("system", "core", "external", "summary", "messages", "functions")
+    return out.withColumn("total", sum((F.col(p) for p in parts[1:]), F.col(parts[0])))
 
 
 def _numbered(messages: DataFrame, key: str) -> DataFrame:

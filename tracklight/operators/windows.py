@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import expressions as X
+from .listing import ranked
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
@@ -102,9 +103,16 @@ def tiers(df: DataFrame, score: str, order: Sequence[Column], k: int, high: floa
 
 
 def concurrency(calls: DataFrame, start: str, end: str, by: str) -> DataFrame:
-    """Running calls after each start or end, per group; ends count before starts at one instant."""
+    """Running calls after each start or end, per group; ends count before starts at one instant.
+
+    Starts and ends are first counted by instant; the running sum over these goes range by range (see ``ranked``), so a
+    group may be many tasks.
+    """
     steps = calls.select(by, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d")))).alias("e")).select(by, "e.*")
-    return steps.withColumn("running", F.sum("d").over(Window.partitionBy(by).orderBy("at", "d").rangeBetween(Window.unboundedPreceding, 0)))
+    at = steps.groupBy(by, "at").agg(F.sum("d").alias("__d"), F.sum(F.greatest("d", F.lit(0))).alias("__begun"))
+    summed = ranked(at, "at", [by], "__d").select(F.col(by).alias("__by"), F.col("at").alias("__at"), "__upto", "__begun")
+    met = steps.join(summed.hint("merge"), steps[by].eqNullSafe(summed["__by"]) & (steps["at"] == summed["__at"]))
+    return met.select(by, "at", "d", (F.col("__upto") - F.when(F.col("d") < 0, F.col("__begun")).otherwise(0)).alias("running"))
 
 
 def clean_conversation(messages: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import analytics as A
 from ..operators import decisions as D
+from ..streaming import jobs
 from .registry import Tables, query
 
 CALLS = ["trajectory_id", "agent_id", "organization_id", "domain_type", "ts", "event_id", "turn_index", "call_id", "action", "arguments", "confidence", "duration_ms", "pivotal", "decision_type"]
@@ -363,9 +366,30 @@ def a25(t):
     return A.run_metrics(t.v_steps, t.v_run_metrics)
 
 
-@query("a26_latency", "select action, case when duration_ms<0 then 0 when duration_ms>=2000 then 11 else cast(floor(duration_ms/200.0) as int)+1 end as bucket, count(*) as n, avg(duration_ms) as mean_value from v_tool_events where duration_ms is not null group by 1, 2")
+#: Metrics of steps, by model and whether feedback was given: times in ms, tokens, and cost in millionths.
+STEP_METRICS = """s as (select model, feedback is not null as rated, cast(prompt_tokens*2 as double) as ttft, cast(prompt_tokens*2+completion_tokens*3 as double) as llm, cast(cached_tokens*7 as double) as tool,
+cast(prompt_tokens*2+completion_tokens*3+coalesce(cached_tokens,0)*7 as double) as step, cast(prompt_tokens*5+completion_tokens*25 as double) as cost, cast(completion_tokens as double) as tokens from v_steps)"""
+BOUNDS = {"ttft": (0, 10_000, 10), "llm": (0, 15_000, 10), "tool": (0, 3_000, 10), "step": (0, 20_000, 10), "cost": (0, 50_000, 10), "tokens": (100, 1_000, 9)}
+LONG = "m as (" + " union all ".join(f"select model, rated, '{x}' as metric, {x} as value, cast({lo} as double) as lo, cast({hi} as double) as hi, {n} as k from s where {x} is not null" for x, (lo, hi, n) in BOUNDS.items()) + ")"
+
+
+def _step_metrics(t):
+    c, cached = F.col, F.coalesce("cached_tokens", F.lit(0))
+    llm = c("prompt_tokens") * 2 + c("completion_tokens") * 3
+    return t.v_steps.select("model", c("feedback").isNotNull().alias("rated"), (c("prompt_tokens") * 2).alias("ttft"), llm.alias("llm"), (c("cached_tokens") * 7).alias("tool"), (llm + cached * 7).alias("step"), (c("prompt_tokens") * 5 + c("completion_tokens") * 25).alias("cost"), c("completion_tokens").alias("tokens"))
+
+
+@query("a26_latency", f"with {STEP_METRICS}, {LONG} select model, metric, case when value<lo then 0 when value>=hi then k+1 else cast(floor((value-lo)/((hi-lo)/k)) as int)+1 end as bucket, count(*) as n, avg(value) as mean_value from m group by 1, 2, 3")
 def a26(t):
-    return A.latency(t.v_tool_events, "duration_ms", ["action"], 0, 2000, 10)
+    """Histograms of six metrics of steps by model."""
+    return A.latency(_step_metrics(t), BOUNDS, ["model"])
+
+
+@query("a26_percentiles", f"with {STEP_METRICS}, {LONG}, g as (select model, metric, count(*) as n, min(value) as least, max(value) as most, avg(value) as mean, list_sort(list(value)) as v from m group by 1, 2) select model, metric, n, least, most, mean, v[cast(ceil(0.5*n) as bigint)] as p50, v[cast(ceil(0.9*n) as bigint)] as p90, v[cast(ceil(0.99*n) as bigint)] as p99 from g")
+def a26b(t):
+    """Percentiles by model, rolled up from sketches by model and feedback (exact at this size)."""
+    stored = A.sketches(_step_metrics(t), list(BOUNDS), ["model", "rated"])
+    return A.percentiles(A.roll_up(stored, ["model"]), {"p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
 @query("a27_batches", "select agent_id, count(*) as total, sum(cast(status='running' as int)) as running, sum(cast(status='completed' as int)) as completed, sum(cast(status='failed' as int)) as failed from v_runs group by 1")
@@ -380,7 +404,16 @@ def a28(t):
 
 @query("e3_extractor_registry", "select trajectory_id, 'tool:'||action as entity_id, 'tools' as extractor from v_tool_events union select trajectory_id, 'agent:'||agent_id, 'agents' from v_tool_events")
 def e3(t):
-    """Two registered extractors run over the calls, entities counted once."""
-    tools = lambda e: e.select("trajectory_id", F.concat(F.lit("tool:"), "action").alias("entity_id"), F.col("action").alias("name"))
-    agents = lambda e: e.select("trajectory_id", F.concat(F.lit("agent:"), "agent_id").alias("entity_id"), F.col("agent_id").alias("name"))
-    return D.run_extractors(t.v_tool_events, {"tools": tools, "agents": agents}).select("trajectory_id", "entity_id", "extractor")
+    """Two registered extractors run over the calls as they come in two parts that overlap; the store gets what is new."""
+    path = f"{jobs.shared_dir(t.spark)}/entities-{uuid.uuid4().hex}"
+    for part in (t.v_tool_events.where("event_id % 3 <> 0"), t.v_tool_events.where("event_id % 3 <> 1")):
+        D.extract_into(t.spark, part, {"tools": tools_of, "agents": agents_of}, path)
+    return t.spark.read.parquet(path).select("trajectory_id", "entity_id", "extractor")
+
+
+def tools_of(calls):
+    return calls.select("trajectory_id", F.concat(F.lit("tool:"), "action").alias("entity_id"), F.col("action").alias("name"))
+
+
+def agents_of(calls):
+    return calls.select("trajectory_id", F.concat(F.lit("agent:"), "agent_id").alias("entity_id"), F.col("agent_id").alias("name"))

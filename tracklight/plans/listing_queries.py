@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import analytics as A
 from ..operators import listing as L
 from ..operators import windows as W
+from ..sources import io
+from ..streaming import jobs
 from .registry import query
 
 TAGGED = lambda df: df.withColumn("tags", F.array_compact(F.array("domain_type", "task_category", "complexity_level")))
@@ -221,7 +225,7 @@ def j8(t):
 @query("j10_bulk_update", "select run_id, agent_id, case when cast(substring(run_id, 5) as bigint)%5=0 then 'updated' else status end as status from v_runs")
 def j10(t):
     updates = t.v_runs.where(F.substring("run_id", F.lit(5), F.length("run_id")).cast("bigint") % 5 == 0).select("run_id", "agent_id", F.lit("updated").alias("status"))
-    return L.bulk_update(t.v_runs.select("run_id", "agent_id", "status"), updates, ["run_id", "agent_id"], ["status"])
+    return L.bulk_update(t.v_runs.select("run_id", "agent_id", "status"), updates, ["run_id", "agent_id"], ["status"], strict=True)
 
 
 @query("j11_ordered", "select trajectory_id, turn_index, event_id from v_tool_events where trajectory_id like 'traj-1-%'")
@@ -254,11 +258,21 @@ def j16(t):
     return t.v_steps.select("run_id", "step_no").join(traces, ["run_id", "step_no"])
 
 
-@query("j17_delete", "select message_id from v_messages m where not (trajectory_id in (select trajectory_id from v_messages where role='system') and role<>'system')")
+GONE = "(trajectory_id in (select trajectory_id from v_messages where role='system') and role<>'system')"
+
+
+@query("j17_delete", f"select 'message' as kind, message_id as id from v_messages m where not {GONE} union all select 'part', m.message_id||'/'||cast(p as varchar) from v_messages m, range(2) x(p) where not {GONE} union all select 'archive', archive_id from (select distinct archive_id from v_passages) a where archive_id > 'archive-src15'")
 def j17(t):
+    """Messages by agent with exclusions, and their parts with them; a store whose partitions go or stay whole."""
     m = t.v_messages
     doomed = m.join(m.where("role = 'system'").select("trajectory_id"), "trajectory_id", "left_semi").select("message_id")
-    return L.delete_set(m.select("message_id"), doomed, "message_id", spare=m.where("role = 'system'"))
+    parts = m.select("message_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("p")).select(F.concat("message_id", F.lit("/"), F.col("p").cast("string")).alias("id"), F.col("message_id").alias("owner"))
+    left, left_parts = L.delete_with_dependants(m.select("message_id"), doomed, "message_id", [(parts, "owner")], spare=m.where("role = 'system'"))
+    path = f"{jobs.shared_dir(t.spark)}/passages-{uuid.uuid4().hex}"
+    io.write_trajectories(t.v_passages.select("passage_id", "archive_id"), path, "archive_id")
+    io.delete_from_store(t.spark, path, t.v_passages.where("archive_id <= 'archive-src15'").select("passage_id"), "passage_id", "archive_id")
+    stored = t.spark.read.parquet(path).select(F.lit("archive").alias("kind"), F.col("archive_id").alias("id")).distinct()
+    return left.select(F.lit("message").alias("kind"), F.col("message_id").alias("id")).unionByName(left_parts.select(F.lit("part").alias("kind"), "id")).unionByName(stored)
 
 
 # ------------------------------------------------------------------------------------------------ windows

@@ -193,11 +193,15 @@ def s7(t):
     return io.read_any(t.spark, _written(t, t.customer.select("c_custkey", "c_name", "c_acctbal"), "csv"), "csv", "c_custkey bigint, c_name string, c_acctbal double")
 
 
-@query("s2_upsert", "select doc_id, 3 as version, 'new' as origin from documents where doc_id%3=0 union all select doc_id, 2, 'old' from documents where doc_id%3<>0")
+@query("s2_upsert", "select doc_id, lang, 3 as version, 'new' as origin from documents where doc_id%3=0 and lang='fr' union all select doc_id, lang, 2, 'old' from documents where not (doc_id%3=0 and lang='fr')")
 def s2(t):
-    old = t.documents.select("doc_id", F.lit(2).alias("version"), F.lit("old").alias("origin"))
-    new = t.documents.where("doc_id % 3 < 2").select("doc_id", F.when(F.col("doc_id") % 3 == 0, 3).otherwise(1).alias("version"), F.lit("new").alias("origin"))
-    return io.upsert_versions(old, new, "doc_id")
+    """A store partitioned by language; an update with newer and older versions rewrites its own partition."""
+    path = f"{jobs.shared_dir(t.spark)}/store-{uuid.uuid4().hex}"
+    old = t.documents.select("doc_id", "lang", F.lit(2).alias("version"), F.lit("old").alias("origin"))
+    io.write_trajectories(old, path, "lang")
+    new = t.documents.where("doc_id % 3 < 2 and lang = 'fr'").select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, 3).otherwise(1).alias("version"), F.lit("new").alias("origin"))
+    io.upsert_store(t.spark, path, new, "doc_id", part="lang")
+    return t.spark.read.parquet(path).select("doc_id", "lang", "version", "origin")
 
 
 @query("s3_promoted", "select r.run_id, r.agent_id as domain_type, r.created_at as timestamp_start, coalesce(s.model, '') as tags, r.status from v_runs r left join (select run_id, string_agg(distinct model, ',' order by model) as model from v_steps where step_no=3 group by 1) s on r.run_id=s.run_id")

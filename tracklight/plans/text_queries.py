@@ -79,9 +79,24 @@ def c10(t):
     return t.documents.select("doc_id", X.token_estimate("text").alias("tokens"), X.token_estimate("text", 1.3).alias("with_margin"))
 
 
-@query("c11_breakdown", "select trajectory_id, sum(case when role='system' then (strlen(text)+3)//4 else 0 end) as system, sum(case when role='user' then (strlen(text)+3)//4 else 0 end) as \"user\", sum(case when role='assistant' then (strlen(text)+3)//4 else 0 end) as assistant, sum((strlen(text)+3)//4) as total from v_messages group by 1")
+#: Conversations whose system text is cut by marks, that open with a summary, and that have tools.
+CONTEXTS = """c0 as (select trajectory_id, sequence_id, role, row_number() over (partition by trajectory_id order by sequence_id)-1 as idx, cast(substring(trajectory_id, 6) as bigint) as nr, text from v_messages),
+c as (select *, case when role='system' and nr%2=0 then '<base_instructions> '||text||' <memory_blocks>'||case when nr%4=0 then 'blocks '||trajectory_id||' <memory_metadata> '||cast(nr as varchar) else '' end when role='user' and nr%3=0 then 'The following is a summary of the previous '||text else text end as said from c0),
+p as (select *, strpos(said, '<memory_blocks>') as m, strpos(said, '<memory_metadata>') as x, idx=0 and role='system' as first, idx=1 and role='user' and nr%3=0 as summed from c),
+q as (select trajectory_id, max(nr) as nr, max(case when first and m>0 then trim(substring(said, 1, m-1)) end) as system, max(case when first and x>0 then trim(substring(said, m, x-m)) end) as core, max(case when first and x>0 then trim(substring(said, x)) end) as external, sum(case when summed then (strlen(said)+3)//4 else 0 end) as summary, sum(case when idx>0 and not summed then (strlen(said)+3)//4 else 0 end) as messages from p group by 1),
+r as (select trajectory_id, (strlen(coalesce(system, 'own '||trajectory_id))+3)//4 as system, coalesce((strlen(core)+3)//4, 0) as core, coalesce((strlen(external)+3)//4, 0) as external, summary, messages, case when nr%5=0 then 2*((strlen('{"name": "'||trajectory_id||'"}')+3)//4) else 0 end as functions from q)"""
+
+
+@query("c11_breakdown", f"with {CONTEXTS} select *, system+core+external+summary+messages+functions as total from r")
 def c11(t):
-    return C.context_breakdown(t.v_messages)
+    """Seven parts of each context; every second system text has marks, every third conversation a summary."""
+    nr = F.substring("trajectory_id", F.lit(6), F.length("trajectory_id")).cast("bigint")
+    marked = F.concat(F.lit("<base_instructions> "), "text", F.lit(" <memory_blocks>"), F.when(nr % 4 == 0, F.concat(F.lit("blocks "), "trajectory_id", F.lit(" <memory_metadata> "), nr.cast("string"))).otherwise(""))
+    said = F.when((F.col("role") == "system") & (nr % 2 == 0), marked).when((F.col("role") == "user") & (nr % 3 == 0), F.concat(F.lit(C.SUMMARY), "text")).otherwise(F.col("text"))
+    messages = t.v_messages.withColumn("text", said)
+    ids = t.v_messages.select("trajectory_id").distinct()
+    tools = ids.where(nr % 5 == 0).select("trajectory_id", F.explode(F.array(*[F.concat(F.lit('{"name": "'), "trajectory_id", F.lit('"}'))] * 2)).alias("schema"))
+    return C.context_breakdown(messages, ids.withColumn("system", F.concat(F.lit("own "), "trajectory_id")), tools)
 
 
 NUMBERED = "with m as (select *, row_number() over (partition by trajectory_id order by sequence_id)-1 as idx, count(*) over (partition by trajectory_id) as n, (strlen(text)+3)//4 as tokens from v_messages) "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,9 +21,53 @@ def upsert_versions(old: DataFrame, new: DataFrame, key: str = "trajectory_id",
     return both.withColumn("__n", n).where("__n = 1").drop("__n", "__new")
 
 
-def write_trajectories(df: DataFrame, path: str) -> None:
+def write_trajectories(df: DataFrame, path: str, part: str = "domain_type") -> None:
     """Parquet, partitioned by domain, so that a domain filter reads its own files only."""
-    df.write.mode("overwrite").partitionBy("domain_type").parquet(path)
+    df.write.mode("overwrite").partitionBy(part).parquet(path)
+
+
+def _replace_parts(spark: SparkSession, path: str, rows: DataFrame, touched: list, part: str) -> None:
+    """The partitions ``touched`` of the store hold ``rows`` from now on; no other one is written."""
+    stage = f"{path}.stage-{uuid.uuid4().hex}"  # rows are read from the store itself
+    rows.write.parquet(stage)
+    new = spark.read.schema(rows.schema).parquet(stage)
+    new.hint("rebalance", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    left = {r[0] for r in new.select(part).distinct().collect()}
+    gone = [x for x in touched if x not in left]
+    if gone:  # partitions without rows have nothing to overwrite them
+        found = spark.read.parquet(path).where(F.col(part).isin([x for x in gone if x is not None]) | (F.col(part).isNull() if None in gone else F.lit(False)))
+        folders = {r[0].rsplit("/", 1)[0] for r in found.select(F.col("_metadata.file_path")).distinct().collect()}
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in sorted(folders):
+            p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            p.getFileSystem(conf).delete(p, True)
+
+
+def _parts(store: DataFrame, touched: list, part: str) -> DataFrame:
+    """The rows of some partitions, read from their files alone."""
+    some = F.col(part).isin([x for x in touched if x is not None])
+    return store.where(some | F.col(part).isNull() if None in touched else some)
+
+
+def upsert_store(spark: SparkSession, path: str, new: DataFrame, key: str = "trajectory_id", version: str = "version", part: str = "domain_type") -> list:
+    """Puts ``new`` rows into a stored table: the latest version of each key stays.  Only the partitions are rewritten that
+    ``new`` has rows for, or that held one of its keys before; their names are returned (a few: a row each)."""
+    old = spark.read.parquet(path)
+    old = old.select(*[old[c].cast(new.schema[c].dataType).alias(c) for c in new.columns])
+    here = old.join(new.select(key).distinct(), key, "left_semi").select(part)
+    touched = [r[0] for r in new.select(part).unionByName(here).distinct().collect()]
+    if touched:
+        _replace_parts(spark, path, upsert_versions(_parts(old, touched, part), new, key, version).select(*new.columns), touched, part)
+    return touched
+
+
+def delete_from_store(spark: SparkSession, path: str, doomed: DataFrame, key: str, part: str = "domain_type") -> list:
+    """Takes rows with ``doomed`` keys out of a stored table, rewriting only the partitions that hold one."""
+    rows = spark.read.parquet(path)
+    touched = [r[0] for r in rows.join(doomed.select(key), key, "left_semi").select(part).distinct().collect()]
+    if touched:
+        _replace_parts(spark, path, _parts(rows, touched, part).join(doomed.select(key), key, "left_anti").select(*rows.columns), touched, part)
+    return touched
 
 
 def promoted(df: DataFrame) -> DataFrame:
