@@ -472,6 +472,6 @@ def test_stores(spark, tmp_path):
 def test_empty_tables(spark):
     calls = spark.createDataFrame([], "trajectory_id string, turn_index int, ts timestamp, event_id bigint, call_id string, action string, arguments string, response_text string, confidence double, pivotal boolean, decision_type string")
     d = D.judge(D.match_responses(D.extract_decisions(calls), D.responses_of(calls)))
-    assert d.count() == 0 and A.success_rate(d).count() == 0 and A.snapshot(d).first().trajectories == 0
+    assert d.count() == 0 and A.success_rate(d).count() == 0 and A.snapshot(d, d.select("trajectory_id", F.lit("x").alias("outcome"), F.lit(1).alias("turns"), F.lit(1).alias("messages"))).first().trajectories == 0
     assert D.tool_entities(calls).count() == 0 and io.spans(d).count() == 0
     assert W.evict_open_files(spark.createDataFrame([], "agent_id string, file_id string, is_open boolean, last_accessed_at timestamp"), 3).count() == 0

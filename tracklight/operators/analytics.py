@@ -68,33 +68,59 @@ def pivotal(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("action").agg(F.count_if("pivotal").alias("pivotal"), (F.count_if("pivotal") / F.count("*")).alias("pivotal_rate"))
 
 
-def snapshot(decisions: DataFrame) -> DataFrame:
-    """All headline metrics in one row.  One pass groups by trajectory, one by the three keys, whose combinations are few."""
-    per = decisions.groupBy("trajectory_id", "turn_index").agg(
-        F.count("*").alias("n"), F.count_if("success").alias("ok"), F.count_if("pivotal").alias("pivotal"), F.sum("confidence").alias("conf"), F.count("confidence").alias("n_conf"),
+def snapshot(decisions: DataFrame, trajectories: DataFrame) -> DataFrame:
+    """All headline metrics in one row, counts and rates by key as ``key=value`` texts.
+
+    ``trajectories``: trajectory_id, outcome (null: unknown), turns and messages of each.  Turns, messages and outcomes are
+    theirs; decisions are counted by the three keys, whose combinations are few, in one pass.
+    """
+    n_turns, known = F.coalesce("turns", F.lit(0)), F.coalesce("outcome", F.lit("unknown"))
+    total = trajectories.agg(F.count("*").alias("trajectories"), F.coalesce(F.sum(n_turns), F.lit(0)).alias("turns"), F.coalesce(F.sum("messages"), F.lit(0)).alias("messages"))
+    keys = ("action", "error_type", "decision_type")
+    counts = decisions.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count("success").alias("known"), F.count_if("success").alias("ok"), F.count_if("pivotal").alias("pivotal"), F.sum("confidence").alias("conf"), F.count("confidence").alias("n_conf"),
     )
-    # a turn without an index is in the counts of rows, but isn't a turn
-    per = per.groupBy("trajectory_id").agg(F.sum("n").alias("n"), F.count("turn_index").alias("turns"), F.sum("ok").alias("ok"), F.sum("pivotal").alias("pivotal"), F.sum("conf").alias("conf"), F.sum("n_conf").alias("n_conf"))
-    total = per.agg(
-        F.count("*").alias("trajectories"), F.sum("turns").alias("turns"), F.sum("n").alias("decisions"), F.avg("turns").alias("avg_turns"), (F.sum("n") / F.count("*")).alias("avg_decisions"),
-        (F.sum("ok") / F.sum("n")).alias("success_rate"), F.sum("pivotal").alias("pivotal"), (F.sum("conf") / F.sum("n_conf")).alias("avg_confidence"),
+    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "known", "ok", "pivotal", "conf", "n_conf")])
+    told = counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.col(k).cast("string").alias("k")) for k in keys])).alias("e"), "n", "known", "ok")
+    told = told.where("e.k is not null").groupBy("e.of", "e.k").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("ok").alias("ok"))
+    number = lambda of, k: trajectories.groupBy(k.alias("k")).agg(F.count("*").alias("n")).select(F.lit(of).alias("of"), F.col("k").cast("string").alias("k"), "n", F.lit(0).alias("known"), F.lit(0).alias("ok"))
+    told = told.unionByName(number("turn_distribution", n_turns)).unionByName(number("outcomes", known))
+    listed = lambda of: F.array_sort(F.collect_list(F.when(F.col("of") == of, F.struct(F.when(F.lit(of == "turn_distribution"), F.col("k").cast("bigint")).alias("by"), "k", "n", "known", "ok"))))
+    text = lambda of, value, name: F.array_join(F.transform(listed(of), lambda e: F.concat(e["k"], F.lit("="), value(e).cast("string"))), ",").alias(name)
+    rate = lambda e: F.when(e["known"] > 0, F.round(e["ok"] / e["known"], 6)).otherwise(F.lit(0.0))
+    texts = told.agg(*[text(k, lambda e: e["n"], k) for k in (*keys, "turn_distribution", "outcomes")], text("action", rate, "success_rates"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    out = total.join(F.broadcast(sums)).join(F.broadcast(texts))  # three one-row tables
+    return out.select(
+        "trajectories", "turns", F.col("n").alias("decisions"), "messages", share("turns", "trajectories").alias("avg_turns"), share("n", "turns").alias("avg_decisions"), share("ok", "known").alias("success_rate"),
+        "pivotal", share("conf", "n_conf").alias("avg_confidence"), *keys, "turn_distribution", "outcomes", "success_rates",
     )
-    keys = ("action", "error_type", "decision_type")
-    counts = decisions.groupBy(*keys).agg(F.count("*").alias("n"))
-    told = counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.col(k).cast("string").alias("k")) for k in keys])).alias("e"), "n")
-    told = told.where("e.k is not null").groupBy("e.of", "e.k").agg(F.sum("n").alias("n"))
-    listed = lambda key: F.array_sort(F.collect_list(F.when(F.col("of") == key, F.struct("k", "n"))))
-    text = lambda key: F.array_join(F.transform(listed(key), lambda e: F.concat(e["k"], F.lit("="), e["n"].cast("string"))), ",").alias(key)
-    return total.join(F.broadcast(told.agg(*[text(k) for k in keys])))  # two one-row tables
 
 
-def report(decisions: DataFrame, top: int = 5) -> DataFrame:
-    """A text report: overall rate and the most frequent actions."""
-    per = decisions.groupBy("action").agg(F.count("*").alias("n"), F.count_if("success").alias("ok"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "action"))  # one row an action
-    lines = F.array_sort(F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", F.format_string("  %s: %d", "action", "n").alias("line")))))
-    head = F.format_string("Decisions: %d, success %.1f%%", F.sum("n"), 100.0 * F.sum("ok") / F.sum("n"))
-    return per.withColumn("rank", rank).agg(F.concat_ws("\n", head, F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("report"))
+def report(decisions: DataFrame, trajectories: DataFrame, top: int = 5, errors: int = 3) -> DataFrame:
+    """A text report: totals, averages, the most frequent actions with their rate, outcomes, and the most frequent errors.
+    Columns as in ``snapshot``; names break ties."""
+    counts = decisions.groupBy("action", "error_type").agg(F.count("*").alias("n"), F.count("success").alias("known"), F.count_if("success").alias("ok"))
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("d"), F.coalesce(F.sum("known"), F.lit(0)).alias("known"), F.coalesce(F.sum("ok"), F.lit(0)).alias("ok"))
+    total = trajectories.agg(F.count("*").alias("t"), F.coalesce(F.sum("turns"), F.lit(0)).alias("u"), F.coalesce(F.sum("messages"), F.lit(0)).alias("m"))
+    percent = lambda ok, known, places: F.bround(F.when(known > 0, 100.0 * ok / known).otherwise(F.lit(0.0)), places)
+    ranked_ = lambda rows: F.row_number().over(Window.orderBy(F.desc("n"), "k"))  # noqa: E731, ARG005 - a row for each name
+    actions = counts.groupBy(F.col("action").alias("k")).agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("ok").alias("ok"))
+    actions = actions.select(F.lit("a").alias("of"), ranked_(actions).alias("r"), F.format_string("  %s: %d calls (%.0f%% success)", "k", "n", percent(F.col("ok"), F.col("known"), 0)).alias("line")).where(F.col("r") <= top)
+    plain = lambda rows, of: rows.select(F.lit(of).alias("of"), ranked_(rows).alias("r"), F.format_string("  %s: %d", "k", "n").alias("line"))
+    failed = plain(counts.where("error_type is not null").groupBy(F.col("error_type").alias("k")).agg(F.sum("n").alias("n")), "e").where(F.col("r") <= errors)
+    ended = plain(trajectories.groupBy(F.coalesce("outcome", F.lit("unknown")).alias("k")).agg(F.count("*").alias("n")), "o")
+    lines = lambda of: F.transform(F.array_sort(F.collect_list(F.when(F.col("of") == of, F.struct("r", "line")))), lambda x: x["line"])
+    part = actions.unionByName(failed).unionByName(ended).agg(*[lines(x).alias(x) for x in "aeo"])
+    mean = lambda a, b: F.bround(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0)), 1)
+    # The report's words.
+    head = F.array(
+        F.lit("=== OTS Analytics Summary ==="), F.lit(""), F.lit("Totals:"), F.format_string("  Trajectories: %d", "t"), F.format_string("  Turns: %d", "u"), F.format_string("  Decisions: %d", "d"), F.format_string("  Messages: %d", "m"), F.lit(""),
+        F.lit("Averages:"), F.format_string("  Turns per trajectory: %.1f", mean("u", "t")), F.format_string("  Decisions per turn: %.1f", mean("d", "u")), F.format_string("  Overall success rate: %.1f%%", percent(F.col("ok"), F.col("known"), 1)), F.lit(""), F.lit("Top Actions:"),
+    )
+    last = F.when(F.size("e") > 0, F.concat(F.array(F.lit(""), F.lit("Top Errors:")), F.col("e"))).otherwise(F.array().cast("array<string>"))
+    whole = F.concat(head, F.col("a"), F.array(F.lit(""), F.lit("Outcomes:")), F.col("o"), last)
+    return total.join(F.broadcast(sums)).join(F.broadcast(part)).select(F.array_join(whole, "\n").alias("report"))  # three one-row tables
 
 
 def daily(rows: DataFrame, ts: str, score: str, as_of: Column, days: int = 30) -> DataFrame:
@@ -141,11 +167,12 @@ def source_stats(files: DataFrame) -> DataFrame:
 
 
 def run_usage(steps: DataFrame) -> DataFrame:
-    """Token sums of each run; cached tokens are null unless some were seen."""
-    cached = F.sum(F.coalesce("cached_tokens", F.lit(0)))
+    """Token sums of each run; cached, cache-write and reasoning tokens are null unless some were seen."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    seen = lambda c: F.when(F.sum(zero(c)) > 0, F.sum(zero(c))).alias(c)
     return steps.groupBy("run_id").agg(
-        F.count("*").alias("steps"), F.sum(F.coalesce("prompt_tokens", F.lit(0))).alias("prompt_tokens"), F.sum(F.coalesce("completion_tokens", F.lit(0))).alias("completion_tokens"),
-        F.sum(F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))).alias("total_tokens"), F.when(cached > 0, cached).alias("cached_tokens"),
+        F.count("*").alias("steps"), F.sum(zero("prompt_tokens")).alias("prompt_tokens"), F.sum(zero("completion_tokens")).alias("completion_tokens"), F.sum(zero("prompt_tokens") + zero("completion_tokens")).alias("total_tokens"),
+        seen("cached_tokens"), seen("cache_write_tokens"), seen("reasoning_tokens"),
     )
 
 
@@ -179,11 +206,17 @@ def step_cost(steps: DataFrame, prices: DataFrame) -> DataFrame:
     return out.withColumn("total_cost", F.when(total > 0, total))
 
 
-def run_metrics(steps: DataFrame, given: DataFrame) -> DataFrame:
-    """num_steps of each run, with the given run_ns where there is one."""
+def run_metrics(steps: DataFrame, given: DataFrame, calls: DataFrame | None = None, tools: DataFrame | None = None) -> DataFrame:
+    """num_steps of each run, with the given run_ns where there is one, and the ids of the tools it used, sorted; null
+    if it used none.  ``calls``: run_id, tool (a name); ``tools``: name, tool_id; names without an id do not count."""
     counts = steps.groupBy("run_id").agg(F.count("*").alias("num_steps"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
     span = (F.col("last").cast("timestamp").cast("bigint") - F.col("first").cast("timestamp").cast("bigint")) * 1_000_000_000
-    return counts.join(given.select("run_id", "run_ns"), "run_id", "left").select("run_id", "num_steps", F.coalesce("run_ns", span).alias("run_ns"))
+    out = counts.join(given.select("run_id", "run_ns"), "run_id", "left").withColumn("run_ns", F.coalesce("run_ns", span))
+    if calls is None or tools is None:
+        return out.select("run_id", "num_steps", "run_ns", F.lit(None).cast("array<string>").alias("tools_used"))
+    used = calls.select("run_id", F.col("tool").alias("name")).distinct().join(tools.select("name", "tool_id").hint("merge"), "name")
+    ids = used.groupBy("run_id").agg(F.array_sort(F.collect_set("tool_id")).alias("tools_used"))
+    return out.join(ids, "run_id", "left").select("run_id", "num_steps", "run_ns", "tools_used")
 
 
 def stacked(rows: DataFrame, metrics: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -231,5 +264,5 @@ def batch_summary(rows: DataFrame, by: str) -> DataFrame:
 def storage_estimate(rows: DataFrame, by: str, dimension: int = 4096, width: int = 4) -> DataFrame:
     """Embedding storage of each owner in bytes and as a text."""
     n = F.count("*") * dimension * width
-    text = F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, F.format_string("%.2f KB", n / 1024)).when(n < 1024**3, F.format_string("%.2f MB", n / 1024**2)).otherwise(F.format_string("%.2f GB", n / 1024**3))
+    text = F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, F.format_string("%.2f KB", n / 1024)).when(n < 1024**3, F.format_string("%.2f MB", n / 1024**2)).when(n < 1024**4, F.format_string("%.2f GB", n / 1024**3)).otherwise(F.format_string("%.2f TB", n / 1024**4))
     return rows.groupBy(by).agg(F.count("*").alias("n"), n.alias("bytes"), text.alias("pretty"))

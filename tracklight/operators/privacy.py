@@ -56,11 +56,18 @@ def anonymise(df: DataFrame, policy: Policy | None = None) -> DataFrame:
     return df.select(*[rewrite(F.col(f.name), f.dataType, f.name, p).alias(f.name) for f in df.schema.fields])
 
 
-def redact_message(role: Column, kind: Column, text: Column, policy: Policy | None = None) -> Column:
-    """Message content by type: text redacted or summarised, tool calls keep only their marker, others a placeholder."""
+def redact_message(kind: Column, text: Column, tool: Column, has_data: Column, policy: Policy | None = None) -> Column:
+    """Message content (type, text, data) by type: a tool call keeps its tool's name, a response that it is one; other texts
+    are redacted (or cut to their first sentence, if the policy summarises), other data replaced.  ``data`` is JSON;
+    ``has_data`` says whether the content had some, ``tool`` is the name of the call in it, null if there is no call."""
     p = policy or Policy()
+    # What stands for names, arguments, contents and data.
+    called = F.concat(F.lit('{"tool_call": {"name": "'), F.coalesce(F.nullif(tool, F.lit("")), F.lit("[UNKNOWN]")), F.lit('", "arguments": "[REDACTED]"}}'))
+    gone, returned = F.lit('{"type": "redacted"}'), F.lit('{"type": "tool_response", "content": "[REDACTED]"}')
+    call, response = (kind == "tool_call") & has_data, kind == "tool_response"
     plain = X.first_sentence(text, p.cut) if p.summarise else F.lit("[REDACTED]")
-    return F.when(text.isNull(), None).when(kind == "text", plain).when(kind == "tool_call", F.concat(F.lit("[TOOL CALL by "), role, F.lit("]"))).otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
+    data = F.when(call, F.when(tool.isNotNull(), called).otherwise(gone)).when(response, returned).when(has_data, gone)
+    return F.struct(kind.alias("type"), F.when(~call & ~response & (text != ""), plain).alias("text"), data.alias("data"))
 
 
 def redact_decisions(decisions: DataFrame, policy: Policy | None = None) -> DataFrame:
@@ -69,12 +76,21 @@ def redact_decisions(decisions: DataFrame, policy: Policy | None = None) -> Data
 
 
 def structural_view(trajectories: DataFrame, organization_id: str, salt: str = "") -> DataFrame:
-    """What other organisations may see: measures and counts, a hashed id, and ``[REDACTED]`` for texts."""
+    """What an organisation sees of shared trajectories: its own as they are; of others the summary, score, tags, measures and
+    outcome, with ids hashed and every message redacted.
+
+    Columns of the result: those of the input but ``organization_id``, and ``visibility`` and ``source_organization_hash``.
+    ``turns`` (step_no, model, input_tokens, output_tokens, messages with tools) become (model, input_tokens, output_tokens,
+    message_count, tool_calls_count, messages as one word).
+    """
     own = F.col("organization_id") == organization_id
-    return trajectories.select(
-        F.when(own, F.col("trajectory_id")).otherwise(X.redacted("trajectory_id", salt)).alias("trajectory_id"), "domain_type", "outcome_score", "complexity_level",
-        F.when(own, F.col("searchable_summary")).otherwise("[REDACTED]").alias("searchable_summary"),
-    )
+    hidden = lambda c: F.when(own, F.col(c)).otherwise(X.redacted(c, salt)).alias(c)
+    said = lambda t: F.transform(t["messages"], lambda m: F.concat_ws(": ", m["role"], m["text"]))
+    called = lambda t: F.aggregate(t["messages"], F.lit(0), lambda n, m: n + F.greatest(F.lit(0), F.size(F.coalesce(m["tools"], F.array().cast("array<string>")))))
+    turn = lambda t: F.struct(t["model"].alias("model"), t["input_tokens"].alias("input_tokens"), t["output_tokens"].alias("output_tokens"), F.size(t["messages"]).alias("message_count"), called(t).alias("tool_calls_count"), F.when(own, F.array_join(said(t), "\n")).otherwise("[REDACTED]").alias("messages"))
+    special = {"trajectory_id": hidden, "agent_id": hidden, "turns": lambda c: F.transform(c, turn).alias(c)}
+    kept = [special.get(c, F.col)(c) for c in trajectories.columns if c != "organization_id"]
+    return trajectories.select(*kept, F.when(own, "own").otherwise("shared").alias("visibility"), X.redacted("organization_id", salt).alias("source_organization_hash"))
 
 
 def set_sharing(trajectories: DataFrame, ids: DataFrame, shared: bool) -> DataFrame:

@@ -315,17 +315,23 @@ def conversation_response(found: DataFrame, zone: str, now: Column, mode: str) -
     return found.where((F.col("role") != "tool") & ~own).withColumns({"timestamp": local_time(F.col("created_at"), zone), "time_ago": X.time_ago("created_at", now), "content": F.col("text"), "relevance": relevance})
 
 
-def passages_page(passages: DataFrame, limit: int, contains: str | None = None, start: Column | None = None, end: Column | None = None, after: str | None = None, before: str | None = None, ascending: bool = True, tags: Sequence[str] = (), every: bool = False) -> DataFrame:
+def passages_page(passages: DataFrame, limit: int, contains: str | None = None, start: Column | None = None, end: Column | None = None, after: str | None = None, before: str | None = None, ascending: bool = True, tags: Sequence[str] = (), every: bool = False, near: Sequence[float] | None = None) -> DataFrame:
     """Passages without a vector index: text filter, dates, cursors, order by time, limit, and only then tags, any or all.
 
-    Columns: passage_id, created_at, text, tags.
+    Columns: passage_id, created_at, text, tags.  With ``near``, a query's vector, the nearest by cosine come first (column
+    embedding; rows without one are left out), then by time and id, and cursors do not count.
     """
     rows = passages if contains is None else passages.where(F.lower("text").contains(contains.lower()))
     if start is not None:
         rows = rows.where(F.col("created_at") >= start)
     if end is not None:
         rows = rows.where(F.col("created_at") <= end)
-    rows = page(rows, "passage_id", limit, ascending=ascending, after=after, before=before)
+    if near is not None:
+        q = F.array(*[F.lit(float(x)) for x in near])
+        time = F.asc("created_at") if ascending else F.desc("created_at")
+        rows = rows.where("embedding is not null").orderBy(F.round(X.cosine("embedding", q), 6).desc(), time, "passage_id").limit(limit)
+    else:
+        rows = page(rows, "passage_id", limit, ascending=ascending, after=after, before=before)
     return rows.where((all_tags if every else any_tag)(F.col("tags"), list(tags))) if tags else rows
 
 
@@ -339,15 +345,17 @@ def decisions_of(found: DataFrame, decisions: DataFrame, k: int, tie: str = "dec
 def context_examples(found: DataFrame, decisions: DataFrame, k: int, min_success: float = 0.7, action: str | None = None, entity_type: str | None = None, entity_id: str | None = None) -> DataFrame:
     """The k most similar successful and failed decisions for each query (kind: success, failure).
 
-    found: query_id, trajectory_id, similarity, outcome_score.  Success needs a score of at least ``min_success`` and a
-    decision that succeeded; failure a score below 0.5 or a decision that failed.
+    found: query_id, trajectory_id, similarity, outcome_score.  A success is a decision that succeeded, of a trajectory with a
+    score of at least ``min_success`` or none; a failure one that failed, of a trajectory with a score below 0.5 or none.
     """
     met = decisions.join(small(found.select("query_id", "trajectory_id", "similarity", "outcome_score")), "trajectory_id")
     if action is not None:
         met = met.where(F.col("action") == action)
     if entity_type or entity_id:
         met = met.where(entity_match(F.col("arguments"), entity_type, entity_id))
-    kind = F.when(F.col("success") & (F.col("outcome_score") >= min_success), "success").when(~F.col("success") | (F.col("outcome_score") < 0.5), "failure")
+    well = F.coalesce("success", F.lit(False))
+    good, bad = F.coalesce(F.col("outcome_score") >= min_success, F.lit(True)), F.coalesce(F.col("outcome_score") < 0.5, F.lit(True))
+    kind = F.when(well & good, "success").when(~well & bad, "failure")
     order = Window.partitionBy("query_id", "kind").orderBy(F.desc("similarity"), "trajectory_id", "decision_id")
     return met.withColumn("kind", kind).where("kind is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -14,11 +14,35 @@ from pyspark.sql.window import Window
 from ..functions import expressions as X
 
 
+def lines_of(text: Column, code: bool = False) -> Column:
+    """The lines of a text that are not blank, without white space around them; code keeps its indentation."""
+    kept = F.filter(F.split(text, r"\R"), lambda x: F.trim(x) != "")
+    return F.transform(kept, lambda x: F.rtrim(x) if code else F.trim(x))
+
+
 def line_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", code: bool = False) -> DataFrame:
-    """(key, line_no, line): non-blank lines, numbered from 1 as in the file; code keeps its indentation."""
-    lines = docs.select(key, F.posexplode(F.split(text, r"\R")).alias("pos", "raw"))
-    line = F.rtrim("raw") if code else F.trim("raw")
-    return lines.where(F.trim("raw") != "").select(key, (F.col("pos") + 1).alias("line_no"), line.alias("line"))
+    """(key, line_no, line): non-blank lines, numbered from 1 without the blank ones."""
+    lines = docs.select(key, F.posexplode(lines_of(F.col(text), code)).alias("pos", "line"))
+    return lines.select(key, (F.col("pos") + 1).alias("line_no"), "line")
+
+
+def file_view(lines: Column, kind: str = "lines", start: int | None = None, end: int | None = None, header: bool = True) -> Column:
+    """(lines, error): the chunks of a file from ``start`` to before ``end`` (from 0), each with its number (from 1), under a
+    header that says which are shown; a start beyond the last one is an error."""
+    n, at = F.size(lines), max(0, start or 0)
+    upto = n if end is None else F.least(F.lit(end), n)
+    shown = F.when(n > 0, F.slice(lines, at + 1, F.greatest(F.lit(0), upto - at))).otherwise(lines)
+    numbered = F.transform(shown, lambda x, i: F.concat((i + at + 1).cast("string"), F.lit(": "), x))
+    # The headers and the error.
+    if start is not None and end is not None:
+        said = F.format_string(f"[Viewing {kind} {start + 1} to %d (out of %d {kind})]", upto, n)
+    elif start is not None:
+        said = F.format_string(f"[Viewing {kind} {start + 1} to end (out of %d {kind})]", n)
+    else:
+        said = F.format_string(f"[Viewing file start (out of %d {kind})]", n)
+    beyond = F.lit(start is not None) & (F.lit(start or 0) >= n)
+    error = F.when(beyond, F.format_string(f"only %d {kind}, but requested offset {(start or 0) + 1} is out of range", n))
+    return F.struct(F.when(~beyond, F.concat(F.array(said), numbered) if header else numbered).alias("lines"), error.alias("error"))
 
 
 def sentence_chunks(text: Column) -> Column:
@@ -91,17 +115,62 @@ def grep(files: DataFrame, pattern: str, key: str, text: str, context: int = 1,
     return some.select(key, "h.*", F.floor(F.col("nth") / per_page).cast("int").alias("page"))
 
 
-def searchable_message(role: Column, text: Column) -> Column:
-    """What message search indexes: null for system messages and heartbeats, else the text as a small JSON object."""
-    heartbeat = F.coalesce(F.get_json_object(text, "$.type") == "heartbeat", F.lit(False))
-    return F.when((role == "system") | heartbeat | (F.trim(text) == ""), None).otherwise(F.to_json(F.struct(role.alias("role"), text.alias("content"))))
+# The tools whose calls and returns message search and transcripts treat apart, and the argument that holds a text.
+SEND, SEARCH_CALL, SENT = "send_message", "conversation_search", "message"
+
+
+def json_text(text: Column) -> Column:
+    """A text as a JSON string."""
+    whole = F.to_json(F.struct(text.alias("c")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
 
+def searchable_message(role: Column, text: Column, name: Column | None = None, calls: Column | None = None) -> Column:
+    """What message search indexes of a message, as JSON; empty for what is not searched.
 
-def transcript(messages: DataFrame, key: str = "trajectory_id") -> DataFrame:
-    """(key, transcript): ``role: text`` lines in sequence, with ``[image]`` for messages without text."""
-    line = F.concat("role", F.lit(": "), F.coalesce("text", F.lit("[image]")))
+    System messages, heartbeats, messages without content, returns of ``SEND`` and ``SEARCH_CALL``, and calls of the latter are
+    not searched.  A user's or assistant's text that is JSON stays as it is; an assistant that calls ``SEND`` is its text
+    as thinking and the argument as content; all else is content.  ``calls``: array of (name, arguments).
+    """
+    none = F.lit(None).cast("array<struct<name:string,arguments:string>>")
+    calls, name = none if calls is None else calls, F.lit(None).cast("string") if name is None else name
+    parsed = F.try_parse_json(text)
+    heartbeat = F.ltrim(text).startswith("{") & F.coalesce(F.get_json_object(text, "$.type") == "heartbeat", F.lit(False)) & parsed.isNotNull()
+    plain = F.concat(F.lit('{"content": '), json_text(text), F.lit("}"))
+    sent = F.get(F.filter(calls, lambda c: (c["name"] == SEND) & F.try_parse_json(c["arguments"]).isNotNull()), 0)["arguments"]
+    said = F.coalesce(F.get_json_object(sent, f"$.{SENT}"), F.lit(""))
+    thought = F.concat(F.lit('{"thinking": '), json_text(text), F.lit(', "content": '), json_text(said), F.lit("}"))
+    searches = F.coalesce(F.exists(calls, lambda c: c["name"] == SEARCH_CALL), F.lit(False))
+    out = (role == "tool") & F.coalesce(name.isin(SEND, SEARCH_CALL), F.lit(False))
+    searched = role.isin("assistant", "user", "tool")
+    return (
+        F.when(~searched | text.isNull() | out | heartbeat | ((role == "assistant") & searches), "")
+        .when((role == "assistant") & sent.isNotNull(), thought).when(role.isin("user", "assistant") & parsed.isNotNull(), text).otherwise(plain)
+    )
+
+
+def transcript(messages: DataFrame, key: str = "trajectory_id", include_system: bool = False) -> DataFrame:
+    """(key, transcript): ``role: text`` lines in sequence.
+
+    System messages, returns of ``SEND`` and messages with nothing to show are left out; images have a placeholder; a message
+    without content shows its calls: the text that ``SEND`` sends, the arguments of others.  Columns: role, text (null: no
+    content), and, if there are any, images (a number), name and calls (array of name, arguments).
+    """
+    have = lambda c, kind: F.col(c) if c in messages.columns else F.lit(None).cast(kind)
+    images, calls = F.coalesce(have("images", "int"), F.lit(0)), have("calls", "array<struct<name:string,arguments:string>>")
+    content = F.col("text").isNotNull() | (images > 0)
+    # The placeholders.
+    shown = F.when(images == 1, "[Image omitted]").when(images > 1, F.format_string("[%d images omitted]", images))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
+    said = F.concat_ws(" ", F.when(text != "", text), shown)
+    one = lambda c: F.when(c["name"] == SEND, F.coalesce(F.get_json_object(c["arguments"], f"$.{SENT}"), c["arguments"])).otherwise(c["arguments"])
+    called = F.trim(F.array_join(F.transform(calls, one), " "))
+    returned = (F.col("role") == "tool") & F.coalesce(have("name", "string") == SEND, F.lit(False))
+    rows = messages.where((content & ~returned) | (~content & (F.size(F.coalesce(calls, F.array().cast("array<struct<name:string,arguments:string>>"))) > 0)))
+    rows = rows if include_system else rows.where("role <> 'system'")
+    line = F.concat("role", F.lit(": "), F.when(content, said).otherwise(called))
     turns = F.array_sort(F.collect_list(F.struct("sequence_id", line.alias("line"))))
-    return messages.groupBy(key).agg(F.array_join(F.transform(turns, lambda t: t["line"]), "\n").alias("transcript"))
+    return rows.groupBy(key).agg(F.array_join(F.transform(turns, lambda t: t["line"]), "\n").alias("transcript"))
 
 
 def middle_cut(text: Column, budget: int, head: float = 0.3, tail: float = 0.3) -> Column:
@@ -184,30 +253,40 @@ def partial_evict(messages: DataFrame, share: float, key: str = "trajectory_id")
     return rows.withColumns({"kept": F.when(start.isNotNull(), (F.col("idx") == 0) | (F.col("idx") >= start)), "error": error})
 
 
-def window_evict(messages: DataFrame, goal: int, key: str = "trajectory_id", step: float = 0.1) -> DataFrame:
-    """(key, cutoff, kept_tokens, status): the first cutoff, in steps of a tenth, from whose last assistant message
-    before it on the tokens are under the goal.
+# Why a window cannot be moved.
+NO_CUT, AT_END = "No assistant message found for sliding window summarization", "Assistant message index %d is at the end of the message buffer, skipping summarization"
 
-    All ten candidates of a conversation are tried at once on suffix sums; ``status`` is ok, fits (nothing to do) or
-    stuck.
+
+def window_evict(messages: DataFrame, share: float, window: int, key: str = "trajectory_id") -> DataFrame:
+    """(key, cutoff, kept_tokens, error): from which message on a conversation is kept, beside its first one, so that it takes
+    less than ``1 - share`` of the window.
+
+    Shares are tried from ``share`` and a tenth on, in tenths, up to all: the cutoff is the last assistant message at or before
+    that share of the messages (rounded half to even).  It must be found before all are tried, and may not be the last message,
+    nor the one before a last approval.  All tries of a conversation are made at once, on suffix sums.
     """
     rows = _numbered(messages, key).withColumn("tokens", X.token_estimate("text"))
     w = Window.partitionBy(key).orderBy(F.desc("idx"))
     rows = rows.withColumn("suffix", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    steps = F.transform(F.sequence(F.lit(1), F.lit(round(1 / step) - 1)), lambda i: F.floor(F.col("n") * i * step + 1e-9).cast("int"))
-    tried = rows.where("role = 'assistant' and idx > 0").select(key, "idx", "suffix", F.explode(steps).alias("cut")).where("idx <= cut")
-    each = tried.groupBy(key, "cut").agg(F.max_by(F.struct("idx", "suffix"), "idx").alias("at"))
-    good = each.where(F.col("at.suffix") < goal).groupBy(key).agg(F.min_by("at", "cut").alias("at"))
-    total = rows.groupBy(key).agg(F.sum("tokens").alias("total"))
-    out = total.join(good, key, "left")
-    fits = F.col("total") < goal
-    return out.select(
-        key, F.when(fits, 0).otherwise(F.col("at.idx")).alias("cutoff"), F.when(fits, F.col("total")).otherwise(F.col("at.suffix")).alias("kept_tokens"),
-        F.when(fits, "fits").when(F.col("at").isNotNull(), "ok").otherwise("stuck").alias("status"),
-    )
-
-
-def clip(text: Column, limit: int, suffix: str = "... [summary cut]") -> Column:
+    tries, p = [], share
+    while p < 1.0:
+        p += 0.10
+        tries.append(p)
+    tries = [x for x in tries if x < 1.0]  # what is found at the last one is refused
+    cuts = F.array(*[F.struct(F.lit(i).alias("try"), F.rint(F.lit(x) * F.col("n")).cast("int").alias("cut")) for i, x in enumerate(tries)]) if tries else F.array().cast("array<struct<try:int,cut:int>>")
+    tried = rows.where("role = 'assistant' and idx > 0").select(key, "idx", "suffix", F.explode(cuts).alias("c")).where("idx <= c.cut")
+    each = tried.groupBy(key, "c.try").agg(F.max_by(F.struct("idx", "suffix"), "idx").alias("at"))
+    first = rows.groupBy(key).agg(F.sum(F.when(F.col("idx") == 0, F.col("tokens"))).alias("first"), F.max("n").alias("n"), F.max_by("role", "idx").alias("last"))
+    took = first.join(each.hint("merge"), key, "left").withColumn("kept", F.col("first") + F.col("at.suffix"))
+    goal = F.lit((1 - share) * window)
+    good = took.groupBy(key).agg(F.first("n").alias("n"), F.first("last").alias("last"), F.min_by(F.struct("at.idx", "kept"), F.when(F.col("kept") < goal, F.col("try"))).alias("g"))
+    most = F.col("n") - F.when(F.col("last") == "approval", 2).otherwise(1)
+    error = F.when(F.col("g").isNull(), NO_CUT).when(F.col("g.idx") >= most, F.format_string(AT_END, F.col("g.idx")))
+    return good.select(key, F.when(error.isNull(), F.col("g.idx")).alias("cutoff"), F.when(error.isNull(), F.col("g.kept")).alias("kept_tokens"), error.alias("error"))
+
+
+def clip(text: Column, limit: int, suffix: str = "... [summary truncated to fit]") -> Column:
+    """A summary, cut to ``limit`` characters with a word that says so."""
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(suffix))).otherwise(text)
 
 
@@ -217,11 +296,21 @@ def update_blocks(blocks: DataFrame, updates: DataFrame, limit: int) -> DataFram
     return blocks.join(new, "block_id", "left").withColumn("value", F.coalesce("__v", "value")).drop("__v")
 
 
-def tool_text(schema: Column, name: Column) -> Column:
-    """Search text of a tool: its name, description and sorted parameter names with their types."""
-    s = F.from_json(schema, "struct<description:string,parameters:map<string,string>>")
-    params = F.array_sort(F.transform(F.map_entries(s["parameters"]), lambda e: F.concat(e["key"], F.lit(":"), e["value"])))
-    return F.concat_ws(" ", name, s["description"], F.array_join(params, " "))
+PARAMETERS = "struct<description:string,parameters:struct<properties:map<string,struct<description:string,type:string>>>>"
+
+
+def tool_text(name: Column, description: Column, schema: Column, tags: Column | None = None) -> Column:
+    """Search text of a tool, as JSON: name, description, the schema's own description if it is another, its parameters as
+    ``name (type): description`` in their order, and tags, if there are any."""
+    s = F.from_json(schema, PARAMETERS)
+    own, told = F.coalesce(description, F.lit("")), s["description"]
+    each = lambda e: F.concat(e["key"], F.lit(" ("), F.coalesce(e["value"]["type"], F.lit("any")), F.lit(")"), F.coalesce(F.when(e["value"]["description"] != "", F.concat(F.lit(": "), e["value"]["description"])), F.lit("")))
+    params = F.transform(F.map_entries(s["parameters"]["properties"]), each)
+    tags = F.lit(None).cast("array<string>") if tags is None else tags
+    return F.to_json(F.struct(
+        F.coalesce(name, F.lit("")).alias("name"), own.alias("description"), F.when((told != "") & ~told.eqNullSafe(description), told).alias("schema_description"),
+        F.when(F.size(params) > 0, params).alias("parameters"), F.when(F.size(tags) > 0, tags).alias("tags"),
+    ))
 
 
 def strip_html(html: Column) -> Column:
@@ -242,3 +331,46 @@ def ingest(files: DataFrame, embed, size: int = 512, overlap: int = 50) -> tuple
     nth = F.row_number().over(Window.partitionBy("__h", "__g").orderBy("file_id", "position"))
     passages = made.withColumn("__n", nth).where("__n = 1 or embedding is null").drop("__n", "__h", "__g")
     return passages, passages.agg(F.count("*").alias("passages"), F.count_distinct("file_id").alias("files"))
+
+
+def markdown_text(markdown: Column) -> Column:
+    """Markdown as plain text before chunking, block by block.
+
+    Lines in a fence (three or more backticks or tildes, closed by at least as many of the same) stay as they are, without
+    the fence.  Elsewhere headings, quotes and lists lose their marks, rules and the line under a table's head go, table
+    rows become their cells with tabs between, links and images become their text, emphasis and code lose their signs, and
+    escaped signs lose their backslash.
+    """
+    lines = F.split(markdown, r"\R")
+    opening = r"^ {0,3}(`{3,}|~{3,})"
+    start = F.struct(F.lit("").alias("fence"), F.array().cast("array<string>").alias("out"))
+
+    def fold(state: Column, line: Column) -> Column:
+        mark, fence = F.regexp_extract(line, opening, 1), state["fence"]
+        inside = fence != ""
+        closes = inside & (F.substring(mark, 1, 1) == F.substring(fence, 1, 1)) & (F.length(mark) >= F.length(fence)) & line.rlike(opening + r"\s*$")
+        opens = ~inside & (mark != "") & ~((F.substring(mark, 1, 1) == "`") & F.regexp_replace(line, opening, "").contains("`"))
+        kept = F.when(inside, F.concat(state["out"], F.array(line))).otherwise(F.concat(state["out"], plain_line(line)))
+        return F.struct(F.when(closes, "").when(opens, mark).otherwise(fence).alias("fence"), F.when(closes | opens, state["out"]).otherwise(kept).alias("out"))
+
+    return F.array_join(F.aggregate(lines, start, fold, lambda s: s["out"]), "\n")
+
+
+def plain_line(line: Column) -> Column:
+    """A Markdown line outside of fences as an array of one line, or of none."""
+    rule = line.rlike(r"^ {0,3}([-*_])[ \t]*(\1[ \t]*){2,}$") | line.rlike(r"^ {0,3}(=+|-+)\s*$")
+    under_head = line.rlike(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)+\|?\s*$")
+    text = F.regexp_replace(line, r"^ {0,3}(> ?)+", "")
+    text = F.regexp_replace(text, r"^ {0,3}#{1,6}(\s+|$)", "")
+    text = F.regexp_replace(text, r"^(\s*)([-*+]|\d{1,9}[.)])\s+(\[[ xX]\]\s+)?", "$1")
+    text = F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)\s]*(\s+\"[^\"]*\")?\)", "$1")
+    text = F.regexp_replace(text, r"!?\[([^\]]+)\]\[[^\]]*\]", "$1")
+    text = F.regexp_replace(text, r"<(https?://[^>\s]+)>", "$1")
+    text = F.regexp_replace(text, r"(`+)([^`]+)\1", "$2")
+    for sign in (r"\*\*\*", r"\*\*", r"__", r"\*", r"~~"):
+        text = F.regexp_replace(text, rf"(?<!\\)(?<![\w]){sign}(?=\S)([^*_~]+?)(?<=\S){sign}(?![\w])", "$1")
+    text = F.regexp_replace(text, r"(?<![\w\\])_(?=\S)([^_]+?)(?<=\S)_(?!\w)", "$1")
+    cells = F.transform(F.split(F.regexp_replace(F.trim(text), r"^\||\|$", ""), r"(?<!\\)\|"), lambda x: F.trim(x))
+    text = F.when(line.rlike(r"^\s*\|.*\|\s*$"), F.array_join(cells, "\t")).otherwise(text)
+    text = F.rtrim(F.regexp_replace(text, r"\\([\\`*_{}\[\]()#+\-.!|>~])", "$1"))
+    return F.when(rule | under_head, F.array().cast("array<string>")).otherwise(F.array(text))

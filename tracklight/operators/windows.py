@@ -40,10 +40,28 @@ def combine_with_response(messages: DataFrame) -> DataFrame:
     return out.where(~consumed).select("conversation", "seq", "role", "text", F.when(answers, F.col("nxt.text")).alias("response"))
 
 
-def evict_open_files(files: DataFrame, limit: int) -> DataFrame:
-    """Files with ``stays``: the most recently used ``limit`` open files of each agent."""
-    rank = F.row_number().over(Window.partitionBy("agent_id", "is_open").orderBy(F.desc("last_accessed_at"), "file_id"))
-    return files.withColumn("stays", F.col("is_open") & (rank <= limit))
+# Fixed value: what a file's view ends with where it is cut.
+TRUNCATED = "...[TRUNCATED]\n# NOTE: This block is truncated, use functions to view the full content."
+
+
+def visible_content(text: Column, is_open: Column, limit: int) -> Column:
+    """What an agent sees of a file: nothing of a closed one; a longer text is cut so that it and the warning after it
+    have ``limit`` characters."""
+    shown = F.when(is_open, F.coalesce(text, F.lit(""))).otherwise("")
+    return F.when(F.length(shown) > limit, F.concat(F.substring(shown, 1, max(0, limit - len(TRUNCATED))), F.lit(TRUNCATED))).otherwise(shown)
+
+
+def evict_open_files(files: DataFrame, limit: int, opened: DataFrame | None = None) -> DataFrame:
+    """Files with ``stays``: the most recently used ``limit`` open files of each agent.
+
+    ``opened`` (agent_id, file_id; one for an agent) are files that are being opened: each is open from now on and has a
+    slot of its own, so that ``limit - 1`` others stay; ``closed`` tells which open files lost theirs.
+    """
+    rows = files.withColumn("__new", F.lit(False)) if opened is None else files.join(opened.select("agent_id", "file_id", F.lit(True).alias("__new")).hint("merge"), ["agent_id", "file_id"], "left").withColumn("__new", F.coalesce("__new", F.lit(False)))
+    open_ = rows.withColumn("__open", F.col("is_open") | F.col("__new"))
+    rank = F.row_number().over(Window.partitionBy("agent_id", "__open").orderBy(F.desc("__new"), F.desc("last_accessed_at"), "file_id"))
+    out = open_.withColumn("stays", F.col("__open") & (rank <= limit))
+    return out.withColumn("closed", F.col("is_open") & ~F.col("stays")).drop("__new", "__open")
 
 
 def block_versions(events: DataFrame) -> DataFrame:

@@ -267,19 +267,36 @@ def a9(t):
     return A.pivotal(t.v_tool_events)
 
 
-@query("a10_snapshot", DECIDED + """select count(distinct trajectory_id) as trajectories, (select count(*) from (select distinct trajectory_id, turn_index from d)) as turns, count(*) as decisions,
-(select count(*) from (select distinct trajectory_id, turn_index from d))/count(distinct trajectory_id) as avg_turns, count(*)/count(distinct trajectory_id) as avg_decisions, avg(cast(success as int)) as success_rate, sum(cast(pivotal as int)) as pivotal, avg(confidence) as avg_confidence,
+#: Trajectories of calls: an outcome by how many calls went well (null for those of three calls), turns, and messages.
+ENDED = ", t as (select trajectory_id, case when count(*)=3 then null when sum(cast(success as int))=count(*) then 'success' when sum(cast(success as int))=0 then 'failure' else 'partial_success' end as outcome, count(distinct turn_index) as turns, count(*)+count(response_text) as messages from d group by 1) "
+
+
+def _ended(d):
+    ok, n = F.count_if("success"), F.count("*")
+    outcome = F.when(n == 3, None).when(ok == n, "success").when(ok == 0, "failure").otherwise("partial_success")
+    return d.groupBy("trajectory_id").agg(outcome.alias("outcome"), F.count_distinct("turn_index").alias("turns"), (n + F.count("response_text")).alias("messages"))
+
+
+@query("a10_snapshot", DECIDED + ENDED + """select (select count(*) from t) as trajectories, (select sum(turns) from t) as turns, count(*) as decisions, (select sum(messages) from t) as messages,
+(select sum(turns)/count(*) from t) as avg_turns, count(*)/(select sum(turns) from t) as avg_decisions, avg(cast(success as int)) as success_rate, sum(cast(pivotal as int)) as pivotal, avg(confidence) as avg_confidence,
 (select string_agg(k||'='||cast(c as varchar), ',' order by k) from (select action as k, count(*) as c from d group by 1)) as action,
 (select string_agg(k||'='||cast(c as varchar), ',' order by k) from (select error_type as k, count(*) as c from d where error_type is not null group by 1)) as error_type,
-(select string_agg(k||'='||cast(c as varchar), ',' order by k) from (select decision_type as k, count(*) as c from d where decision_type is not null group by 1)) as decision_type from d""")
+(select string_agg(k||'='||cast(c as varchar), ',' order by k) from (select decision_type as k, count(*) as c from d where decision_type is not null group by 1)) as decision_type,
+(select string_agg(cast(k as varchar)||'='||cast(c as varchar), ',' order by k) from (select turns as k, count(*) as c from t group by 1)) as turn_distribution,
+(select string_agg(k||'='||cast(c as varchar), ',' order by k) from (select coalesce(outcome, 'unknown') as k, count(*) as c from t group by 1)) as outcomes,
+(select string_agg(k||'='||cast(c as varchar), ',' order by k) from (select action as k, round(avg(cast(success as int)), 6) as c from d group by 1)) as success_rates from d""")
 def a10(t):
-    return A.snapshot(decisions(t))
+    d = decisions(t)
+    return A.snapshot(d, _ended(d))
 
 
-@query("a11_report", DECIDED + """, p as (select action, count(*) as n from d group by 1), r as (select *, row_number() over (order by n desc, action) as rk from p)
-select printf('Decisions: %d, success %.1f%%', (select count(*) from d), (select 100.0*avg(cast(success as int)) from d))||chr(10)||(select string_agg(printf('  %s: %d', action, n), chr(10) order by rk) from r where rk<=5) as report""")
+@query("a11_report", DECIDED + ENDED + """, p as (select action, count(*) as n, 100.0*avg(cast(success as int)) as rate from d group by 1), r as (select *, row_number() over (order by n desc, action) as rk from p),
+e as (select error_type, count(*) as n, row_number() over (order by count(*) desc, error_type) as rk from d where error_type is not null group by 1), o as (select coalesce(outcome, 'unknown') as k, count(*) as n from t group by 1), s as (select count(*) as t, sum(turns) as u, sum(messages) as m from t), q as (select count(*) as d, 100.0*avg(cast(success as int)) as rate from d)
+select concat_ws(chr(10), '=== OTS Analytics Summary ===', '', 'Totals:', printf('  Trajectories: %d', t), printf('  Turns: %d', cast(u as bigint)), printf('  Decisions: %d', d), printf('  Messages: %d', cast(m as bigint)), '', 'Averages:', printf('  Turns per trajectory: %.1f', u/t), printf('  Decisions per turn: %.1f', d/u), printf('  Overall success rate: %.1f%%', rate), '', 'Top Actions:',
+(select string_agg(printf('  %s: %d calls (%.0f%% success)', action, n, rate), chr(10) order by rk) from r where rk<=5), '', 'Outcomes:', (select string_agg(printf('  %s: %d', k, n), chr(10) order by n desc, k) from o), '', 'Top Errors:', (select string_agg(printf('  %s: %d', error_type, n), chr(10) order by rk) from e where rk<=3)) as report from s, q""")
 def a11(t):
-    return A.report(decisions(t))
+    d = decisions(t)
+    return A.report(d, _ended(d))
 
 
 @query("a12_score_hist", "select least(cast(floor(outcome_score*10) as int), 9) as bin, count(*) as n, printf('%.1f-%.1f', least(cast(floor(outcome_score*10) as int), 9)/10.0, (least(cast(floor(outcome_score*10) as int), 9)+1)/10.0) as label from v_trajectories where outcome_score is not null group by 1")
@@ -345,7 +362,7 @@ def a22(t):
     return A.source_stats(t.v_files)
 
 
-@query("a23_usage", "select run_id, count(*) as steps, sum(prompt_tokens) as prompt_tokens, sum(completion_tokens) as completion_tokens, sum(prompt_tokens+completion_tokens) as total_tokens, case when sum(coalesce(cached_tokens,0))>0 then sum(cached_tokens) end as cached_tokens from v_steps group by 1")
+@query("a23_usage", "select run_id, count(*) as steps, sum(prompt_tokens) as prompt_tokens, sum(completion_tokens) as completion_tokens, sum(prompt_tokens+completion_tokens) as total_tokens, nullif(sum(coalesce(cached_tokens,0)), 0) as cached_tokens, nullif(sum(coalesce(cache_write_tokens,0)), 0) as cache_write_tokens, nullif(sum(coalesce(reasoning_tokens,0)), 0) as reasoning_tokens from v_steps group by 1")
 def a23(t):
     return A.run_usage(t.v_steps)
 
@@ -361,9 +378,11 @@ def a24(t):
     return A.step_cost(t.v_steps, t.v_prices).groupBy("run_id").agg(*[F.sum(c).alias(c) for c in COSTS])
 
 
-@query("a25_run_metrics", "select s.run_id, count(*) as num_steps, coalesce(max(m.run_ns), cast((epoch(max(s.created_at)) - epoch(min(s.created_at))) as bigint)*1000000000) as run_ns from v_steps s left join v_run_metrics m on s.run_id=m.run_id group by 1")
+@query("a25_run_metrics", "select s.run_id, count(*) as num_steps, coalesce(max(m.run_ns), cast((epoch(max(s.created_at)) - epoch(min(s.created_at))) as bigint)*1000000000) as run_ns, string_agg(distinct case when step_no=3 and model<>'model-a' then 'tool-'||model end, ',' order by case when step_no=3 and model<>'model-a' then 'tool-'||model end) as tools_used from v_steps s left join v_run_metrics m on s.run_id=m.run_id group by 1")
 def a25(t):
-    return A.run_metrics(t.v_steps, t.v_run_metrics)
+    calls = t.v_steps.where("step_no = 3").select("run_id", F.col("model").alias("tool"))
+    tools = t.v_steps.where("model <> 'model-a'").select(F.col("model").alias("name"), F.concat(F.lit("tool-"), "model").alias("tool_id")).distinct()
+    return A.run_metrics(t.v_steps, t.v_run_metrics, calls, tools).withColumn("tools_used", F.array_join("tools_used", ","))
 
 
 #: Metrics of steps, by model and whether feedback was given: times in ms, tokens, and cost in millionths.

@@ -162,11 +162,12 @@ def f23(t):
     return L.matching(t.v_tool_events.select("action").distinct(), contains={"action": "E"}, excluded={"action": ["click"]})
 
 
-@query("f24_by_domain", "select trajectory_id, searchable_summary as summary, 'own' as visibility from v_trajectories where domain_type='de' and organization_id='org-1' union all select '[REDACTED:'||substring(sha256('s'||trajectory_id),1,8)||']', '[REDACTED]', 'shared' from v_trajectories where domain_type='de' and organization_id<>'org-1' and share_cross_org")
+@query("f24_by_domain", "select trajectory_id, agent_id, searchable_summary as summary, 'own' as visibility from v_trajectories where domain_type='de' and organization_id='org-1' union all select '[REDACTED:'||substring(sha256('s'||trajectory_id),1,8)||']', '[REDACTED:'||substring(sha256('s'||agent_id),1,8)||']', searchable_summary, 'shared' from v_trajectories where domain_type='de' and organization_id<>'org-1' and share_cross_org")
 def f24(t):
-    rows = t.v_trajectories.select("trajectory_id", F.col("searchable_summary").alias("summary"), "organization_id", "domain_type", "share_cross_org")
-    hide = lambda d: d.withColumns({"trajectory_id": X.redacted("trajectory_id", "s"), "summary": F.lit("[REDACTED]")})
-    return L.visible_across(rows, "org-1", "de", hide).select("trajectory_id", "summary", "visibility")
+    """Own trajectories of a domain and those that others share: summaries stay, ids are hashed."""
+    rows = t.v_trajectories.select("trajectory_id", "agent_id", F.col("searchable_summary").alias("summary"), "organization_id", "domain_type", "share_cross_org")
+    hide = lambda d: d.withColumns({c: X.redacted(c, "s") for c in ("trajectory_id", "agent_id")})
+    return L.visible_across(rows, "org-1", "de", hide).select("trajectory_id", "agent_id", "summary", "visibility")
 
 
 @query("f25_pages", "select source_id, file_id, cast((rn-1)//5 as bigint) as page, ((rn-1)//5+1)*5 < c as has_more from (select *, row_number() over (partition by source_id order by file_id) as rn, count(*) over (partition by source_id) as c from v_files)")
@@ -311,9 +312,12 @@ def w4(t):
     return W.combine_with_response(m).select("seq", "role", "response")
 
 
-@query("w5_lru", "select agent_id, file_id, is_open and row_number() over (partition by agent_id, is_open order by last_accessed_at desc, file_id) <= 5 as stays from v_open_files")
+@query("w5_lru", """with o as (select agent_id, max(file_id) as file_id from v_open_files where not is_open group by 1), f as (select v.*, o.file_id is not null as fresh from v_open_files v left join o on v.agent_id=o.agent_id and v.file_id=o.file_id),
+r as (select *, (is_open or fresh) and row_number() over (partition by agent_id, (is_open or fresh) order by fresh desc, last_accessed_at desc, file_id) <= 5 as stays from f) select agent_id, file_id, stays, is_open and not stays as closed from r""")
 def w5(t):
-    return W.evict_open_files(t.v_open_files, 5).select("agent_id", "file_id", "stays")
+    """Each agent opens one of its closed files; the least recently used ones make room."""
+    opened = t.v_open_files.where("not is_open").groupBy("agent_id").agg(F.max("file_id").alias("file_id"))
+    return W.evict_open_files(t.v_open_files, 5, opened).select("agent_id", "file_id", "stays", "closed")
 
 
 @query("w6_block_history", """with recursive e as (select user_id as b, event_id as "at", row_number() over (partition by user_id order by event_id) as i, case cast(event_id%5 as int) when 3 then 'undo' when 4 then 'redo' else 'checkpoint' end as kind, event_type as value from events),
@@ -361,9 +365,9 @@ def w11b(t):
     return A.cumulative_share(t.v_tool_events.where("duration_ms is not null").select("event_id", "action", "duration_ms"), "duration_ms", ["action"]).select("event_id", "share")
 
 
-@query("w12_view", "select doc_id, case when length(text)>100 then substring(text,1,100)||'...' else text end as shown from documents")
+@query("w12_view", "select doc_id, case when doc_id%4=0 then '' when length(text)>200 then substring(text, 1, 200-" + str(len(W.TRUNCATED)) + ")||'...[TRUNCATED]'||chr(10)||'# NOTE: This block is truncated, use functions to view the full content.' else coalesce(text, '') end as shown from documents")
 def w12(t):
-    return t.documents.select("doc_id", X.summarise_result("text", 100).alias("shown"))
+    return t.documents.select("doc_id", W.visible_content(F.col("text"), F.col("doc_id") % 4 != 0, 200).alias("shown"))
 
 
 @query("w13_clean", """with m as (select user_id as conversation, event_id as seq, case cast(event_id%4 as int) when 0 then 'assistant' when 1 then 'approval' when 2 then 'tool' else 'user' end as role, case when event_id%7<>0 then props end as text,

@@ -20,7 +20,6 @@ ROUNDED = {
     "f6_list": ("outcome_score",),
     "flagship_actions": ("success_rate",),
     "p7_decisions": ("confidence",),
-    "p8_cross_org": ("outcome_score",),
     "r5_daily": ("avg_score",),
     "s9_scores": ("value",),
     "t11_score": ("score",),

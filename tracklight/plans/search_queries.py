@@ -103,7 +103,7 @@ def v9(t):
     return S.decisions_of(_top(t, 10), _linked_decisions(t), 15, tie="decision_call").select("query_id", "trajectory_id", "decision_call", "rank")
 
 
-CONTEXT = "with f as (select r.*, v.outcome_score from (" + TOP.format(more="1 as m", where="true") + ") r join v_trajectories v on r.trajectory_id=v.trajectory_id where rank<=30), l as (select e.*, k.trajectory_id as doc, not coalesce(regexp_matches(lower(response_text), 'error|exception|failed|failure|invalid'), false) as success, case when not coalesce(regexp_matches(lower(response_text), 'error|exception|failed|failure|invalid'), false) then null when lower(response_text) like '%timeout%' then 'Timeout' when lower(response_text) like '%validation%' then 'ValidationError' when lower(response_text) like '%permission%' or lower(response_text) like '%auth%' then 'PermissionError' when lower(response_text) like '%not found%' then 'NotFoundError' when lower(response_text) like '%error%' or lower(response_text) like '%exception%' then 'Error' else 'tool_error' end as error_type from v_tool_events e join " + LINK + " k on e.trajectory_id=k.tool_trajectory), m as (select f.query_id, f.similarity, l.*, case when success and outcome_score>=0.7 then 'success' when not success or outcome_score<0.5 then 'failure' end as kind from f join l on f.trajectory_id=l.doc), e as (select *, row_number() over (partition by query_id, kind order by similarity desc, doc, call_id) as rank from m where kind is not null) "
+CONTEXT = "with f as (select r.*, v.outcome_score from (" + TOP.format(more="1 as m", where="true") + ") r join v_trajectories v on r.trajectory_id=v.trajectory_id where rank<=30), l as (select e.*, k.trajectory_id as doc, not coalesce(regexp_matches(lower(response_text), 'error|exception|failed|failure|invalid'), false) as success, case when not coalesce(regexp_matches(lower(response_text), 'error|exception|failed|failure|invalid'), false) then null when lower(response_text) like '%timeout%' then 'Timeout' when lower(response_text) like '%validation%' then 'ValidationError' when lower(response_text) like '%permission%' or lower(response_text) like '%auth%' then 'PermissionError' when lower(response_text) like '%not found%' then 'NotFoundError' when lower(response_text) like '%error%' or lower(response_text) like '%exception%' then 'Error' else 'tool_error' end as error_type from v_tool_events e join " + LINK + " k on e.trajectory_id=k.tool_trajectory), m as (select f.query_id, f.similarity, l.*, case when success and coalesce(outcome_score>=0.7, true) then 'success' when not success and coalesce(outcome_score<0.5, true) then 'failure' end as kind from f join l on f.trajectory_id=l.doc), e as (select *, row_number() over (partition by query_id, kind order by similarity desc, doc, call_id) as rank from m where kind is not null) "
 
 
 def _examples(t):

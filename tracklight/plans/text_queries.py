@@ -5,19 +5,31 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..operators import capture as C2
 from ..operators import listing as L
 from ..operators import privacy as P
 from ..operators import search as S
 from ..operators import text as C
+from . import record_queries as R
 from .decision_queries import decisions
 from .registry import query
 
 
-@query("c1_lines", "select doc_id, line_no, trim(raw) as line from (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents) where trim(raw) <> ''")
+LINES = "l as (select doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), lambda x: trim(x)) as v from documents)"
+
+
+@query("c1_lines", f"with {LINES} select doc_id, generate_subscripts(v, 1) as line_no, unnest(v) as line from l")
 def c1(t):
     return C.line_chunks(t.documents)
 
 
+@query("c1_view", f"with {LINES} select doc_id, case when len(v)>2 then array_to_string(list_prepend('[Viewing lines 3 to '||cast(least(6, len(v)) as varchar)||' (out of '||cast(len(v) as varchar)||' lines)]', list_transform(v[3:6], lambda x, i: cast(i+2 as varchar)||': '||x)), chr(10)) end as shown, case when len(v)<=2 then 'only '||cast(len(v) as varchar)||' lines, but requested offset 3 is out of range' end as error from l where v is not null")
+def c1b(t):
+    """Lines 3 to 6 of every file, numbered, under a header; files that are too short say so."""
+    view = C.file_view(C.lines_of(F.col("text")), start=2, end=6)
+    return t.documents.where("text is not null").select("doc_id", view.alias("v")).select("doc_id", F.array_join("v.lines", "\n").alias("shown"), "v.error")
+
+
 @query("c2_sentences", r"select doc_id, len(s) as n, array_to_string(list_slice(s, 1, 2), '#') as head from (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as s from documents)")
 def c2(t):
     s = C.sentence_chunks(F.col("text"))
@@ -58,15 +70,35 @@ def a29(t):
     return counted.where("n > 0").orderBy(F.desc("n"), "doc_id")
 
 
-@query("c7_search_text", "select message_id, case when role='system' or trim(text)='' then null else role end as role, case when role='system' or trim(text)='' then null else text end as content from v_messages")
+#: Messages with calls, returns, images, JSON texts, heartbeats and none at all.
+CALLED = """c as (select *, case when text is null then '' else trim(text) end as bare, case cast(sequence_id%6 as int) when 0 then 'send_message' when 1 then 'conversation_search' when 2 then 'other' end as tool, case when sequence_id%4=0 then '{"message": "hi '||message_id||'"}' else 'not json' end as args, case cast(sequence_id%7 as int) when 3 then 1 when 4 then 2 else 0 end as images, case when sequence_id%5=0 then null when sequence_id%9=0 then '{"type": "heartbeat"}' when sequence_id%11=0 then '[1, 2]' else text end as said, case when role='user' and sequence_id%8=0 then 'tool' else role end as kind from v_messages)"""
+
+
+def _called(t):
+    n = F.col("sequence_id")
+    tool = F.when(n % 6 == 0, "send_message").when(n % 6 == 1, "conversation_search").when(n % 6 == 2, "other")
+    args = F.when(n % 4 == 0, F.concat(F.lit('{"message": "hi '), "message_id", F.lit('"}'))).otherwise("not json")
+    said = F.when(n % 5 == 0, None).when(n % 9 == 0, '{"type": "heartbeat"}').when(n % 11 == 0, "[1, 2]").otherwise(F.col("text"))
+    kind = F.when((F.col("role") == "user") & (n % 8 == 0), "tool").otherwise(F.col("role"))
+    calls = F.when((kind == "assistant") & tool.isNotNull(), F.array(F.struct(tool.alias("name"), args.alias("arguments"))))
+    return t.v_messages.select("trajectory_id", "message_id", "sequence_id", kind.alias("role"), said.alias("text"), F.when(kind == "tool", tool).alias("name"), calls.alias("calls"), F.when(n % 7 == 3, 1).when(n % 7 == 4, 2).otherwise(0).alias("images"))
+
+
+@query("c7_search_text", f"""with {CALLED}, j as (select *, kind='assistant' and tool is not null as calls, case when said is null or kind='system' or (kind='tool' and coalesce(tool in ('send_message', 'conversation_search'), false)) or said like '{{"type": "heart%' or (kind='assistant' and coalesce(tool='conversation_search', false)) then 'none' when kind='assistant' and tool='send_message' and args<>'not json' then 'sent' when kind in ('user', 'assistant') and json_valid(said) then 'json' else 'plain' end as how from c)
+select message_id, how, case when how='json' then said end as raw, case when how in ('plain', 'sent') then said end as said, case when how='sent' then 'hi '||message_id end as sent from j""")
 def c7(t):
-    j = C.searchable_message(F.col("role"), F.col("text"))
-    return t.v_messages.select("message_id", F.get_json_object(j, "$.role").alias("role"), F.get_json_object(j, "$.content").alias("content"))
+    """What search indexes, read back from its JSON."""
+    j = C.searchable_message(F.col("role"), F.col("text"), F.col("name"), F.col("calls"))
+    m = _called(t).select("message_id", j.alias("j"))
+    read = lambda k: F.get_json_object("j", f"$.{k}")
+    how = F.when(F.col("j") == "", "none").when(F.col("j").startswith('{"thinking": '), "sent").when(F.col("j").startswith('{"content": '), "plain").otherwise("json")
+    return m.select("message_id", how.alias("how"), F.when(how == "json", F.col("j")).alias("raw"), F.when(how == "plain", read("content")).when(how == "sent", read("thinking")).alias("said"), F.when(how == "sent", read("content")).alias("sent"))
 
 
-@query("c8_transcript", "select trajectory_id, string_agg(role||': '||coalesce(text, '[image]'), chr(10) order by sequence_id) as transcript from v_messages group by 1")
+@query("c8_transcript", f"""with {CALLED}, x as (select *, case when said is not null or images>0 then concat_ws(' ', nullif(trim(said, ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), ''), case images when 1 then '[Image omitted]' when 2 then '[2 images omitted]' end) when kind='assistant' and tool='send_message' and args<>'not json' then 'hi '||message_id when kind='assistant' and tool is not null then args end as shown from c where kind<>'system' and not (kind='tool' and coalesce(tool='send_message', false) and (said is not null or images>0)))
+select trajectory_id, string_agg(kind||': '||shown, chr(10) order by sequence_id) as transcript from x where shown is not null group by 1""")
 def c8(t):
-    return C.transcript(t.v_messages)
+    return C.transcript(_called(t))
 
 
 @query("c9_middle_cut", "select doc_id, case when n>100 then substring(text,1,30)||chr(10)||'[TRUNCATED: dropped '||cast(n-60 as varchar)||' middle chars due to context budget]'||chr(10)||substring(text, n-30+1, greatest(0, 30-greatest(0, 58+length(cast(n-60 as varchar))-40))) else text end as cut, case when n>100 then n-60 else 0 end as dropped from (select doc_id, text, length(text) as n from documents) d")
@@ -112,14 +144,18 @@ def c13(t):
     return C.partial_evict(t.v_messages, 0.3).select("message_id", "kept", "error")
 
 
-@query("c14_window_evict", NUMBERED + """, x as (select *, sum(tokens) over (partition by trajectory_id order by idx desc) as suffix from m), k as (select trajectory_id, idx, suffix, cast(floor(n*i*cast(0.1 as double)+1e-9) as int) as cut from x, range(1, 10) r(i) where role='assistant' and idx>0 and idx<=cast(floor(n*i*cast(0.1 as double)+1e-9) as int)),
-e as (select trajectory_id, cut, max(idx) as idx, arg_max(suffix, idx) as suffix from k group by 1, 2), g as (select trajectory_id, arg_min(idx, cut) as idx, arg_min(suffix, cut) as suffix from e where suffix < 300 group by 1), t as (select trajectory_id, sum(tokens) as total from m group by 1)
-select t.trajectory_id, case when total<300 then 0 else idx end as cutoff, case when total<300 then total else suffix end as kept_tokens, case when total<300 then 'fits' when idx is not null then 'ok' else 'stuck' end as status from t left join g on t.trajectory_id=g.trajectory_id""")
+SHARES = [0.3 + 0.10, 0.3 + 0.10 + 0.10, 0.3 + 0.10 + 0.10 + 0.10, 0.3 + 0.10 + 0.10 + 0.10 + 0.10, 0.3 + 0.10 + 0.10 + 0.10 + 0.10 + 0.10, 0.3 + 0.10 + 0.10 + 0.10 + 0.10 + 0.10 + 0.10]
+
+
+@query("c14_window_evict", NUMBERED + f""", x as (select *, sum(tokens) over (partition by trajectory_id order by idx desc) as suffix from m), r(i, p) as (values {", ".join(f"({i}, cast({p!r} as double))" for i, p in enumerate(SHARES) if p < 1)}),
+k as (select trajectory_id, idx, suffix, i from x, r where role='assistant' and idx>0 and idx<=round_even(n*p, 0)), e as (select trajectory_id, i, max(idx) as idx, arg_max(suffix, idx) as suffix from k group by 1, 2), f as (select trajectory_id, max(case when idx=0 then tokens end) as first, max(n) as n from m group by 1),
+g as (select e.trajectory_id, arg_min(idx, i) as idx, arg_min(first+suffix, i) as kept from e join f on e.trajectory_id=f.trajectory_id where first+suffix < 0.7*400 group by 1)
+select f.trajectory_id, case when idx<n-1 then idx end as cutoff, case when idx<n-1 then kept end as kept_tokens, case when idx is null then '{C.NO_CUT}' when idx>=n-1 then 'Assistant message index '||cast(idx as varchar)||' is at the end of the message buffer, skipping summarization' end as error from f left join g on f.trajectory_id=g.trajectory_id""")
 def c14(t):
-    return C.window_evict(t.v_messages, 300)
+    return C.window_evict(t.v_messages, 0.3, 400)
 
 
-@query("c15_clip", "select doc_id, case when length(text)>80 then substring(text,1,80)||'... [summary cut]' else text end as clipped from documents")
+@query("c15_clip", "select doc_id, case when length(text)>80 then substring(text,1,80)||'... [summary truncated to fit]' else text end as clipped from documents")
 def c15(t):
     return t.documents.select("doc_id", C.clip(F.col("text"), 80).alias("clipped"))
 
@@ -131,10 +167,24 @@ def c16(t):
     return C.update_blocks(blocks, updates, 50)
 
 
-@query("c17_tool_text", "select event_id, event_type||' does '||event_type||' k:'||json_extract_string(props, '$.k')||' z:int' as tool_text from events")
+@query("c17_tool_text", """select event_id, event_type as name, 'does '||event_type as description, case when event_id%3=0 then 'schema of '||event_type end as schema_description,
+'k ('||json_extract_string(props, '$.k')||'): a number;z (any)' as parameters, case when event_id%2=0 then 't1;t2' end as tags from events""")
 def c17(t):
-    schema = F.to_json(F.struct(F.concat(F.lit("does "), "event_type").alias("description"), F.create_map(F.lit("z"), F.lit("int"), F.lit("k"), F.get_json_object("props", "$.k")).alias("parameters")))
-    return t.events.select("event_id", C.tool_text(schema, F.col("event_type")).alias("tool_text"))
+    """Tools as search texts, read back from their JSON."""
+    e = t.events
+    schema = F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("schema of "), "event_type")).otherwise(F.concat(F.lit("does "), "event_type")).alias("description"), F.struct(F.struct(F.struct(F.lit("a number").alias("description"), F.get_json_object("props", "$.k").alias("type")).alias("k"), F.struct(F.lit("").alias("description")).alias("z")).alias("properties")).alias("parameters")))
+    tags = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("t1"), F.lit("t2"))).otherwise(F.array().cast("array<string>"))
+    text = C.tool_text(F.col("event_type"), F.concat(F.lit("does "), "event_type"), schema, tags)
+    back = F.from_json(text, "struct<name:string,description:string,schema_description:string,parameters:array<string>,tags:array<string>>")
+    return e.select("event_id", back.alias("b")).select("event_id", "b.name", "b.description", "b.schema_description", F.array_join("b.parameters", ";").alias("parameters"), F.array_join("b.tags", ";").alias("tags"))
+
+
+@query("c18_markdown", """select doc_id, array_to_string(list_value(coalesce(source, ''), 'head '||cast(doc_id as varchar)||' and '||coalesce(lang, ''), 'item '||coalesce(source, ''), 'a'||chr(9)||'b '||coalesce(lang, ''), '# not a *heading*', 'said '||coalesce(lang, '')), chr(10)) as text from documents""")
+def c18b(t):
+    """A page of Markdown for every document: heading, emphasis, list, link, table, fence and quote."""
+    lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
+    page = F.concat(F.lit("# "), source, F.lit("\n**head** "), F.col("doc_id").cast("string"), F.lit(" and `"), lang, F.lit("`\n- [item "), source, F.lit("](http://x/y)\n| a | b "), lang, F.lit(" |\n|---|:-:|\n```md\n# not a *heading*\n```\n> _said_ "), lang)
+    return t.documents.select("doc_id", C.markdown_text(page).alias("text"))
 
 
 @query("c18_html_text")
@@ -185,10 +235,13 @@ def p5(t):
     return t.documents.select("doc_id", X.first_sentence("text").alias("summary"))
 
 
-@query("p6_messages", "select message_id, case when role='system' then '[IMAGE]' when role='assistant' then '[TOOL CALL by assistant]' else '[REDACTED]' end as content from v_messages")
+@query("p6_messages", """select message_id, case role when 'system' then 'image' when 'assistant' then 'tool_call' when 'user' then case when sequence_id%3=0 then 'tool_response' else 'text' end end as type, case when role='system' or (role='user' and sequence_id%3<>0) then case when text<>'' then '[REDACTED]' end when role='assistant' and sequence_id%5=0 and text<>'' then '[REDACTED]' end as text,
+case when role='user' and sequence_id%3=0 then '{"type": "tool_response", "content": "[REDACTED]"}' when sequence_id%5=0 then null when role='assistant' then case when sequence_id%2=0 then '{"tool_call": {"name": "run", "arguments": "[REDACTED]"}}' else '{"type": "redacted"}' end else '{"type": "redacted"}' end as data from v_messages""")
 def p6(t):
-    kind = F.when(F.col("role") == "system", "image").when(F.col("role") == "assistant", "tool_call").otherwise("text")
-    return t.v_messages.select("message_id", P.redact_message(F.col("role"), kind, F.col("text")).alias("content"))
+    n = F.col("sequence_id")
+    kind = F.when(F.col("role") == "system", "image").when(F.col("role") == "assistant", "tool_call").when(n % 3 == 0, "tool_response").otherwise("text")
+    made = P.redact_message(kind, F.col("text"), F.when(n % 2 == 0, "run"), n % 5 != 0)
+    return t.v_messages.select("message_id", made.alias("c")).select("message_id", "c.type", "c.text", "c.data")
 
 
 @query("p7_decisions", "select substring(sha256(call_id), 1, 16) as call_id, action, not coalesce(regexp_matches(lower(response_text), 'error|exception|failed|failure|invalid'), false) as success, '[REDACTED]' as arguments, case when response_text is not null then '[REDACTED]' end as response_text, confidence from v_tool_events")
@@ -196,9 +249,20 @@ def p7(t):
     return P.redact_decisions(decisions(t).select("call_id", "action", "success", "arguments", "response_text", "confidence"))
 
 
-@query("p8_cross_org", "select case when organization_id='org-1' then trajectory_id else '[REDACTED:'||substring(sha256('x'||trajectory_id),1,8)||']' end as trajectory_id, domain_type, outcome_score, complexity_level, case when organization_id='org-1' then searchable_summary else '[REDACTED]' end as searchable_summary from v_trajectories where share_cross_org or organization_id='org-1'")
+@query("p8_cross_org", """with u as (select *, case when step_no%2=1 then count(*) over (partition by run_id, step_no) else 0 end as c from v_steps),
+s as (select run_id, sum(prompt_tokens+completion_tokens) as tokens, sum(c) as said, sum(case when step_no=3 then c else 0 end) as tools, string_agg(array_to_string(list_transform(range(c), lambda x: case step_no when 5 then 'robot' else 'user' end||': text '||cast(step_no as varchar)), chr(10)), '|' order by step_no) as words, count(*) as n from u group by 1)
+select case when organization_id='org-1' then r.run_id else '[REDACTED:'||substring(sha256('x'||r.run_id),1,8)||']' end as trajectory_id, case when organization_id='org-1' then agent_id else '[REDACTED:'||substring(sha256('x'||agent_id),1,8)||']' end as agent_id, 'a '||status as searchable_summary, coalesce(tokens, 0) as total_tokens, coalesce(said, 0) as messages, coalesce(tools, 0) as tool_calls,
+case when organization_id='org-1' then coalesce(words, '') else array_to_string(list_transform(range(coalesce(n, 0)), lambda x: '[REDACTED]'), '|') end as words, case when organization_id='org-1' then 'own' else 'shared' end as visibility, '[REDACTED:'||substring(sha256('x'||organization_id),1,8)||']' as source_organization_hash from v_runs r left join s on r.run_id=s.run_id where organization_id='org-1' or background""")
 def p8(t):
-    return P.structural_view(t.v_trajectories.where("share_cross_org or organization_id = 'org-1'"), "org-1", "x")
+    """Captured runs as another organisation sees them: measures and turns stay, messages and ids do not."""
+    runs = t.v_runs.where("organization_id = 'org-1' or background")
+    with_tools = R._messages(t)
+    nested = C2.build_trajectories(R._runs(runs), t.v_steps, with_tools).join(runs.select("run_id", "organization_id", F.concat(F.lit("a "), "status").alias("searchable_summary")), "run_id")
+    used = lambda m: m.withField("tools", F.when(m["seq"] == 3, F.array(F.lit("model"))))
+    turns = F.transform("turns", lambda x: x.withField("messages", F.transform(x["messages"], used)))
+    seen = P.structural_view(nested.select(F.col("run_id").alias("trajectory_id"), "agent_id", "organization_id", "searchable_summary", F.col("metadata.total_tokens").alias("total_tokens"), F.coalesce(turns, F.array().cast(nested.select(turns).schema[0].dataType)).alias("turns")), "org-1", "x")
+    add = lambda field: F.aggregate("turns", F.lit(0), lambda n, x: n + x[field])
+    return seen.select("trajectory_id", "agent_id", "searchable_summary", "total_tokens", add("message_count").alias("messages"), add("tool_calls_count").alias("tool_calls"), F.array_join(F.transform("turns", lambda x: x["messages"]), "|").alias("words"), "visibility", "source_organization_hash")
 
 
 @query("p9_sharing", "select trajectory_id, case when agent_id='agent-src5' then true else share_cross_org end as share_cross_org from v_trajectories")
