@@ -255,10 +255,16 @@ def percentiles(stored: DataFrame, shares: dict[str, float]) -> DataFrame:
     return stored.withColumns({name: F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))) for name, p in shares.items()}).withColumn("mean", F.col("total") / F.col("n")).drop("sketch", "total")
 
 
-def batch_summary(rows: DataFrame, by: str) -> DataFrame:
-    """Total, running, completed and failed items of each batch."""
+def batch_summary(rows: DataFrame, by: str, before: DataFrame | None = None, key: str = "run_id") -> DataFrame:
+    """Total, running, completed and failed items of each batch, and how many were updated: those whose status is not the
+    one they had ``before`` (key, status; items that it lacks are new, and count)."""
     is_ = lambda s: F.count_if(F.col("status") == s)
-    return rows.groupBy(by).agg(F.count("*").alias("total"), is_("running").alias("running"), is_("completed").alias("completed"), is_("failed").alias("failed"))
+    if before is None:
+        told = rows.withColumn("__new", F.lit(False))
+    else:
+        met = rows.join(before.select(key, F.col("status").alias("__old")).hint("merge"), key, "left")
+        told = met.withColumn("__new", ~F.col("status").eqNullSafe(F.col("__old")))
+    return told.groupBy(by).agg(F.count("*").alias("total"), is_("running").alias("running"), is_("completed").alias("completed"), is_("failed").alias("failed"), F.count_if("__new").alias("updated"))
 
 
 def storage_estimate(rows: DataFrame, by: str, dimension: int = 4096, width: int = 4) -> DataFrame:

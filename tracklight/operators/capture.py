@@ -190,12 +190,15 @@ def judged(response: Column, ddl: str, required: Sequence[str], fallback: Column
     return F.when(ok, parsed).otherwise(fallback)
 
 
-def typed_events(messages: DataFrame, send_tool: str = "send_message") -> DataFrame:
-    """Messages as typed events: reasoning, tool_call, tool_return, assistant, user, system.
+def typed_events(messages: DataFrame, send_tool: str = "send_message", types: Sequence[str] | None = None) -> DataFrame:
+    """Messages as typed events: reasoning, tool_call, tool_return, assistant, user, system, approval_request and
+    approval_response; only some ``types`` of them, if given.
 
-    messages: trajectory_id, sequence_id, role, text, reasoning, call_id, tool.  A call of ``send_tool`` is an
-    assistant text, and its tool return is dropped.
+    messages: trajectory_id, sequence_id, role, text, reasoning, call_id, tool, and approved (true, false or null), if there
+    are approvals.  A call of ``send_tool`` is an assistant text, and its tool return is dropped.  A message of role approval
+    asks for its tool, or answers with approve or deny.
     """
+    approved = F.col("approved") if "approved" in messages.columns else F.lit(None).cast("boolean")
     sent = messages.where((F.col("role") == "assistant") & (F.col("tool") == send_tool)).select("trajectory_id", "call_id")
     rest = messages.join(sent.withColumn("__sent", F.lit(True)), ["trajectory_id", "call_id"], "left").where(~((F.col("role") == "tool") & F.coalesce("__sent", F.lit(False))))
     role = F.col("role")
@@ -204,5 +207,8 @@ def typed_events(messages: DataFrame, send_tool: str = "send_message") -> DataFr
         F.when(F.col("reasoning").isNotNull(), F.struct(F.lit("reasoning").alias("event"), F.col("reasoning").alias("body"))),
         event((role == "assistant") & F.col("tool").isNotNull() & (F.col("tool") != send_tool), "tool_call"), event((role == "assistant") & (F.col("tool").isNull() | (F.col("tool") == send_tool)), "assistant"),
         event(role == "tool", "tool_return"), event(role == "user", "user"), event(role == "system", "system"),
+        F.when((role == "approval") & approved.isNull() & F.col("tool").isNotNull(), F.struct(F.lit("approval_request").alias("event"), F.col("tool").alias("body"))),
+        F.when((role == "approval") & approved.isNotNull(), F.struct(F.lit("approval_response").alias("event"), F.when(approved, "approve").otherwise("deny").alias("body"))),
     ))
-    return rest.select("trajectory_id", "sequence_id", F.posexplode(kinds).alias("part", "e")).select("trajectory_id", "sequence_id", "part", "e.*")
+    out = rest.select("trajectory_id", "sequence_id", F.posexplode(kinds).alias("part", "e")).select("trajectory_id", "sequence_id", "part", "e.*")
+    return out if types is None else out.where(F.col("event").isin(*types))

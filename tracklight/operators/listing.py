@@ -171,7 +171,10 @@ def ranked(rows: DataFrame, value: str, by: Sequence[str] = (), weight: str | No
     m = F.lit(1) if weight is None else F.col(weight)
     n = rows.count()
     ranges = max(1, min(RANGES, n // RANGE_ROWS))
-    marks = sorted(set(rows.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or [])) if ranges > 1 else []
+    if ranges == 1:  # few rows: each group is one window
+        whole = Window.partitionBy(*by)
+        return rows.withColumns({"__upto": F.sum(m).over(whole.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)), "__n": F.sum(m).over(whole)})
+    marks = sorted(set(rows.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []))
     dealt = rows.withColumn("__r", X.bucket_of(F.col(value), marks))
     keys = [*by, "__r"]
     totals = dealt.groupBy(*keys).agg(F.sum(m).alias("__here"))  # at most RANGES rows a group

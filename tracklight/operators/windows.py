@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import expressions as X
 from .listing import ranked
+from .text import SEND, json_text, searchable_message
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
@@ -29,15 +30,50 @@ def backfill_call_ids(messages: DataFrame) -> DataFrame:
     return messages.withColumn("tool_call_id", F.when(F.col("role") == "tool", F.coalesce("tool_call_id", last["id"])).otherwise(F.col("tool_call_id")))
 
 
+def shown_value(value: Column) -> Column:
+    """A JSON value (variant) of a call's argument as text: quoted strings, True, False and None; numbers, lists and objects
+    as JSON."""
+    kind, raw = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    quoted = lambda q: F.concat(F.lit(q), F.replace(F.replace(F.replace(raw, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("'") if q == "'" else F.lit("\0"), F.lit("\\'") if q == "'" else F.lit("\0")), F.lit(q))
+    double = raw.contains("'") & ~raw.contains('"')
+    return F.when(kind == "STRING", F.when(double, quoted('"')).otherwise(quoted("'"))).when(kind == "BOOLEAN", F.initcap(raw)).when(kind == "VOID", "None").otherwise(F.to_json(value))
+
+
+def call_text(name: Column, arguments: Column) -> Column:
+    """``name(key=value, ...)`` of a tool call; without its arguments where they are no JSON object."""
+    pairs = F.map_entries(F.from_json(F.when(F.try_parse_json(arguments).isNotNull(), arguments), "map<string,variant>"))
+    shown = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), shown_value(e["value"]))), ", ")
+    return F.concat(name, F.lit("("), F.coalesce(shown, F.lit("")), F.lit(")"))
+
+
+def result_text(text: Column) -> Column:
+    """A tool's result in short: the message or else the status of a JSON object, all else as it is."""
+    is_object = F.ltrim(text).startswith("{") & F.try_parse_json(text).isNotNull()
+    message, status = F.get_json_object(text, "$.message"), F.get_json_object(text, "$.status")
+    return F.when(is_object & message.isNotNull(), message).when(is_object & status.isNotNull(), F.concat(F.lit("Status: "), status)).otherwise(text)
+
+
 def combine_with_response(messages: DataFrame) -> DataFrame:
-    """Each assistant call with the next message if that answers it (heartbeats are skipped); answered responses go."""
-    real = messages.where("not is_heartbeat")
+    """(conversation, seq, role, text): messages as search stores them, each assistant call together with the next message,
+    if that answers one of its calls.
+
+    Columns: conversation, seq, role, text, name (of a return), calls (id, name, arguments), tool_call_id.  Messages that search
+    skips are left out.  A call and its return become thinking, call and result; a return of ``SEND`` adds nothing to the
+    assistant's text.
+    """
     w = Window.partitionBy("conversation").orderBy("seq")
-    nxt, prv = F.lead(F.struct("role", "tool_call_id", "text")).over(w), F.lag(F.struct("role", "call_id")).over(w)
-    out = real.withColumns({"nxt": nxt, "prv": prv})
-    answers = (F.col("nxt.role") == "tool") & (F.col("nxt.tool_call_id") == F.col("call_id"))
-    consumed = F.coalesce((F.col("role") == "tool") & (F.col("prv.role") == "assistant") & (F.col("prv.call_id") == F.col("tool_call_id")), F.lit(False))
-    return out.where(~consumed).select("conversation", "seq", "role", "text", F.when(answers, F.col("nxt.text")).alias("response"))
+    plain = F.transform("calls", lambda c: F.struct(c["name"].alias("name"), c["arguments"].alias("arguments")))
+    found = messages.withColumn("__text", searchable_message(F.col("role"), F.col("text"), F.col("name"), plain))
+    matching = lambda calls, wanted: F.get(F.filter(calls, lambda c: c["id"] == wanted), 0)
+    seen = found.withColumns({"__next": F.lead(F.struct("role", "tool_call_id", "name", "text")).over(w), "__prev": F.lag(F.struct("role", "calls", "__text")).over(w)})
+    call = matching(F.col("calls"), F.col("__next.tool_call_id"))
+    answered = (F.col("role") == "assistant") & (F.col("__text") != "") & F.coalesce(F.col("__next.role") == "tool", F.lit(False)) & call.isNotNull()
+    before = matching(F.col("__prev.calls"), F.col("tool_call_id"))
+    consumed = (F.col("role") == "tool") & F.coalesce(F.col("__prev.role") == "assistant", F.lit(False)) & F.coalesce(F.col("__prev.__text") != "", F.lit(False)) & before.isNotNull()
+    thinking = F.coalesce("text", F.lit(""))
+    whole = F.concat(F.lit('{"thinking": '), json_text(thinking), F.lit(', "tool_call": '), json_text(call_text(call["name"], call["arguments"])), F.lit(', "tool_result": '), json_text(result_text(F.coalesce("__next.text", F.lit("")))), F.lit("}"))
+    text = F.when(answered, F.when(F.col("__next.name").eqNullSafe(SEND), thinking).otherwise(whole)).otherwise(F.col("__text"))
+    return seen.where(~consumed & (F.col("__text") != "")).select("conversation", "seq", "role", text.alias("text"))
 
 
 # Fixed value: what a file's view ends with where it is cut.

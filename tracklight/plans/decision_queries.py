@@ -411,9 +411,12 @@ def a26b(t):
     return A.percentiles(A.roll_up(stored, ["model"]), {"p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
-@query("a27_batches", "select agent_id, count(*) as total, sum(cast(status='running' as int)) as running, sum(cast(status='completed' as int)) as completed, sum(cast(status='failed' as int)) as failed from v_runs group by 1")
+@query("a27_batches", "select agent_id, count(*) as total, sum(cast(status='running' as int)) as running, sum(cast(status='completed' as int)) as completed, sum(cast(status='failed' as int)) as failed, sum(cast(status<>'running' or cast(substring(run_id, 5) as bigint)%4=0 as int)) as updated from v_runs group by 1")
 def a27(t):
-    return A.batch_summary(t.v_runs, "agent_id")
+    """Batches after a poll: all runs were running before, and every fourth one is new."""
+    number = F.substring("run_id", F.lit(5), F.length("run_id")).cast("bigint")
+    before = t.v_runs.where(number % 4 != 0).select("run_id", F.lit("running").alias("status"))
+    return A.batch_summary(t.v_runs, "agent_id", before)
 
 
 @query("a28_decision_counts", "select trajectory_id, turn_index, count(*) as n from v_tool_events group by 1, 2")

@@ -303,13 +303,21 @@ def w3(t):
     return W.backfill_call_ids(m).where("role = 'tool'").select("seq", "tool_call_id")
 
 
-@query("w4_combine", W_MESSAGES.replace("from events)", "from events where event_id%7<>0)") + """, n as (select *, lead(role) over w as nr, lead(cid) over w as nc, lag(role) over w as pr, lag(cid) over w as pc from m window w as (partition by conversation order by seq))
-select seq, role, case when role='assistant' and nr='tool' and nc=cid then 'r'||cid end as response from n where not (role='tool' and coalesce(pr,'')='assistant' and pc=cid)""")
+@query("w4_combine", W_MESSAGES.replace("from events)", "from events where event_id%7<>0)") + """, x as (select *, case when role='assistant' then case when seq%5=0 then 'send_message' else 'run' end when role='tool' then case when (seq-1)%5=0 then 'send_message' else 'run' end end as name, 't'||cast(seq as varchar) as said from m),
+n as (select *, lead(role) over w as nr, lead(cid) over w as nc, lead(name) over w as nn, lead(seq) over w as ns, lag(role) over w as pr, lag(cid) over w as pc from x window w as (partition by conversation order by seq))
+select seq, role, case when role='assistant' and nr='tool' and nc=cid and nn='send_message' then said when role='assistant' and nr='tool' and nc=cid then said||' | run(k='||cast(seq as varchar)||', s='||chr(39)||cid||chr(39)||', b=True) | '||case when ns%2=0 then 'done '||cast(ns as varchar) else 'Status: s'||cast(ns as varchar) end when role='assistant' and name='send_message' then said||' / hi' when role='tool' then case when seq%2=0 then '{"message": "done '||cast(seq as varchar)||'"}' else '{"status": "s'||cast(seq as varchar)||'"}' end else said end as text
+from n where not (role='tool' and coalesce(pr,'')='assistant' and pc=cid) and not (role='tool' and name='send_message')""")
 def w4(t):
-    call = F.when(F.col("role") == "assistant", F.col("cid"))
-    ret = F.when(F.col("role") == "tool", F.col("cid"))
-    m = _dialogue(t).select("conversation", "seq", "role", call.alias("call_id"), ret.alias("tool_call_id"), F.concat(F.lit("r"), "cid").alias("text"), (F.col("seq") % 7 == 0).alias("is_heartbeat"))
-    return W.combine_with_response(m).select("seq", "role", "response")
+    """Calls with the returns that answer one of them, read back from their JSON."""
+    n, role = F.col("seq"), F.col("role")
+    name = F.when(role == "assistant", F.when(n % 5 == 0, "send_message").otherwise("run")).when(role == "tool", F.when((n - 1) % 5 == 0, "send_message").otherwise("run"))
+    args = F.when(name == "send_message", F.lit('{"message": "hi"}')).otherwise(F.concat(F.lit('{"k": '), n.cast("string"), F.lit(', "s": "'), "cid", F.lit('", "b": true}')))
+    calls = F.when(role == "assistant", F.array(F.struct(F.lit("other").alias("id"), F.lit("run").alias("name"), F.lit("{}").alias("arguments")), F.struct(F.col("cid").alias("id"), name.alias("name"), args.alias("arguments"))))
+    result = F.when(n % 2 == 0, F.concat(F.lit('{"message": "done '), n.cast("string"), F.lit('"}'))).otherwise(F.concat(F.lit('{"status": "s'), n.cast("string"), F.lit('"}')))
+    m = _dialogue(t).where("seq % 7 <> 0").select("conversation", "seq", "role", F.when(role == "tool", result).otherwise(F.concat(F.lit("t"), n.cast("string"))).alias("text"), F.when(role == "tool", name).alias("name"), calls.alias("calls"), F.when(role == "tool", F.col("cid")).alias("tool_call_id"))
+    j = lambda k: F.get_json_object("text", f"$.{k}")
+    told = F.when(j("tool_call").isNotNull(), F.concat_ws(" | ", j("thinking"), j("tool_call"), j("tool_result"))).when(j("thinking").isNotNull(), F.concat_ws(" / ", j("thinking"), j("content"))).when(j("content").isNotNull(), j("content")).otherwise(F.col("text"))
+    return W.combine_with_response(m).select("seq", "role", told.alias("text"))
 
 
 @query("w5_lru", """with o as (select agent_id, max(file_id) as file_id from v_open_files where not is_open group by 1), f as (select v.*, o.file_id is not null as fresh from v_open_files v left join o on v.agent_id=o.agent_id and v.file_id=o.file_id),

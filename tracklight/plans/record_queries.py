@@ -156,11 +156,17 @@ def t14(t):
     return t.events.select("event_id", C.judged(answer, "score double, reason string", ["score", "reason"], fallback)["score"].alias("score"))
 
 
-@query("t15_typed_events", "with m as (select *, case cast(sequence_id%4 as int) when 0 then 'send_message' when 1 then 'search' end as tool from v_messages) select message_id, 'reasoning' as event from m where sequence_id%5=0 union all select message_id, case when role='assistant' and tool='search' then 'tool_call' else role end from m")
+@query("t15_typed_events", """with m as (select *, case cast(sequence_id%4 as int) when 0 then 'send_message' when 1 then 'search' end as tool, case when sequence_id%7=2 then 'approval' else role end as kind, case cast(sequence_id%3 as int) when 0 then true when 1 then false end as yes from v_messages),
+e as (select sequence_id, 'reasoning' as event, message_id as body from m where sequence_id%5=0 union all select sequence_id, case when kind='assistant' and tool='search' then 'tool_call' else kind end, message_id from m where kind<>'approval' union all select sequence_id, case when yes is null then 'approval_request' else 'approval_response' end, case when yes is null then tool when yes then 'approve' else 'deny' end from m where kind='approval' and (yes is not null or tool is not null))
+select sequence_id, event, body from e where event<>'system'""")
 def t15(t):
-    tool = F.when(F.col("sequence_id") % 4 == 0, "send_message").when(F.col("sequence_id") % 4 == 1, "search")
-    rows = t.v_messages.select("trajectory_id", "sequence_id", "role", F.col("message_id").alias("text"), F.when(F.col("sequence_id") % 5 == 0, F.col("message_id")).alias("reasoning"), F.lit(None).cast("string").alias("call_id"), tool.alias("tool"))
-    return C.typed_events(rows).select(F.col("body").alias("message_id"), "event")
+    """All kinds of events but the system's, approvals among them."""
+    n = F.col("sequence_id")
+    tool = F.when(n % 4 == 0, "send_message").when(n % 4 == 1, "search")
+    kind = F.when(n % 7 == 2, "approval").otherwise(F.col("role"))
+    rows = t.v_messages.select("trajectory_id", "sequence_id", kind.alias("role"), F.col("message_id").alias("text"), F.when(n % 5 == 0, F.col("message_id")).alias("reasoning"), F.lit(None).cast("string").alias("call_id"), tool.alias("tool"), F.when(n % 3 == 0, True).when(n % 3 == 1, False).alias("approved"))
+    kinds = ("reasoning", "tool_call", "tool_return", "assistant", "user", "approval_request", "approval_response")
+    return C.typed_events(rows, types=kinds).select("sequence_id", "event", "body")
 
 
 # ------------------------------------------------------------------------------------------------ stores and exports
