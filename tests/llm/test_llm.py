@@ -866,3 +866,37 @@ def test_densities_equal_brute_force():
             assert math.isclose(node.total, sum(x.density for x in node.items if isinstance(x, htmltext.Node)) + (node.density if own else 0), rel_tol=1e-9)
         best = max(walk(root), key=lambda x: x.total)
         assert any(id(best) == i for i in htmltext.select(root, order)) or best.total == max(x.total for x in order)
+
+
+def test_a_repeated_row_is_mixed_in_parts(spark, monkeypatch):
+    """Most rows repeat one id and text: no window holds them all, and targets are met to a word."""
+    monkeypatch.setattr(mixing, "SALTS", 8)
+    rows = [(7, "one two three", "a")] * 900 + [(i, "w " * (i % 9 + 1), "b") for i in range(400)] + [(i, "x " * (i % 5 + 1), None) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5).cache()
+    got = mixing.mix(df).select("source", "doc_id", "mixed.*").collect()
+    assert len(got) == len(rows)
+    for source in ("a", "b", None):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.copies * r["size"] for r in mine) - mine[0].target) <= 3
+    copies = [r.copies for r in got if r.source == "a"]
+    assert max(copies) - min(copies) <= 1 and sum(copies) == round(next(r.target for r in got if r.source == "a") / 3)
+
+
+def test_rates_solve_the_dual(spark):
+    """The multipliers against a plain bisection of each source's dual."""
+    import math
+
+    rng = random.Random(14)
+    classes = [(s, n, rng.randint(1, 40)) for s in ("sa", "sb", "sc", "n") for n in sorted(rng.sample(range(1, 400), 25))]
+    df = spark.createDataFrame(classes, "src string, size bigint, c bigint")
+    for r in mixing.multipliers(df, mixing.source_targets(df)).collect():
+        mine = [(n, c) for s, n, c in classes if s == r.src]
+        mean = sum(n * c for n, c in mine) / sum(c for _, c in mine)
+        words = lambda lam, mine=mine, mean=mean: sum(n * c * min(3.0, math.exp(min(9.0, lam * n / mean))) for n, c in mine)
+        if r.target >= 3 * r.source_size * (1 - 1e-12):
+            continue
+        lo, hi = -60.0 * mean, 60.0 * mean
+        for _ in range(300):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if words(mid) < r.target else (lo, mid)
+        assert abs(words(r.lam) - r.target) <= 0.02 + 2e-9 * r.target and abs(r.lam - lo) <= 1e-4 * max(1, abs(lo))

@@ -9,8 +9,8 @@ join and sum over that table, for all sources at once.
 Rates become copies by systematic rounding down the sizes (largest first), then by a few rounds that give or take
 copies of ever smaller documents until a source's sum meets its target, and by exchanges of one copy for another whose
 sizes differ by what is still missing.  Which documents of one source and size get
-the odd copy is decided by a hash of their id and text, found with a salted rank, so no source or size is ever in one
-task; only rows that agree in both are told apart by their place in the table.
+the odd copy is decided by a hash of their id and text, found with a salted rank; rows that agree in both are told apart by
+a hash of their place in the table, found likewise.  So neither a source nor a size nor a repeated row is ever in one task.
 
 Defined results: null texts have size 0 and one copy of nothing; a null source is a source of its own, the last;
 null and repeated ids and repeated rows are documents of their own; a source without words takes none; an empty table gives no rows.
@@ -31,6 +31,8 @@ MOST = 3
 #: Newton steps, halvings of the bracket after them, rounds of corrections to the rounding, and of exchanges of two
 #: documents' copies.
 STEPS, HALVINGS, CORRECTIONS, EXCHANGES = 30, 90, 2, 3
+#: Newton steps or halvings that one job makes.
+ROUNDS_A_JOB = 5
 #: Salts that spread the documents of one source and size; rows for each salt beyond which there are more.
 SALTS, SALT_ROWS = 64, 1_000_000
 #: Tables of source and size with at most so many rows are broadcast; larger ones are joined by a shuffle.
@@ -67,7 +69,6 @@ def source_targets(classes: DataFrame, weights=WEIGHTS, most: int = MOST) -> Dat
 
 def multipliers(classes: DataFrame, targets: DataFrame, most: int = MOST) -> DataFrame:
     """(src, source_size, target, mean, lam): the dual's solution for each source."""
-    z = F.col("size") / F.col("mean")
     shape = classes.where("size > 0").groupBy("src").agg(F.sum(F.col("c") * F.col("size")) / F.sum("c"), F.min("size")).toDF("src", "mean", "least")
     state = targets.join(shape.hint("merge"), "src", "left").select(
         "src", "source_size", "target", F.coalesce("mean", F.lit(1.0)).alias("mean"),
@@ -77,19 +78,16 @@ def multipliers(classes: DataFrame, targets: DataFrame, most: int = MOST) -> Dat
     idle = (F.col("source_size") == 0) | full
     start = F.when(F.col("source_size") == 0, 0.0).when(full, F.col("hi")).otherwise(F.log(F.greatest(F.col("target"), F.lit(1e-9)) / F.col("source_size")) * 0.5)
     state = spool(state.withColumn("lam", F.greatest(F.coalesce("lo", F.lit(0.0)), F.least(F.coalesce("hi", F.lit(0.0)), start))).withColumn("done", idle), "dual")
-    for round_ in range(STEPS + HALVINGS + 1):
-        todo = state.where(~F.col("done"))
-        if todo.isEmpty():
-            break
-        if round_ == STEPS + HALVINGS:
-            raise ArithmeticError("the dual of the mix has not been solved")
-        tilt = F.exp(F.col("lam") * z)
-        mass = F.col("c") * F.col("size")
-        sums = classes.where("size > 0").join(todo.hint("merge"), "src").groupBy("src").agg(
+    sized = classes.where("size > 0").select("src", F.col("size").alias("s"), "c")
+    ends = ["src", "source_size", "target", "mean", "lo", "hi", "lam", "done"]
+    for round_ in range(STEPS + HALVINGS):
+        tilt = F.exp(F.col("lam") * F.col("s") / F.col("mean"))
+        mass = F.col("c") * F.col("s")
+        # sources and their sizes stay where their name was hashed to, so rounds follow each other without another shuffle
+        sums = state.join(sized.hint("merge"), "src", "left").groupBy(*ends).agg(
             F.sum(mass * F.least(tilt, F.lit(float(most)))).alias("got"),
-            F.sum(F.when(tilt < most, mass * z * tilt).otherwise(0.0)).alias("slope"),
+            F.sum(F.when(tilt < most, mass * F.col("s") / F.col("mean") * tilt).otherwise(0.0)).alias("slope"),
         )
-        next_ = state.join(sums.hint("merge"), "src", "left")
         low = F.col("got") < F.col("target")
         lo, hi = F.when(low, F.col("lam")).otherwise(F.col("lo")), F.when(low, F.col("hi")).otherwise(F.col("lam"))
         newton = F.col("lam") + (F.col("target") - F.col("got")) / F.col("slope")
@@ -97,10 +95,16 @@ def multipliers(classes: DataFrame, targets: DataFrame, most: int = MOST) -> Dat
         # met, or as near as doubles come
         met = (F.abs(F.col("got") - F.col("target")) <= 0.01 + 1e-9 * F.col("target")) | (hi - lo <= 1e-14 * F.greatest(F.abs(lo), F.abs(hi)))
         running = ~F.col("done")
-        state = spool(next_.select(
+        state = sums.select(
             "src", "source_size", "target", "mean", F.when(running, lo).otherwise(F.col("lo")).alias("lo"), F.when(running, hi).otherwise(F.col("hi")).alias("hi"),
             F.when(running & ~met, step).otherwise(F.col("lam")).alias("lam"), (F.col("done") | met).alias("done"),
-        ), "dual")
+        )
+        if round_ % ROUNDS_A_JOB == ROUNDS_A_JOB - 1 or round_ == STEPS + HALVINGS - 1:
+            state = spool(state, "dual")
+            if state.where(~F.col("done")).isEmpty():
+                break
+    else:
+        raise ArithmeticError("the dual of the mix has not been solved")
     return state.select("src", "source_size", "target", "mean", "lam")
 
 
@@ -173,14 +177,29 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     run = Window.partitionBy("src", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     cut = salted.withColumnRenamed("c", "here").withColumn("before", F.coalesce(F.sum("here").over(run), F.lit(0))).join(taken.hint("merge"), ["src", "size"]).where((F.col("before") <= odd) & (odd < F.col("before") + F.col("here")))
     cut = cut.select("src", "size", F.col("salt").alias("cut"), (odd - F.col("before")).alias("nth"))
-    order = Window.partitionBy("src", "size").orderBy("h", "m")
-    edge = sized.withColumn("cut", salt).join(cut.hint("merge"), ["src", "size", "cut"]).withColumns({"rank": F.row_number().over(order) - 1, "alike": F.count("*").over(Window.partitionBy("src", "size", "h"))})
-    edge = edge.where("rank = nth").select("src", "size", "cut", F.col("h").alias("edge"), F.when(F.col("alike") > 1, F.col("m")).alias("last"))
-    plan = spool(taken.join(edge.hint("merge"), ["src", "size"]).select(F.col("src").alias("k_src"), F.col("size").alias("k_size"), "source_size", "target", F.floor(F.col("copies") / F.col("c")).alias("whole"), (odd > 0).alias("odd"), "cut", "edge", "last"), "plan")
+    # the edge is a hash; rows that share it are told apart by their place, in salts again, however many they are
+    inside = sized.withColumn("cut", salt).join(cut.hint("merge"), ["src", "size", "cut"]).groupBy("src", "size", "cut", "nth", "h").agg(F.count("*").alias("alike"))
+    below = Window.partitionBy("src", "size").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    edge = inside.withColumn("before", F.coalesce(F.sum("alike").over(below), F.lit(0))).where((F.col("before") <= F.col("nth")) & (F.col("nth") < F.col("before") + F.col("alike")))
+    edge = spool(edge.select("src", "size", "cut", F.col("h").alias("edge"), (F.col("nth") - F.col("before")).alias("nth"), "alike"), "edges")
+    again = edge.where("alike > 1").select("src", "size", F.col("edge").alias("h"), "nth")
+    place = F.pmod(F.col("m"), F.lit(salts))
+    if again.isEmpty():
+        edge = edge.select("src", "size", "cut", "edge", F.lit(None).cast("bigint").alias("place"), F.lit(None).cast("bigint").alias("last"))
+    else:
+        twins = spool(sized.join(again.hint("merge"), ["src", "size", "h"]).select("src", "size", "nth", place.alias("place"), "m"), "twins")
+        upto = Window.partitionBy("src", "size").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        salted_ = twins.groupBy("src", "size", "nth", "place").agg(F.count("*").alias("here")).withColumn("before", F.coalesce(F.sum("here").over(upto), F.lit(0)))
+        at = salted_.where((F.col("before") <= F.col("nth")) & (F.col("nth") < F.col("before") + F.col("here"))).select("src", "size", "place", (F.col("nth") - F.col("before")).alias("k"))
+        row = F.row_number().over(Window.partitionBy("src", "size").orderBy("m")) - 1
+        last = twins.drop("nth").join(at.hint("merge"), ["src", "size", "place"]).withColumn("row", row).where("row = k").select("src", "size", "place", F.col("m").alias("last"))
+        edge = edge.join(last.hint("merge"), ["src", "size"], "left").select("src", "size", "cut", "edge", "place", "last")
+    plan = spool(taken.join(edge.hint("merge"), ["src", "size"]).select(F.col("src").alias("k_src"), F.col("size").alias("k_size"), "source_size", "target", F.floor(F.col("copies") / F.col("c")).alias("whole"), (odd > 0).alias("odd"), "cut", "edge", F.col("place").alias("k_place"), "last"), "plan")
     few = plan.count() <= BROADCAST_CLASSES
     keyed = docs.select(F.struct(*docs.columns).alias("row"), h.alias("h"), m.alias("m"), source_key(source).alias("src"), words_of(text).alias("size"))
     met = keyed.join(plan.hint("broadcast" if few else "merge"), (F.col("src") == F.col("k_src")) & (F.col("size") == F.col("k_size")))
-    first = (F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.coalesce(F.col("m") < F.col("last"), F.lit(False)))
+    earlier = (place < F.col("k_place")) | ((place == F.col("k_place")) & (F.col("m") < F.col("last")))
+    first = (F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.coalesce(earlier, F.lit(False)))
     extra = F.col("odd") & ((salt < F.col("cut")) | ((salt == F.col("cut")) & first))
     return met.select("row.*", F.struct("size", "source_size", "target", (F.col("whole") + extra.cast("bigint")).alias("copies")).alias(name))
 
