@@ -30,10 +30,10 @@ def c1b(t):
     return t.documents.where("text is not null").select("doc_id", view.alias("v")).select("doc_id", F.array_join("v.lines", "\n").alias("shown"), "v.error")
 
 
-@query("c2_sentences", r"select doc_id, len(s) as n, array_to_string(list_slice(s, 1, 2), '#') as head from (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as s from documents)")
+@query("c2_sentences", r"select doc_id, len(s) as n, array_to_string(s, '#') as sentences from (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') as s from documents)")
 def c2(t):
     s = C.sentence_chunks(F.col("text"))
-    return t.documents.select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("bigint").alias("n"), F.array_join(F.slice("s", 1, 2), "#").alias("head"))
+    return t.documents.select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("bigint").alias("n"), F.array_join("s", "#").alias("sentences"))
 
 
 @query("c3_wrap")

@@ -38,7 +38,7 @@ select 'doc-'||cast(doc_id as varchar(20)) as trajectory_id, cast(null as int) a
 union all select 'doc-'||cast(doc_id as varchar(20)), cast(doc_id%5 as int), 'safety-rules', 'heuristic', cast(1-toxic as double), case when toxic=1 then 'toxic' else null end from {labels}""",
     "v_trajectories": """
 select 'doc-'||cast(d.doc_id as varchar(20)) as trajectory_id, 'agent-'||source as agent_id, 'org-'||cast(d.doc_id%4 as varchar(20)) as organization_id, lang as domain_type, d.doc_id%2=0 as share_cross_org,
-substring(text,1,200) as searchable_summary, case when l.doc_id is null then null else (cast(0.6 as double)*quality+cast(0.4 as double)*(1-toxic)) end as outcome_score,
+text as searchable_summary, case when l.doc_id is null then null else (cast(0.6 as double)*quality+cast(0.4 as double)*(1-toxic)) end as outcome_score,
 case when n_chars<500 then 'trivial' when n_chars<2000 then 'simple' when n_chars<6000 then 'moderate' when n_chars<15000 then 'complex' else 'expert' end as complexity_level,
 case cast(d.doc_id%5 as int) when 0 then 'debugging' when 1 then 'research' when 2 then 'code_generation' when 3 then 'design' else null end as task_category,
 case cast(d.doc_id%7 as int) when 0 then 'failed' when 1 then 'pending' else 'completed' end as processing_status, d.doc_id as created_seq, e.embedding
