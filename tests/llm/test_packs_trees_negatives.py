@@ -128,8 +128,8 @@ def test_packing_equals_brute_force(spark, docs):
         texts.setdefault(r.doc_id, []).append(r.text)
     extra = [(None, "null id", None, None, 7), (0, "again", "en", "s1", 5), (0, "again", "en", "s1", 5)]
     texts[None], texts[0] = ["null id"], texts[0] + ["again", "again"]
-    packed = packing.pack(docs.unionByName(spark.createDataFrame(extra, H.SCHEMA)).withColumn("packed", F.lit(1)), length=64)
-    assert packed.columns == ["doc_id", "lang", "source", "n_chars", "packed", "packed_"]
+    packed = packing.pack(docs.unionByName(spark.createDataFrame(extra, H.SCHEMA)).withColumns({"packed": F.lit(1), "_": F.lit(2), "row": F.lit(3)}), length=64)
+    assert packed.columns == ["doc_id", "lang", "source", "n_chars", "packed", "_", "row", "packed_"]
     seq = held([(r.doc_id, r.packed_) for r in packed.collect()], texts, 64)
     whole = {r.sequence_id: (r.length, bytes(r.ids)) for r in packing.sequences(packed, "packed_").collect()}
     assert whole == {k: (sum(n for _, n, _ in v), b"".join(bytes(i) for *_, i in sorted(v))) for k, v in seq.items()}

@@ -147,7 +147,7 @@ def pieces(docs: DataFrame, model: str, text: str = "text", keep: Sequence[str]
     """The pieces of all documents: kept (a struct), row (a number of the document), piece, start, length, ids_crc32 and,
     if asked for, ids (little-endian 32-bit)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a tokenizer's file
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *keep).alias("kept"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.struct(F.lit(0).alias(fresh(docs, "_")), *keep).alias("kept"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text"))
     ddl = "lengths array<int>, sums array<bigint>" + (", ids array<binary>" if with_ids else "")
     made = annotate(rows, ["text"], ddl, lambda coder, t: cut_up(coder, t, length, with_ids), "t", keep=["kept", "row"], start=lambda: encoder(shared.value))
     both = F.arrays_zip("t.lengths", "t.sums", *(["t.ids"] if with_ids else []))
