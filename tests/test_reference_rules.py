@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +92,22 @@ def test_clipped_summaries_say_so(spark):
     assert one(spark, T.clip(F.lit("abcdef"), 3)) == "abc... [summary truncated to fit]" and one(spark, T.clip(F.lit("abc"), 3)) == "abc"
 
 
+def test_packed_summaries(spark):
+    at = [datetime(2024, 1, 31, 18, 5, tzinfo=timezone.utc), datetime(2024, 7, 4, 6, 30, 59, tzinfo=timezone.utc), datetime(2024, 3, 10, 9, 59, 59, tzinfo=timezone.utc), datetime(2024, 3, 10, 10, tzinfo=timezone.utc)]
+    for zone, names in (("America/Los_Angeles", ("PST", "PDT")), ("Asia/Kolkata", ("IST", "IST")), ("Australia/Sydney", ("AEST", "AEDT")), ("UTC", ("UTC", "UTC"))):
+        rows = spark.createDataFrame([(i, int(x.timestamp())) for i, x in enumerate(at)], "i int, s bigint")
+        got = {r.i: r.x for r in rows.select("i", T.local_stamp(F.timestamp_seconds("s"), zone, names).alias("x")).collect()}
+        assert got == {i: x.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%d %I:%M:%S %p %Z%z") for i, x in enumerate(at)}
+    limits = "hidden from view due to conversation memory constraints."
+    packed = lambda message: json.dumps({"type": "system_alert", "message": message, "time": "now"}, indent=2, ensure_ascii=False)
+    now, text, none = F.lit("now"), 'é "a"\n\\ 100%d', F.lit(None).cast("string")
+    three = (F.lit(3), F.lit(4), F.lit(9))
+    assert one(spark, T.packed_summary(F.lit(text), now, *three)) == packed(f"Note: prior messages (4 of 9 total messages) have been {limits}\nThe following is a summary of the previous 3 messages:\n {text}")
+    assert one(spark, T.packed_summary(F.lit(text), now)) == packed(f"Note: prior messages have been {limits}\nThe following is a summary of the previous messages:\n {text}")
+    assert one(spark, T.packed_summary(none, now, *three)) == packed(f"Note: 4 prior messages with the user have been {limits} Older messages are stored in Recall Memory and can be viewed using functions.")
+    assert one(spark, T.packed_summary(none, now)) is None and one(spark, T.packed_summary(F.lit("x"), now, F.lit(3), F.lit(None).cast("int"), F.lit(9))) is None
+
+
 CALL = "array<struct<name:string,arguments:string>>"
 
 

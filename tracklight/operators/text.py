@@ -290,6 +290,41 @@ def clip(text: Column, limit: int, suffix: str = "... [summary truncated to fit]
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(suffix))).otherwise(text)
 
 
+def local_stamp(at: Column, zone: str, names: tuple[str, str]) -> Column:
+    """A UTC time in a zone as ``2024-01-31 05:00:00 PM PST-0800``; ``names``: its abbreviations in standard and in summer time."""
+    at = at.cast("timestamp")
+    shift = lambda t: (F.unix_seconds(F.from_utc_timestamp(t, zone)) - F.unix_seconds(t)).cast("bigint")
+    january = F.date_trunc("year", at)
+    off, standard = shift(at), F.least(shift(january), shift(january + F.expr("interval 181 days")))
+    minutes = F.abs(off).cast("bigint") / 60
+    offset = F.concat(F.when(off < 0, "-").otherwise("+"), F.lpad(F.floor(minutes / 60).cast("string"), 2, "0"), F.lpad(F.floor(minutes % 60).cast("string"), 2, "0"))
+    return F.concat(F.date_format(F.from_utc_timestamp(at, zone), "yyyy-MM-dd hh:mm:ss a "), F.when(off > standard, names[1]).otherwise(names[0]), offset)
+
+
+def alert(message: Column, time: Column) -> Column:
+    """The JSON of a notice of the system, indented by two; null without a message or a time."""
+    said = F.concat(F.lit('{\n  "type": "system_alert",\n  "message": '), json_text(message), F.lit(',\n  "time": '), json_text(time), F.lit("\n}"))
+    return F.when(message.isNotNull() & time.isNotNull(), said)
+
+
+# What a packed summary says.
+HIDDEN = "Note: prior messages (%d of %d total messages) have been hidden from view due to conversation memory constraints.\nThe following is a summary of the previous %d messages:\n %s"
+HIDDEN_UNCOUNTED = "Note: prior messages have been hidden from view due to conversation memory constraints.\nThe following is a summary of the previous messages:\n %s"
+HIDDEN_ALONE = "Note: %d prior messages with the user have been hidden from view due to conversation memory constraints. Older messages are stored in Recall Memory and can be viewed using functions."
+
+
+def packed_summary(summary: Column, time: Column, summed: Column | None = None, hidden: Column | None = None, total: Column | None = None) -> Column:
+    """The message that stands for evicted ones: their summary, with counts if they are given.  A row whose summary is
+    null says only how many are hidden, or has no message where that isn't given either; a null count, no message."""
+    hidden = F.lit(None).cast("bigint") if hidden is None else hidden
+    alone = F.when(hidden.isNotNull(), F.format_string(HIDDEN_ALONE, hidden))
+    if summed is None or total is None:
+        said = F.format_string(HIDDEN_UNCOUNTED, summary)
+    else:
+        said = F.when(hidden.isNotNull() & total.isNotNull() & summed.isNotNull(), F.format_string(HIDDEN, hidden, total, summed, summary))
+    return alert(F.when(summary.isNull(), alone).otherwise(said), time)
+
+
 def update_blocks(blocks: DataFrame, updates: DataFrame, limit: int) -> DataFrame:
     """Block values replaced where an update exists, cut to the limit; updates of unknown blocks are skipped."""
     new = updates.select("block_id", F.substring("value", 1, limit).alias("__v"))

@@ -160,6 +160,17 @@ def c15(t):
     return t.documents.select("doc_id", C.clip(F.col("text"), 80).alias("clipped"))
 
 
+@query("c15_packed", r"""with d as (select doc_id, case when doc_id%7<>0 then case when length(text)>80 then substring(text,1,80)||'... [summary truncated to fit]' else text end end as s, doc_id%50 as n, strftime(epoch_ms(1704067200000+doc_id*3607000), '%Y-%m-%d %I:%M:%S %p UTC+0000') as t from documents)
+select doc_id, '{'||chr(10)||'  "type": "system_alert",'||chr(10)||'  "message": '||cast(to_json(case when s is null then 'Note: '||n||' prior messages with the user have been hidden from view due to conversation memory constraints. Older messages are stored in Recall Memory and can be viewed using functions.'
+else 'Note: prior messages ('||n||' of '||2*n+1||' total messages) have been hidden from view due to conversation memory constraints.'||chr(10)||'The following is a summary of the previous '||n+1||' messages:'||chr(10)||' '||s end) as varchar)||','||chr(10)||'  "time": "'||t||'"'||chr(10)||'}' as packed from d""")
+def c15_packed(t):
+    """Clipped texts as the message that stands for evicted ones; every seventh has no summary."""
+    n = F.col("doc_id") % 50
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3607)
+    summary = F.when(F.col("doc_id") % 7 != 0, C.clip(F.col("text"), 80))
+    return t.documents.select("doc_id", C.packed_summary(summary, C.local_stamp(at, "UTC", ("UTC", "UTC")), n + 1, n, 2 * n + 1).alias("packed"))
+
+
 @query("c16_blocks", "select doc_id as block_id, case when doc_id%3=0 then substring(upper(lang)||text, 1, 50) else lang end as value from documents")
 def c16(t):
     blocks = t.documents.select(F.col("doc_id").alias("block_id"), F.col("lang").alias("value"))
