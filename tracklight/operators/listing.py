@@ -225,6 +225,18 @@ def linked(left: DataFrame, junction: DataFrame, right: DataFrame, left_key: str
     return left.join(junction.select(left_key, right_key).distinct(), left_key).join(right, right_key)
 
 
+def counts_by(rows: DataFrame, by: Sequence[str], key: str) -> DataFrame:
+    """``n`` rows and the ``first`` key of each group of ``rows``."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(key).alias("first"))
+
+
+def linked_counts(left: DataFrame, junction: DataFrame, counts: DataFrame, left_key: str, right_key: str, by: Sequence[str] = ()) -> DataFrame:
+    """What ``linked`` finds for each row of ``left``, counted by ``by``: ``counts`` (see ``counts_by``) holds a row for each
+    group of a right key, so links of single rows are never written out."""
+    met = linked(left, junction, counts, left_key, right_key)
+    return met.groupBy(left_key, *by).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
 def union_passages(archival: DataFrame, source: DataFrame) -> DataFrame:
     """Both kinds of passages, the columns that one lacks filled with nulls."""
     return archival.withColumn("kind", F.lit("archival")).unionByName(source.withColumn("kind", F.lit("source")), allowMissingColumns=True)

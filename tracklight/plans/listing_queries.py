@@ -187,7 +187,8 @@ def j2(t):
     n = F.substring("agent_id", F.lit(7), F.length("agent_id")).cast("bigint")
     agents = t.v_agent_tags.select("agent_id").distinct()
     junction = agents.withColumn("archive_id", F.concat(F.lit("archive-src"), (n % 20).cast("string")))
-    return L.linked(agents, junction, t.v_passages, "agent_id", "archive_id").groupBy("agent_id", "tag_size").agg(F.count("*").alias("n"), F.min("passage_id").alias("first_passage"))
+    counts = L.counts_by(t.v_passages, ["archive_id", "tag_size"], "passage_id")
+    return L.linked_counts(agents, junction, counts, "agent_id", "archive_id", ["tag_size"]).select("agent_id", "tag_size", "n", F.col("first").alias("first_passage"))
 
 
 @query("j3_union_passages", "select passage_id as id, archive_id, cast(null as varchar) as source_id, 'archival' as kind from v_passages union all select file_id, null, source_id, 'source' from v_files")
