@@ -32,27 +32,30 @@ def joined_text(blocks: Column) -> Column:
     return F.array_join(F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"]), "\n")
 
 
-def run_metadata(steps: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Step sums and models, and message counts and tools, per run."""
-    s = steps.groupBy("run_id").agg(
-        F.count("*").alias("step_count"), F.sum(F.coalesce("prompt_tokens", F.lit(0))).alias("input_tokens"), F.sum(F.coalesce("completion_tokens", F.lit(0))).alias("output_tokens"),
-        F.array_sort(F.collect_set("model")).alias("models"),
+def run_parts(steps: DataFrame, messages: DataFrame) -> DataFrame:
+    """What steps and messages say of each run: step sums and models, message counts and tools, and ``turns``, each step with
+    its messages in order, ``[]`` for steps without any; messages without a step are in no turn.
+
+    Steps and messages are dealt by run once, together, and grouped in place: by step, then by run.
+    """
+    strings = F.array().cast("array<string>")
+    said = messages.select("run_id", "step_no", F.struct(F.col("seq").cast("bigint").alias("seq"), "message_id", "role", "text").alias("m"), F.coalesce("tools", strings).alias("tools"))
+    done = steps.select("run_id", "step_no", F.struct("model", "prompt_tokens", "completion_tokens").alias("s"))
+    dealt = said.unionByName(done, allowMissingColumns=True).where("run_id is not null").repartition("run_id")
+    mine = F.when(F.col("step_no").isNotNull(), F.array_sort(F.collect_list("m"))).otherwise(F.array().cast(T.ArrayType(said.schema["m"].dataType)))
+    by_step = dealt.groupBy("run_id", "step_no").agg(
+        F.collect_list("s").alias("steps"), mine.alias("messages"), F.count("s").alias("n_steps"), F.count("m").alias("n_messages"), F.count_if(F.col("m.role") == "user").alias("users"),
+        F.count_if(F.size("tools") > 0).alias("with_tools"), F.array_distinct(F.flatten(F.collect_list("tools"))).alias("tools"),
+        F.sum(F.coalesce("s.prompt_tokens", F.lit(0))).alias("input"), F.sum(F.coalesce("s.completion_tokens", F.lit(0))).alias("output"), F.collect_set("s.model").alias("models"),
     )
-    m = messages.groupBy("run_id").agg(
-        F.count("*").alias("message_count"), F.count_if(F.col("role") == "user").alias("user_messages"), F.count_if(F.size("tools") > 0).alias("tool_messages"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("tools", F.array().cast("array<string>")))))).alias("tools_used"),
+    turn = lambda s: F.struct("step_no", s["model"].alias("model"), s["prompt_tokens"].alias("input_tokens"), s["completion_tokens"].alias("output_tokens"), "messages")
+    every = lambda c: F.flatten(F.collect_list(c))
+    turns = F.array_sort(every(F.transform("steps", turn)))
+    return by_step.groupBy("run_id").agg(
+        F.sum("n_steps").alias("step_count"), F.sum("input").alias("input_tokens"), F.sum("output").alias("output_tokens"), F.array_sort(F.array_distinct(every("models"))).alias("models"),
+        F.sum("n_messages").alias("message_count"), F.sum("users").alias("user_messages"), F.sum("with_tools").alias("tool_messages"), F.array_sort(F.array_distinct(every("tools"))).alias("tools_used"),
+        F.when(F.sum("n_steps") > 0, turns).alias("turns"),
     )
-    return s, m
-
-
-def run_turns(steps: DataFrame, messages: DataFrame) -> DataFrame:
-    """(run_id, turns): each step with its messages in order, ``[]`` for steps without any; messages without a step are
-    left out."""
-    said = F.array_sort(F.collect_list(F.struct("seq", "message_id", "role", "text")))
-    by_step = messages.where("step_no is not null").groupBy("run_id", "step_no").agg(said.alias("messages"))
-    full = steps.select("run_id", "step_no", "model", "prompt_tokens", "completion_tokens").join(by_step, ["run_id", "step_no"], "left")
-    empty = F.array().cast("array<struct<seq:bigint,message_id:string,role:string,text:string>>")
-    turn = F.struct("step_no", "model", F.col("prompt_tokens").alias("input_tokens"), F.col("completion_tokens").alias("output_tokens"), F.coalesce("messages", empty).alias("messages"))
-    return full.groupBy("run_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
 
 # The reasons that an outcome states.
@@ -83,14 +86,13 @@ def outcome(status: Column, stop_reason: Column, user_messages: Column, tool_mes
     return F.struct(name.alias("status"), F.round(confidence, 6).alias("confidence"), reasons.alias("reasoning"), kind.alias("type"))
 
 
-def build_trajectories(runs: DataFrame, steps: DataFrame, messages: DataFrame) -> DataFrame:
-    """One nested trajectory for each run: run_id, metadata, turns, outcome.
+def build_trajectories(runs: DataFrame, steps: DataFrame, messages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One nested trajectory for each run: run_id, metadata, turns, outcome, and the columns of ``runs`` to ``keep``.
 
     runs: run_id, agent_id, status, stop_reason, created_at, completed_at (and error, if known).  steps: run_id, step_no, model,
     prompt_tokens, completion_tokens.  messages: run_id, step_no, seq, message_id, role, text, tools.
     """
-    s, m = run_metadata(steps, messages)
-    whole = runs.join(s, "run_id", "left").join(m, "run_id", "left").join(run_turns(steps, messages), "run_id", "left")
+    whole = runs.join(run_parts(steps, messages), "run_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     strings = F.array().cast("array<string>")
     ns = (F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) * 1000
@@ -98,7 +100,7 @@ def build_trajectories(runs: DataFrame, steps: DataFrame, messages: DataFrame) -
         F.col("created_at").alias("start_time"), F.col("completed_at").alias("end_time"), ns.alias("duration_ns"), "status", "stop_reason", zero("step_count").alias("step_count"), zero("message_count").alias("message_count"),
         F.coalesce("tools_used", strings).alias("tools_used"), zero("input_tokens").alias("input_tokens"), zero("output_tokens").alias("output_tokens"), (zero("input_tokens") + zero("output_tokens")).alias("total_tokens"), F.coalesce("models", strings).alias("models"),
     )
-    return whole.select("run_id", "agent_id", meta.alias("metadata"), "turns", outcome(F.col("status"), F.col("stop_reason"), F.col("user_messages"), F.col("tool_messages"), F.col("error") if "error" in runs.columns else None).alias("outcome"))
+    return whole.select("run_id", "agent_id", meta.alias("metadata"), "turns", outcome(F.col("status"), F.col("stop_reason"), F.col("user_messages"), F.col("tool_messages"), F.col("error") if "error" in runs.columns else None).alias("outcome"), *keep)
 
 
 def to_analytic(trajectories: DataFrame) -> DataFrame:
