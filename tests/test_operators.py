@@ -206,7 +206,7 @@ def test_context_block_rounds_similarities_as_the_sql_does(spark, tmp_path):
     con = duckdb.connect()
     con.execute("create table documents as select cast(0 as bigint) as doc_id, 'a' as text, 'en' as lang, 's' as source, 1 as n_chars")
     con.execute("create table labels as select doc_id, 1 as quality, 0 as toxic from documents where false")
-    con.execute("create table events as select i as event_id, timestamp '2024-01-01' + to_hours(cast(i as int)) as ts, i as user_id, 'click' as event_type, 50.0 * (i % 4) as value, 'p' as props from range(12) r(i)")
+    con.execute("create table events as select i as event_id, timestamp '2024-01-01' + to_hours(cast(i as int)) as ts, i as user_id, 'click' as event_type, cast(50 * (i % 4) as double) as value, 'p' as props from range(12) r(i)")
     con.execute("create table embeddings (vec_id bigint, embedding float[])")
     con.executemany("insert into embeddings values (?, ?)", [(50 * i, [s, (1 - s * s) ** 0.5]) for i, s in enumerate([1.0, *told])])
     for t in ("documents", "labels", "events", "embeddings"):
